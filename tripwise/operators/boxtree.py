@@ -26,7 +26,7 @@ from tripwise.session import cut
 
 LEVELS = 10
 BITS = 2  # bits per dimension and level
-LEAF_ITEMS = 64
+LEAF_ITEMS = 16
 SLACK = 1e-9  # bounds and exact scores round differently
 
 BOX = ("south", "west", "north", "east")
@@ -80,16 +80,18 @@ def _code(items: DataFrame, use_static: bool) -> Column:
     dims = [y, x] + ([F.col("s")] if use_static else [])
     edges = items.agg(*[f(d).alias(f"{f.__name__}{i}") for i, d in enumerate(dims) for f in (F.min, F.max)]).first()
     top = (1 << (BITS * LEVELS)) - 1
-    grid = []
-    for i, d in enumerate(dims):
+    grids = []
+    for i, name in enumerate(["(south + north) / 2", "(west + east) / 2", "s"][: len(dims)]):
         lo, hi = edges[f"min{i}"] or 0.0, edges[f"max{i}"] or 0.0
         width = (hi - lo) or 1.0
-        grid.append(F.least(F.lit(top), F.greatest(F.lit(0), F.floor((d - F.lit(lo)) / F.lit(width) * float(top + 1)))).cast("long"))
-    code = F.lit(1).cast("long")
-    for level in range(LEVELS - 1, -1, -1):
-        for g in grid:
-            code = F.shiftleft(code, BITS).bitwiseOR(F.shiftright(g, BITS * level).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")))
-    return code
+        grids.append(f"CAST(least({top}, greatest(0, floor(({name} - ({lo!r}D)) / {width!r}D * {float(top + 1)!r}D))) AS BIGINT)")
+    # one text expression: digit by digit, most significant level first
+    width = BITS * len(dims)
+    parts = [f"{1 << (width * LEVELS)}L"]
+    for level in range(LEVELS):
+        for i, g in enumerate(grids):
+            parts.append(f"shiftleft(shiftright({g}, {BITS * level}) & {(1 << BITS) - 1}L, {width * level + BITS * (len(dims) - 1 - i)})")
+    return F.expr(" | ".join(parts))
 
 
 def build_tree(items: DataFrame, use_static: bool = False, leaf_items: int = LEAF_ITEMS) -> Tree:
@@ -157,9 +159,9 @@ def best_k(asks: DataFrame, tree: Tree, score: Callable[[Column, Column], Column
 
     cands = prune(asks.join(tree.levels[0].select("root", *keep), "root"))
     for cells in tree.levels[1:]:
-        child = cells.select("root", F.col("parent").alias("_up"), F.struct(*keep).alias("_child"))
+        child = cells.select(F.col("root").alias("_root"), F.col("parent").alias("_up"), F.struct(*keep).alias("_child"))
         own = F.struct(*keep)
-        joined = cands.join(child, (cands["root"] == child["root"]) & (cands["cell"] == child["_up"]), "left").drop(child["root"])
+        joined = cands.join(child, (F.col("root") == F.col("_root")) & (F.col("cell") == F.col("_up")), "left")
         # leaf cells have no children below and stay as they are
         stepped = joined.select(*ask_columns, F.coalesce(F.col("_child"), own).alias("_c")).select(*ask_columns, "_c.*")
         cands = prune(stepped)

@@ -16,6 +16,7 @@ from tripwise.functions import clamp, haversine_km, jaccard, minmax_by_group, no
 from tripwise.functions.text import lookup
 from tripwise.operators.boxtree import best_k, build_tree, drop_copies, sphere_bounds
 from tripwise.operators.catalog import pois_by_subtype
+from tripwise.session import cut
 
 
 def prominence(by_subtype: DataFrame) -> DataFrame:
@@ -67,9 +68,9 @@ def personalization_score(pairs: DataFrame, place_aff: DataFrame, keyword_aff: D
     )
 
 
-def keyword_maps(keyword_aff: DataFrame) -> DataFrame:
+def keyword_maps(keyword_aff: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Key-word affinities per user as a map; bounded by the vocabulary."""
-    return keyword_aff.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("keyword", "aff"))).alias("_words"))
+    return keyword_aff.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("keyword", "aff"))).alias("_words"))
 
 
 def mean_keyword_affinity(keywords: Column, words: Column) -> Column:
@@ -81,17 +82,29 @@ def _personal_weight(w: float) -> float:
     return max(0.0, min(P.PERSONAL_CAP, w))
 
 
-def _empty_like(df: DataFrame | None, spark, schema: str) -> DataFrame:
-    return df if df is not None else spark.createDataFrame([], schema)
+USER = ["source", "user_id"]
 
 
 class _Personal:
-    """Affinities of one source, with empty tables standing in for missing ones."""
+    """Affinities per source and user; empty tables stand in for missing ones."""
 
-    def __init__(self, requests: DataFrame, place_aff: DataFrame | None, keyword_aff: DataFrame | None):
-        spark = requests.sparkSession
-        self.places = _empty_like(place_aff, spark, "user_id long, place_id long, aff double").select("user_id", "place_id", "aff")
-        self.words = keyword_maps(_empty_like(keyword_aff, spark, "user_id long, keyword string, aff double").select("user_id", "keyword", "aff"))
+    def __init__(self, requests: DataFrame, place_aff: DataFrame | None, keyword_aff: DataFrame | None, source: str):
+        def table(df: DataFrame | None, key: str) -> DataFrame:
+            if df is None:
+                return requests.sparkSession.createDataFrame([], f"source string, user_id long, {key}, aff double")
+            return df if "source" in df.columns else df.withColumn("source", F.lit(source))
+
+        self.places = table(place_aff, "place_id long").select(*USER, "place_id", "aff")
+        self.words = keyword_maps(table(keyword_aff, "keyword string").select(*USER, "keyword", "aff"), tuple(USER))
+        self.rated = self.places.groupBy(*USER).agg(F.count(F.lit(1)).alias("_m"))
+
+    def most(self, k: int) -> int:
+        """Longest list any request can ask for."""
+        return max(1, k) + (self.rated.agg(F.max("_m")).first()[0] or 0)
+
+
+def _tagged(requests: DataFrame, source: str) -> DataFrame:
+    return requests if "source" in requests.columns else requests.withColumn("source", F.lit(source))
 
 
 def _classes(candidates: DataFrame) -> DataFrame:
@@ -106,13 +119,12 @@ def _asks(requests: DataFrame, candidates: DataFrame, personal: _Personal, k: in
     request asks for as many extra items as its user has rated places: however
     those move, k items without a rating are then among the answers."""
     roots = candidates.groupBy("subtype", "root").agg(F.first("tokens").alias("tokens"), F.first("keywords").alias("keywords"))
-    rated = personal.places.groupBy("user_id").agg(F.count(F.lit(1)).alias("_m"))
     query = F.when(F.size("query_keywords") > 0, F.col("query_keywords")).otherwise(default_query(F.col("subtype")))
     return (
         requests.withColumns({"_q": normalize_tokens(query), "_i": normalize_tokens(F.col("interest_keywords"))})
-        .join(roots, "subtype").join(personal.words, "user_id", "left").join(rated, "user_id", "left")
+        .join(roots, "subtype").join(personal.words, USER, "left").join(personal.rated, USER, "left")
         .select(
-            "rid", "user_id", "subtype", "root", "lat", "lon",
+            "rid", *USER, "subtype", "root", "lat", "lon",
             (F.lit(max(1, k)) + F.coalesce("_m", F.lit(0))).alias("k"),
             relevance(F.col("tokens"), F.col("_q"), F.col("_i")).alias("relevance"),
             mean_keyword_affinity(F.col("keywords"), F.col("_words")).alias("kw_aff"),
@@ -123,21 +135,21 @@ def _asks(requests: DataFrame, candidates: DataFrame, personal: _Personal, k: in
 def _own_pairs(asks: DataFrame, candidates: DataFrame, personal: _Personal, columns: list[str]) -> DataFrame:
     """The (request, place) pairs a user has an affinity for."""
     mine = personal.places.join(candidates.select("root", *columns), "place_id")
-    return asks.join(mine, ["user_id", "root"])
+    return asks.join(mine, USER + ["root"])
 
 
 def _final(scored: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("rid").orderBy(F.desc("score"), "pos")
+    best = Window.partitionBy("rid", "source").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _with_own(base: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
     """Answers without affinities, with the user's own rated places put in their place."""
-    plain = base.join(own.select("rid", "place_id"), ["rid", "place_id"], "left_anti")
+    plain = base.join(own.select("rid", "source", "place_id"), ["rid", "source", "place_id"], "left_anti")
     return plain.select(*columns).unionByName(own.select(*columns))
 
 
-RANKED = ["rid", "user_id", "subtype", "place_id", "pos", "score"]
+RANKED = ["rid", "source", "user_id", "subtype", "place_id", "pos", "score"]
 
 
 def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_aff: DataFrame | None = None,
@@ -147,10 +159,11 @@ def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_af
     total = weights["prominence"] + weights["relevance"] + weights["proximity"]
     wp, wr, wd = (weights[x] / total for x in ("prominence", "relevance", "proximity"))
     pw = _personal_weight(weights["personal"])
-    personal = _Personal(requests, place_aff, keyword_aff)
-    candidates = _classes(prominence(pois_by_subtype(places)))
+    requests = _tagged(requests, source)
+    personal = _Personal(requests, place_aff, keyword_aff, source)
+    candidates = cut(_classes(prominence(pois_by_subtype(places))))
     asks = _asks(requests, candidates, personal, k)
-    most = asks.agg(F.max("k")).first()[0] or max(1, k)
+    most = personal.most(k)
     items = drop_copies(candidates.select(
         "root", "place_id", "pos", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"),
         F.col("lon").alias("east"), F.col("prominence").alias("s")), most)
@@ -161,7 +174,7 @@ def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_af
 
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("i_south"), F.col("i_west"))
     base = best_k(asks, build_tree(items, use_static=True), score, score(F.col("i_s"), d)).select(
-        "rid", "user_id", "subtype", F.col("i_place_id").alias("place_id"), F.col("i_pos").alias("pos"), "score",
+        "rid", *USER, "subtype", F.col("i_place_id").alias("place_id"), F.col("i_pos").alias("pos"), "score",
         F.col("i_s").alias("prominence"), "relevance", proximity(d, weights["scale_km"]).alias("proximity"),
         personalization(F.lit(0.0), F.col("kw_aff")).alias("personalization"), d.alias("distance_km"))
     own = _own_pairs(asks, candidates.withColumns({"p_lat": F.col("lat"), "p_lon": F.col("lon")}), personal,
@@ -172,7 +185,7 @@ def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_af
         "personalization": personalization(F.col("aff"), F.col("kw_aff")), "distance_km": d_own,
     })
     columns = [*RANKED, "prominence", "relevance", "proximity", "personalization", "distance_km"]
-    return _final(_with_own(base, own, columns), max(1, k)).withColumn("source", F.lit(source))
+    return _final(_with_own(base, own, columns), max(1, k))
 
 
 def top_per_root(items: DataFrame, value: str, most: int) -> DataFrame:
@@ -188,11 +201,12 @@ def rank_popularity(requests: DataFrame, places: DataFrame, k: int = 5, place_af
     """Top-k by normalised popularity and personal affinity.  Popularity does not
     depend on the user, so each request reads only the head of its root's list."""
     pw = _personal_weight(personal_weight)
-    personal = _Personal(requests, place_aff, keyword_aff)
+    requests = _tagged(requests, source)
+    personal = _Personal(requests, place_aff, keyword_aff, source)
     scored = minmax_by_group(popularity_score(pois_by_subtype(places)), ["subtype"], "popularity_score", "norm")
-    candidates = _classes(scored)
+    candidates = cut(_classes(scored))
     asks = _asks(requests, candidates, personal, k)
-    most = asks.agg(F.max("k")).first()[0] or max(1, k)
+    most = personal.most(k)
     head = top_per_root(candidates.select("root", "place_id", "pos", "norm", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "norm", most)
 
     def score(aff: Column) -> Column:
@@ -204,7 +218,7 @@ def rank_popularity(requests: DataFrame, places: DataFrame, k: int = 5, place_af
     own = _own_pairs(asks, candidates.withColumns({"p_lat": F.col("lat"), "p_lon": F.col("lon")}), personal, ["place_id", "pos", "norm", "p_lat", "p_lon"]).withColumns({
         "score": score(F.col("aff")), "personalization": personalization(F.col("aff"), F.col("kw_aff")), "distance_km": here})
     columns = [*RANKED, "norm", "personalization", "distance_km"]
-    return _final(_with_own(base, own, columns), max(1, k)).withColumn("source", F.lit(source))
+    return _final(_with_own(base, own, columns), max(1, k))
 
 
 def route_sources(requests: DataFrame, routes=P.SOURCE_ROUTES) -> DataFrame:
@@ -222,18 +236,13 @@ def recommend(requests: DataFrame, places: DataFrame, k: int = 3, place_aff: Dat
               keyword_aff: DataFrame | None = None) -> DataFrame:
     """Answers of all sources that serve each request (affinities carry ``source``)."""
     routed = route_sources(requests)
-    sources = list(dict.fromkeys(s for _, s, _ in P.SOURCE_ROUTES))
-    answers = None
-    for source in sources:
-        mine = routed.where(F.col("source") == source).drop("source")
-        pa = place_aff.where(F.col("source") == source) if place_aff is not None else None
-        ka = keyword_aff.where(F.col("source") == source) if keyword_aff is not None else None
-        rank = rank_prominence if source == "google_maps" else rank_popularity
-        found = rank(mine, places, k, pa, ka, source=source).select(*RANKED, "rank", "distance_km", "source")
-        answers = found if answers is None else answers.unionByName(found)
-    position = {(subtype, source): p for subtype, source, p in P.SOURCE_ROUTES}
-    pos = lookup({f"{a}|{b}": p for (a, b), p in position.items()}, F.concat_ws("|", "subtype", "source"))
-    return answers.withColumn("source_pos", pos)
+    by_distance = F.col("source") == "google_maps"
+    near = rank_prominence(routed.where(by_distance).drop("source_pos"), places, k, place_aff, keyword_aff)
+    popular = rank_popularity(routed.where(~by_distance).drop("source_pos"), places, k, place_aff, keyword_aff)
+    columns = [*RANKED, "rank", "distance_km"]
+    # the position of a source within the answer of a subtype
+    order = lookup({f"{a}|{b}": p for a, b, p in P.SOURCE_ROUTES}, F.concat_ws("|", "subtype", "source"))
+    return near.select(*columns).unionByName(popular.select(*columns)).withColumn("source_pos", order)
 
 
 def best_across_sources(answers: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    # call sites of every expression are costly to record
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
