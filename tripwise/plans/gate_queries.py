@@ -38,10 +38,10 @@ def score_to_utility(t):
                                   G.score_to_utility(F.col("utility"), F.col("subtype"), "identity").alias("plain")), 9)
 
 
-@query("travel_cost_estimate", f"WITH {STATE} SELECT trip_key, round(coalesce(st.vot, 15e0) * distance_km / 20 + 0.15e0 * distance_km, 8) AS c_hat FROM f_trips LEFT JOIN st ON st.user_id = agent_id")
+@query("travel_cost_estimate", f"WITH {STATE} SELECT trip_key, round(coalesce(st.vot, 15e0) * distance_km / 20 + 0.15e0 * distance_km, 12) AS c_hat FROM f_trips LEFT JOIN st ON st.user_id = agent_id")
 def travel_cost_estimate(t):
     rows = t.trips.join(state(t).withColumnRenamed("user_id", "agent_id"), "agent_id", "left")
-    return rounded(rows.select("trip_key", G.travel_cost_estimate(F.col("distance_km"), F.col("vot")).alias("c_hat")), 8)
+    return rounded(rows.select("trip_key", G.travel_cost_estimate(F.col("distance_km"), F.col("vot")).alias("c_hat")), 12)
 
 
 @query("user_uncertainty", f"WITH {STATE} SELECT c_custkey AS user_id, round(CASE WHEN n > 0 THEN greatest(0.15e0, 1 / sqrt(n)) ELSE 1e0 END, 9) AS sigma FROM customer LEFT JOIN st ON st.user_id = c_custkey")
