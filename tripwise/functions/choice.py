@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripwise.functions.numeric import let
+
 
 def softmax_array(values: Column) -> Column:
     """Softmax of an array (a choice set held in one row), shifted by its maximum."""
-    weights = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
-    return F.transform(weights, lambda w: w / total)
+    def shares(v: Column) -> Column:
+        weights = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+        return let(weights, lambda w: let(_total(w), lambda total: F.transform(w, lambda x: x / total)))
+
+    return let(values, shares)
+
+
+def _total(weights: Column) -> Column:
+    return F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
 
 
 def softmax_by_group(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -28,18 +36,21 @@ def softmax_by_group(df: DataFrame, keys: list[str], value: str, out: str) -> Da
 def draw_index(weights: Column, u: Column) -> Column:
     """1-based index drawn in proportion to the weights: the first position whose
     running sum exceeds u times the total."""
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, w: acc + w)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(0).alias("pick"))
 
-    def step(acc: Column, w: Column) -> Column:
-        s, i = acc["s"] + w, acc["i"] + 1
-        pick = F.when((acc["pick"] == 0) & (s > u * total), i).otherwise(acc["pick"])
-        return F.struct(s.alias("s"), i.alias("i"), pick.alias("pick"))
-
     def finish(acc: Column) -> Column:
         return F.when(acc["pick"] == 0, acc["i"]).otherwise(acc["pick"])
 
-    return F.when(F.size(weights) > 0, F.aggregate(weights, start, step, finish))
+    def walk(ws: Column, target: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            s, i = acc["s"] + w, acc["i"] + 1
+            pick = F.when((acc["pick"] == 0) & (s > target), i).otherwise(acc["pick"])
+            return F.struct(s.alias("s"), i.alias("i"), pick.alias("pick"))
+
+        return F.aggregate(ws, start, step, finish)
+
+    drawn = let(weights, lambda ws: let(u * _total(ws), lambda target: walk(ws, target)))
+    return F.when(F.size(weights) > 0, drawn)
 
 
 def draw_option(options: Column, weights: Column, u: Column) -> Column:

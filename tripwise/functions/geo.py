@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tripwise.functions.numeric import let
+
 EARTH_KM = 6371.0088
 
 
@@ -26,12 +28,13 @@ def in_bbox(lat: Column, lon: Column, bbox) -> Column:
 def extent(path: Column) -> Column:
     """(south, west, north, east) of a polyline; store it as columns so that
     viewport filters prune row groups."""
-    lats = F.transform(path, lambda p: p["lat"])
-    lons = F.transform(path, lambda p: p["lon"])
-    return F.struct(
-        F.array_min(lats).alias("south"), F.array_min(lons).alias("west"),
-        F.array_max(lats).alias("north"), F.array_max(lons).alias("east"),
-    )
+    def box(p: Column) -> Column:
+        lats, lons = F.transform(p, lambda v: v["lat"]), F.transform(p, lambda v: v["lon"])
+        return F.struct(
+            F.array_min(lats).alias("south"), F.array_min(lons).alias("west"),
+            F.array_max(lats).alias("north"), F.array_max(lons).alias("east"))
+
+    return let(path, box)
 
 
 def bbox_overlap(ext: Column, bbox) -> Column:

@@ -16,6 +16,12 @@ def lit(c) -> Column:
     return c if isinstance(c, Column) else F.lit(c)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.  An array expression used inside
+    a lambda over its own elements would otherwise be rebuilt for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clamp(v: Column | str, lo=0.0, hi=1.0) -> Column:
     """``v`` limited to [lo, hi]; null stays null (greatest/least would skip it)."""
     v = col(v)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripwise.functions.geo import haversine_km
+from tripwise.functions.numeric import let
 
 
 def _last(a: Column) -> Column:
@@ -14,56 +15,63 @@ def _last(a: Column) -> Column:
 
 def cumulative_km(path: Column) -> Column:
     """Running great-circle distance along the polyline, starting at 0."""
-    steps = F.transform(
-        F.slice(path, F.lit(2), F.size(path)),
-        lambda p, i: haversine_km(path[i]["lat"], path[i]["lon"], p["lat"], p["lon"]),
-    )
-    return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(_last(acc) + d)))
+    def walk(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        steps = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]))
+        return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(_last(acc) + d)))
+
+    return let(path, walk)
 
 
 def _lerp(path: Column, i: Column, f: Column) -> Column:
     """Point a share ``f`` of the way from vertex i-1 to vertex i (0-based)."""
-    a, b = path[i - 1], path[i]
-    return F.struct(
-        (a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"),
-        (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"),
-    )
+    def between(a: Column, b: Column) -> Column:
+        return F.struct(
+            (a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"))
+
+    return between(path[i - 1], path[i])
 
 
 def _first_reaching(values: Column, target: Column) -> Column:
     """Smallest index >= 1 whose value is at least the target, else null."""
-    hits = F.filter(F.sequence(F.lit(1), F.size(values) - 1), lambda i: values[i] >= target)
-    return F.when(F.size(values) > 1, F.try_element_at(hits, F.lit(1)))
+    later = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    at = F.array_position(F.transform(later, lambda v: v >= target), True)
+    return F.when(at > 0, at.cast("int"))
 
 
 def position_at_fraction(path: Column, cum: Column, frac: Column) -> Column:
     """Position at a share of the length; a zero-length segment gives its start."""
-    target = F.greatest(F.lit(0.0), F.least(F.lit(1.0), frac)) * _last(cum)
-    i = _first_reaching(cum, target)
-    seg = cum[i] - cum[i - 1]
-    f = F.when(seg <= 0, F.lit(0.0)).otherwise((target - cum[i - 1]) / seg)
-    return F.when(F.size(path) == 1, path[0]).when(i.isNull(), _last(path)).otherwise(_lerp(path, i, f))
+    given = F.struct(path.alias("p"), cum.alias("c"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), frac)).alias("f"))
+
+    def aim(g: Column) -> Column:
+        target = g["f"] * _last(g["c"])
+        return let(F.struct(target.alias("t"), _first_reaching(g["c"], target).alias("i")), lambda x: place(g["p"], g["c"], x["t"], x["i"]))
+
+    def place(p: Column, c: Column, target: Column, i: Column) -> Column:
+        seg = c[i] - c[i - 1]
+        f = F.when(seg <= 0, F.lit(0.0)).otherwise((target - c[i - 1]) / seg)
+        return F.when(F.size(p) == 1, p[0]).when(i.isNull(), _last(p)).otherwise(_lerp(p, i, f))
+
+    return let(given, aim)
 
 
 def downsample(path: Column, k: int = 12) -> Column:
     """``k`` evenly spaced vertices with both ends; short polylines are unchanged."""
-    n = F.size(path)
-    step = (n - 1).cast("double") / F.lit(float(k - 1))
-    picked = F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: path[F.bround(i.cast("double") * step, 0).cast("int")],
-    )
-    return F.when(n <= k, path).otherwise(picked)
+    def pick(p: Column) -> Column:
+        step = (F.size(p) - 1).cast("double") / F.lit(float(k - 1))
+        picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: p[F.bround(i.cast("double") * step, 0).cast("int")])
+        return F.when(F.size(p) <= k, p).otherwise(picked)
+
+    return let(path, pick)
 
 
 def keyframe_position(path: Column, times: Column, t: Column) -> Column:
     """Piecewise-linear in time over keyframes, clamped at both ends."""
-    i = _first_reaching(times, t)
-    gap = times[i] - times[i - 1]
-    f = (t - times[i - 1]) / F.when(gap == 0, F.lit(1.0)).otherwise(gap)
-    return (
-        F.when(t <= times[0], path[0])
-        .when(t >= _last(times), _last(path))
-        .when(i.isNull(), _last(path))
-        .otherwise(_lerp(path, i, f))
-    )
+    def place(g: Column) -> Column:
+        p, s, at = g["p"], g["s"], g["t"]
+        i = _first_reaching(s, at)
+        gap = s[i] - s[i - 1]
+        f = (at - s[i - 1]) / F.when(gap == 0, F.lit(1.0)).otherwise(gap)
+        return F.when(at <= s[0], p[0]).when(at >= _last(s), _last(p)).when(i.isNull(), _last(p)).otherwise(_lerp(p, i, f))
+
+    return let(F.struct(path.alias("p"), times.alias("s"), t.cast("double").alias("t")), place)

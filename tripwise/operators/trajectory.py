@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tripwise import params as P
 from tripwise.functions import (
-    bbox_overlap, cumulative_km, downsample, extent, half_even_round, in_bbox, keyframe_position, position_at_fraction,
+    bbox_overlap, cumulative_km, downsample, extent, half_even_round, in_bbox, keyframe_position, let, position_at_fraction,
 )
 from tripwise.operators.ordering import ordinal, previous
 
@@ -95,9 +95,12 @@ def _colour(table: dict, key: Column, default: tuple) -> Column:
 
 
 def _stamps(cum: Column) -> Column:
-    total = F.element_at(cum, -1)
-    total = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.transform(cum, lambda c: half_even_round(F.col("t0") + (F.col("t1") - F.col("t0")) * (c / total), 1))
+    def times(cs: Column) -> Column:
+        total = F.element_at(cs, -1)
+        return let(F.when(total == 0, F.lit(1.0)).otherwise(total), lambda total: F.transform(
+            cs, lambda c: half_even_round(F.col("t0") + (F.col("t1") - F.col("t0")) * (c / total), 1)))
+
+    return let(cum, times)
 
 
 def _points(path: Column, digits: int) -> Column:
