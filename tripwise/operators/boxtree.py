@@ -148,12 +148,12 @@ def best_k(asks: DataFrame, tree: Tree, score: Callable[[Column, Column], Column
 
     def prune(cands: DataFrame) -> DataFrame:
         near, far = bounds(F.col("lat"), F.col("lon"))
-        cands = cands.withColumns({"_hi": score(F.col("s_hi"), near), "_lo": score(F.col("s_lo"), far)})
-        by_low = Window.partitionBy("rid").orderBy(F.desc("_lo")).rowsBetween(Window.unboundedPreceding, 0)
+        cands = cands.withColumns({"_most": score(F.col("s_hi"), near), "_least": score(F.col("s_lo"), far)})
+        by_low = Window.partitionBy("rid").orderBy(F.desc("_least")).rowsBetween(Window.unboundedPreceding, 0)
         cands = cands.withColumn("_have", F.sum("n").over(by_low))
-        floor = F.max(F.when(F.col("_have") >= F.col("k"), F.col("_lo"))).over(Window.partitionBy("rid"))
+        floor = F.max(F.when(F.col("_have") >= F.col("k"), F.col("_least"))).over(Window.partitionBy("rid"))
         return (
-            cands.withColumn("_t", floor).where(F.col("_t").isNull() | (F.col("_hi") >= F.col("_t") - SLACK))
+            cands.withColumn("_t", floor).where(F.col("_t").isNull() | (F.col("_most") >= F.col("_t") - SLACK))
             .select(*ask_columns, *keep)
         )
 
