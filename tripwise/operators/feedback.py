@@ -68,11 +68,17 @@ def _clamped_sum(events: Column) -> Column:
     ))
 
 
-def clamped_fold(events: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "aff") -> DataFrame:
-    """Final value per key of clamped additions of ``delta``, starting from 0."""
+def clamped_fold(events: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "aff",
+                 initial: DataFrame | None = None) -> DataFrame:
+    """Final value per key of clamped additions of ``delta``, starting from 0 or from
+    the value of an earlier state table."""
     chunks = chunk_rows(events, keys, order, bucket, [F.col("delta")]).withColumn("_m", _clamped_sum(F.col("events")))
     maps = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_maps"))
-    value = F.aggregate("_maps", F.lit(0.0), lambda x, c: F.least(c["_m"]["hi"], F.greatest(c["_m"]["lo"], x + c["_m"]["s"])))
+    first = F.lit(0.0)
+    if initial is not None:
+        maps = maps.join(initial.select(*keys, F.col(out).alias("_x0")), keys, "left")
+        first = F.coalesce("_x0", F.lit(0.0))
+    value = F.aggregate("_maps", first, lambda x, c: F.least(c["_m"]["hi"], F.greatest(c["_m"]["lo"], x + c["_m"]["s"])))
     return maps.select(*keys, value.alias(out))
 
 
@@ -153,9 +159,10 @@ def _limit(v: Column, factor: Column) -> Column:
 
 
 def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: list[str] | None = None,
-                      bucket: Column | None = None) -> DataFrame:
+                      bucket: Column | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Per user: observations, moving average of realised cost, revealed value of
-    time.  ``events``: user_id, ts, event_id, money, travel_min, satisfaction.
+    time, from scratch or on top of an earlier state.  ``events``: user_id, ts,
+    event_id, money, travel_min, satisfaction.
 
     The value of time at the start of each chunk comes from composing the chunks
     before it; with it known, a chunk's effect on the average is linear.
@@ -176,7 +183,13 @@ def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: l
     def apply(v: Column, c: Column) -> Column:
         return F.least(c["hi"], F.greatest(c["lo"], v * c["m"]))
 
-    chunks = chunks.withColumn("_v0", F.aggregate(F.collect_list("_map").over(earlier), F.lit(t["default_vot"]), apply))
+    v_first, e_first, n_first = F.lit(t["default_vot"]), F.lit(0.0), F.lit(0).cast("long")
+    if initial is not None:
+        held = initial.select(*keys, F.struct("n", "avg_travel_cost", "vot").alias("_s0"))
+        chunks = chunks.join(held, keys, "left")
+        v_first = F.coalesce("_s0.vot", v_first)
+        e_first, n_first = F.coalesce("_s0.avg_travel_cost", e_first), F.coalesce("_s0.n", n_first)
+    chunks = chunks.withColumns({"_v0": F.aggregate(F.collect_list("_map").over(earlier), v_first, apply), "_e0": e_first, "_n0": n_first})
     first = F.struct(F.col("_v0").alias("vot"), F.lit(0.0).alias("ema"), F.lit(1.0).alias("decay"))
 
     def observe(a: Column, e: Column) -> Column:
@@ -185,9 +198,10 @@ def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: l
         return F.struct(
             _limit(a["vot"], _vot_factor(e)).alias("vot"), (keep * a["ema"] + t["rate"] * realized).alias("ema"), (a["decay"] * keep).alias("decay"))
 
-    chunks = chunks.select(*keys, "_b", F.size("events").alias("_n"), F.aggregate("events", first, observe).alias("_e"))
-    done = chunks.groupBy(*keys).agg(F.sum("_n").alias("n"), F.array_sort(F.collect_list(F.struct("_b", "_e"))).alias("_c"))
-    ema = F.aggregate("_c", F.lit(0.0), lambda x, c: x * c["_e"]["decay"] + c["_e"]["ema"])
+    chunks = chunks.select(*keys, "_b", "_e0", "_n0", F.size("events").alias("_n"), F.aggregate("events", first, observe).alias("_e"))
+    done = chunks.groupBy(*keys).agg(
+        (F.sum("_n") + F.first("_n0")).alias("n"), F.first("_e0").alias("_x0"), F.array_sort(F.collect_list(F.struct("_b", "_e"))).alias("_c"))
+    ema = F.aggregate("_c", F.col("_x0"), lambda x, c: x * c["_e"]["decay"] + c["_e"]["ema"])
     return done.select(*keys, "n", ema.alias("avg_travel_cost"), F.element_at("_c", -1)["_e"]["vot"].alias("vot"))
 
 
