@@ -70,7 +70,8 @@ def plane_bounds(lat: Column, lon: Column) -> tuple[Column, Column]:
 @dataclass
 class Tree:
     levels: list[DataFrame]  # cells per level: root, cell, parent, leaf, n, box, s_lo, s_hi
-    items: DataFrame  # items with their cell codes
+    items: DataFrame  # items, one row per level with its cell
+    base: DataFrame  # items once, with their full code
     depth: int
 
 
@@ -124,7 +125,7 @@ def build_tree(items: DataFrame, use_static: bool = False, leaf_items: int = LEA
         live = live.withColumn("cell", cell(level)).join(split, ["root", "cell"], "left_semi").drop("cell")
     depth = len(levels)
     coded = items.withColumn("cell", F.explode(F.array(*[cell(i) for i in range(1, depth + 1)])))
-    return Tree(levels, coded, depth)
+    return Tree(levels, coded, items, depth)
 
 
 def drop_copies(items: DataFrame, keep: int, order: str = "pos") -> DataFrame:

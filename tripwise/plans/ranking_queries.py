@@ -169,3 +169,15 @@ def rank_oracle(t):
 def rank_rating_fallback(t):
     found = R.rank_rating_fallback(requests(t), t.places, preferences(t), 5)
     return rounded(found.select("rid", "subtype", "place_id", "rank", "score"), 9)
+
+
+@query("organic_choice")
+def organic_choice(t):
+    """A draw per user; tests compare its frequencies with the exact probabilities."""
+    return organic_choice_of(t)
+
+
+def organic_choice_of(t):
+    from tripwise.operators.organic import organic_choice as choose
+
+    return choose(t.users.select(F.col("user_id").alias("rid"), "subtype", "lat", "lon"), t.places, t.nodes)
