@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tripwise.functions.geo import EARTH_KM
 from tripwise.session import cut
 
-LEVELS = 10
-BITS = 2  # bits per dimension and level
-LEAF_ITEMS = 16
+LEVELS = 20
+BITS = 1  # bits per dimension and level
+LEAF_ITEMS = 24
 SLACK = 1e-9  # bounds and exact scores round differently
 
 BOX = ("south", "west", "north", "east")
