@@ -27,7 +27,8 @@ def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     items = spots.select(
         F.lit(0).alias("root"), "pos", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"), F.col("lon").alias("east"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("i_south"), F.col("i_west"))
-    found = best_k(asks, build_tree(items), lambda s, dist: -dist, -d)
+    # written out, so the constant root stays a join key
+    found = best_k(cut(asks), build_tree(items), lambda s, dist: -dist, -d)
     hits = found.select("_la", "_lo", F.col("i_pos").alias("node_id"), (-F.col("score")).alias("snap_km"))
     return keyed.join(hits, ["_la", "_lo"]).drop("_la", "_lo")
 
@@ -223,7 +224,7 @@ def nearest_edge(pois: DataFrame, edges: DataFrame) -> DataFrame:
         F.array_max(lats).alias("north"), F.array_max(lons).alias("east"))
     asks = pois.select(F.col("place_id").alias("rid"), "pos", "lat", "lon", F.lit(0).alias("root"), F.lit(1).alias("k"))
     exact = -project_on(F.col("i_geometry"), F.col("lat"), F.col("lon"))["dist"]
-    found = best_k(asks, build_tree(items), lambda s, d: -d, exact, plane_bounds)
+    found = best_k(cut(asks), build_tree(items), lambda s, d: -d, exact, plane_bounds)
     return found.select(F.col("rid").alias("place_id"), "pos", "lat", "lon", "i_pos.u", "i_pos.v", "i_pos.k", (-F.col("score")).alias("dist"))
 
 

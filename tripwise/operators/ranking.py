@@ -213,7 +213,9 @@ def rank_popularity(requests: DataFrame, places: DataFrame, k: int = 5, place_af
         return (1.0 - pw) * F.col("norm") + pw * personalization(aff, F.col("kw_aff"))
 
     here = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    base = asks.join(head, "root").where(F.col("_rn") <= F.col("k")).withColumns({
+    # one lookup per wanted rank: a request never meets more than its k places
+    looked = asks.withColumn("_rn", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
+    base = looked.join(head, ["root", "_rn"]).withColumns({
         "score": score(F.lit(0.0)), "personalization": personalization(F.lit(0.0), F.col("kw_aff")), "distance_km": here})
     own = _own_pairs(asks, candidates.withColumns({"p_lat": F.col("lat"), "p_lon": F.col("lon")}), personal, ["place_id", "pos", "norm", "p_lat", "p_lon"]).withColumns({
         "score": score(F.col("aff")), "personalization": personalization(F.col("aff"), F.col("kw_aff")), "distance_km": here})
