@@ -29,20 +29,28 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a local master may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its machine.
+    Only a local master may fall back to a temporary folder or name a ``file:`` one:
+    on a cluster a machine-local path would be lost with its machine.  The fallback is
+    remembered per application, as the setting itself can't be changed at run time.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    local = sc.master.startswith("local")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if folder:
+        if not local and folder.startswith("file:"):
+            raise RuntimeError("spark.checkpoint.dir must be a shared folder, not a local one")
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if sc.applicationId not in _FALLBACK:
+        _FALLBACK[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _FALLBACK[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
