@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.llm import digest_index, line_runs, mixing, url_filter, warc, winnow
+from tripwise.llm import digest_index, line_runs, mixing, near_dup, quality, toxicity, url_filter, warc, winnow
 from tripwise.llm.common import table
 from tripwise.session import scratch_path
 
@@ -54,6 +54,12 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_quality")
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op3_line_dedup", rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
      l AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -69,6 +75,18 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected toxicity grade of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every document under links of shingle Jaccard 0.8 or more."""
+    return near_dup.near_duplicates(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op6_mix")
 def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Words that the mix takes of every document."""
