@@ -4,14 +4,17 @@ P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector for all grades, or
 thresholds between them.  Labels only say toxic or not, so the grades of toxic training
 documents are told apart by how much marked language they hold: words far more frequent in
 toxic documents are found by a z-score, and toxic documents are split into equal thirds by
-the number of such words.  x is log(1 + count) of hashed words that differ between toxic
-and clean documents; all others have weight 0, so long documents gather no noise.
+the number of such words.  x is log(1 + count) of hashed words and word beginnings that
+differ between toxic and clean documents; all others have weight 0, so long documents
+gather no noise.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +26,34 @@ from tripwise.llm.learning import buckets, collect_features, encoded, labelled_s
 
 #: Parameters: bound of the training sample, hash buckets, least |z| of a feature, grades.
 TRAIN_ROWS = 12_000
-BITS = 18
-LEAST_Z = 4.0
+BITS = 20
+LEAST_Z = 6.0
+#: Fewest toxic training documents that hold a feature.
+LEAST_DOCS = 5
 GRADES = 4
+#: Bytes of word beginnings that are features beside the whole word.
+STEMS = (5, 6, 7, 8)
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    """Sorted buckets with their weights, ordered thresholds."""
+    """Sorted buckets with their weights, which of them mark toxic texts, the weight that all
+    marks share, ordered thresholds."""
 
     ids: np.ndarray
     weights: np.ndarray
+    marked: np.ndarray
+    common: float
     thresholds: np.ndarray
 
     def linear(self, text: str | None) -> float:
-        hashed = buckets(plain_words(encoded(text)), BITS)
+        hashed, counts = text_features(text)
         if not len(hashed) or not len(self.ids):
             return 0.0
         at = np.minimum(np.searchsorted(self.ids, hashed), len(self.ids) - 1)
-        at = at[self.ids[at] == hashed]
-        counts = np.bincount(at, minlength=len(self.ids))
-        return float(np.log1p(counts) @ self.weights)
+        hit = self.ids[at] == hashed
+        held = np.bincount(at[hit], counts[hit], minlength=len(self.ids))
+        return float(np.log1p(held) @ self.weights + np.log1p(held @ self.marked) * self.common)
 
     def grades(self, scores: np.ndarray) -> np.ndarray:
         """Probability of each grade per score."""
@@ -52,16 +62,31 @@ class OrdinalModel:
         return np.diff(upto, axis=1)
 
 
+def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of words and word beginnings, with counts; a bucket may come repeatedly."""
+    counted = Counter(plain_words(encoded(text)))
+    words = list(counted)
+    counts = np.fromiter(counted.values(), dtype=np.int64, count=len(words))
+    ids, held = [buckets(words, BITS)], [counts]
+    for n in STEMS:
+        longer = [w[:n] for w in words if len(w) > n]
+        # the length is part of the key: a stem is not the word of the same letters
+        ids.append(np.fromiter((crc32(w, n) for w in longer), dtype=np.int64, count=len(longer)) & ((1 << BITS) - 1))
+        held.append(counts[[len(w) > n for w in words]] if words else counts)
+    return np.concatenate(ids), np.concatenate(held)
+
+
 def _encode(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = np.unique(buckets(plain_words(encoded(text)), BITS), return_counts=True)
-    return ids, counts
+    ids, counts = text_features(text)
+    uniq, back = np.unique(ids, return_inverse=True)
+    return uniq, np.bincount(back, counts, len(uniq))
 
 
-def fit(labels: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], steps: int = 300) -> OrdinalModel:
+def fit(labels: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], steps: int = 600) -> OrdinalModel:
     """Fit by full-batch Adam on the penalised likelihood; deterministic."""
     toxic = labels == 1
     n1, n0 = toxic.sum(), (~toxic).sum()
-    empty = OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.array([2.0 + k for k in range(GRADES - 1)]))
+    empty = OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0, np.array([2.0 + k for k in range(GRADES - 1)]))
     if not n1 or not n0:
         return empty
     size = 1 << BITS
@@ -69,25 +94,30 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], counts: list[np.ndarray], ste
     held0 = np.bincount(np.concatenate([i for i, t in zip(ids, toxic, strict=True) if not t]), minlength=size)
     p1, p0, p = (held1 + 0.5) / (n1 + 1), (held0 + 0.5) / (n0 + 1), (held1 + held0 + 1) / (n1 + n0 + 2)
     z = (p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero(np.abs(z) >= LEAST_Z)
+    marked = (z >= LEAST_Z) & (held1 >= LEAST_DOCS)
+    chosen = np.flatnonzero(marked | (z <= -LEAST_Z))
     if not len(chosen):
         return empty
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
-    marked = z >= LEAST_Z
     rows, cols, vals, marks = [], [], [], np.zeros(len(labels))
     for r, (i, c) in enumerate(zip(ids, counts, strict=True)):
         keep = place[i] >= 0
         rows.append(np.full(keep.sum(), r)), cols.append(place[i[keep]]), vals.append(np.log1p(c[keep]))
         marks[r] = c[marked[i]].sum()
+        rows.append([r]), cols.append([len(chosen)]), vals.append([np.log1p(marks[r])])
     rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
     grade = np.zeros(len(labels), np.int64)
     cuts = np.quantile(marks[toxic], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
     grade[toxic] = 1 + np.searchsorted(cuts, marks[toxic], side="left")
-    return _descend(rows, cols, vals, grade, len(chosen), chosen, steps)
+    w, thresholds = _descend(rows, cols, vals, grade, len(chosen) + 1, steps)
+    return OrdinalModel(chosen.astype(np.int64), w[:-1], marked[chosen].astype(np.float64), float(w[-1]), thresholds)
 
 
-def _descend(rows, cols, vals, grade, width, chosen, steps) -> OrdinalModel:
+def _descend(
+    rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, width: int, steps: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of least penalised loss."""
     n = len(grade)
     w, a = np.zeros(width), np.zeros(GRADES - 1)
     a[0] = 2.0
@@ -109,14 +139,14 @@ def _descend(rows, cols, vals, grade, width, chosen, steps) -> OrdinalModel:
         dt += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dlo, 0.0), GRADES - 1)
         dt /= n
         da = np.concatenate([[dt.sum()], np.exp(a[1:]) * np.cumsum(dt[::-1])[::-1][1:]])
-        g = np.concatenate([np.bincount(cols, vals * ds[rows], width) + 1e-4 * w, da])
+        g = np.concatenate([np.bincount(cols, vals * ds[rows], width) + 2e-5 * w, da])
         for m, x, beta in ((moments[0], g, 0.9), (moments[1], g * g, 0.999)):
             m *= beta
             m += (1 - beta) * x
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
         w -= move[:width]
         a -= move[width:]
-    return OrdinalModel(chosen.astype(np.int64), w, thresholds(a))
+    return w, thresholds(a)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
