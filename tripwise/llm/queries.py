@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.llm import digest_index, line_runs, mixing, near_dup, quality, toxicity, url_filter, warc, winnow
+from tripwise.llm import digest_index, language_model, line_runs, mixing, near_dup, quality, toxicity, url_filter, warc, winnow
 from tripwise.llm.common import table
 from tripwise.session import scratch_path
 
@@ -97,6 +97,12 @@ def op6_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_language_model")
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every text under the hierarchical Pitman-Yor model."""
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 _RULES_SQL = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
 
 
