@@ -22,10 +22,15 @@ LINE = "doc BIGINT, text_hash BIGINT, pos INT, h1 BIGINT, h2 BIGINT"
 
 
 class LineRuns:
-    """The runs of one index; ``add`` takes one batch of lines (columns of ``LINE``)."""
+    """The runs of one index; ``add`` takes one batch of lines (columns of ``LINE``).
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32, fanout: int = 2):
-        self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
+    ``buckets`` is the session's number of shuffle partitions unless given: aggregates and
+    joins by hash then come out bucket by bucket, and a run has one file per bucket.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 2):
+        self.spark, self.path, self.fanout = spark, path, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
     def _folder(self, name: str) -> str:
@@ -34,8 +39,7 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> str:
         name = f"run_{level}_{uuid.uuid4().hex}"
         (
-            rows.repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+            rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
             .option("path", self._folder(name)).saveAsTable(name)
         )
         while len(self.levels) <= level:
@@ -51,7 +55,7 @@ class LineRuns:
                 merged = self.spark.table(names[0])
                 for name in names[1:]:
                     merged = merged.unionByName(self.spark.table(name))
-                self._write(merged, level + 1)
+                self._write(merged.repartition(self.buckets, "h1", "h2"), level + 1)
                 self.levels[level] = []
                 for name in names:
                     self.spark.sql(f"DROP TABLE {name}")
@@ -87,7 +91,7 @@ def _parts(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, buckets: int = 32, fanout: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, buckets: int | None = None, fanout: int = 2) -> DataFrame:
     """``docs`` with _kept (text without repeated lines), _n_lines and _n_dropped.
 
     A line's key is the line stripped of white space with A-Z lower-cased.  Keys of at least
