@@ -73,7 +73,8 @@ def _draw(seed: int, text_hash: Column) -> Column:
 def _rank_key(draw: Column, p: Column, boost: Column) -> Column:
     """Q / (1 + Q) in 52 bits, with Q = odds(U) / odds of inclusion."""
     u = (draw + 0.5) / F.lit(float(2**_KEY_BITS))
-    q = (u / (1 - u)) / (p / (1 - p) * boost)
+    # null where p is 0: such a source takes whole copies only
+    q = F.try_divide(u / (1 - u), p / (1 - p) * boost)
     return F.least(F.floor(q / (1 + q) * F.lit(float(2**_KEY_BITS))), F.lit(2**_KEY_BITS - 1)).cast("bigint")
 
 
