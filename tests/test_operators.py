@@ -317,3 +317,48 @@ def test_regret_rule_prefers_the_dearest(spark):
     o = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(i).alias("pos"), F.lit(g).alias("gen_cost")) for i, (m, g) in enumerate([("walk", 1.0), ("car", 5.0), ("bike", 3.0)])])
     r = spark.range(1).select(H.choose_regret(o).alias("a"), H.choose_regret(o, corrected=True).alias("b")).first()
     assert (r.a, r.b) == ("car", "walk")
+
+
+# ------------------------------------------------------------------ ties, empty cells, sweeps
+def test_ties_are_one_row(spark):
+    """90 % equal values: the counted table has them once, and all measures agree."""
+    from tripwise.operators import ordering
+
+    rng = random.Random(3)
+    values = [0.0] * 9000 + [rng.uniform(0, 5) for _ in range(1000)]
+    df = spark.createDataFrame([("g", v) for v in values] + [("g", None)], "g string, v double")
+    counted = ordering.value_counts(df, ["g"], "v")
+    assert counted.count() == 1001 and counted.agg(F.max("n")).first()[0] == 9000
+    old, ordering.BLOCK_VALUES = ordering.BLOCK_VALUES, 50
+    try:
+        got = {r.share: r.percentile for r in exact_percentiles(df, ["g"], "v", [0.0, 0.5, 0.9, 0.95, 0.999, 1.0]).collect()}
+        none = {r.share: r.percentile for r in exact_percentiles(df.where("v is not null"), [], "v", [0.95]).collect()}
+        g = M.gini(df, ["g"], "v").first().gini
+    finally:
+        ordering.BLOCK_VALUES = old
+    x = sorted(values)
+    for share, p in got.items():
+        at = share * (len(x) - 1)
+        lo = math.floor(at)
+        want = x[lo] + (x[min(lo + 1, len(x) - 1)] - x[lo]) * (at - lo)
+        assert abs(p - want) < 1e-9
+    assert abs(none[0.95] - got[0.95]) < 1e-12
+    n, s = len(x), sum(x)
+    assert abs(g - ((2 * sum((i + 1) * v for i, v in enumerate(x)) - (n + 1) * s) / (n * s))) < 1e-9
+
+
+def test_empty_heatmap_cells_are_zero(spark):
+    rows = [("a", "no_rs", 0.5), ("a", "x", 1.0), ("b", "no_rs", 0.25), ("c", "x", 2.0)]
+    got = {(r.paradigm, r.treatment): r.delta for r in M.paradigm_heatmap(spark.createDataFrame(rows, "paradigm string, treatment string, mean_utility double")).collect()}
+    assert got == {("a", "x"): 0.5, ("b", "x"): -0.25, ("c", "x"): 2.0}
+
+
+def test_gate_sweep_counts_unserved_requests(spark):
+    asked = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "rid long, seed long")
+    rows = [(1, 0, 1, 0.2, 0.5, 0.4, 0.9), (1, 0, 2, 1.0, 0.1, 0.8, 0.1), (2, 0, 1, 0.0, 1.0, 0.1, 2.0)]
+    answers = spark.createDataFrame(rows, "rid long, seed long, rank int, v_hat double, c_hat double, pup double, expected_regret double")
+    limits = spark.createDataFrame([(50, 0.5)], "pct int, epsilon double")
+    got = {(r.gate, r.threshold, r.seed): (round(r.mean_utility, 9), r.abstention_rate) for r in G.gate_sweep(answers, asked, (0.0, 0.3, 0.9), limits).collect()}
+    assert got == {
+        ("pup", 0.0, 0): (-0.65, 0.0), ("pup", 0.0, 1): (0.0, 1.0), ("pup", 0.3, 0): (-0.3, 0.5), ("pup", 0.3, 1): (0.0, 1.0),
+        ("pup", 0.9, 0): (0.0, 1.0), ("pup", 0.9, 1): (0.0, 1.0), ("rm", 50.0, 0): (0.9, 0.5), ("rm", 50.0, 1): (0.0, 1.0)}

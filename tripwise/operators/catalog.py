@@ -67,7 +67,7 @@ def poi_category_counts(places: DataFrame) -> DataFrame:
     return places.groupBy("category").count().orderBy(F.desc("count"), "category")
 
 
-def cap_per_category(places: DataFrame, cap: int = P.POI_CAP_PER_CATEGORY, seed: int = P.POI_CAP_SEED) -> DataFrame:
+def cap_per_category(places: DataFrame, cap: int, seed: int = P.POI_CAP_SEED) -> DataFrame:
     """Seeded sample of at most ``cap`` places per category, the same in all runs.
     The rank limit is applied before the shuffle as well, so a huge category
     sends only ``cap`` rows per task."""
@@ -86,11 +86,12 @@ def synth_prominence(places: DataFrame) -> DataFrame:
         F.lit(P.SYNTH["popularity_floor"]), F.col("review_count") * (F.lit(p0) + hash_uniform(key, "popularity") * (p1 - p0))))
 
 
-def load_catalog(pois: DataFrame, bounds, cap: int | None = P.POI_CAP_PER_CATEGORY) -> DataFrame:
+def load_catalog(pois: DataFrame, bounds, cap: int | None = None) -> DataFrame:
     """Catalog of known categories inside the network bounds.
 
     Ids are unique (the first row in ``pos`` order stays); rows without an id all
-    stay and get ``poi_<catalog position>``.  Names fall back to the category.
+    stay and get ``poi_<catalog position>``.  Names fall back to the category.  All
+    places are kept unless a ``cap`` per category is asked for.
     """
     rows = pois.withColumn("category", strip_blank(F.coalesce("category", F.lit(""))))
     rows = rows.where(in_bbox(F.col("lat"), F.col("lon"), bounds) & F.col("category").isin(*P.CATEGORY_KEYWORDS))

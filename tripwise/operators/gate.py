@@ -82,3 +82,26 @@ def welfare_gate(answers: DataFrame, state: DataFrame, mode: Column | str = "pup
 def abstentions(opportunities: DataFrame, passed: DataFrame, keys: list[str]) -> DataFrame:
     """Opportunities with no surviving recommendation."""
     return opportunities.join(passed.select(*keys).distinct(), keys, "left_anti")
+
+
+def gate_sweep(annotated: DataFrame, requests: DataFrame, alphas, ceilings: DataFrame) -> DataFrame:
+    """Net value and abstention per (gate, threshold, seed) of annotated answers (rid, seed,
+    rank and estimates): every probability threshold of ``alphas``, and every regret
+    ceiling of the table (pct, epsilon), in one pass over the answers.
+
+    A request is served by its best-ranked answer that passes; ``requests`` (rid, seed) has
+    those without any answer too.  Without a served request the mean is 0.
+    """
+    kind = "array<struct<gate:string,threshold:double,limit:double>>"
+    fixed = F.array(*[F.struct(F.lit("pup").alias("gate"), F.lit(float(a)).alias("threshold"), F.lit(float(a)).alias("limit")) for a in alphas]).cast(kind)
+    found = ceilings.agg(F.collect_list(F.struct(F.lit("rm").alias("gate"), F.col("pct").cast("double").alias("threshold"), F.col("epsilon").alias("limit"))).alias("c"))
+    grid = F.concat(fixed, found.scalar().cast(kind))
+    cells = requests.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.explode(grid)).select("seed", "_n", "_g.gate", "_g.threshold")
+    passing = F.filter("_grid", lambda g: F.when(g["gate"] == "pup", F.col("pup") >= g["limit"]).otherwise(F.col("expected_regret") <= g["limit"]))
+    rows = annotated.withColumn("_grid", grid).select("rid", "seed", "rank", (F.col("v_hat") - F.col("c_hat")).alias("net"), F.explode(passing).alias("_g"))
+    served = rows.groupBy("rid", "seed", "_g.gate", "_g.threshold").agg(F.min_by("net", "rank").alias("net"))
+    per_seed = served.groupBy("gate", "threshold", "seed").agg(F.avg("net").alias("_mean"), F.count(F.lit(1)).alias("_served"))
+    joined = cells.join(per_seed, ["gate", "threshold", "seed"], "left")
+    return joined.select(
+        "gate", "threshold", "seed", F.coalesce("_mean", F.lit(0.0)).alias("mean_utility"),
+        (1.0 - F.coalesce("_served", F.lit(0)) / F.col("_n")).alias("abstention_rate"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwise import params as P
-from tripwise.operators.ordering import _spec, exact_percentiles, rank_blocks
+from tripwise.operators.ordering import exact_percentiles, ranked_counts, value_counts
+from tripwise.session import cut
 
 
 RUN = ["treatment", "seed"]
@@ -34,28 +35,22 @@ def agent_mean_utility(trips: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, keys: list[str], value: str, out: str = "gini") -> DataFrame:
-    """Gini coefficient per key.
+    """Gini coefficient per key; nulls are left out.
 
     Negative domains are shifted to start at zero; fewer than two values, or a
-    zero sum, give 0.  Ranks come from quantile blocks: each block contributes
-    its count, sum and rank-weighted sum, and the blocks of a key are combined
-    with the count of the blocks before them.
+    zero sum, give 0.
     """
-    low = df.groupBy(*keys).agg(F.least(F.min(value), F.lit(0.0)).alias("_lo"))
-    blocks = rank_blocks(df.select(*keys, value), keys, value).join(low, keys)
-    x = F.col(value) - F.col("_lo")
-    rank = F.row_number().over(_spec(keys + ["_b"], [value]))
-    parts = (
-        blocks.select(*keys, "_b", x.alias("_x"), rank.alias("_r"))
-        .groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.sum(F.col("_r") * F.col("_x")).alias("_rs"))
-    )
-    before = _spec(keys, ["_b"]).rowsBetween(-(1 << 31), -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    totals = parts.groupBy(*keys).agg(
-        F.sum("_n").alias("_n"), F.sum("_s").alias("_s"),
-        F.sum(F.col("_rs") + F.col("_off") * F.col("_s")).alias("_rs"),
-    )
+    return gini_of_counts(value_counts(df, keys, value), keys, value, out)
+
+
+def gini_of_counts(values: DataFrame, keys: list[str], value: str, out: str = "gini") -> DataFrame:
+    """Gini coefficient from distinct values with their counts: the n equal values after
+    ``before`` smaller ones have the ranks before + 1 to before + n."""
+    low = values.groupBy(*keys).agg(F.least(F.min(value), F.lit(0.0)).alias("_lo"))
+    ranked = ranked_counts(values, keys, value).join(low, keys)
+    x, n, b = F.col(value) - F.col("_lo"), F.col("n"), F.col("before")
+    totals = ranked.groupBy(*keys).agg(
+        F.sum("n").alias("_n"), F.sum(x * n).alias("_s"), F.sum(x * (b.cast("double") * n + n * (n + 1) / 2.0)).alias("_rs"))
     n, s = F.col("_n"), F.col("_s")
     value_ = (2.0 * F.col("_rs") - (n + 1) * s) / (n * s)
     return totals.select(*keys, F.when((n < 2) | (s == 0), F.lit(0.0)).otherwise(value_).alias(out))
@@ -71,15 +66,18 @@ def opportunity_rates(opportunities: DataFrame) -> DataFrame:
 
 def table1(trips: DataFrame, opportunities: DataFrame) -> DataFrame:
     """One row per run: mean net utility, negative share, Gini, abstention, counts."""
-    leisure = last_day_leisure(trips)
-    base = leisure.groupBy(*RUN).agg(
-        F.avg("u").alias("mean_utility"),
-        F.avg((F.col("u") < 0).cast("double")).alias("neg_rate"),
-        F.count(F.lit(1)).alias("n_leisure_trips"),
+    # the trips are read for their last days and runs, and once more for the values;
+    # mean, share, count and Gini all come from the counted values
+    values = value_counts(last_day_leisure(trips), RUN, "u")
+    n = F.col("n")
+    base = values.groupBy(*RUN).agg(
+        (F.sum(F.col("u") * n) / F.sum(n)).alias("mean_utility"),
+        (F.sum(F.when(F.col("u") < 0, n).otherwise(0)) / F.sum(n)).alias("neg_rate"),
+        F.sum(n).alias("n_leisure_trips"),
     )
     runs = trips.select(*RUN).distinct()
     return (
-        runs.join(base, RUN, "left").join(gini(leisure, RUN, "u"), RUN, "left")
+        runs.join(base, RUN, "left").join(gini_of_counts(values, RUN, "u"), RUN, "left")
         .join(opportunity_rates(opportunities), RUN, "left")
         .na.fill(0.0, ["mean_utility", "neg_rate", "gini", "abstention_rate"])
         .na.fill(0, ["n_leisure_trips", "n_opportunities"])
@@ -159,6 +157,8 @@ def compare_all(totals: DataFrame, keys: list[str] | None = None, baseline: str
     improved and harmed share, both Ginis, mean loss."""
     keys = keys or ["seed", "agent_id"]
     pairs = paired(totals, "total_u", keys, baseline).withColumn("gain", F.col("u_t") - F.col("u_b"))
+    # written once: four measures read it
+    pairs = cut(pairs.select("treatment", "u_t", "u_b", "gain"))
     base = pairs.groupBy("treatment").agg(
         F.avg("gain").alias("mean_gain"),
         F.avg((F.col("gain") > 0).cast("double")).alias("pct_improved"),
@@ -225,14 +225,14 @@ def regret_proxy(trips: DataFrame, treatment: str = "standard", percentiles=P.PE
 
 
 def threshold_frontier(per_seed: DataFrame) -> DataFrame:
-    """Per threshold: mean and deviation over seeds of utility and abstention, and
-    whether it is the best threshold (the first one on ties)."""
-    curve = per_seed.groupBy("threshold").agg(
+    """Per gate and threshold: mean and deviation over seeds of utility and abstention, and
+    whether it is the gate's best threshold (the first one on ties, to six digits)."""
+    curve = per_seed.groupBy("gate", "threshold").agg(
         F.avg("mean_utility").alias("mu"), F.stddev_pop("mean_utility").alias("mu_std"),
         F.avg("abstention_rate").alias("abst"), F.stddev_pop("abstention_rate").alias("abst_std"),
     )
-    best = curve.agg(F.max_by("threshold", F.struct("mu", -F.col("threshold"))).alias("threshold"))
-    return curve.join(best.withColumn("is_best", F.lit(True)), "threshold", "left").na.fill(False, ["is_best"])
+    best = curve.groupBy("gate").agg(F.max_by("threshold", F.struct(F.round("mu", 6), -F.col("threshold"))).alias("_best"))
+    return curve.join(best, "gate").withColumn("is_best", F.col("threshold") == F.col("_best")).drop("_best")
 
 
 def condition_table(runs: DataFrame) -> DataFrame:
@@ -244,13 +244,14 @@ def condition_table(runs: DataFrame) -> DataFrame:
 
 
 def paradigm_heatmap(rollup: DataFrame, baseline: str = "no_rs") -> DataFrame:
-    """Mean of agent means by paradigm and treatment, minus the baseline's."""
-    cells = rollup.groupBy("paradigm", "treatment").agg(F.avg("mean_utility").alias("m"))
-    base = cells.where(F.col("treatment") == baseline).select("paradigm", F.col("m").alias("b"))
-    return (
-        cells.where(F.col("treatment") != baseline).join(base, "paradigm", "left")
-        .select("paradigm", "treatment", (F.col("m") - F.coalesce("b", F.lit(0.0))).alias("delta"))
-    )
+    """Mean of agent means by paradigm and treatment, minus the baseline's; cells without
+    agents have mean 0."""
+    means = rollup.groupBy("paradigm", "treatment").agg(F.avg("mean_utility").alias("m"))
+    # every paradigm meets every condition: a cell without agents counts as 0
+    conditions = means.where(F.col("treatment") != baseline).agg(F.collect_set("treatment").alias("t"))
+    base = means.groupBy("paradigm").agg(F.max(F.when(F.col("treatment") == baseline, F.col("m"))).alias("b"))
+    cells = base.withColumn("treatment", F.explode(conditions.scalar())).join(means, ["paradigm", "treatment"], "left")
+    return cells.select("paradigm", "treatment", (F.coalesce("m", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))).alias("delta"))
 
 
 def orc_table(totals: DataFrame, baseline: str = "no_rs") -> DataFrame:
@@ -270,8 +271,10 @@ def orc_table(totals: DataFrame, baseline: str = "no_rs") -> DataFrame:
 
 
 def matched_seeds(studies: DataFrame, base: str = "seed", count: str = "num_seeds") -> DataFrame:
-    """Seed list of every study: consecutive seeds from the base, 1 to 12 of them."""
-    n = F.least(F.greatest(F.col(count), F.lit(1)), F.lit(P.MAX_SEEDS))
+    """Seed list of every study: as many consecutive seeds from the base as it asks for
+    (one at least); ``out_of_range`` reports counts outside 1 to 12."""
+    studies = studies.withColumn("out_of_range", ~F.col(count).between(1, P.MAX_SEEDS))
+    n = F.greatest(F.col(count), F.lit(1))
     seeds = F.sequence(F.col(base).cast("long"), F.col(base).cast("long") + n - 1)
     return studies.withColumn("run_seed", F.explode(seeds))
 

@@ -57,43 +57,58 @@ def chunk_rows(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
-def rank_blocks(df: DataFrame, keys: list[str], value: str, resolution: int = 64) -> DataFrame:
-    """Number of the quantile block of every row, by value within the key.
+#: Distinct values per block, about; the number of blocks follows from their count.
+BLOCK_VALUES = 100_000
 
-    The block edges (at most ``resolution`` numbers per key) are approximate
-    quantiles.  They are cut off by a checkpoint, so every later reader sees the
-    same edges; how good they are decides only the balance, never the result.
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per key with their counts ``n`` (nulls left out), checkpointed.
+    Equal values are combined before any shuffle, so ties never meet in a task."""
+    return cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+
+
+def ranked_counts(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``before``: how many rows of the key have a smaller value.
+
+    A key is split into blocks of values at approximate quantiles, as many as the number
+    of values asks for.  The edges are cut off by a checkpoint, so every reader sees the
+    same ones; how good they are decides only the balance, never the result.
     """
-    shares = [i / resolution for i in range(1, resolution)]
-    edges = cut(df.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(1000)).alias("_edges")))
-    rows = df.join(edges, keys) if keys else df.withColumn("_edges", edges.scalar())
-    return rows.withColumn("_b", F.size(F.filter(F.col("_edges"), lambda e: e <= F.col(value)))).drop("_edges")
+    blocks = -(-values.count() // BLOCK_VALUES)
+    if blocks > 1:
+        shares = [i / blocks for i in range(1, blocks)]
+        edges = cut(values.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(max(1000, 4 * blocks))).alias("_edges")))
+        values = values.join(edges, keys) if keys else values.withColumn("_edges", edges.scalar())
+        block = F.size(F.filter(F.col("_edges"), lambda e: e <= F.col(value)))
+    else:
+        block = F.lit(0)
+    ranked = running_total(values, keys, [value], block, F.col("n"), "before", inclusive=False)
+    return ranked.drop("_edges")
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key and share.
+    """Exact percentiles with linear interpolation, one row per key and share; nulls are
+    left out.
 
-    The two neighbouring ranks of each share are found through block counts, so
-    no task ever holds the distinct values of a whole key.
+    The two neighbouring ranks of each share are looked up among the distinct values with
+    their counts, so equal values cost one row however many they are.
     """
-    ranked = rank_blocks(df.select(*keys, value).where(F.col(value).isNotNull()), keys, value)
-    blocks = ranked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = _spec(keys, ["_b"]).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(*keys)
-    blocks = (
-        blocks.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_all", F.sum("_n").over(everything))
-    )
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(float(s)).alias("share"), (F.col("_all") - 1).cast("double").alias("_top")) for s in shares
-    ]))
-    targets = blocks.select(*keys, "_b", "_off", "_n", wanted.alias("w")).select(*keys, "_b", "_off", "_n", "w.*")
-    place = F.col("share") * F.col("_top")
-    lo = F.floor(place)
-    hi = F.least(lo + 1, F.col("_top").cast("long"))
-    targets = targets.withColumn("_place", place).withColumn("_rank", F.explode(F.array_distinct(F.array(lo, hi))))
-    targets = targets.where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_n")))
-    local = ranked.withColumn("_r", F.row_number().over(_spec(keys + ["_b"], [value])) - 1)
-    hits = local.join(targets, (keys + ["_b"])).where(F.col("_r") == F.col("_rank") - F.col("_off"))
-    weight = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("_place") - F.col("_rank")))
-    return hits.groupBy(*keys, "share").agg(F.sum(F.col(value) * weight).alias("percentile"))
+    values = value_counts(df, keys, value)
+    ranked = ranked_counts(values, keys, value)
+    totals = values.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    ranked = ranked.join(totals, keys) if keys else ranked.withColumn("_all", totals.scalar())
+    top = (F.col("_all") - 1).cast("double")
+    wanted = F.array(*[F.struct(F.lit(float(s)).alias("share"), (F.lit(float(s)) * top).alias("place")) for s in shares])
+
+    def weight(w: Column) -> Column:
+        """Share of the two neighbouring ranks that lies among this row's equal values."""
+        lo = F.floor(w["place"])
+        hi = F.least(lo + 1, F.col("_all") - 1)
+        held = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
+        part = w["place"] - lo
+        return F.when(held(lo), F.when(hi == lo, F.lit(1.0)).otherwise(1.0 - part)).otherwise(0.0) + F.when((hi > lo) & held(hi), part).otherwise(0.0)
+
+    near = F.filter(
+        F.transform(wanted, lambda w: F.struct(w["share"].alias("share"), weight(w).alias("w"))), lambda x: x["w"] > 0)
+    hits = ranked.select(*keys, value, F.explode(near).alias("_h"))
+    return hits.groupBy(*keys, "_h.share").agg(F.sum(F.col(value) * F.col("_h.w")).alias("percentile"))

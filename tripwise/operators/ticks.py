@@ -149,18 +149,25 @@ def day_summary(trips: DataFrame, delays: DataFrame, agents: DataFrame) -> DataF
     )
 
 
-def share_maps(trips: DataFrame, key: str) -> DataFrame:
-    """Open-ended shares by any categorical column, as a map per run day."""
-    counts = trips.groupBy(*DAY, key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(*DAY).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col("n")))).alias("_m"), F.sum("n").alias("_t"),
-    ).select(*DAY, F.transform_values("_m", lambda k, v: v / F.col("_t")).alias("shares"))
+def label_counts(trips: DataFrame, dimensions=("mode", "purpose", "subtype", "source")) -> DataFrame:
+    """Count and share of every label of every dimension per run day, days counted from
+    1: whatever labels the trips have.  Subtypes and sources count leisure trips only."""
+    leisure = (F.col("purpose") == "leisure") & (F.col("subtype") != "")
+    cells = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), (F.when(leisure, F.col(d)) if d in ("subtype", "source") else F.col(d)).alias("label"))
+        for d in dimensions
+    ])
+    rows = trips.select(*DAY, F.explode(F.filter(cells, lambda x: x["label"].isNotNull())).alias("_c")).select(*DAY, "_c.*")
+    counts = rows.groupBy(*DAY, "dimension", "label").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(*DAY, "dimension").agg(F.sum("n").alias("_t"))
+    shares = counts.join(totals, [*DAY, "dimension"]).withColumn("share", F.col("n") / F.col("_t")).drop("_t")
+    return shares.withColumn("day", F.col("day") + 1)
 
 
 def trip_totals(trips: DataFrame) -> DataFrame:
     """Trip, time, cost and emission totals by run, day and mode, with all subtotals
     of the rollup in one pass."""
-    return trips.rollup("treatment", "day", "mode").agg(
+    return trips.rollup("treatment", "seed", "day", "mode").agg(
         F.count(F.lit(1)).alias("trips"), F.sum("travel_min").alias("travel_time"),
         F.sum("cost").alias("cost"), F.sum("emissions_g").alias("emissions"),
     )

@@ -107,9 +107,10 @@ def _points(path: Column, digits: int) -> Column:
     return F.transform(path, lambda p: F.struct(half_even_round(p["lat"], digits).alias("lat"), half_even_round(p["lon"], digits).alias("lon")))
 
 
-def trip_keyframes(moves: DataFrame) -> DataFrame:
-    """Compact records: at most twelve points with their times, and a colour."""
-    rows = moves.withColumn("_short", downsample(F.col("path"), P.MAX_PATH_POINTS))
+def trip_keyframes(moves: DataFrame, points: int | None = None) -> DataFrame:
+    """Compact records: rounded points with their times, and a colour; at most
+    ``points`` of them where that is asked for, else all."""
+    rows = moves.withColumn("_short", downsample(F.col("path"), points) if points else F.col("path"))
     rows = rows.withColumns({"timestamps": _stamps(cumulative_km(F.col("_short"))), "points": _points(F.col("_short"), 5)})
     return rows.withColumn("color", _colour(P.MODE_COLOR, F.col("mode"), (200, 200, 200))).drop("_short")
 
@@ -182,19 +183,19 @@ def keyframe_positions(records: DataFrame, instants: list[float]) -> DataFrame:
     return rows.withColumn("position", keyframe_position(F.col("points"), F.col("timestamps"), F.col("t")))
 
 
-def pois_in_bbox(places: DataFrame, bbox=None, limit: int = P.POI_VIEW_LIMIT) -> DataFrame:
-    """Places in the box, the first ``limit`` in catalog order (a top-n, never a full sort)."""
+def pois_in_bbox(places: DataFrame, bbox=None, after: int | None = None, size: int | None = None) -> DataFrame:
+    """All places in the box.  A viewer pages through them in catalog order: ``size``
+    places with a position beyond ``after`` (a top-n, never a full sort)."""
     rows = places if bbox is None else places.where(in_bbox(F.col("lat"), F.col("lon"), bbox))
-    return rows.orderBy("pos").limit(limit)
+    rows = rows if after is None else rows.where(F.col("pos") > after)
+    return rows if size is None else rows.orderBy("pos").limit(size)
 
 
-def group_by_agent(moves: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """Records collected per agent, in order, in parts of bounded size."""
-    keys = RUN + ["agent_id"]
-    numbered = ordinal(moves, keys, ["day", "t0", "trip_key"], F.struct("day", hour_bucket().alias("h")), "_i")
-    part = F.floor((F.col("_i") - 1) / part_rows).alias("part")
-    row = F.struct("_i", *[c for c in moves.columns if c not in keys])
-    return numbered.groupBy(*keys, part).agg(F.array_sort(F.collect_list(row)).alias("trips"))
+def group_by_agent(moves: DataFrame) -> DataFrame:
+    """Records collected per run, agent and day, in order; a day bounds their number."""
+    keys = RUN + ["agent_id", "day"]
+    row = F.struct("t0", "trip_key", *[c for c in moves.columns if c not in (*keys, "t0", "trip_key")])
+    return moves.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("trips"))
 
 
 def poi_labels(places: DataFrame) -> DataFrame:

@@ -94,7 +94,6 @@ TEXT_CATEGORY = (
 
 # Box of the place filter, as (south, west, north, east).
 POI_BBOX = (40.47, -74.30, 40.93, -73.68)
-POI_CAP_PER_CATEGORY = 600
 POI_CAP_SEED = 20240608
 
 # --------------------------------------------------------------------------
@@ -329,15 +328,15 @@ MODE_BIAS = {
 TREATMENTS = (
     ("no_rs", "no_rs", 0.6, 0.3),
     ("standard", "standard", 0.6, 0.3),
-    ("pup_60", "pup", 0.6, 0.3),
-    ("pup_80", "pup", 0.8, 0.3),
-    ("rm_30", "rm", 0.6, 0.3),
-    ("pup_rm", "pup_rm", 0.6, 0.3),
+    ("pup_03", "pup", 0.3, 0.3),
+    ("pup_07", "pup", 0.7, 0.3),
+    ("rm", "rm", 0.6, 0.2721),
     ("oracle", "oracle", 0.6, 0.3),
 )
+# Seed counts outside 1 to this are reported, not cut.
 MAX_SEEDS = 12
 ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 PERCENTILES = (50, 60, 65, 70, 75, 80, 90)
 NEUTRAL = 1e-9
+# Points of a compact record where a caller asks for the short form.
 MAX_PATH_POINTS = 12
-POI_VIEW_LIMIT = 4000

@@ -50,13 +50,12 @@ CATALOG = f"""s AS (SELECT pos, lat, lon, CASE WHEN place_id % 13 = 0 THEN '' EL
   CASE WHEN place_id % 19 = 0 THEN 'bank' ELSE category END AS category FROM f_places),
  f AS (SELECT * FROM s WHERE lat BETWEEN 40.71 AND 40.79 AND lon BETWEEN -74.015 AND -73.94 AND category <> 'bank'),
  u AS (SELECT * FROM f WHERE place_id = '' UNION ALL SELECT pos, lat, lon, place_id, name, category FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY pos) AS rn FROM f WHERE place_id <> '') WHERE rn = 1),
- cap AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CAST('0x' || substr(md5(place_id || ':20240608'), 1, 8) AS BIGINT), place_id, pos) AS rn FROM u) WHERE rn <= CAPN),
- n AS (SELECT *, row_number() OVER (ORDER BY lead, pos) AS catalog_pos FROM (SELECT *, min(pos) OVER (PARTITION BY category) AS lead FROM cap))"""
+ n AS (SELECT *, row_number() OVER (ORDER BY lead, pos) AS catalog_pos FROM (SELECT *, min(pos) OVER (PARTITION BY category) AS lead FROM u))"""
 SYN = f"""round_even(2.8e0 + {sql_u('place_id', "'rating'")} * (4.9e0 - 2.8e0), 2) AS rating, 20 + CAST(floor({sql_u('place_id', "'reviews'")} * 4981) AS BIGINT) AS review_count"""
 POP = f"round(greatest(10e0, review_count * (1 + {sql_u('place_id', chr(39) + 'popularity' + chr(39))} * 8)), 6)"
 
 
-@query("load_catalog", f"""WITH {CATALOG.replace('CAPN', '600')}, y AS (SELECT *, {SYN} FROM n) SELECT CASE WHEN place_id = '' THEN 'poi_' || CAST(catalog_pos AS VARCHAR) ELSE place_id END AS place_id,
+@query("load_catalog", f"""WITH {CATALOG}, y AS (SELECT *, {SYN} FROM n) SELECT CASE WHEN place_id = '' THEN 'poi_' || CAST(catalog_pos AS VARCHAR) ELSE place_id END AS place_id,
  CASE WHEN name = '' THEN category ELSE name END AS name, category, catalog_pos, rating, review_count, {POP} AS popularity FROM y""")
 def load_catalog(t):
     return rounded(C.load_catalog(source_rows(t), BOUNDS).select("place_id", "name", "category", "catalog_pos", "rating", "review_count", "popularity"))

@@ -68,7 +68,9 @@ def expected_regret(t):
     return rounded(sigma_rows(t).select("trip_key", G.expected_regret(F.col("v"), F.col("c"), F.col("sigma")).alias("regret")), 9)
 
 
-GRID = "(VALUES ('standard', 'standard', 0.6e0, 0.3e0), ('pup_60', 'pup', 0.6e0, 0.3e0), ('pup_80', 'pup', 0.8e0, 0.3e0), ('rm_30', 'rm', 0.6e0, 0.3e0), ('pup_rm', 'pup_rm', 0.6e0, 0.3e0)) g(treatment, mode, a, e)"
+#: The conditions of the study that gate answers, and both gates at once.
+CONDITIONS = [x for x in P.TREATMENTS if x[1] in G.MODES] + [("pup_rm", "pup_rm", 0.3, 0.2721)]
+GRID = "(VALUES ('standard', 'standard', 0.6e0, 0.3e0), ('pup_03', 'pup', 0.3e0, 0.3e0), ('pup_07', 'pup', 0.7e0, 0.3e0), ('rm', 'rm', 0.6e0, 0.2721e0), ('pup_rm', 'pup_rm', 0.3e0, 0.2721e0)) g(treatment, mode, a, e)"
 PASS = "(mode = 'standard' OR (mode = 'pup' AND pup >= a) OR (mode = 'rm' AND er <= e) OR (mode = 'pup_rm' AND pup >= a AND er <= e))"
 
 
@@ -80,11 +82,34 @@ def welfare_gate(t):
 
 
 def gated(t):
-    grid = M.treatment_grid(answers(t), [x for x in P.TREATMENTS if x[1] in G.MODES])
+    grid = M.treatment_grid(answers(t), CONDITIONS)
     return G.welfare_gate(grid, state(t), F.col("mode"), alpha=F.col("pup_alpha"), epsilon=F.col("rm_epsilon"))
 
 
 @query("abstention", f"WITH {GATED} SELECT u.user_id AS rid, treatment FROM f_users u, {GRID} WHERE NOT EXISTS (SELECT 1 FROM a2 WHERE a2.rid = u.user_id AND {PASS})")
 def abstention(t):
-    cells = M.treatment_grid(requests(t).select("rid"), [x for x in P.TREATMENTS if x[1] in G.MODES]).select("rid", "treatment")
+    cells = M.treatment_grid(requests(t).select("rid"), CONDITIONS).select("rid", "treatment")
     return G.abstentions(cells, gated(t), ["rid", "treatment"])
+
+
+PCTS = ", ".join(f"({p}, {i})" for i, p in enumerate(P.PERCENTILES, 1))
+SWEEP = f"""{GATED}, u AS (SELECT utility FROM f_trips WHERE treatment = 'standard' AND purpose = 'leisure'),
+ x AS (SELECT greatest(0e0, (SELECT avg(utility) FROM u) - utility) AS g FROM u),
+ ep AS (SELECT p.pct, quantile_cont(g, [{", ".join(str(p / 100) for p in P.PERCENTILES)}])[p.i] AS e FROM x, (VALUES {PCTS}) p(pct, i) GROUP BY p.pct, p.i),
+ grid AS (SELECT 'pup' AS gate, a AS threshold, a AS lim FROM (VALUES {", ".join(f"({a}e0)" for a in P.ALPHAS)}) v(a) UNION ALL SELECT 'rm', CAST(pct AS DOUBLE), e FROM ep),
+ k AS (SELECT gate, threshold, rid, arg_min(v_hat - c_hat, rank) AS net FROM a2, grid WHERE (gate = 'pup' AND pup >= lim) OR (gate = 'rm' AND er <= lim) GROUP BY ALL),
+ rq AS (SELECT user_id % 5 AS seed, count(*) AS n FROM f_users GROUP BY ALL),
+ s AS (SELECT g.gate, g.threshold, rq.seed, coalesce(avg(net), 0e0) AS mu, 1 - count(net) / rq.n AS ab FROM grid g CROSS JOIN rq
+  LEFT JOIN k ON k.gate = g.gate AND k.threshold = g.threshold AND k.rid % 5 = rq.seed GROUP BY g.gate, g.threshold, rq.seed, rq.n),
+ c AS (SELECT gate, threshold, avg(mu) AS mu, stddev_pop(mu) AS ms, avg(ab) AS ab, stddev_pop(ab) AS sb FROM s GROUP BY ALL)"""
+
+
+@query("threshold_frontier", f"""WITH {SWEEP} SELECT c.gate, round(threshold, 6) AS threshold, round(mu, 6) AS mu, round(ms, 6) AS mu_std, round(ab, 6) AS abst, round(sb, 6) AS abst_std,
+ threshold = b.best AS is_best FROM c JOIN (SELECT gate, arg_max(threshold, round(mu, 6) - threshold * 1e-9) AS best FROM c GROUP BY gate) b USING (gate)""")
+def threshold_frontier(t):
+    """Both gates over the ranked answers: probability thresholds, and regret ceilings at
+    calibrated percentiles.  Users stand for five seeds."""
+    ceilings = M.regret_proxy(t.trips)
+    asked = requests(t).select("rid", (F.col("rid") % 5).alias("seed"))
+    annotated = G.annotate(answers(t), state(t)).join(asked, "rid")
+    return rounded(M.threshold_frontier(G.gate_sweep(annotated, asked, P.ALPHAS, ceilings)))

@@ -163,24 +163,6 @@ def regret_proxy(t):
     return rounded(M.regret_proxy(t.trips))
 
 
-@query("threshold_frontier", f"""WITH {RUNS}, s AS (SELECT a.threshold, z.seed, avg(z.utility) AS mean_utility,
-   avg(CASE WHEN z.eta < a.threshold THEN 1e0 ELSE 0e0 END) AS abstention_rate FROM z,
-   (SELECT range * 0.1e0 AS threshold FROM range(0, 11)) a WHERE z.eta >= a.threshold - 0.6e0 GROUP BY ALL),
- c AS (SELECT threshold, avg(mean_utility) AS mu, stddev_pop(mean_utility) AS ms, avg(abstention_rate) AS ab, stddev_pop(abstention_rate) AS sb FROM s GROUP BY threshold)
- SELECT round(threshold, 6) AS threshold, round(mu, 6) AS mu, round(ms, 6) AS mu_std, round(ab, 6) AS abst, round(sb, 6) AS abst_std,
-  threshold = (SELECT threshold FROM c ORDER BY mu DESC, threshold LIMIT 1) AS is_best FROM c""")
-def threshold_frontier(t):
-    """Sweep of a threshold on the acceptance estimate, all thresholds in one pass."""
-    leisure = t.trips.where(F.col("purpose") == "leisure")
-    grid = F.explode(F.array(*[F.lit(i * 0.1) for i in range(len(P.ALPHAS))]))
-    sweep = leisure.select("seed", "utility", "eta", grid.alias("threshold")).where(F.col("eta") >= F.col("threshold") - 0.6)
-    per_seed = sweep.groupBy("threshold", "seed").agg(
-        F.avg("utility").alias("mean_utility"),
-        F.avg((F.col("eta") < F.col("threshold")).cast("double")).alias("abstention_rate"),
-    )
-    return rounded(M.threshold_frontier(per_seed))
-
-
 @query("condition_table", f"""WITH {RUNS} SELECT treatment, round(avg(mean_utility), 6) AS mean_u, round(stddev_pop(mean_utility), 6) AS sigma_u,
  round(avg(neg_rate), 6) AS neg_rate, round(avg(abstention_rate), 6) AS abstention, round(avg(gini), 6) AS gini FROM rm GROUP BY treatment""")
 def condition_table(t):
@@ -188,8 +170,8 @@ def condition_table(t):
 
 
 @query("paradigm_heatmap", f"""WITH {ROLLUP}, c AS (SELECT paradigm, treatment, avg(mean_utility) AS m FROM r GROUP BY ALL)
- SELECT c.paradigm, c.treatment, round(c.m - coalesce(b.m, 0e0), 6) AS delta FROM c LEFT JOIN c b ON b.paradigm = c.paradigm AND b.treatment = 'no_rs'
- WHERE c.treatment <> 'no_rs'""")
+ SELECT p.paradigm, t.treatment, round(coalesce(c.m, 0e0) - coalesce(b.m, 0e0), 6) AS delta FROM (SELECT DISTINCT paradigm FROM c) p, (SELECT DISTINCT treatment FROM c WHERE treatment <> 'no_rs') t
+ LEFT JOIN c ON c.paradigm = p.paradigm AND c.treatment = t.treatment LEFT JOIN c b ON b.paradigm = p.paradigm AND b.treatment = 'no_rs'""")
 def paradigm_heatmap(t):
     return rounded(M.paradigm_heatmap(M.agent_rollup(members(t), t.trips)))
 
@@ -202,12 +184,12 @@ def orc_table(t):
     return M.orc_table(M.agent_totals(t.trips))
 
 
-@query("matched_seeds", """SELECT c_nationkey AS study, s.seed0 + u.i AS run_seed, count(*) AS n FROM (SELECT c_nationkey, c_custkey % 5 AS seed0, 1 + c_custkey % 14 AS n FROM customer) s,
- (SELECT range AS i FROM range(0, 12)) u WHERE u.i < least(12, s.n) GROUP BY ALL""")
+@query("matched_seeds", """SELECT c_nationkey AS study, s.seed0 + u.i AS run_seed, s.n NOT BETWEEN 1 AND 12 AS out_of_range, count(*) AS n FROM (SELECT c_nationkey, c_custkey % 5 AS seed0, c_custkey % 15 AS n FROM customer) s,
+ (SELECT range AS i FROM range(0, 20)) u WHERE u.i < greatest(1, s.n) GROUP BY ALL""")
 def matched_seeds(t):
     studies = t.customer.select(
-        F.col("c_nationkey").alias("study"), (F.col("c_custkey") % 5).alias("seed"), (F.col("c_custkey") % 14 + 1).alias("num_seeds"))
-    return M.matched_seeds(studies).groupBy("study", "run_seed").agg(F.count(F.lit(1)).alias("n"))
+        F.col("c_nationkey").alias("study"), (F.col("c_custkey") % 5).alias("seed"), (F.col("c_custkey") % 15).alias("num_seeds"))
+    return M.matched_seeds(studies).groupBy("study", "run_seed", "out_of_range").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("unmatched_runs", """WITH r AS (SELECT DISTINCT treatment, agent_id AS seed FROM f_trips)
@@ -218,7 +200,7 @@ def unmatched_runs(t):
 
 
 @query("treatment_grid", """SELECT seed, treatment, mode, pup_alpha, rm_epsilon FROM (SELECT DISTINCT seed FROM f_trips), (VALUES
- ('no_rs', 'no_rs', 0.6e0, 0.3e0), ('standard', 'standard', 0.6e0, 0.3e0), ('pup_60', 'pup', 0.6e0, 0.3e0), ('pup_80', 'pup', 0.8e0, 0.3e0),
- ('rm_30', 'rm', 0.6e0, 0.3e0), ('pup_rm', 'pup_rm', 0.6e0, 0.3e0), ('oracle', 'oracle', 0.6e0, 0.3e0)) v(treatment, mode, pup_alpha, rm_epsilon)""")
+ ('no_rs', 'no_rs', 0.6e0, 0.3e0), ('standard', 'standard', 0.6e0, 0.3e0), ('pup_03', 'pup', 0.3e0, 0.3e0), ('pup_07', 'pup', 0.7e0, 0.3e0),
+ ('rm', 'rm', 0.6e0, 0.2721e0), ('oracle', 'oracle', 0.6e0, 0.3e0)) v(treatment, mode, pup_alpha, rm_epsilon)""")
 def treatment_grid(t):
     return M.treatment_grid(t.trips.select("seed").distinct())

@@ -11,7 +11,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.session import spread
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -184,7 +183,7 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name in BASE:
             table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            return spread(table) if name in FACTS else table
+            return table
         text = VIEWS.get(f"f_{name}") or VIEWS.get(name)
         if text is None:
             return getattr(self, f"_make_{name}")()

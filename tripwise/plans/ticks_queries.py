@@ -91,15 +91,19 @@ def day_summary(t):
     return rounded(T.day_summary(t.trips, planned(t), agents))
 
 
-@query("summaries_by_day", """SELECT treatment, seed, day + 1 AS day, mode, round(count(*) / sum(count(*)) OVER (PARTITION BY treatment, seed, day), 6) AS share
- FROM f_trips GROUP BY treatment, seed, day, mode""")
+LABELS = " UNION ALL ".join(
+    f"SELECT treatment, seed, day, '{d}' AS dimension, {d} AS label FROM f_trips{' WHERE subtype <> ' + chr(39) * 2 + ' AND purpose = ' + chr(39) + 'leisure' + chr(39) if d in ('subtype', 'source') else ''}"
+    for d in ("mode", "purpose", "subtype", "source"))
+
+
+@query("summaries_by_day", f"""SELECT treatment, seed, day + 1 AS day, dimension, label, count(*) AS n,
+ round(count(*) / sum(count(*)) OVER (PARTITION BY treatment, seed, day, dimension), 6) AS share FROM ({LABELS}) GROUP BY treatment, seed, day, dimension, label""")
 def summaries_by_day(t):
-    """Mode shares of every day, days counted from 1."""
-    shares = T.share_maps(t.trips, "mode").select("treatment", "seed", (F.col("day") + 1).alias("day"), F.explode("shares").alias("mode", "share"))
-    return rounded(shares)
+    """Counts and shares of all modes, purposes, subtypes and sources of every day."""
+    return rounded(T.label_counts(t.trips))
 
 
-@query("trip_totals", """SELECT treatment, day, mode, count(*) AS trips, CAST(sum(travel_min) AS BIGINT) AS travel_time, round(sum(cost), 6) AS cost,
- round(sum(emissions_g), 6) AS emissions FROM f_trips GROUP BY ROLLUP (treatment, day, mode)""")
+@query("trip_totals", """SELECT treatment, seed, day, mode, count(*) AS trips, CAST(sum(travel_min) AS BIGINT) AS travel_time, round(sum(cost), 6) AS cost,
+ round(sum(emissions_g), 6) AS emissions FROM f_trips GROUP BY ROLLUP (treatment, seed, day, mode)""")
 def trip_totals(t):
     return rounded(T.trip_totals(t.trips))

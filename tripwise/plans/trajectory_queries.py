@@ -99,7 +99,8 @@ def time_span(t):
     return J.time_span(J.merge_days(t.moves), J.merge_day_stays(stays(t)))
 
 
-KEYF = f"""{DOWN}, ds AS (SELECT *, CASE WHEN i = 0 THEN 0e0 ELSE {hav('lag(pt.lat) OVER w', 'lag(pt.lon) OVER w', 'pt.lat', 'pt.lon')} END AS step FROM dn WINDOW w AS (PARTITION BY trip_key ORDER BY i)),
+ALLV = """dn AS (SELECT trip_key, t0, t1, mode, unnest(path) AS pt, unnest(range(0, len(path))) AS i FROM f_moves)"""
+KEYF = f"""{ALLV}, ds AS (SELECT *, CASE WHEN i = 0 THEN 0e0 ELSE {hav('lag(pt.lat) OVER w', 'lag(pt.lon) OVER w', 'pt.lat', 'pt.lon')} END AS step FROM dn WINDOW w AS (PARTITION BY trip_key ORDER BY i)),
  dc AS (SELECT *, sum(step) OVER (PARTITION BY trip_key ORDER BY i) AS cum, sum(step) OVER (PARTITION BY trip_key) AS tot FROM ds)"""
 
 
@@ -177,15 +178,15 @@ def keyframe_position(t):
     return rounded(rows.select("trip_key", "t", c("position.lat").alias("lat"), c("position.lon").alias("lon")), 5)
 
 
-@query("pois_in_bbox", f"SELECT place_id FROM f_places WHERE {IN} ORDER BY pos LIMIT 200")
+@query("pois_in_bbox", f"SELECT place_id FROM f_places WHERE {IN}")
 def pois_in_bbox(t):
-    return J.pois_in_bbox(t.places, BOX, 200).select("place_id")
+    return J.pois_in_bbox(t.places, BOX).select("place_id")
 
 
-@query("group_by_agent", "SELECT treatment, seed, agent_id, count(*) AS n, string_agg(trip_key, ',' ORDER BY day, t0, trip_key) AS trips FROM f_paths GROUP BY ALL")
+@query("group_by_agent", "SELECT treatment, seed, agent_id, day, count(*) AS n, string_agg(trip_key, ',' ORDER BY t0, trip_key) AS trips FROM f_paths GROUP BY ALL")
 def group_by_agent(t):
     rows = J.group_by_agent(t.moves.select("treatment", "seed", "agent_id", "day", "t0", "t1", "trip_key"))
-    return rows.select("treatment", "seed", "agent_id", F.size("trips").cast("long").alias("n"), F.array_join(F.transform("trips", lambda x: x["trip_key"].cast("string")), ",").alias("trips"))
+    return rows.select("treatment", "seed", "agent_id", "day", F.size("trips").cast("long").alias("n"), F.array_join(F.transform("trips", lambda x: x["trip_key"].cast("string")), ",").alias("trips"))
 
 
 @query("poi_labels", f"SELECT place_id, round_even(lon + {OFF}, 6) AS lon, round_even(lat + {OFF}, 6) AS lat, category, name || ' · ' || category AS label FROM f_places")

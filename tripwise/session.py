@@ -13,6 +13,7 @@ LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # call sites of every expression are costly to record
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -65,9 +66,3 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split a table that arrives in fewer pieces than there are cores (a small file
-    is one row group); tables with enough splits pass through untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 PARTITIONS = ("treatment", "seed", "day")
 
@@ -11,11 +10,10 @@ PARTITIONS = ("treatment", "seed", "day")
 def write_trips(trips: DataFrame, path: str) -> None:
     """Parquet by treatment, seed and day; reads of one run touch only its folders.
 
-    Rows are spread over several writers per folder (by agent), so one large run
-    does not become one task.
+    Rows are rebalanced by run day: large folders get as many writers as their size
+    asks for, small ones share a task.
     """
-    spread = F.pmod(F.xxhash64("agent_id"), F.lit(16))
-    trips.repartition(*PARTITIONS, spread).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
+    trips.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
 
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
