@@ -25,6 +25,7 @@ texts is either verified or already connected by verified links.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -250,7 +251,8 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), bits: int | No
     labelled = sets.select("doc_id", "k1", "k2", "n", "node").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     labelled = labelled.withColumn("label", F.coalesce("comp", "node")).drop("_node", "comp", "node")
     linked = _kept(labelled.where("n > 0"), "labels")
-    least = linked.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join deals both sides and a large component can be split
+    least = _kept(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     alone = sets.where("n = 0").select("doc_id", "k1", "k2", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("label"))
     told = linked.join(least, "label").select("doc_id", "k1", "k2", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "label")
     return told.unionByName(alone)
@@ -265,7 +267,11 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, shared: DataFr
     family = _kept(members.join(alive, "gid").select("node", "k.k1", "k.k2", "gid", "n", "central", "mins"), "family")
     keyed = docs.select(*_key(), "text")
     texts = keyed.join(family.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "text")
-    texts = _kept(texts, "texts")
+    # bucketed by node: both verifications find the texts in place
+    name = f"texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.repartition(buckets, "node").write.bucketBy(buckets, "node").option("path", scratch_path(spark, "texts")).saveAsTable(name)
+    texts = spark.table(name)
     # stars around the most typical set of every minimum hash and of every group
     keys = family.select("node", "central", F.posexplode(F.concat("mins", F.array("gid"))).alias("i", "key"))
     hubs = keys.groupBy("i", "key").agg(F.max(F.struct("central", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
@@ -276,13 +282,14 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, shared: DataFr
     placed = _kept(placed, "placed")
     rest = _kept(_cross_pairs(shared, placed, like), "pairs")
     more = _kept(_verified(texts, rest, like), "links")
+    spark.sql(f"DROP TABLE {name}")  # its files stay, as those of other scratch tables do
     return components(edges.unionByName(more))
 
 
 def _cross_pairs(shared: DataFrame, placed: DataFrame, like: Likeness) -> DataFrame:
     """Candidate pairs of nodes in different components."""
     parts = placed.groupBy("gid", "comp").agg(F.first("n").alias("n"))
-    posted = shared.select("sh", "gid", "pos").join(parts, "gid").distinct()
+    posted = shared.select("sh", "gid", "pos").join(parts, "gid")
     mixed_up = posted.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sh")
     posted = _kept(posted.join(mixed_up, "sh"), "postings")
     a = posted.select("sh", F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
