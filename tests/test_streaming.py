@@ -43,3 +43,19 @@ def test_folds_carry_state_over_batches(spark, tmp_path):
     assert len(got) == len(want)
     for r in got:
         assert r.n == want[r.user_id].n and abs(r.vot - want[r.user_id].vot) < 1e-9 and abs(r.avg_travel_cost - want[r.user_id].avg_travel_cost) < 1e-9
+
+
+def test_the_tail_is_not_lost(spark, tmp_path):
+    events, stream = files(spark, tmp_path)
+    out = str(tmp_path / "out")
+    L.stream_travel_cost(feedback(stream), out, str(tmp_path / "cp"))
+    got = {r.user_id: r for r in L.with_tail(feedback(events), out, ["user_id"], L.travel_cost_fold).collect()}
+    want = {r.user_id: r for r in B.travel_cost_state(feedback(events)).collect()}
+    assert got.keys() == want.keys() and all(got[u].n == want[u].n and abs(got[u].vot - want[u].vot) < 1e-9 for u in want)
+    assert len(L.versions(spark, out)) <= 2  # older states are deleted
+
+
+def test_a_job_without_closed_windows(spark, tmp_path):
+    events = spark.read.parquet(EVENTS).limit(0)
+    assert L.last_state(spark, str(tmp_path / "none")) is None
+    assert L.with_tail(feedback(events), str(tmp_path / "none"), ["user_id"], L.travel_cost_fold).count() == 0

@@ -94,7 +94,16 @@ def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes:
     per hop for all pairs.  The same node gives one point, no path a straight line.
     """
     wanted = pairs.select("origin", "dest").distinct()
-    back = cut(paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), "pred"))
+    # the smallest node that a shortest path can come from, whatever the search met first
+    hop = edges.groupBy("u", "v").agg(F.min(F.coalesce("length_m", F.lit(1.0))).alias("_w"))
+    start = paths.select(F.col("src").alias("origin"), F.col("node").alias("u"), F.col("dist_m").alias("_du"))
+    end = paths.where(F.col("node") != F.col("src")).select(F.col("src").alias("origin"), F.col("node").alias("v"), F.col("dist_m").alias("_dv"))
+    tight = end.join(hop, "v").join(start, ["origin", "u"]).where(
+        (F.col("_du") < F.col("_dv")) & (F.abs(F.col("_du") + F.col("_w") - F.col("_dv")) < 1e-6))
+    nearer = tight.groupBy("origin", F.col("v").alias("at")).agg(F.min("u").alias("_near"))
+    met = paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), "pred")
+    # steps of no length keep the predecessor of the search
+    back = cut(met.join(nearer, ["origin", "at"], "left").select("origin", "at", F.coalesce("_near", "pred").alias("pred")))
     walk = cut(wanted.where(F.col("origin") != F.col("dest")).withColumn("at", F.col("dest")).withColumn("seq", F.lit(0)))
     steps: list[DataFrame] = []
     while not walk.isEmpty():
@@ -121,24 +130,21 @@ def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes:
 
 
 # ------------------------------------------------------------------- components
-def _fingerprint(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
-
-
 def weak_components(edges: DataFrame) -> DataFrame:
     """Component id (smallest node) per node, by alternating large-star and small-star
     steps; the number of rounds grows with the log of the size, not the diameter."""
     pairs = cut(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
-    seen = None
-    while (mark := _fingerprint(pairs)) != seen:
-        seen = mark
+    moved = True
+    while moved:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b")).where("a <> b").distinct()
-        pairs = cut(small)
+        small = cut(small)
+        moved = not small.join(pairs, ["a", "b"], "left_anti").isEmpty() or not pairs.join(small, ["a", "b"], "left_anti").isEmpty()
+        pairs = small
     nodes = edges.select(F.col("u").alias("node_id")).unionByName(edges.select(F.col("v").alias("node_id"))).distinct()
     root = pairs.select(F.col("a").alias("node_id"), F.col("b").alias("component"))
     return nodes.join(root, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))

@@ -129,11 +129,14 @@ def _overlaps(windows: list[tuple[float, float]]) -> Column:
 
 def window_trips(moves: DataFrame, windows: list[tuple[float, float]], bbox=None) -> DataFrame:
     """Moves that meet each window and the box.  Any number of windows is one scan:
-    the windows are parameters, so no join takes place."""
+    the windows are parameters, so no join takes place.  A table stored with its extent
+    (``with_extent``) is filtered while it is read."""
     lo, hi = min(a for a, _ in windows), max(b for _, b in windows)
     rows = moves.where((F.col("t1") >= lo) & (F.col("t0") <= hi))
     if bbox is not None:
-        rows = rows.where(bbox_overlap(extent(F.col("path")), bbox))
+        stored = {"south", "west", "north", "east"} <= set(moves.columns)
+        own = F.struct("south", "west", "north", "east") if stored else extent(F.col("path"))
+        rows = rows.where(bbox_overlap(own, bbox))
     return rows.withColumn("window", F.explode(_overlaps(windows)))
 
 
@@ -155,18 +158,31 @@ def interval_join(instants: DataFrame, intervals: DataFrame, keys: list[str], wi
     return points.join(spans, keys + ["_b"]).where(F.col("t").between(F.col("t0"), F.col("t1"))).drop("_b")
 
 
-def positions_at(moves: DataFrame, stays_: DataFrame, instants: list[float], bbox=None) -> DataFrame:
+def positions_at(moves: DataFrame, stays_: DataFrame, instants: list[float] | DataFrame, bbox=None) -> DataFrame:
     """State and place of every agent at each instant: the first move that covers it,
-    else the first stay, else no row."""
-    at = F.array(*[F.lit(float(t)) for t in instants])
-    hits = F.filter(at, lambda t: (t >= F.col("t0")) & (t <= F.col("t1")))
+    else the first stay, else no row.
+
+    Instants are a few numbers, or a table of any size with a column ``t``, which then
+    meets the intervals on time buckets.  The point is worked out before any shuffle, so
+    polylines stay where they are.
+    """
     keys = RUN + ["agent_id"]
-    m = moves.withColumn("t", F.explode(hits))
+    if isinstance(instants, DataFrame):
+        asked = instants.select(F.col("t").cast("double").alias("t")).where("t is not null").distinct()
+
+        def covering(rows: DataFrame) -> DataFrame:
+            return interval_join(asked, rows, [])
+    else:
+        at = F.array(*[F.lit(float(t)) for t in instants])
+
+        def covering(rows: DataFrame) -> DataFrame:
+            return rows.withColumn("t", F.explode(F.filter(at, lambda t: (t >= F.col("t0")) & (t <= F.col("t1")))))
+
     frac = (F.col("t") - F.col("t0")) / F.greatest(F.lit(1), F.col("t1") - F.col("t0"))
-    m = m.groupBy(*keys, "t").agg(F.min_by(F.struct("t0", "t1", "path", "mode"), F.struct("t0", "trip_key")).alias("_m")).select(*keys, "t", "_m.*")
-    m = m.withColumn("_p", position_at_fraction(F.col("path"), cumulative_km(F.col("path")), frac))
-    m = m.select(*keys, "t", F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"), F.lit("in_transit").alias("state"), "mode")
-    s = stays_.withColumn("t", F.explode(hits)).groupBy(*keys, "t").agg(
+    m = covering(moves).withColumn("_p", position_at_fraction(F.col("path"), cumulative_km(F.col("path")), frac))
+    m = m.groupBy(*keys, "t").agg(F.min_by(F.struct("_p.lat", "_p.lon", "mode"), F.struct("t0", "trip_key")).alias("_m"))
+    m = m.select(*keys, "t", F.col("_m.lat").alias("lat"), F.col("_m.lon").alias("lon"), F.lit("in_transit").alias("state"), F.col("_m.mode").alias("mode"))
+    s = covering(stays_).groupBy(*keys, "t").agg(
         F.min_by(F.struct("lat", "lon", "state"), F.struct("t0", "t1")).alias("_s")).select(*keys, "t", "_s.*")
     s = s.withColumn("mode", F.lit("")).join(m, keys + ["t"], "left_anti")
     rows = m.unionByName(s)

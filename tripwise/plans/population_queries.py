@@ -160,7 +160,28 @@ def new_people(t):
     return t.supplier.select(F.col("s_suppkey").alias("idx"))
 
 
-@query("bootstrap_marginals")
+#: Columns of a persona that are drawn, with their names in the views.
+DRAWN = {c: "Group_" if c == "Group" else c for c in (
+    "Income", "Age", "CarAccess", "TransitAccess", "MobilityNeeds", "EnvConscious", "RiskSalience", "WalkTolerance", "Budget", "PrimaryInterest", "TimeWindow",
+    "Group", "TopRated", "WillingnessAI", "openness", "bigfive_extraversion", "lv_trust_platforms", "q22_advice_preference", "q6_4a_review", "q14_spontaneity")}
+
+
+def keyed_order(key: str, salt: str) -> str:
+    """0-based row numbers in a keyed random order, as SQL."""
+    return f"row_number() OVER (ORDER BY CAST('0x' || substr(md5({key} || ':{salt}'), 1, 8) AS BIGINT), {key}) - 1"
+
+
+BOOTSTRAP = f"""ba AS (SELECT *, {keyed_order('PersonaID', 'base42')} AS i FROM f_personas WHERE PersonaID <> ''),
+ nw AS (SELECT printf('SYN%04d', s_suppkey) AS id FROM supplier),
+ us AS (SELECT DISTINCT round(TRY_CAST(start_latitude AS DOUBLE), 6) AS la, round(TRY_CAST(start_longitude AS DOUBLE), 6) AS lo FROM f_personas WHERE PersonaID <> ''),
+ fr AS (SELECT round(lat, 6) AS la, round(lon, 6) AS lo, CAST(min(node_id) AS VARCHAR) AS nid, min(lat) AS lat, min(lon) AS lon FROM f_nodes WHERE is_base GROUP BY ALL),
+ fo AS (SELECT *, {keyed_order('nid', 'free42')} AS i FROM fr WHERE NOT EXISTS (SELECT 1 FROM us WHERE us.la = fr.la AND us.lo = fr.lo)),
+ po AS (SELECT id, {keyed_order('id', 'order42')} AS k FROM nw)"""
+
+
+@query("bootstrap_marginals", f"""WITH {BOOTSTRAP} SELECT po.id AS PersonaID, {', '.join(f'b{j}.{col} AS "{name}"' for j, (name, col) in enumerate(DRAWN.items()))},
+ printf('%.6f', fo.lat) AS start_latitude, printf('%.6f', fo.lon) AS start_longitude FROM po JOIN fo ON fo.i = po.k % (SELECT count(*) FROM fo)
+ {' '.join(f"JOIN ba b{j} ON b{j}.i = CAST(floor({sql_u(q('PersonaID'), 'po.id', q(name), q('42'))} * (SELECT count(*) FROM ba)) AS BIGINT)" for j, name in enumerate(DRAWN))}""")
 def bootstrap_marginals(t):
-    """A draw: checked by tests (marginals, distinct homes), not by SQL."""
+    """New personas, every column drawn on its own."""
     return N.bootstrap_marginals(personas(t).drop("agent_id"), t.nodes, new_people(t))

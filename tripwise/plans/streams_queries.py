@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripwise.plans.feedback_queries import DELTA, FOLD, sql_cost_state
+from tripwise.plans.feedback_queries import DELTA, FOLD, KEYS, places, sql_cost_state
 from tripwise.plans.registry import query, rounded
 from tripwise.plans.tables import VIEWS
 from tripwise.streaming import jobs as L
@@ -40,20 +40,23 @@ def stream_visits_sliding(t):
     return L.latest(t.spark, out, ["since", "place_id"]).withColumn("since", F.unix_timestamp("since"))
 
 
-# windows still open at the end of the stream are not released
-CLOSED = "(SELECT * FROM f_feedback WHERE {where} AND epoch(date_trunc('minute', ts)) + 60 <= (SELECT epoch(max(ts)) - 600 FROM f_feedback WHERE {where}))"
-RATED = "kind <> 'visit'"
-
-
-@query("stream_affinity", f"""WITH ev AS {CLOSED.format(where=RATED)} SELECT source, user_id, place_id, round({FOLD.format(o='ts, event_id')}, 9) AS aff FROM (SELECT *, {DELTA} AS d FROM ev) GROUP BY ALL""")
+@query("stream_affinity", f"""SELECT source, user_id, place_id, round({FOLD.format(o='ts, event_id')}, 9) AS aff FROM (SELECT *, {DELTA} AS d FROM f_feedback WHERE kind <> 'visit') GROUP BY ALL""")
 def stream_affinity(t):
     out, checkpoint = L.folders(t.spark, "affinity")
     L.stream_affinity(feedback_stream(t), out, checkpoint)
-    return rounded(L.last_state(t.spark, out), 9)
+    return rounded(L.with_tail(L.rated_events(t.feedback), out, L.PLACE_KEYS, L.affinity_fold), 9)
+
+
+@query("stream_keyword_affinity", f"""SELECT source, user_id, keyword, round({FOLD.format(o='ts, event_id')}, 9) AS aff FROM (SELECT f.*, {DELTA} * 0.7e0 AS d, unnest(keywords) AS keyword FROM f_feedback f
+ JOIN f_places USING (place_id) JOIN {KEYS} USING (category) WHERE kind <> 'visit') GROUP BY ALL""")
+def stream_keyword_affinity(t):
+    out, checkpoint = L.folders(t.spark, "keyword-affinity")
+    L.stream_keyword_affinity(feedback_stream(t), places(t), out, checkpoint)
+    return rounded(L.with_tail(L.rated_words(t.feedback, places(t)), out, L.WORD_KEYS, L.keyword_fold), 9)
 
 
-@query("stream_travel_cost", f"WITH RECURSIVE ev AS {CLOSED.format(where='TRUE')}, {sql_cost_state('ev')} SELECT user_id, n, round(ema, 6) AS avg_travel_cost, round(vot, 6) AS vot FROM fin")
+@query("stream_travel_cost", f"WITH RECURSIVE ev AS (SELECT * FROM f_feedback), {sql_cost_state('ev')} SELECT user_id, n, round(ema, 6) AS avg_travel_cost, round(vot, 6) AS vot FROM fin")
 def stream_travel_cost(t):
     out, checkpoint = L.folders(t.spark, "travel-cost")
     L.stream_travel_cost(feedback_stream(t), out, checkpoint)
-    return rounded(L.last_state(t.spark, out))
+    return rounded(L.with_tail(t.feedback, out, ["user_id"], L.travel_cost_fold))

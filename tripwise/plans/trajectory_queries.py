@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tripwise import functions as X
 from tripwise.operators import trajectory as J
 from tripwise.plans.registry import query, rounded
+from tripwise.session import scratch_path
 from tripwise.plans.scalars_queries import hav
 
 c = F.col
@@ -141,7 +142,10 @@ BOXED = "NOT (greatest(lat0, lat1) < 40.72 OR least(lat0, lat1) > 40.77 OR great
 
 @query("window_trips", f"WITH {MERGED} SELECT trip_key, win AS \"window\" FROM mg, {WIN} WHERE a1 >= lo AND a0 <= hi AND {BOXED}")
 def window_trips(t):
-    return J.window_trips(J.merge_days(t.moves), WINDOWS, BOX).select("trip_key", "window")
+    """Over moves stored with their extent, as a viewer would keep them."""
+    path = scratch_path(t.spark, "moves")
+    J.with_extent(J.merge_days(t.moves)).write.parquet(path)
+    return J.window_trips(t.spark.read.parquet(path), WINDOWS, BOX).select("trip_key", "window")
 
 
 @query("window_stays", f"""WITH {STAYS} SELECT treatment, seed, agent_id, t0 + day * 1440 AS t0, t1 + day * 1440 AS t1, win AS "window", state, {STATE_RGB} AS color FROM sy, {WIN}
@@ -153,29 +157,53 @@ def window_stays(t):
 
 INSTANTS = [500.5, 800.0, 2161.25, 3900.0]
 TS = "(VALUES (500.5e0), (800e0), (2161.25e0), (3900e0)) q(t)"
-AT_MOVES = f"""{MERGED}, hit AS (SELECT * FROM (SELECT treatment, seed, agent_id, t, trip_key, mode, (t - a0) / greatest(1, a1 - a0) AS frac, row_number() OVER (PARTITION BY treatment, seed, agent_id, t ORDER BY a0, trip_key) AS rn
-  FROM mg, {TS} WHERE t BETWEEN a0 AND a1) WHERE rn = 1)"""
+def at_moves(ts: str) -> str:
+    return f"""{MERGED}, hit AS (SELECT * FROM (SELECT treatment, seed, agent_id, t, trip_key, mode, (t - a0) / greatest(1, a1 - a0) AS frac, row_number() OVER (PARTITION BY treatment, seed, agent_id, t ORDER BY a0, trip_key) AS rn
+  FROM mg, {ts} WHERE t BETWEEN a0 AND a1) WHERE rn = 1)"""
 
 
-@query("positions_at", f"""WITH {AT_MOVES}, {STAYS}, {VERTS}, sgm AS (SELECT trip_key, i, cum, max(cum) OVER (PARTITION BY trip_key) AS tot, lag(cum) OVER w AS c0, lag(lat) OVER w AS la0, lag(lon) OVER w AS lo0, lat AS la1, lon AS lo1
+def positions_sql(ts: str) -> str:
+    return f"""WITH {at_moves(ts)}, {STAYS}, {VERTS}, sgm AS (SELECT trip_key, i, cum, max(cum) OVER (PARTITION BY trip_key) AS tot, lag(cum) OVER w AS c0, lag(lat) OVER w AS la0, lag(lon) OVER w AS lo0, lat AS la1, lon AS lo1
    FROM cu WINDOW w AS (PARTITION BY trip_key ORDER BY i)),
  mv AS (SELECT * FROM (SELECT h.*, CASE WHEN cum - c0 <= 0 THEN 0e0 ELSE (h.frac * tot - c0) / (cum - c0) END AS f, la0, la1, lo0, lo1, row_number() OVER (PARTITION BY treatment, seed, agent_id, t ORDER BY i) AS rk
    FROM hit h JOIN sgm USING (trip_key) WHERE i >= 1 AND cum >= h.frac * tot) WHERE rk = 1),
  st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY treatment, seed, agent_id, t ORDER BY t0 + day * 1440, t1 + day * 1440) AS rn
-   FROM sy, {TS} WHERE t BETWEEN t0 + day * 1440 AND t1 + day * 1440) WHERE rn = 1)
+   FROM sy, {ts} WHERE t BETWEEN t0 + day * 1440 AND t1 + day * 1440) WHERE rn = 1)
  SELECT treatment, seed, agent_id, t, round(la0 + (la1 - la0) * f, 7) AS lat, round(lo0 + (lo1 - lo0) * f, 7) AS lon, 'in_transit' AS state, mode FROM mv UNION ALL
- SELECT treatment, seed, agent_id, t, round(lat + {OFF}, 7), round(lon + {OFF}, 7), state, '' FROM st WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.treatment = st.treatment AND h.seed = st.seed AND h.agent_id = st.agent_id AND h.t = st.t)""")
-def positions_at(t):
-    rows = J.positions_at(J.merge_days(t.moves), J.merge_day_stays(stays(t)), INSTANTS)
+ SELECT treatment, seed, agent_id, t, round(lat + {OFF}, 7), round(lon + {OFF}, 7), state, '' FROM st WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.treatment = st.treatment AND h.seed = st.seed AND h.agent_id = st.agent_id AND h.t = st.t)"""
+
+
+def placed(t, instants):
+    rows = J.positions_at(J.merge_days(t.moves), J.merge_day_stays(stays(t)), instants)
     shift = F.when(c("state") == "in_transit", 0.0).otherwise(OFF)
     return rounded(rows.select("treatment", "seed", "agent_id", "t", (c("lat") + shift).alias("lat"), (c("lon") + shift).alias("lon"), "state", "mode"), 7)
 
 
-@query("keyframe_position")
+@query("positions_at", positions_sql(TS))
+def positions_at(t):
+    return placed(t, INSTANTS)
+
+
+@query("positions_at_table", positions_sql("(SELECT DISTINCT (p_size * 83 + 7) + 0.25e0 AS t FROM part) q"))
+def positions_at_table(t):
+    """Instants from a table."""
+    return placed(t, t.part.select((c("p_size") * 83 + 7 + F.lit(0.25)).alias("t")))
+
+
+KEYPOS = f"""kv AS (SELECT trip_key, t0 + day * 1440 AS t0, t1 + day * 1440 AS t1, unnest(path) AS pt, unnest(range(0, len(path))) AS i FROM f_moves),
+ ks AS (SELECT *, CASE WHEN i = 0 THEN 0e0 ELSE {hav('lag(pt.lat) OVER w', 'lag(pt.lon) OVER w', 'pt.lat', 'pt.lon')} END AS step FROM kv WINDOW w AS (PARTITION BY trip_key ORDER BY i)),
+ kc AS (SELECT *, sum(step) OVER (PARTITION BY trip_key ORDER BY i) AS cum, sum(step) OVER (PARTITION BY trip_key) AS tot FROM ks),
+ kr AS (SELECT trip_key, i, round_even(pt.lat + {OFF}, 5) AS lat, round_even(pt.lon + {OFF}, 5) AS lon, {STAMP} AS stamp FROM kc),
+ kp AS (SELECT *, lag(lat) OVER w AS la0, lag(lon) OVER w AS lo0, lag(stamp) OVER w AS at0, max(stamp) OVER (PARTITION BY trip_key) AS at1 FROM kr WINDOW w AS (PARTITION BY trip_key ORDER BY i)),
+ kh AS (SELECT kp.*, t, row_number() OVER (PARTITION BY trip_key, t ORDER BY i) AS rn FROM kp, {TS} WHERE t <= stamp AND t <= at1 AND (i > 0 OR t = stamp))"""
+
+
+@query("keyframe_position", f"""WITH {KEYPOS} SELECT trip_key, t, round(CASE WHEN i = 0 THEN lat ELSE la0 + (lat - la0) * (t - at0) / CASE WHEN stamp = at0 THEN 1e0 ELSE stamp - at0 END END, 7) AS lat,
+ round(CASE WHEN i = 0 THEN lon ELSE lo0 + (lon - lo0) * (t - at0) / CASE WHEN stamp = at0 THEN 1e0 ELSE stamp - at0 END END, 7) AS lon FROM kh WHERE rn = 1 AND (i = 0 OR t >= at0)""")
 def keyframe_position(t):
-    """Along rounded records; the exact rule is tested on hand-made rows."""
-    rows = J.keyframe_positions(J.trip_keyframes(J.merge_days(t.moves)), INSTANTS)
-    return rounded(rows.select("trip_key", "t", c("position.lat").alias("lat"), c("position.lon").alias("lon")), 5)
+    """Along rounded records."""
+    rows = J.keyframe_positions(J.trip_keyframes(J.merge_days(off_ties(t))), INSTANTS)
+    return rounded(rows.select("trip_key", "t", c("position.lat").alias("lat"), c("position.lon").alias("lon")), 7)
 
 
 @query("pois_in_bbox", f"SELECT place_id FROM f_places WHERE {IN}")

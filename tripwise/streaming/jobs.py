@@ -78,48 +78,90 @@ def closed_windows(events: DataFrame, keys: list[str], fields: list[str], delay:
 Fold = Callable[[DataFrame, "DataFrame | None"], DataFrame]
 
 
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the finished state tables, in order."""
+    path = _path(spark, folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = [p for p in found if fs.exists(_path(spark, f"{p}/_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("state="))
+
+
+def folded(events: DataFrame, state: DataFrame | None, keys: list[str], fold: Fold) -> DataFrame:
+    """The state after some more events."""
+    new = fold(events, state)
+    return new if state is None else new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
+
+
 def run_fold(windows: DataFrame, keys: list[str], fold: Fold, folder: str, checkpoint: str) -> None:
     """Fold every micro-batch of closed windows onto the state before it.
 
     ``fold(events, state)`` returns the new state of the touched keys; untouched
     keys are carried over.  The state of batch n is a table in ``folder/state=<n>``;
-    the newest smaller one is its predecessor.
+    the newest smaller one is its predecessor.  A batch that may run again needs only
+    that one, so older tables are deleted.
     """
     spark = windows.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-
-    def versions(session: SparkSession) -> list[int]:
-        fs = fs_path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(fs_path)]
-        done = [p for p in found if fs.exists(session.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("state="))
 
     def step(batch: DataFrame, n: int) -> None:
-        before = [v for v in versions(spark) if v < n]
+        before = [v for v in versions(spark, folder) if v < n]
         state = spark.read.parquet(f"{folder}/state={before[-1]}") if before else None
         events = batch.select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
-        new = fold(events, state)
-        if state is not None:
-            new = new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
-        new.write.mode("overwrite").parquet(f"{folder}/state={n}")
+        folded(events, state, keys, fold).write.mode("overwrite").parquet(f"{folder}/state={n}")
+        for old in before[:-1]:
+            path = _path(spark, f"{folder}/state={old}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     windows.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def last_state(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest state table."""
-    table = spark.read.option("basePath", folder).parquet(f"{folder}/state=*")
-    newest = table.agg(F.max("state")).first()[0]
-    return spark.read.parquet(f"{folder}/state={newest}")
+def last_state(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest state table; none before the first window is closed."""
+    done = versions(spark, folder)
+    return spark.read.parquet(f"{folder}/state={done[-1]}") if done else None
+
+
+def with_tail(events: DataFrame, folder: str, keys: list[str], fold: Fold, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
+    """The newest state with the events on top that still wait for the watermark, for
+    readers that want everything seen so far.  ``events`` are those of the job as a plain
+    table; the stored state stays as it is, so the stream goes on without a gap."""
+    events = event_time(events)
+    closed = events.agg(F.max("ts") - F.expr(f"interval {delay}")).scalar()
+    held = events.where(F.window("ts", width)["end"] > closed)
+    return folded(held, last_state(events.sparkSession, folder), keys, fold)
+
+
+PLACE_KEYS = ["source", "user_id", "place_id"]
+WORD_KEYS = ["source", "user_id", "keyword"]
 
 
 def affinity_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
     """Clamped additions per (source, user, place) on top of the state."""
-    keys = ["source", "user_id", "place_id"]
-    rated = events.withColumn("delta", B.signed_delta(F.col("kind") == "like", F.col("strength")))
-    return B.clamped_fold(rated, keys, ["ts", "event_id"], B.ts_bucket(), initial=state)
+    return B.clamped_fold(events, PLACE_KEYS, ["ts", "event_id"], B.ts_bucket(), initial=state)
+
+
+def keyword_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Clamped additions per (source, user, key word) on top of the state."""
+    return B.clamped_fold(events, WORD_KEYS, ["ts", "event_id", "pos"], B.ts_bucket(), initial=state)
+
+
+def rated_events(events: DataFrame) -> DataFrame:
+    """Likes and dislikes with their signed step."""
+    rated = events.where(F.col("kind").isin("like", "dislike") & F.col("source").isin(*B.SOURCES))
+    return rated.withColumn("delta", B.signed_delta(F.col("kind") == "like", F.col("strength")))
+
+
+def rated_words(events: DataFrame, places: DataFrame) -> DataFrame:
+    """Discounted steps for every key word of the rated place."""
+    rows = rated_events(events).join(places.select("place_id", "keywords"), "place_id").select(
+        "source", "user_id", "ts", "event_id", (F.col("delta") * P.FEEDBACK["keyword_discount"]).alias("delta"), F.posexplode("keywords").alias("pos", "word"))
+    return rows.withColumn("keyword", F.lower("word")).drop("word")
 
 
 def travel_cost_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
@@ -128,9 +170,13 @@ def travel_cost_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def stream_affinity(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    rated = events.where(F.col("kind").isin("like", "dislike") & F.col("source").isin(*B.SOURCES))
-    windows = closed_windows(rated, ["source", "user_id", "place_id"], ["event_id", "kind", "strength"], delay)
-    run_fold(windows, ["source", "user_id", "place_id"], affinity_fold, folder, checkpoint)
+    windows = closed_windows(rated_events(events), PLACE_KEYS, ["event_id", "delta"], delay)
+    run_fold(windows, PLACE_KEYS, affinity_fold, folder, checkpoint)
+
+
+def stream_keyword_affinity(events: DataFrame, places: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
+    windows = closed_windows(rated_words(events, places), WORD_KEYS, ["event_id", "pos", "delta"], delay)
+    run_fold(windows, WORD_KEYS, keyword_fold, folder, checkpoint)
 
 
 def stream_travel_cost(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
