@@ -73,12 +73,14 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
         "sha256", F.col("b.d").alias("first"), F.col("b.u").alias("first_uri"), F.col("b.page_id").alias("first_id"),
         F.when(F.col("low") == F.col("high"), True).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("sound"),
     )
-    # the stored copy comes from the first page; rows with that page's id and url are few
-    keep = first.where("sound").select("first", "first_uri", F.col("sha256").alias("keep_digest"))
-    stored = rows.withColumns({"first": F.coalesce("page_id", F.lit(NO_ID)), "first_uri": F.coalesce("uri", F.lit(""))})
-    stored = stored.join(keep, ["first", "first_uri"]).where(F.unhex(F.sha2("payload", 256)) == F.col("keep_digest"))
+    # the stored copy comes from the first page: with its id and url in the key, copies of
+    # a frequent payload spread over all tasks
+    key = ["first", "first_uri", "sha256"]
+    stored = rows.withColumns({
+        "first": F.coalesce("page_id", F.lit(NO_ID)), "first_uri": F.coalesce("uri", F.lit("")), "sha256": F.unhex(F.sha2("payload", 256))})
+    stored = stored.join(first.where("sound").select(*key), key, "left_semi")
     # the same page may occur twice: its rows agree, so any of them will do
-    stored.select(F.col("keep_digest").alias("sha256"), "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    stored.dropDuplicates(key).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     response = (F.col("size") < min_revisit_bytes) | (F.coalesce("page_id", F.lit(NO_ID)) == F.col("first"))
     told = named.join(first, "sha256").withColumns({
         "record_type": F.when(response, F.lit("response")).otherwise(F.lit("revisit")),
