@@ -107,6 +107,10 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     cut = _cuts(rows, plan)
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
     plan = plan.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "p", "last")
+    # written: as a table of known size it is sent to the documents, which then stay in place
+    told = scratch_path(spark, "plan")
+    plan.write.parquet(told)
+    plan = spark.read.schema(plan.schema).parquet(told)
     mixed = numbered.join(plan, F.col("source").eqNullSafe(F.col("_src")), "left")
     order = F.struct(
         _rank_key(F.col("_draw"), F.col("p"), F.col("_boost")).alias("bits"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("d"),
