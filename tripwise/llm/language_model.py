@@ -14,8 +14,8 @@ over unseen words, so every dish has one table there:
 Seating is sampled by Gibbs sweeps: the tables of every (u, w) are redrawn given all others,
 from their exact conditional (generalised Stirling numbers) for up to ``EXACT`` customers,
 else by seating the customers anew in growing parties.  Sweeps update all words at once from
-the totals of the sweep before.  The predictive probabilities of the last ``SAMPLES`` sweeps
-are averaged.
+the totals of the sweep before.  The predictive probabilities of the last ``SAMPLES`` seatings
+are averaged; each sums to one in every restaurant.
 
 Work: texts are read once and become blocks: the distinct (word, context) pairs of about
 ``BLOCK`` tokens, cut into parts by word hash, and per text the numbers of its pairs.  A
@@ -41,7 +41,7 @@ from tripwise.session import scratch_path
 #: Parameters: restaurants, sweeps before and after the first sample, strengths, tokens per
 #: block, documents per part of the vocabulary.
 CONTEXTS = 64
-BURN_IN = 2
+BURN_IN = 1
 SAMPLES = 3
 STRENGTH = 1.0
 BLOCK = 1 << 22
@@ -259,18 +259,20 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_STATE_NAMES, [(part, all_words.tobytes(), _pack(sizes), _pack(own), _pack(c), _pack(t.astype(np.int64)), _pack(np.zeros(0)), _sums(c, t, own, wi, len(all_words)))])
 
 
-def _sweep(state: DataFrame, total: Totals, number: int, sample: bool, seed: int) -> DataFrame:
+def _sweep(state: DataFrame, total: Totals, number: int, seed: int) -> DataFrame:
+    """Sample the seating as it is, with its own totals, then redraw it."""
+
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 words, sizes, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.uint8), _unpack(r["ctx"], np.uint8)
                 c, t, acc = _unpack(r["c"], np.int64), _unpack(r["t"], np.int64), _unpack(r["acc"], np.float64)
                 wi = np.repeat(np.arange(len(words)), sizes)
-                t = resample(c, t, ctx, wi, len(words), total, np.random.default_rng([seed, number, r["part"]]))
-                if sample:
-                    # totals of this sweep are known after it; the sample uses those it was drawn from
+                if number > BURN_IN:
                     p = predictive(c, t, ctx, wi, len(words), total)
                     acc = p if not len(acc) else acc + p
+                if number < BURN_IN + SAMPLES:
+                    t = resample(c, t, ctx, wi, len(words), total, np.random.default_rng([seed, number, r["part"]]))
                 yield _rows(_STATE_NAMES, [(r["part"], r["words"], r["sizes"], r["ctx"], r["c"], _pack(t), _pack(acc), _sums(c, t, ctx, wi, len(words)))])
 
     return state.mapInArrow(sweep, _STATE)
@@ -346,9 +348,9 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31)
     dealt.mapInArrow(_merged, _STATE).write.option("compression", "uncompressed").parquet(state_path)
     state = spark.read.schema(_STATE).parquet(state_path)
     first = total = _totals(state)
-    for number in range(BURN_IN + SAMPLES):
+    for number in range(BURN_IN + SAMPLES + 1):
         next_path = scratch_path(spark, "seating")
-        _sweep(state, total, number, number >= BURN_IN, seed).write.option("compression", "uncompressed").parquet(next_path)
+        _sweep(state, total, number, seed).write.option("compression", "uncompressed").parquet(next_path)
         delete_path(spark, state_path)
         state_path = next_path
         state = spark.read.schema(_STATE).parquet(state_path)
