@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripwise.session import scratch_path
+
 #: The white space of all contracts, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 #: Java pattern of one word between that white space.
@@ -44,6 +46,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again.  A join with it deals both sides by a
+    plain exchange, so that Spark can split a key with many rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold_of(c: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(c.cast("string").cast("binary")) % folds

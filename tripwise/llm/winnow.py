@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import ascii_lower, text_key
+from tripwise.llm.common import ascii_lower, stored, text_key
 from tripwise.session import scratch_path
 
 #: Fixed value: ASCII characters that separate words, after lower-casing.
@@ -127,7 +127,7 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     if diagonals is None:
         return docs.withColumns({
             "_n": n_words(F.col("text")), "_hit": F.lit(None).cast("bigint"), "_ids": F.lit(None).cast("array<string>")})
-    lines = diagonals.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "d", "m")).alias("lines"))
+    lines = stored(diagonals.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "d", "m")).alias("lines")), "diagonals")
     # texts travel to their diagonals as texts: as word arrays they are several times larger
     suspects = with_words(keyed.join(lines, ["k1", "k2"]))
     parts = suspects.select(
@@ -154,5 +154,5 @@ def _extended(docs: DataFrame, parts: DataFrame, item_words: DataFrame, window:
     )
     counted = docs.withColumn("_n", n_words(F.col("text")))
     counted = counted.withColumns(dict(zip(("_k1", "_k2"), text_key(F.coalesce("text", F.lit(""))), strict=True)))
-    per_text = per_text.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    per_text = stored(per_text, "hits").withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
     return counted.join(per_text, ["_k1", "_k2"], "left").drop("_k1", "_k2")
