@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import NO_ID, WORD, text_key
+from tripwise.llm.common import NO_ID, WORD, stored, text_key
 from tripwise.llm.hashing import mixed, pieces, shingles, word_hashes
 from tripwise.session import scratch_path
 
@@ -165,13 +165,6 @@ def _key() -> list[Column]:
     return text_key(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _shared_postings(sets: DataFrame) -> DataFrame:
     """(sh, gid, n, pos) of prefix shingles that two groups have; hot ones are dealt in parts."""
     posted = sets.where("prefix is not null").select("gid", "n", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "p"))
@@ -214,17 +207,17 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds; each takes the minimum of a node's
     neighbours by an aggregate and joins it back, so no list of neighbours is ever held.
     """
-    edges = _kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         # large star: neighbours above u go to the smallest of u and its neighbours
         around = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = _kept(large, "edges")
+        large = stored(large, "edges")
         # small star: neighbours below u, and u itself, go to the smallest of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        small = _kept(small.where("u <> v").distinct(), "edges")
+        small = stored(small.where("u <> v").distinct(), "edges")
         moved = small.join(edges, ["u", "v"], "left_anti").unionByName(edges.join(small, ["u", "v"], "left_anti")).limit(1).count()
         edges = small
         if not moved:
@@ -245,14 +238,14 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), bits: int | No
     if bits is None:
         bits = int(min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * max(1, docs.count()))))))
     levels = shingle_levels(docs, like, bits)
-    sets = _kept(_describe(docs, like, levels, bits), "sets")
-    shared = _kept(_shared_postings(sets), "postings")
+    sets = stored(_describe(docs, like, levels, bits), "sets")
+    shared = stored(_shared_postings(sets), "postings")
     comp = _links(spark, docs, sets, shared, like)
     labelled = sets.select("doc_id", "k1", "k2", "n", "node").join(comp.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     labelled = labelled.withColumn("label", F.coalesce("comp", "node")).drop("_node", "comp", "node")
-    linked = _kept(labelled.where("n > 0"), "labels")
+    linked = stored(labelled.where("n > 0"), "labels")
     # written, so that the join deals both sides and a large component can be split
-    least = _kept(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
+    least = stored(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
     alone = sets.where("n = 0").select("doc_id", "k1", "k2", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("label"))
     told = linked.join(least, "label").select("doc_id", "k1", "k2", F.col("n").cast("bigint").alias("n_shingles"), "component_id", "label")
     return told.unionByName(alone)
@@ -264,7 +257,7 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, shared: DataFr
         F.min(F.struct("k1", "k2")).alias("k"), F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("central").alias("central"), F.first("mins").alias("mins"))
     several = sets.where("n > 0").groupBy("gid").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gid")
     alive = shared.select("gid").unionByName(several).distinct()
-    family = _kept(members.join(alive, "gid").select("node", "k.k1", "k.k2", "gid", "n", "central", "mins"), "family")
+    family = stored(members.join(alive, "gid").select("node", "k.k1", "k.k2", "gid", "n", "central", "mins"), "family")
     keyed = docs.select(*_key(), "text")
     texts = keyed.join(family.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "text")
     # bucketed by node: both verifications find the texts in place
@@ -275,13 +268,14 @@ def _links(spark: SparkSession, docs: DataFrame, sets: DataFrame, shared: DataFr
     # stars around the most typical set of every minimum hash and of every group
     keys = family.select("node", "central", F.posexplode(F.concat("mins", F.array("gid"))).alias("i", "key"))
     hubs = keys.groupBy("i", "key").agg(F.max(F.struct("central", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = stored(hubs, "hubs")
     stars = keys.join(hubs, ["i", "key"]).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    edges = _kept(_verified(texts, _kept(stars, "stars"), like), "links")
-    comp = _kept(components(edges), "comps")
+    edges = stored(_verified(texts, stored(stars, "stars"), like), "links")
+    comp = stored(components(edges), "comps")
     placed = family.join(comp, "node", "left").select("node", "gid", "n", F.coalesce("comp", "node").alias("comp"))
-    placed = _kept(placed, "placed")
-    rest = _kept(_cross_pairs(shared, placed, like), "pairs")
-    more = _kept(_verified(texts, rest, like), "links")
+    placed = stored(placed, "placed")
+    rest = stored(_cross_pairs(shared, placed, like), "pairs")
+    more = stored(_verified(texts, rest, like), "links")
     spark.sql(f"DROP TABLE {name}")  # its files stay, as those of other scratch tables do
     return components(edges.unionByName(more))
 
@@ -291,7 +285,7 @@ def _cross_pairs(shared: DataFrame, placed: DataFrame, like: Likeness) -> DataFr
     parts = placed.groupBy("gid", "comp").agg(F.first("n").alias("n"))
     posted = shared.select("sh", "gid", "pos").join(parts, "gid")
     mixed_up = posted.groupBy("sh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sh")
-    posted = _kept(posted.join(mixed_up, "sh"), "postings")
+    posted = stored(posted.join(mixed_up, "sh"), "postings")
     a = posted.select("sh", F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = posted.select("sh", F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     near = a.join(b, "sh").where("ca < cb").where(100 * F.least("na", "nb") >= like.percent * F.greatest("na", "nb"))
