@@ -107,16 +107,26 @@ def encode_blocks(docs: DataFrame, parts: int, held: int, folds: int) -> DataFra
             yield from flush(open_, (task << 24) + number)
 
     def flush(open_: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
+        lengths = [len(o[2]) for o in open_]
+        texts = [o[:2] for o in open_]
         tokens = np.concatenate([o[2] for o in open_])
         ctx = np.concatenate([o[3] for o in open_])
+        open_.clear()  # a block is large: nothing is kept longer than it is needed
         words, back = np.unique(tokens, return_inverse=True)
+        del tokens
         # words by part, so a part's pairs are consecutive
         order = np.argsort(mixed(words) % np.uint64(parts), kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         words = words[order]
-        pairs, codes = np.unique(place[back] * CONTEXTS + ctx, return_inverse=True)
-        learned = np.repeat([not o[1] for o in open_], [len(o[2]) for o in open_])
+        numbers = place[back]
+        del back
+        numbers *= CONTEXTS
+        numbers += ctx
+        pairs, codes = np.unique(numbers, return_inverse=True)
+        del numbers, ctx
+        codes = codes.astype(np.int32)
+        learned = np.repeat([not held_out for _, held_out in texts], lengths)
         train = np.bincount(codes[learned], minlength=len(pairs))
         word = pairs // CONTEXTS
         sizes = np.bincount(word, minlength=len(words))
@@ -130,11 +140,10 @@ def encode_blocks(docs: DataFrame, parts: int, held: int, folds: int) -> DataFra
             rows.append(("pair", block, int(part[a]), words[a:z].tobytes(), _pack(sizes[a:z].astype(np.uint8)), _pack((pairs[p] % CONTEXTS).astype(np.uint8)),
                          _pack(train[p].astype(np.int32)), None, None, None))
         yield _rows(names, rows)
-        codes = codes.astype(np.int32)
         at, rows = 0, []
-        for doc_id, held_out, own, _ in open_:
-            rows.append(("text", block, None, None, None, None, None, doc_id, held_out, _pack(codes[at:at + len(own)])))
-            at += len(own)
+        for (doc_id, held_out), size in zip(texts, lengths, strict=True):
+            rows.append(("text", block, None, None, None, None, None, doc_id, held_out, _pack(codes[at:at + size])))
+            at += size
         yield _rows(names, rows)
 
     told = docs.select(
