@@ -165,3 +165,34 @@ def test_probabilities_sum_to_one():
     total = language_model.Totals(c.sum(axis=0).astype(float), t.sum(axis=0).astype(float), float(words), 0.6, 0.4)
     p = language_model.predictive(flat_c, flat_t, ctx, wi, words + 1, total)
     assert np.allclose([p[ctx == u].sum() for u in range(3)], 1)
+
+
+def test_language_model_tells_long_contexts_apart(spark):
+    """Two previous words with one ending, so of one class, keep what follows each of them."""
+    rows = [(i, "redding alpha" if i % 2 else "walking omega") for i in range(400)]
+    asked = [i for i in range(400, 2000) if fold(i, 5) == 1][:4]
+    texts = ["redding alpha", "redding omega", "walking omega", "walking alpha"]
+    docs = spark.createDataFrame(rows + list(zip(asked, texts, strict=True)), "doc_id bigint, text string")
+    score = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs).collect()}
+    a, b, c, d = (score[i] for i in asked)
+    assert a > b + 1 and c > d + 1
+
+
+def test_probabilities_of_words_after_words_sum_to_one():
+    rng = np.random.default_rng(6)
+    words, cids = 40, np.array([0, 65, 129, 130], np.int64)
+    c = rng.integers(0, 4, (words + 1, 4))
+    c[:words, 0] += 1
+    c[words] = 0
+    t = np.minimum(c, 1).ravel()
+    wi, ctx = np.repeat(np.arange(words + 1), 4), np.tile(np.arange(4), words + 1)
+    kind, kwi, back = language_model._classes(wi, ctx, cids)
+    assert set(kind) == {0, 1, 2}
+    kc = np.bincount(back, t, len(kind)).astype(np.int64)
+    kt = np.minimum(kc, 1)
+    sums = [np.bincount(kind, x, language_model.CONTEXTS) for x in (kc, kt)]
+    classes = language_model.Totals(*sums, float(words), 0.6, 0.4)
+    total = language_model.Totals(np.bincount(ctx, c.ravel(), 4), np.bincount(ctx, t, 4), float(words), 0.7, 0.4)
+    parent = language_model.predictive(kc, kt, kind, kwi, words + 1, classes)
+    p = language_model.seated(c.ravel(), t, ctx, parent[back], total)
+    assert np.allclose([p[ctx == u].sum() for u in range(4)], 1)

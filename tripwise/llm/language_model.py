@@ -1,15 +1,15 @@
 """Scoring texts with a hierarchical Pitman-Yor language model.
 
-Restaurants: one per context class, all with one parent, the root.  The class of a context
-is the previous word if it has at most four bytes, else its last two bytes, hashed to
-``CONTEXTS`` restaurants (class 0 is the start of a text); so the number of restaurants is a
-parameter while their customers are all training tokens.  In restaurant u, dish w has c
-customers at t tables, and sends t customers to the root; the root's base measure is diffuse
-over unseen words, so every dish has one table there:
-
-    P(w)     = (m_w - d0) / (s0 + M),  m_w = sum over u of t_uw, M = sum of all m
+Three levels of restaurants.  Every previous word has a restaurant of its own (context 0 is
+the start of a text), so their number grows with the corpus.  Its parent is the restaurant of
+the word's class: the word itself if it has at most four bytes, else its last two bytes,
+hashed to ``CONTEXTS`` classes.  The parent of all classes is the root.  In restaurant u, dish
+w has c customers at t tables, and sends t customers to the parent v of u; the root's base
+measure is diffuse over unseen words, so every dish has one table there:
+
+    P(w)     = (m_w - d0) / (s0 + M),  m_w = sum over classes of t_vw, M = sum of all m
     P(unseen)= (s0 + d0 * V) / (s0 + M)
-    P(w | u) = (c_uw - d * t_uw + (s + d * t_u) * P(w)) / (s + c_u)
+    P(w | u) = (c_uw - d * t_uw + (s + d * t_u) * P(w | v)) / (s + c_u)
 
 Seating is sampled by Gibbs sweeps: the tables of every (u, w) are redrawn given all others,
 from their exact conditional (generalised Stirling numbers) for up to ``EXACT`` customers,
@@ -20,7 +20,10 @@ are averaged; each sums to one in every restaurant.
 Work: texts are read once and become blocks: the distinct (word, context) pairs of about
 ``BLOCK`` tokens, cut into parts by word hash, and per text the numbers of its pairs.  A
 part of the vocabulary with the pairs of all blocks is one unit of the sweeps; only sums per
-restaurant are shared.  Answers go back block by block.  Words are told apart by 64-bit hashes.
+restaurant are shared: those of the classes through the driver, those of the previous words
+by a shuffle, each part sending what it holds to the shards of the contexts' ids and getting
+the whole corpus' sums back.  Answers go back block by block.  Words are told apart by 64-bit
+hashes, contexts by 58 bits of them with the class in the lowest six.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from tripwise.llm.common import delete_path, fold_of
 from tripwise.llm.hashing import mixed, pieces, word_hashes
 from tripwise.session import scratch_path
 
-#: Parameters: restaurants, sweeps before and after the first sample, strengths, tokens per
+#: Parameters: classes of contexts, sweeps before and after the first sample, strengths, tokens per
 #: block, documents per part of the vocabulary.
 CONTEXTS = 64
 BURN_IN = 1
@@ -64,23 +67,24 @@ def _unpack(data: bytes, kind) -> np.ndarray:
 
 
 def text_tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, token hashes, context classes) of every text, the end included."""
+    """(row, token hashes, context ids) of every text, the end included."""
     for first, data, offsets in pieces(texts):
         hashes, bounds, at, to, low = word_hashes(data, offsets)
         size = to - at
         tail = low[np.maximum(to - 2, 0)].astype(np.uint64) * np.uint64(256) + low[to - 1] if len(to) else hashes
         kind = np.where(size <= 4, hashes, mixed(tail + np.uint64(1)))
-        kind = (kind % np.uint64(CONTEXTS - 1) + np.uint64(1)).astype(np.uint8)
+        kind = kind % np.uint64(CONTEXTS - 1) + np.uint64(1)
+        kind = ((hashes & ~np.uint64(CONTEXTS - 1)) | kind).view(np.int64)
         for r in range(len(offsets) - 1):
             a, b = bounds[r], bounds[r + 1]
-            yield first + r, np.append(hashes[a:b], END), np.concatenate([np.zeros(1, np.uint8), kind[a:b]])
+            yield first + r, np.append(hashes[a:b], END), np.concatenate([np.zeros(1, np.int64), kind[a:b]])
 
 
-_BLOCKS = "kind string, block bigint, part bigint, words binary, sizes binary, ctx binary, train binary, doc_id bigint, held_out boolean, codes binary"
+_BLOCKS = "kind string, block bigint, part bigint, words binary, sizes binary, cids binary, ctx binary, train binary, doc_id bigint, held_out boolean, codes binary"
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"kind": pa.string(), "block": pa.int64(), "part": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "rank": pa.int32(),
+    kinds = {"kind": pa.string(), "block": pa.int64(), "part": pa.int64(), "shard": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "rank": pa.int32(),
              "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "sums": pa.list_(pa.float64())}
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(names, cols, strict=True)], names=names)
@@ -121,14 +125,15 @@ def encode_blocks(docs: DataFrame, parts: int, held: int, folds: int) -> DataFra
         words = words[order]
         numbers = place[back]
         del back
-        numbers *= CONTEXTS
+        contexts, ctx = np.unique(ctx, return_inverse=True)
+        numbers *= len(contexts)
         numbers += ctx
         pairs, codes = np.unique(numbers, return_inverse=True)
         del numbers, ctx
         codes = codes.astype(np.int32)
         learned = np.repeat([not held_out for _, held_out in texts], lengths)
         train = np.bincount(codes[learned], minlength=len(pairs))
-        word = pairs // CONTEXTS
+        word = pairs // len(contexts)
         sizes = np.bincount(word, minlength=len(words))
         part = (mixed(words) % np.uint64(parts)).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -137,12 +142,13 @@ def encode_blocks(docs: DataFrame, parts: int, held: int, folds: int) -> DataFra
         rows = []
         for a, z in zip(cuts, stops, strict=True):
             p = slice(edges[a], edges[z])
-            rows.append(("pair", block, int(part[a]), words[a:z].tobytes(), _pack(sizes[a:z].astype(np.uint8)), _pack((pairs[p] % CONTEXTS).astype(np.uint8)),
-                         _pack(train[p].astype(np.int32)), None, None, None))
+            held_ctx, own = np.unique(pairs[p] % len(contexts), return_inverse=True)
+            rows.append(("pair", block, int(part[a]), words[a:z].tobytes(), _pack(sizes[a:z].astype(np.int32)), contexts[held_ctx].tobytes(),
+                         _pack(own.astype(np.int32)), _pack(train[p].astype(np.int32)), None, None, None))
         yield _rows(names, rows)
         at, rows = 0, []
         for (doc_id, held_out), size in zip(texts, lengths, strict=True):
-            rows.append(("text", block, None, None, None, None, None, doc_id, held_out, _pack(codes[at:at + size])))
+            rows.append(("text", block, None, None, None, None, None, None, doc_id, held_out, _pack(codes[at:at + size])))
             at += size
         yield _rows(names, rows)
 
@@ -153,8 +159,8 @@ def encode_blocks(docs: DataFrame, parts: int, held: int, folds: int) -> DataFra
 
 @dataclass(frozen=True)
 class Totals:
-    """Sums over the whole model: tokens and tables per restaurant, root customers, types,
-    and the counts of counts that the discounts come from."""
+    """Sums over the whole model for one level: tokens and tables per restaurant, types, and
+    the discounts of the level and of the root."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -167,18 +173,33 @@ class Totals:
         return float(self.tables.sum())
 
 
-def _sums(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, wi: np.ndarray, n: int) -> list[float]:
-    m = np.bincount(wi, t, n)
-    rest = [float(x) for x in ((m > 0).sum(), (c == 1).sum(), (c == 2).sum(), (m == 1).sum(), (m == 2).sum())]
-    return np.bincount(ctx, c, CONTEXTS).tolist() + np.bincount(ctx, t, CONTEXTS).tolist() + rest
+@dataclass(frozen=True)
+class Model:
+    """Sums of the classes, discount of the previous words' restaurants, training tokens."""
+
+    classes: Totals
+    d: float
+    tokens: float
+
+
+def _classes(wi: np.ndarray, ctx: np.ndarray, cids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, word) of every pair of a word and a class, and each pair's number among them."""
+    pairs, back = np.unique(wi * CONTEXTS + (cids & (CONTEXTS - 1))[ctx], return_inverse=True)
+    return pairs % CONTEXTS, pairs // CONTEXTS, back
 
 
-def _totals(state: DataFrame) -> Totals:
+def _sums(c: np.ndarray, kc: np.ndarray, kt: np.ndarray, kind: np.ndarray, kwi: np.ndarray, n: int) -> list[float]:
+    m = np.bincount(kwi, kt, n)
+    rest = [float(x) for x in ((m > 0).sum(), c.sum(), *((x == i).sum() for x in (c, kc, m) for i in (1, 2)))]
+    return np.bincount(kind, kc, CONTEXTS).tolist() + np.bincount(kind, kt, CONTEXTS).tolist() + rest
+
+
+def _totals(state: DataFrame) -> Model:
     got = {r["i"]: r["s"] for r in state.select(F.posexplode("sums").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).collect()}
-    v = np.array([got.get(i, 0.0) for i in range(2 * CONTEXTS + 5)])
-    types, c1, c2, m1, m2 = v[2 * CONTEXTS:]
+    v = np.array([got.get(i, 0.0) for i in range(2 * CONTEXTS + 8)])
+    types, tokens, c1, c2, k1, k2, m1, m2 = v[2 * CONTEXTS:]
     discount = lambda one, two: float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one + two else 0.5
-    return Totals(v[:CONTEXTS], v[CONTEXTS:2 * CONTEXTS], float(types), discount(c1, c2), discount(m1, m2))
+    return Model(Totals(v[:CONTEXTS], v[CONTEXTS:2 * CONTEXTS], float(types), discount(k1, k2), discount(m1, m2)), discount(c1, c2), float(tokens))
 
 
 def log_stirling(d: float, most: int) -> np.ndarray:
@@ -195,12 +216,16 @@ def log_stirling(d: float, most: int) -> np.ndarray:
 
 
 def resample(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, wi: np.ndarray, n: int, total: Totals, draw: np.random.Generator) -> np.ndarray:
-    """New tables of every pair given those of all others."""
-    out = np.minimum(c, 1).astype(np.int64)
+    """New tables of every pair of a restaurant under the root, given those of all others."""
     if not total.root:
-        return out
+        return np.minimum(c, 1).astype(np.int64)
     m = np.bincount(wi, t, n)
-    parent = (np.maximum(m[wi] - t, 1) - total.d0) / (STRENGTH + total.root)
+    return redraw(c, t, ctx, (np.maximum(m[wi] - t, 1) - total.d0) / (STRENGTH + total.root), total, draw)
+
+
+def redraw(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, parent: np.ndarray, total: Totals, draw: np.random.Generator) -> np.ndarray:
+    """New tables of every pair whose dish has probability ``parent`` in the parent restaurant."""
+    out = np.minimum(c, 1).astype(np.int64)
     others = total.tables[ctx] - t
     stirling = log_stirling(total.d, EXACT)
     for size in range(2, EXACT + 1):
@@ -226,16 +251,31 @@ def resample(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, wi: np.ndarray, n: i
     return out
 
 
+def seated(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, parent: np.ndarray, total: Totals) -> np.ndarray:
+    """P(w | u) of every pair from that of the parent restaurant."""
+    own = np.maximum(c - total.d * t, 0)
+    return (own + (STRENGTH + total.d * total.tables[ctx]) * parent) / (STRENGTH + total.customers[ctx])
+
+
 def predictive(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, wi: np.ndarray, n: int, total: Totals) -> np.ndarray:
-    """P(w | u) of every pair; a word without training tokens is the unseen word."""
+    """P(w | u) of every pair under the root; a word without training tokens is the unseen word."""
     m = np.bincount(wi, t, n)
     root = STRENGTH + total.root
     parent = np.where(m > 0, (m - total.d0) / root, (STRENGTH + total.d0 * total.types) / root)[wi]
-    own = np.maximum(c - total.d * t, 0)
-    return (own + (STRENGTH + total.d * total.tables[ctx]) * parent) / (STRENGTH + total.customers[ctx])
+    return seated(c, t, ctx, parent, total)
 
 
-_STATE = "part bigint, words binary, sizes binary, ctx binary, c binary, t binary, acc binary, sums array<double>"
+def _without(t: np.ndarray, kc: np.ndarray, kt: np.ndarray, kind: np.ndarray, kwi: np.ndarray, back: np.ndarray, n: int, total: Totals) -> np.ndarray:
+    """P(w | class) for every pair, without the customers that the pair itself sent there."""
+    customers = kc[back] - t
+    tables = np.minimum(kt[back], customers)
+    m = np.bincount(kwi, kt, n)[kwi[back]] - (kt[back] - tables)
+    base = (np.maximum(m, 1) - total.d0) / (STRENGTH + total.root)
+    own = np.maximum(customers - total.d * tables, 0)
+    return (own + (STRENGTH + total.d * total.tables[kind[back]]) * base) / (STRENGTH + total.customers[kind[back]] - t)
+
+
+_STATE = "part bigint, words binary, sizes binary, cids binary, ctx binary, c binary, t binary, kt binary, acc binary, sums array<double>"
 _STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
 
 
@@ -257,34 +297,89 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One state row per part: all blocks' pairs summed, one table per seated dish."""
     for part, rows in _by_part(batches, "part"):
         words = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        spread = [np.repeat(w, _unpack(r["sizes"], np.uint8)) for w, r in zip(words, rows, strict=True)]
+        spread = [np.repeat(w, _unpack(r["sizes"], np.int32)) for w, r in zip(words, rows, strict=True)]
         all_words, back = np.unique(np.concatenate(spread), return_inverse=True)
-        ctx = np.concatenate([_unpack(r["ctx"], np.uint8) for r in rows])
-        pairs, back = np.unique(back * CONTEXTS + ctx, return_inverse=True)
+        del spread
+        held = [np.frombuffer(r["cids"], np.int64) for r in rows]
+        cids = np.unique(np.concatenate(held))
+        ctx = np.concatenate([np.searchsorted(cids, h)[_unpack(r["ctx"], np.int32)] for h, r in zip(held, rows, strict=True)])
+        pairs, back = np.unique(back * len(cids) + ctx, return_inverse=True)
         c = np.bincount(back, np.concatenate([_unpack(r["train"], np.int32) for r in rows]), len(pairs)).astype(np.int64)
-        wi, own = pairs // CONTEXTS, (pairs % CONTEXTS).astype(np.uint8)
+        wi, own = pairs // len(cids), pairs % len(cids)
         t = np.minimum(c, 1)
-        sizes = np.bincount(wi, minlength=len(all_words)).astype(np.uint8)
-        yield _rows(_STATE_NAMES, [(part, all_words.tobytes(), _pack(sizes), _pack(own), _pack(c), _pack(t.astype(np.int64)), _pack(np.zeros(0)), _sums(c, t, own, wi, len(all_words)))])
+        kind, kwi, back = _classes(wi, own, cids)
+        kc = np.bincount(back, t, len(kind)).astype(np.int64)
+        kt = np.minimum(kc, 1)
+        sizes = np.bincount(wi, minlength=len(all_words)).astype(np.int32)
+        yield _rows(_STATE_NAMES, [(part, all_words.tobytes(), _pack(sizes), cids.tobytes(), _pack(own.astype(np.int32)), _pack(c), _pack(t), _pack(kt),
+                                    _pack(np.zeros(0, np.float32)), _sums(c, kc, kt, kind, kwi, len(all_words)))])
+
 
+def _restaurants(state: DataFrame, shards: int) -> DataFrame:
+    """Rows (part, shard, cu, tu): tokens and tables that the whole corpus has in the
+    restaurants of a part's contexts.  A shard is a range of context ids."""
+    names, back = ["shard", "part", "cids", "cu", "tu"], ["part", "shard", "cu", "tu"]
 
-def _sweep(state: DataFrame, total: Totals, number: int, seed: int) -> DataFrame:
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                cids, ctx = np.frombuffer(r["cids"], np.int64), _unpack(r["ctx"], np.int32)
+                cu, tu = (np.bincount(ctx, _unpack(r[x], np.int64), len(cids)).astype(np.int64) for x in ("c", "t"))
+                shard = (((cids >> 32) + (1 << 31)) * shards) >> 32
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+                yield _rows(names, [(int(shard[a]), r["part"], cids[a:z].tobytes(), _pack(cu[a:z]), _pack(tu[a:z]))
+                                    for a, z in zip(cuts, np.append(cuts[1:], len(cids)), strict=True)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _by_part(batches, "shard"):
+            ids, at = np.unique(np.concatenate([np.frombuffer(r["cids"], np.int64) for r in rows]), return_inverse=True)
+            cu, tu = (np.bincount(at, np.concatenate([_unpack(r[x], np.int64) for r in rows]), len(ids)).astype(np.int64) for x in ("cu", "tu"))
+            done = 0
+            for r in rows:
+                own = at[done:done + len(r["cids"]) // 8]
+                done += len(own)
+                yield _rows(back, [(r["part"], shard, _pack(cu[own]), _pack(tu[own]))])
+
+    told = state.select("part", "cids", "ctx", "c", "t").mapInArrow(shares, "shard bigint, part bigint, cids binary, cu binary, tu binary")
+    return told.repartition("shard").sortWithinPartitions("shard").mapInArrow(whole, "part bigint, shard bigint, cu binary, tu binary")
+
+
+def _sweep(state: DataFrame, model: Model, number: int, seed: int, shards: int) -> DataFrame:
     """Sample the seating as it is, with its own totals, then redraw it."""
+    kept = ["words", "sizes", "cids", "ctx", "c", "t", "kt", "acc"]
+    classes = model.classes
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, tables = [], []
         for b in batches:
             for r in b.to_pylist():
-                words, sizes, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.uint8), _unpack(r["ctx"], np.uint8)
-                c, t, acc = _unpack(r["c"], np.int64), _unpack(r["t"], np.int64), _unpack(r["acc"], np.float64)
-                wi = np.repeat(np.arange(len(words)), sizes)
+                if r["words"] is None:
+                    customers.append(_unpack(r["cu"], np.int64))
+                    tables.append(_unpack(r["tu"], np.int64))
+                    continue
+                total = Totals(np.concatenate(customers), np.concatenate(tables), classes.types, model.d, classes.d0)
+                customers, tables = [], []
+                words, sizes, cids, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.int32), np.frombuffer(r["cids"], np.int64), _unpack(r["ctx"], np.int32)
+                if len(total.tables) != len(cids):
+                    raise ValueError("a part of the model came without all its restaurants")
+                c, t, kt, acc = _unpack(r["c"], np.int64), _unpack(r["t"], np.int64), _unpack(r["kt"], np.int64), _unpack(r["acc"], np.float32)
+                n = len(words)
+                kind, kwi, back = _classes(np.repeat(np.arange(n), sizes), ctx, cids)
+                kc = np.bincount(back, t, len(kind)).astype(np.int64)
                 if number > BURN_IN:
-                    p = predictive(c, t, ctx, wi, len(words), total)
+                    p = seated(c, t, ctx, predictive(kc, kt, kind, kwi, n, classes)[back], total).astype(np.float32)
                     acc = p if not len(acc) else acc + p
-                if number < BURN_IN + SAMPLES:
-                    t = resample(c, t, ctx, wi, len(words), total, np.random.default_rng([seed, number, r["part"]]))
-                yield _rows(_STATE_NAMES, [(r["part"], r["words"], r["sizes"], r["ctx"], r["c"], _pack(t), _pack(acc), _sums(c, t, ctx, wi, len(words)))])
+                if number < BURN_IN + SAMPLES and classes.root:
+                    draw = np.random.default_rng([seed, number, r["part"]])
+                    t = redraw(c, t, ctx, _without(t, kc, kt, kind, kwi, back, n, classes), total, draw)
+                    kc = np.bincount(back, t, len(kind)).astype(np.int64)
+                    kt = resample(kc, kt, kind, kwi, n, classes, draw)
+                yield _rows(_STATE_NAMES, [(r["part"], r["words"], r["sizes"], r["cids"], r["ctx"], r["c"], _pack(t), _pack(kt), _pack(acc), _sums(c, kc, kt, kind, kwi, n))])
 
-    return state.mapInArrow(sweep, _STATE)
+    none = F.lit(None).cast("binary")
+    rows = state.select("part", F.lit(None).cast("bigint").alias("shard"), none.alias("cu"), none.alias("tu"), *kept)
+    sums = _restaurants(state, shards).select("part", "shard", "cu", "tu", *(none.alias(k) for k in kept))
+    return sums.unionByName(rows).repartition("part").sortWithinPartitions("part", F.col("shard").asc_nulls_last()).mapInArrow(sweep, _STATE)
 
 
 _ANSWER = ["block", "part", "rank", "known", "logs", "doc_id", "held_out", "codes"]
@@ -294,20 +389,20 @@ _ANSWER_SCHEMA = "block bigint, part bigint, rank int, known binary, logs binary
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block and part: training counts of its words' pairs and their log10 probabilities.
     The state of a part (rank 0) comes before its blocks."""
-    part, words, keys, counts, logs = None, None, None, None, None
+    part, words, cids, keys, counts, logs = None, None, None, None, None, None
     for b in batches:
         for r in b.to_pylist():
-            own, sizes, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.uint8), _unpack(r["ctx"], np.uint8)
+            own, sizes, held, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.int32), np.frombuffer(r["cids"], np.int64), _unpack(r["ctx"], np.int32)
             wi = np.repeat(np.arange(len(own)), sizes)
             if r["rank"] == 0:
-                part, words, keys = r["part"], own, wi * CONTEXTS + ctx
+                part, words, cids, keys = r["part"], own, held, wi * len(held) + ctx
                 counts = np.bincount(wi, _unpack(r["c"], np.int64), len(own)).astype(np.int64)
-                logs = np.log10(_unpack(r["acc"], np.float64) / SAMPLES)
+                logs = np.log10(_unpack(r["acc"], np.float32).astype(np.float64) / SAMPLES)
                 continue
             if r["part"] != part:
                 raise ValueError("a block came before its part of the model")
             at = np.searchsorted(words, own)
-            found = np.searchsorted(keys, at[wi] * CONTEXTS + ctx)
+            found = np.searchsorted(keys, at[wi] * len(cids) + np.searchsorted(cids, held)[ctx])
             yield _rows(_ANSWER, [(r["block"], r["part"], 0, _pack(counts[at][wi]), _pack(logs[found].astype(np.float32)), None, None, None)])
 
 
@@ -351,7 +446,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31)
     path = scratch_path(spark, "blocks")
     encode_blocks(docs, parts, held, folds).write.partitionBy("kind").option("compression", "uncompressed").parquet(path)
     blocks = spark.read.schema(_BLOCKS).parquet(path)
-    pairs = blocks.where("kind = 'pair'").select("block", "part", "words", "sizes", "ctx", "train")
+    pairs = blocks.where("kind = 'pair'").select("block", "part", "words", "sizes", "cids", "ctx", "train")
     dealt = pairs.repartition("part").sortWithinPartitions("part", "block")
     state_path = scratch_path(spark, "seating")
     dealt.mapInArrow(_merged, _STATE).write.option("compression", "uncompressed").parquet(state_path)
@@ -359,18 +454,18 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31)
     first = total = _totals(state)
     for number in range(BURN_IN + SAMPLES + 1):
         next_path = scratch_path(spark, "seating")
-        _sweep(state, total, number, seed).write.option("compression", "uncompressed").parquet(next_path)
+        _sweep(state, total, number, seed, parts).write.option("compression", "uncompressed").parquet(next_path)
         delete_path(spark, state_path)
         state_path = next_path
         state = spark.read.schema(_STATE).parquet(state_path)
         total = _totals(state)
-    model = state.select("part", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("block"), "words", "sizes", "ctx", "c", "acc")
-    asked = pairs.select("part", F.lit(1).alias("rank"), "block", "words", "sizes", "ctx", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("acc"))
+    model = state.select("part", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("block"), "words", "sizes", "cids", "ctx", "c", "acc")
+    asked = pairs.select("part", F.lit(1).alias("rank"), "block", "words", "sizes", "cids", "ctx", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("acc"))
     answers = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "rank", "block").mapInArrow(_answers, _ANSWER_SCHEMA)
     texts = blocks.where("kind = 'text'").select(
         "block", F.lit(None).cast("bigint").alias("part"), F.lit(1).alias("rank"), F.lit(None).cast("binary").alias("known"),
         F.lit(None).cast("binary").alias("logs"), "doc_id", "held_out", "codes")
-    n, v = float(first.customers.sum()), first.types
+    n, v = first.tokens, first.classes.types
     scored = answers.unionByName(texts).repartition("block").sortWithinPartitions("block", "rank", "part").mapInArrow(
         _scored(n, v), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(
