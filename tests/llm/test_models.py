@@ -196,3 +196,25 @@ def test_probabilities_of_words_after_words_sum_to_one():
     parent = language_model.predictive(kc, kt, kind, kwi, words + 1, classes)
     p = language_model.seated(c.ravel(), t, ctx, parent[back], total)
     assert np.allclose([p[ctx == u].sum() for u in range(4)], 1)
+
+
+def test_seating_of_many_customers():
+    """Redrawn tables follow exact Stirling weights whatever the number of customers."""
+    for c, d, others, parent in ((33, 0.8, 5000, 1e-3), (200, 0.8, 5000, 1e-3), (1000, 0.8, 50_000, 1e-3), (1000, 0.8, 50_000, 1e-4),
+                                 (1500, 0.8, 5000, 1e-3), (1500, 0.5, 50_000, 1e-2), (1500, 0.8, 5_000_000, 1e-3)):
+        tables = np.arange(1, c + 1)
+        w = language_model.log_stirling(d, c)[c, 1:] + np.cumsum(np.log(language_model.STRENGTH + d * (others + tables - 1)) + np.log(parent))
+        w = np.exp(w - w.max())
+        mean = (w * tables).sum() / w.sum()
+        sd = math.sqrt((w * (tables - mean) ** 2).sum() / w.sum())
+        n = 1500
+        total = language_model.Totals(np.array([1e6]), np.array([others + 1.0]), 10.0, d, 0.5)
+        got = language_model.redraw(np.full(n, c), np.ones(n, np.int64), np.zeros(n, np.int64), np.full(n, parent), total, np.random.default_rng(8))
+        assert abs(got.mean() - mean) < 4 * sd / math.sqrt(n) and 0.9 < got.std() / sd < 1.1
+
+
+def test_numbers_of_many_customers():
+    for d in (0.05, 0.5, 0.95):
+        c, t = 1200, np.arange(1, 1201)
+        want = language_model.log_stirling(d, c)[c, 1:] + t * math.log(d) + np.array([math.lgamma(x + 1) for x in t]) - math.lgamma(c + 1)
+        assert np.abs(language_model._log_sizes(d, np.full(c, c), t) - want).max() < 1e-3

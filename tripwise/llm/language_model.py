@@ -12,8 +12,9 @@ measure is diffuse over unseen words, so every dish has one table there:
     P(w | u) = (c_uw - d * t_uw + (s + d * t_u) * P(w | v)) / (s + c_u)
 
 Seating is sampled by Gibbs sweeps: the tables of every (u, w) are redrawn given all others,
-from their exact conditional (generalised Stirling numbers) for up to ``EXACT`` customers,
-else by seating the customers anew in growing parties.  Sweeps update all words at once from
+from their conditional, S(c, t) * prod_{i<t} (s + d * (others + i)) * P(w | v)^t with generalised
+Stirling numbers S: from their recursion for up to ``EXACT`` customers, as an integral above.
+P(w | v) is held fixed while a pair's tables are drawn.  Sweeps update all words at once from
 the totals of the sweep before.  The predictive probabilities of the last ``SAMPLES`` seatings
 are averaged; each sums to one in every restaurant.
 
@@ -49,8 +50,11 @@ SAMPLES = 3
 STRENGTH = 1.0
 BLOCK = 1 << 22
 PART_DOCS = 4000
-#: Customers up to which tables are drawn from the exact conditional.
-EXACT = 32
+#: Customers up to which Stirling numbers come from their recursion; numbers of tables weighed on each side of
+#: the likeliest one above that, and numbers worked on at once.
+EXACT = 1024
+AROUND = 32
+WORK = 1 << 18
 #: Hash of the end of a text.
 END = np.uint64(0x5BD1E995)
 
@@ -85,7 +89,7 @@ _BLOCKS = "kind string, block bigint, part bigint, words binary, sizes binary, c
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"kind": pa.string(), "block": pa.int64(), "part": pa.int64(), "shard": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "rank": pa.int32(),
-             "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "sums": pa.list_(pa.float64())}
+             "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "sums": pa.list_(pa.float64()), "seats": pa.list_(pa.binary())}
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(names, cols, strict=True)], names=names)
 
@@ -215,6 +219,101 @@ def log_stirling(d: float, most: int) -> np.ndarray:
     return out
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function for x > 0, from Stirling's series at x + 8."""
+    y = x + 8.0
+    low = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+def _log_sizes(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log of S(c, t) * d^t * t! / c! for many customers.
+
+    That is the coefficient of z^c in (1 - (1 - z)^d)^t: with z = exp(-p), the integral of
+    exp(f(p)), f(p) = t * log(1 - (1 - z)^d) + c * p, over a path around the negative p.  The
+    path goes through the point where f' is zero, or 3 / c if that is more, and bends to the
+    left; where nearly every customer has a table of its own it is the circle of z.
+    """
+    c, t = np.broadcast_arrays(np.asarray(c, np.float64), np.asarray(t, np.float64))
+    shape, c, t = c.shape, c.ravel(), t.ravel()
+
+    def slope(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = -np.expm1(-p)
+        power = d * np.log(y)
+        with np.errstate(divide="ignore"):
+            return d * np.exp(power - p) / (y * -np.expm1(power)), y
+
+    low, high = np.full(c.shape, -700.0), np.full(c.shape, 4.0)
+    for _ in range(40):
+        middle = (low + high) / 2
+        right = slope(np.exp(middle))[0] * t > c
+        low, high = np.where(right, middle, low), np.where(right, high, middle)
+    p = np.maximum(np.exp((low + high) / 2), 3 / c)
+    g, y = slope(p)
+    width = 1 / np.sqrt(np.maximum(t * g * ((1 - d) * np.exp(-p) / y + 1 - g), 1e-12))
+    round_ = (width > 0.1) & (p > 0.3)
+    width = np.minimum(width, p)
+    few = ~round_ & (t * y**d < 0.5)
+    out = c * np.log(d)
+    for kind in (0, 1, 2):
+        at = np.flatnonzero((t < c) & (round_ if kind == 2 else few if kind == 1 else ~round_ & ~few))
+        if not len(at):
+            continue
+        cc, tt, v, w = c[at], t[at], p[at], width[at]
+        top = cc * v if kind == 1 else cc * v + tt * np.log(-np.expm1(d * np.log(-np.expm1(-v))))
+        total = np.zeros(len(at))
+        for k in range(65 if kind == 2 else 32):
+            if kind == 2:
+                path, step = v + 1j * np.pi * k / 64, 1j * (np.pi / 64) * (0.5 if k in (0, 64) else 1)
+            else:
+                path = v + w * (1j * np.sinh(0.14 * k) - 0.5 * (np.cosh(0.14 * k) - 1))
+                step = w * (1j * np.cosh(0.14 * k) - 0.5 * np.sinh(0.14 * k)) * (0.07 if k == 0 else 0.14)
+            inside = np.abs(path.imag) <= np.pi
+            path = np.where(inside, path, v)
+            power = tt * np.log1p(-((-np.expm1(-path)) ** d))
+            # a first factor near one is taken less one, whose integral is nothing
+            value = np.expm1(power) * np.exp(cc * path - top) if kind == 1 else np.exp(power + cc * path - top)
+            total += np.where(inside, (value * step).imag, 0)
+        out[at] = top + np.log(np.maximum(total, 1e-300) / np.pi)
+    return out.reshape(shape)
+
+
+def _redraw_many(c: np.ndarray, t: np.ndarray, others: np.ndarray, parent: np.ndarray, d: float, draw: np.random.Generator) -> np.ndarray:
+    """Tables of pairs with many customers: a draw from weights around the likeliest number,
+    level over steps of a fraction of the deviation, and a Metropolis step from the present number."""
+    c, t, others, parent = c[:, None], np.clip(t, 1, c)[:, None], others[:, None], parent[:, None]
+    base = STRENGTH / d + others
+
+    def weight(x: np.ndarray) -> np.ndarray:
+        return _log_sizes(d, c, x) - _log_gamma(x + 1.0) + _log_gamma(base + x) - _log_gamma(base) + x * np.log(parent)
+
+    low, high = np.ones_like(c), c.copy()
+    while (low < high).any():
+        middle = (low + high) // 2
+        up = (low < high) & (weight(np.minimum(middle + 1, c)) > weight(middle))
+        low, high = np.where(up, middle + 1, low), np.where(up, high, middle)
+    best, top, step = low, weight(low), np.ones_like(c)
+    while True:
+        ends = [best - AROUND * step, best + AROUND * step]
+        short = ((ends[0] > 1) & (weight(np.maximum(ends[0], 1)) > top - 30)) | ((ends[1] < c) & (weight(np.minimum(ends[1], c)) > top - 30))
+        if not short.any():
+            break
+        step = np.where(short, 2 * step, step)
+    nodes = best + step * np.arange(-AROUND, AROUND + 1)
+    inside = (nodes >= 1) & (nodes <= c)
+    logs = np.where(inside, weight(np.clip(nodes, 1, c)), -np.inf)
+    sums = np.cumsum(np.exp(logs - top), axis=1)
+    pick = (draw.random(c.shape) * sums[:, -1:] > sums).sum(axis=1, keepdims=True)
+    fresh = np.take_along_axis(nodes, pick, 1) + np.floor(draw.random(c.shape) * step).astype(np.int64) - step // 2
+    allowed = (fresh >= 1) & (fresh <= c)
+    now = (t - best + step // 2) // step + AROUND
+    level = np.where((now >= 0) & (now <= 2 * AROUND), np.take_along_axis(logs, np.clip(now, 0, 2 * AROUND), 1), -np.inf)
+    # a present number that no draw reaches is left for good
+    kept = np.where(np.isfinite(level), weight(t) - level, -np.inf)
+    ratio = weight(np.clip(fresh, 1, c)) - np.take_along_axis(logs, pick, 1) - kept
+    return np.where(allowed & (np.log(draw.random(c.shape)) < ratio), fresh, t)[:, 0]
+
+
 def resample(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, wi: np.ndarray, n: int, total: Totals, draw: np.random.Generator) -> np.ndarray:
     """New tables of every pair of a restaurant under the root, given those of all others."""
     if not total.root:
@@ -227,27 +326,23 @@ def redraw(c: np.ndarray, t: np.ndarray, ctx: np.ndarray, parent: np.ndarray, to
     """New tables of every pair whose dish has probability ``parent`` in the parent restaurant."""
     out = np.minimum(c, 1).astype(np.int64)
     others = total.tables[ctx] - t
-    stirling = log_stirling(total.d, EXACT)
-    for size in range(2, EXACT + 1):
-        at = np.flatnonzero(c == size)
-        if not len(at):
-            continue
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    few = few[np.argsort(c[few], kind="stable")]
+    sizes, starts = np.unique(c[few], return_index=True)
+    stirling = log_stirling(total.d, int(sizes[-1]) if len(sizes) else 1)
+    for size, a, z in zip(sizes, starts, np.append(starts, len(few))[1:], strict=True):
         tables = np.arange(1, size + 1)
-        gain = np.log(STRENGTH + total.d * (others[at, None] + tables[None, :] - 1)) + np.log(parent[at])[:, None]
-        weight = stirling[size, 1:size + 1][None, :] + np.cumsum(gain, axis=1)
-        weight = np.exp(weight - weight.max(axis=1, keepdims=True))
-        weight = np.cumsum(weight, axis=1)
-        out[at] = 1 + (draw.random(len(at))[:, None] * weight[:, -1:] > weight).sum(axis=1)
-    at = np.flatnonzero(c > EXACT)
-    seated, tables = np.ones(len(at), np.int64), np.ones(len(at), np.int64)
-    while (open_ := np.flatnonzero(seated < c[at])).size:
-        own = at[open_]
-        party = np.minimum(c[own] - seated[open_], np.maximum(1, seated[open_] // 8))
-        fresh = (STRENGTH + total.d * (others[own] + tables[open_])) * parent[own]
-        chance = fresh / (np.maximum(seated[open_] - total.d * tables[open_], 1e-9) + fresh)
-        tables[open_] += draw.binomial(party, np.clip(chance, 0, 1))
-        seated[open_] += party
-    out[at] = tables
+        for i in range(a, z, max(1, WORK // int(size))):
+            at = few[i:min(z, i + max(1, WORK // int(size)))]
+            gain = np.log(STRENGTH + total.d * (others[at, None] + tables[None, :] - 1)) + np.log(parent[at])[:, None]
+            weight = stirling[size, 1:size + 1][None, :] + np.cumsum(gain, axis=1)
+            weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+            weight = np.cumsum(weight, axis=1)
+            out[at] = 1 + (draw.random(len(at))[:, None] * weight[:, -1:] > weight).sum(axis=1)
+    many = np.flatnonzero(c > EXACT)
+    for i in range(0, len(many), WORK // (2 * AROUND)):
+        at = many[i:i + WORK // (2 * AROUND)]
+        out[at] = _redraw_many(c[at], t[at], others[at].astype(np.float64), parent[at], total.d, draw)
     return out
 
 
@@ -275,7 +370,7 @@ def _without(t: np.ndarray, kc: np.ndarray, kt: np.ndarray, kind: np.ndarray, kw
     return (own + (STRENGTH + total.d * total.tables[kind[back]]) * base) / (STRENGTH + total.customers[kind[back]] - t)
 
 
-_STATE = "part bigint, words binary, sizes binary, cids binary, ctx binary, c binary, t binary, kt binary, acc binary, sums array<double>"
+_STATE = "part bigint, words binary, sizes binary, cids binary, ctx binary, c binary, t binary, kt binary, seats array<binary>, sums array<double>"
 _STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
 
 
@@ -312,7 +407,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kt = np.minimum(kc, 1)
         sizes = np.bincount(wi, minlength=len(all_words)).astype(np.int32)
         yield _rows(_STATE_NAMES, [(part, all_words.tobytes(), _pack(sizes), cids.tobytes(), _pack(own.astype(np.int32)), _pack(c), _pack(t), _pack(kt),
-                                    _pack(np.zeros(0, np.float32)), _sums(c, kc, kt, kind, kwi, len(all_words)))])
+                                    [], _sums(c, kc, kt, kind, kwi, len(all_words)))])
 
 
 def _restaurants(state: DataFrame, shards: int) -> DataFrame:
@@ -345,8 +440,8 @@ def _restaurants(state: DataFrame, shards: int) -> DataFrame:
 
 
 def _sweep(state: DataFrame, model: Model, number: int, seed: int, shards: int) -> DataFrame:
-    """Sample the seating as it is, with its own totals, then redraw it."""
-    kept = ["words", "sizes", "cids", "ctx", "c", "t", "kt", "acc"]
+    """Keep the seating as it is as a sample, with its own totals, then redraw it."""
+    kept = ["words", "sizes", "cids", "ctx", "c", "t", "kt", "seats"]
     classes = model.classes
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,23 +457,22 @@ def _sweep(state: DataFrame, model: Model, number: int, seed: int, shards: int)
                 words, sizes, cids, ctx = np.frombuffer(r["words"], np.uint64), _unpack(r["sizes"], np.int32), np.frombuffer(r["cids"], np.int64), _unpack(r["ctx"], np.int32)
                 if len(total.tables) != len(cids):
                     raise ValueError("a part of the model came without all its restaurants")
-                c, t, kt, acc = _unpack(r["c"], np.int64), _unpack(r["t"], np.int64), _unpack(r["kt"], np.int64), _unpack(r["acc"], np.float32)
+                c, t, kt, seats = _unpack(r["c"], np.int64), _unpack(r["t"], np.int64), _unpack(r["kt"], np.int64), r["seats"]
                 n = len(words)
                 kind, kwi, back = _classes(np.repeat(np.arange(n), sizes), ctx, cids)
                 kc = np.bincount(back, t, len(kind)).astype(np.int64)
                 if number > BURN_IN:
-                    p = seated(c, t, ctx, predictive(kc, kt, kind, kwi, n, classes)[back], total).astype(np.float32)
-                    acc = p if not len(acc) else acc + p
+                    seats = [*seats, r["t"], r["kt"], _pack(total.customers), _pack(total.tables)]
                 if number < BURN_IN + SAMPLES and classes.root:
                     draw = np.random.default_rng([seed, number, r["part"]])
                     t = redraw(c, t, ctx, _without(t, kc, kt, kind, kwi, back, n, classes), total, draw)
                     kc = np.bincount(back, t, len(kind)).astype(np.int64)
                     kt = resample(kc, kt, kind, kwi, n, classes, draw)
-                yield _rows(_STATE_NAMES, [(r["part"], r["words"], r["sizes"], r["cids"], r["ctx"], r["c"], _pack(t), _pack(kt), _pack(acc), _sums(c, kc, kt, kind, kwi, n))])
+                yield _rows(_STATE_NAMES, [(r["part"], r["words"], r["sizes"], r["cids"], r["ctx"], r["c"], _pack(t), _pack(kt), seats, _sums(c, kc, kt, kind, kwi, n))])
 
     none = F.lit(None).cast("binary")
     rows = state.select("part", F.lit(None).cast("bigint").alias("shard"), none.alias("cu"), none.alias("tu"), *kept)
-    sums = _restaurants(state, shards).select("part", "shard", "cu", "tu", *(none.alias(k) for k in kept))
+    sums = _restaurants(state, shards).select("part", "shard", "cu", "tu", *(F.lit(None).cast(state.schema[k].dataType).alias(k) for k in kept))
     return sums.unionByName(rows).repartition("part").sortWithinPartitions("part", F.col("shard").asc_nulls_last()).mapInArrow(sweep, _STATE)
 
 
@@ -386,7 +480,21 @@ _ANSWER = ["block", "part", "rank", "known", "logs", "doc_id", "held_out", "code
 _ANSWER_SCHEMA = "block bigint, part bigint, rank int, known binary, logs binary, doc_id bigint, held_out boolean, codes binary"
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _averaged(r: dict, models: list[Model]) -> np.ndarray:
+    """Mean of P(w | u) over the sampled seatings, for every pair of a part."""
+    cids, ctx, c = np.frombuffer(r["cids"], np.int64), _unpack(r["ctx"], np.int32), _unpack(r["c"], np.int64)
+    sizes = _unpack(r["sizes"], np.int32)
+    kind, kwi, back = _classes(np.repeat(np.arange(len(sizes)), sizes), ctx, cids)
+    out = np.zeros(len(c))
+    for i, model in enumerate(models):
+        t, kt, cu, tu = (_unpack(x, np.int64) for x in r["seats"][4 * i:4 * i + 4])
+        kc = np.bincount(back, t, len(kind)).astype(np.int64)
+        total = Totals(cu, tu, model.classes.types, model.d, model.classes.d0)
+        out += seated(c, t, ctx, predictive(kc, kt, kind, kwi, len(sizes), model.classes)[back], total)
+    return out / len(models)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], models: list[Model]) -> Iterator[pa.RecordBatch]:
     """Per block and part: training counts of its words' pairs and their log10 probabilities.
     The state of a part (rank 0) comes before its blocks."""
     part, words, cids, keys, counts, logs = None, None, None, None, None, None
@@ -397,13 +505,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r["rank"] == 0:
                 part, words, cids, keys = r["part"], own, held, wi * len(held) + ctx
                 counts = np.bincount(wi, _unpack(r["c"], np.int64), len(own)).astype(np.int64)
-                logs = np.log10(_unpack(r["acc"], np.float32).astype(np.float64) / SAMPLES)
+                logs = np.log10(_averaged(r, models)).astype(np.float32)
                 continue
             if r["part"] != part:
                 raise ValueError("a block came before its part of the model")
             at = np.searchsorted(words, own)
             found = np.searchsorted(keys, at[wi] * len(cids) + np.searchsorted(cids, held)[ctx])
-            yield _rows(_ANSWER, [(r["block"], r["part"], 0, _pack(counts[at][wi]), _pack(logs[found].astype(np.float32)), None, None, None)])
+            yield _rows(_ANSWER, [(r["block"], r["part"], 0, _pack(counts[at][wi]), _pack(logs[found]), None, None, None)])
 
 
 def _scored(n: float, v: float):
@@ -431,16 +539,12 @@ def _scored(n: float, v: float):
     return score
 
 
-def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score, perplexity.
+#: Shuffle files of a finished write go at once: every sweep shuffles the whole state.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The model learns from all rows but those with crc32(doc_id as text) mod ``folds`` =
-    ``held`` (a null id is never held out).  Null and empty texts are one end token.
-    base_score is the unigram score with half a count added; score is the model's log10
-    probability.  Repeated rows are learned from and scored as often as they come.  Without
-    any training row every token is the unseen word.  Other columns are ignored.
-    """
+
+def _learned(docs: DataFrame, folds: int, held: int, seed: int) -> tuple[DataFrame, str, Model]:
+    """The blocks (of kind "text" only), the path of all answers and the first totals."""
     spark = docs.sparkSession
     parts = int(max(4, docs.count() // PART_DOCS))
     path = scratch_path(spark, "blocks")
@@ -451,17 +555,44 @@ def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31)
     state_path = scratch_path(spark, "seating")
     dealt.mapInArrow(_merged, _STATE).write.option("compression", "uncompressed").parquet(state_path)
     state = spark.read.schema(_STATE).parquet(state_path)
-    first = total = _totals(state)
+    models = [_totals(state)]
     for number in range(BURN_IN + SAMPLES + 1):
         next_path = scratch_path(spark, "seating")
-        _sweep(state, total, number, seed, parts).write.option("compression", "uncompressed").parquet(next_path)
+        _sweep(state, models[-1], number, seed, parts).write.option("compression", "uncompressed").parquet(next_path)
+        state = spark.read.schema(_STATE).parquet(next_path)
         delete_path(spark, state_path)
         state_path = next_path
-        state = spark.read.schema(_STATE).parquet(state_path)
-        total = _totals(state)
-    model = state.select("part", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("block"), "words", "sizes", "cids", "ctx", "c", "acc")
-    asked = pairs.select("part", F.lit(1).alias("rank"), "block", "words", "sizes", "cids", "ctx", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("acc"))
-    answers = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "rank", "block").mapInArrow(_answers, _ANSWER_SCHEMA)
+        if number < BURN_IN + SAMPLES:
+            models.append(_totals(state))
+    samples = models[BURN_IN + 1:]
+    model = state.select("part", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("block"), "words", "sizes", "cids", "ctx", "c", "seats")
+    asked = pairs.select("part", F.lit(1).alias("rank"), "block", "words", "sizes", "cids", "ctx", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("array<binary>").alias("seats"))
+    answer_path = scratch_path(spark, "answers")
+    model.unionByName(asked).repartition("part").sortWithinPartitions("part", "rank", "block").mapInArrow(
+        lambda batches: _answers(batches, samples), _ANSWER_SCHEMA).write.option("compression", "uncompressed").parquet(answer_path)
+    delete_path(spark, state_path)
+    delete_path(spark, f"{path}/kind=pair")
+    return blocks, answer_path, models[0]
+
+
+def score_texts(docs: DataFrame, folds: int = 5, held: int = 1, seed: int = 31) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score, perplexity.
+
+    The model learns from all rows but those with crc32(doc_id as text) mod ``folds`` =
+    ``held`` (a null id is never held out).  Null and empty texts are one end token.
+    base_score is the unigram score with half a count added; score is the model's log10
+    probability.  Repeated rows are learned from and scored as often as they come.  Without
+    any training row every token is the unseen word.  Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        blocks, answer_path, first = _learned(docs, folds, held, seed)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    answers = spark.read.schema(_ANSWER_SCHEMA).parquet(answer_path)
     texts = blocks.where("kind = 'text'").select(
         "block", F.lit(None).cast("bigint").alias("part"), F.lit(1).alias("rank"), F.lit(None).cast("binary").alias("known"),
         F.lit(None).cast("binary").alias("logs"), "doc_id", "held_out", "codes")
