@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.llm import digest_index, language_model, line_runs, mixing, near_dup, quality, toxicity, url_filter, warc, winnow
+from tripwise.llm import (
+    digest_index, language_model, line_runs, mixing, near_dup, quality, token_shards, toxicity, url_filter, warc, winnow,
+)
 from tripwise.llm.common import table
 from tripwise.session import scratch_path
 
@@ -154,3 +157,13 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark words found in every document."""
     judged = winnow.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return judged.drop("item_ids")
+
+
+@query("op11_token_shards")
+def op11_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to shards and looked up by their index."""
+    docs = table(spark, folder, "documents")
+    path = scratch_path(spark, "tokens")
+    token_shards.write_dataset(docs, path, token_shards.Encoding(public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    found = token_shards.lookup(spark, path, token_shards.document_keys(docs))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
