@@ -22,7 +22,9 @@ gives nothing wrong.
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,10 +49,17 @@ BUCKET_KEYS = 4
 _FILE_BITS = 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 200_000
-#: White space that splits texts into words which can be encoded one by one, and characters
-#: that libraries class differently: a text with one of these is encoded whole.
-_WORDS = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
-_UNSURE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏    ⁠　﻿]")
+#: Words remembered by a worker (twice); bytes of texts whose new words are encoded at once.
+_CACHE_WORDS = 300_000
+_ROUND_BYTES = 1 << 21
+#: Where the byte-level scheme always parts a word, and white space with the word behind it.
+#: Characters outside ASCII and the Latin letters may be classed differently by libraries:
+#: words with such stay whole, and texts with unusual white space are not parted at all.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
+_FINE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+")
+_COARSE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+_NOT_FINE = re.compile(rf"[^\x00-\x7f{_LETTER}]")
+_UNSURE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]")
 
 
 @dataclass(frozen=True)
@@ -64,46 +73,65 @@ class Encoding:
 class _Encoder:
     """Ids of texts as little-endian bytes.
 
-    The byte-level scheme never joins a word with the white space behind it, so words (with the
-    white space before them) are encoded once and remembered, in bounded number.  Files of any
-    other kind, and texts with unusual white space, are encoded whole.
+    The byte-level scheme cuts a text into words before it merges anything, so every distinct
+    word is encoded once and remembered, in bounded number.  Files of any other kind are
+    encoded text by text.
     """
 
     def __init__(self, encoding: Encoding):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(encoding.file)
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
-        plain = not any(t["lstrip"] or t["rstrip"] for t in made.get("added_tokens", []))
+        added = made.get("added_tokens", [])
+        self.marks = [t["content"] for t in added]
         self.by_word = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-            and made.get("normalizer") is None and (made.get("model") or {}).get("type") == "BPE" and plain)
+            and made.get("normalizer") is None and (made.get("model") or {}).get("type") == "BPE")
         largest = max(encoding.end_id, *self.tokenizer.get_vocab().values())
-        self.dtype = np.dtype("<u2" if largest < 1 << 16 else "<u4")
-        self.end = np.array([encoding.end_id], self.dtype).tobytes()
+        self.kind, self.dtype = ("H", np.dtype("<u2")) if largest < 1 << 16 else ("I", np.dtype("<u4"))
+        self.end = array(self.kind, [encoding.end_id]).tobytes()
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.long: list[str] = []  # words and texts that are not remembered
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def document(self, text: str | None) -> bytes:
+    def _parted(self, text: str | None) -> list[str]:
         if not text:
-            return self.end
-        if not self.by_word or _UNSURE.search(text):
-            return self.whole(text) + self.end
-        words, out = self.words, []
-        for w in _WORDS.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                if len(words) >= _CACHE_WORDS:
-                    words.clear()
-                ids = self.whole(w)
-                if len(w) < 64:
-                    words[w] = ids
-            out.append(ids)
-        out.append(self.end)
-        return b"".join(out)
+            return []
+        if not self.by_word or _UNSURE.search(text) or any(m in text for m in self.marks):
+            return [text]
+        return (_COARSE if _NOT_FINE.search(text) else _FINE).findall(text)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) + len(new) > _CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        known = {w: self.older[w] for w in new if w in self.older}
+        missing = list(new.difference(known))
+        self.long.extend(w for w in missing if len(w) > 256)
+        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        self.words.update(known)
+        self.words.update(zip(missing, [array(self.kind, e.ids).tobytes() for e in found], strict=True))
+
+    def documents(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text and the end id."""
+        first = 0
+        while first < len(texts):
+            lists, size = [], 0
+            while first + len(lists) < len(texts) and size < _ROUND_BYTES:
+                lists.append(self._parted(texts[first + len(lists)]))
+                size += len(texts[first + len(lists) - 1] or "")
+            first += len(lists)
+            words = set().union(*lists)
+            self._learn(words.difference(self.words))
+            if not words <= self.words.keys():  # the memory was changed over: all words of this round again
+                self._learn(words.difference(self.words))
+            for each in lists:
+                yield b"".join(map(self.words.__getitem__, each)) + self.end
+            for w in self.long:
+                self.words.pop(w, None)
+            self.long.clear()
 
 
 @lru_cache(maxsize=2)
@@ -148,8 +176,7 @@ def _write_shards(docs: DataFrame, target: str, encoding: Encoding, shard_ids: i
         entries: list[tuple[int, int, int]] = []
         held = 0
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                ids = encoder.document(text.as_py())
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.documents(b["text"].to_pylist()), strict=True):
                 body.append(ids)
                 entries.append((doc_id or 0, len(ids) // width, int(doc_id is None)))
                 held += len(ids) // width
