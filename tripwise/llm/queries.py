@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.llm import (
-    digest_index, language_model, line_runs, mixing, near_dup, quality, token_shards, toxicity, url_filter, warc, winnow,
+    digest_index, language_model, line_runs, mixing, near_dup, quality, token_shards, toxicity, url_filter, vector_codes, warc, winnow,
 )
 from tripwise.llm.common import table
 from tripwise.session import scratch_path
@@ -167,3 +167,35 @@ def op11_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     token_shards.write_dataset(docs, path, token_shards.Encoding(public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
     found = token_shards.lookup(spark, path, token_shards.document_keys(docs))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, dim: int = 64, scale: int = 1024) -> str:
+    """Rounds as one table expression each."""
+    w = dim // parts
+    means = ", ".join(f"floor(sum(x[{i}]) / count(*))" for i in range(1, w + 1))
+    steps = [f"""
+k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS rn
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rn, part, v[part * {w} + 1:part * {w} + {w}]::DOUBLE[] AS x FROM k, range({parts}) AS t(part)),
+c0 AS MATERIALIZED (SELECT part, rn AS entry, x FROM x WHERE rn < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT rn, part, min((list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, c.x) + list_inner_product(c.x, c.x))::HUGEINT * {entries} + entry) AS m
+       FROM x JOIN c{r} c USING (part) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN
+       (SELECT part, m % {entries} AS entry, [{means}]::DOUBLE[] AS x FROM a{r} JOIN x USING (rn, part) GROUP BY ALL) n USING (part, entry))""")
+    return f"""
+WITH {",".join(steps)},
+d AS (SELECT rn, string_agg(printf('%02x', (m % {entries})::INTEGER), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x::BIGINT[], ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN d USING (rn)
+"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of all vectors and their errors."""
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
