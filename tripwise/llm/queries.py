@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise.llm import (
-    digest_index, language_model, line_runs, mixing, near_dup, quality, token_shards, toxicity, url_filter, vector_codes, warc, winnow,
+    digest_index, hard_negatives, language_model, line_runs, mixing, near_dup, quality, token_shards, toxicity, url_filter, vector_codes, warc, winnow,
 )
 from tripwise.llm.common import table
 from tripwise.session import scratch_path
@@ -199,3 +199,22 @@ FROM k JOIN d USING (rn)
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Product codes of all vectors and their errors."""
     return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+@query("op12_hard_negatives", """
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+     FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+     FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are shifted first."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.integer_vectors(rows.withColumn("label", label))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
