@@ -40,7 +40,7 @@ def test_the_result_is_that_of_the_stages(spark):
     assert key(got) == key(again) and got.count() > 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op3_line_dedup", "op8_url_filter", "op9_exact_dedup", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_line_dedup", "op8_url_filter", "op9_exact_dedup", "op10_decontamination", "op12_hard_negatives", "op13_vector_codes"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
@@ -53,4 +53,4 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert {f"op{i}" for i in range(1, 11)} <= names and "pipeline" in entry.queries()
+    assert {f"op{i}" for i in range(1, 14)} <= names and "pipeline" in entry.queries()

@@ -59,7 +59,7 @@ def integer_vectors(rows: DataFrame, scale: int = 256) -> DataFrame:
     vector, bound = F.col("embedding"), LARGEST / scale
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & vector.isNotNull() & (F.size(vector) > 0)).where(
         F.forall(vector, lambda x: x.isNotNull() & (x.cast("double") < bound) & (x.cast("double") > -bound)))
-    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).try_cast("int"))
     told = usable.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), ints.alias("v"))
     dim = told.agg(F.min(F.struct("vec_id", F.size("v").alias("n")))["n"].alias("n")).first()["n"]
     return told.where(F.size("v") == (dim or 0))

@@ -131,7 +131,7 @@ def _kept(rows: DataFrame, q: Quantizer) -> tuple[DataFrame, int, np.ndarray]:
     # NaN is above all numbers, infinities are beyond the bound
     usable = rows.where(vector.isNotNull() & (F.size(vector) > 0) & (F.size(vector) % q.parts == 0)).where(
         F.forall(vector, lambda x: x.isNotNull() & (x.cast("double") < bound) & (x.cast("double") > -bound)))
-    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * q.scale).cast("int"))
+    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * q.scale).try_cast("int"))
     told = usable.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", ints.alias("v"))
     # the least of all rows fixes the dimension
     head = told.select("vec_id", F.size("v").alias("n"), "v").orderBy(F.col("vec_id").asc_nulls_last(), "v")
