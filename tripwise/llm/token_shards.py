@@ -25,7 +25,7 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -49,17 +49,23 @@ BUCKET_KEYS = 4
 _FILE_BITS = 24
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 200_000
-#: Words remembered by a worker (twice); bytes of texts whose new words are encoded at once.
-_CACHE_WORDS = 300_000
+#: Words remembered by a worker (twice); bytes of texts worked on at once.
+_CACHE_WORDS = 200_000
 _ROUND_BYTES = 1 << 21
-#: Where the byte-level scheme always parts a word, and white space with the word behind it.
-#: Characters outside ASCII and the Latin letters may be classed differently by libraries:
-#: words with such stay whole, and texts with unusual white space are not parted at all.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
-_FINE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]+")
+#: Where the byte-level scheme always parts a text.  Characters outside ASCII and the Latin
+#: letters may be classed differently by libraries: texts with such are parted before white
+#: space only, and those with unusual white space not at all.
+_LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _COARSE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 _NOT_FINE = re.compile(rf"[^\x00-\x7f{_LETTER}]")
-_UNSURE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁤　﻿]")
+_UNSURE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|[\xc4-\xc5][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Byte-level files write printable bytes as the characters of that code, and
+#: all others, in order, as the characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Classes of bytes: white space, letters (every byte of a Latin letter outside ASCII too), digits, the rest.
+_CLASS = np.array([0 if b in b" \t\r\n" else 1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b < 58 else 3 for b in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
@@ -70,6 +76,42 @@ class Encoding:
     end_id: int = 0
 
 
+def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which bytes start a piece of the byte-level scheme, texts of plain characters given by their bounds.
+
+    Pieces: a run of letters, digits or other signs, with one space before it; the contractions
+    's 't 'm 'd 're 've 'll where no space or sign precedes; else white space, of which the last
+    character before a word is a piece of its own unless it is that word's space.
+    """
+    n = len(data)
+    kind = np.full(n + 4, 9, np.uint8)
+    kind[1:n + 1] = _CLASS[data]
+    byte = np.zeros(n + 4, np.uint8)
+    byte[1:n + 1] = data
+    first = np.zeros(n + 4, bool)
+    first[bounds[:-1] + 1] = True
+    first[n + 1:] = True
+    last = np.zeros(n, bool)
+    last[bounds[1:][bounds[1:] > 0] - 1] = True
+    here, before, after = kind[1:n + 1], kind[:n], kind[2:n + 2]
+    blank = here == 0
+    start = first[1:n + 1] | (here != before)
+    # a space goes with the word behind it
+    start &= first[1:n + 1] | blank | (byte[:n] != 32)
+    # the last white space before a word stands apart from those before it
+    start |= blank & ~last & (after != 0)
+    quote = np.flatnonzero((data == 39) & start & ~last)
+    for tail in (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll"):
+        fits = np.ones(len(quote), bool)
+        for i, c in enumerate(tail):
+            fits &= (byte[quote + 2 + i] == c) & ~first[quote + 2 + i]
+        found = quote[fits]
+        start[found + 1] = False
+        behind = found + 1 + len(tail)
+        start[behind[behind < n]] = True
+    return start
+
+
 class _Encoder:
     """Ids of texts as little-endian bytes.
 
@@ -93,45 +135,92 @@ class _Encoder:
         largest = max(encoding.end_id, *self.tokenizer.get_vocab().values())
         self.kind, self.dtype = ("H", np.dtype("<u2")) if largest < 1 << 16 else ("I", np.dtype("<u4"))
         self.end = array(self.kind, [encoding.end_id]).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.long: list[str] = []  # words and texts that are not remembered
-
-    def _parted(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if not self.by_word or _UNSURE.search(text) or any(m in text for m in self.marks):
-            return [text]
-        return (_COARSE if _NOT_FINE.search(text) else _FINE).findall(text)
-
-    def _learn(self, new: set[str]) -> None:
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode words that are not remembered."""
         if len(self.words) + len(new) > _CACHE_WORDS:
             self.older, self.words = self.words, {}
         known = {w: self.older[w] for w in new if w in self.older}
-        missing = list(new.difference(known))
-        self.long.extend(w for w in missing if len(w) > 256)
-        found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
+        missing = [w for w in new if w not in known]
         self.words.update(known)
-        self.words.update(zip(missing, [array(self.kind, e.ids).tobytes() for e in found], strict=True))
-
-    def documents(self, texts: list[str | None]) -> Iterator[bytes]:
+        plain = [w for w in missing if self.by_word and _LETTERS.fullmatch(w)]
+        # one word of letters: the model alone, which takes bytes by their visible characters
+        model = self.tokenizer.model
+        for w in plain:
+            self.words[w] = array(self.kind, [t.id for t in model.tokenize(w.decode("latin-1").translate(_VISIBLE))]).tobytes()
+        rest = [w for w in missing if w not in self.words]
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in rest], add_special_tokens=False)
+        self.words.update(zip(rest, [array(self.kind, e.ids).tobytes() for e in found], strict=True))
+
+    def _round(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text: cut into pieces, every distinct piece looked up once."""
+        fine: list[bool] = []
+        cut: list[bytes] = []
+        ends: list[np.ndarray] = []
+        bodies, at = [], 0
+        for t in texts:
+            body = t.encode("utf-8", "surrogatepass")
+            whole = not self.by_word or _UNSURE.search(t) is not None or any(m in t for m in self.marks)
+            plain = not whole and _NOT_FINE.search(t) is None
+            fine.append(plain)
+            if not plain and body:
+                pieces = [body] if whole else [w.encode("utf-8", "surrogatepass") for w in _COARSE.findall(t)]
+                cut.append(np.cumsum([len(w) for w in pieces[:-1]], dtype=np.int64) + at)
+            bodies.append(body)
+            at += len(body)
+            ends.append(at)
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        bounds = np.concatenate([[0], np.array(ends, np.int64)])
+        starts = piece_starts(data, bounds)
+        if not all(fine):
+            # inside the other texts only the coarse cuts hold
+            inside = np.repeat(np.array(fine), np.diff(bounds))
+            starts &= inside
+            for c in cut:
+                starts[c] = True
+        begins = bounds[:-1][np.diff(bounds) > 0]
+        starts[begins] = True
+        offsets = np.append(np.flatnonzero(starts), len(data)).astype(np.int32)  # strings are shorter than 2 GB
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        _, places, body = coded.dictionary.buffers()
+        edges = np.frombuffer(places, np.int32)[:len(coded.dictionary) + 1].tolist()
+        body = body.to_pybytes() if body is not None else b""
+        distinct = [body[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        self._learn([w for w in distinct if w not in self.words])
+        again = [w for w in distinct if w not in self.words]  # the memory was changed over
+        if again:
+            self._learn(again)
+        ids = [self.words[w] for w in distinct]
+        for w in distinct:
+            if len(w) > 256:
+                del self.words[w]
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        firsts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        codes = coded.indices.to_numpy()
+        lengths = sizes[codes]
+        total = np.cumsum(lengths)
+        out = flat[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(firsts[codes] - (total - lengths), lengths)]
+        # ids before each text: those of the pieces that start before it
+        total = np.concatenate([[0], total])[np.searchsorted(offsets[:-1], bounds)]
+        for a, b in zip(total[:-1], total[1:], strict=True):
+            yield out[a:b].tobytes() + self.end
+
+    def documents(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text and the end id."""
-        first = 0
-        while first < len(texts):
-            lists, size = [], 0
-            while first + len(lists) < len(texts) and size < _ROUND_BYTES:
-                lists.append(self._parted(texts[first + len(lists)]))
-                size += len(texts[first + len(lists) - 1] or "")
-            first += len(lists)
-            words = set().union(*lists)
-            self._learn(words.difference(self.words))
-            if not words <= self.words.keys():  # the memory was changed over: all words of this round again
-                self._learn(words.difference(self.words))
-            for each in lists:
-                yield b"".join(map(self.words.__getitem__, each)) + self.end
-            for w in self.long:
-                self.words.pop(w, None)
-            self.long.clear()
+        held, size = [], 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= _ROUND_BYTES:
+                yield from self._round(held)
+                held, size = [], 0
+        if held:
+            yield from self._round(held)
 
 
 @lru_cache(maxsize=2)
@@ -146,7 +235,7 @@ def _shard(body: list[bytes], entries: list[tuple[int, int, int]], width: int) -
     return data + np.array(entries, ENTRY).tobytes() + footer.tobytes()
 
 
-def write_dataset(docs: DataFrame, path: str, encoding: Encoding, shard_ids: int = 1 << 23) -> None:
+def write_dataset(docs: DataFrame, path: str, encoding: Encoding, shard_ids: int = 1 << 22) -> None:
     """Encode every row (doc_id, text; other columns are ignored) and write the dataset.
 
     Null and empty texts are the end id alone.  Null doc_ids come last.  Equal doc_ids are
@@ -176,7 +265,8 @@ def _write_shards(docs: DataFrame, target: str, encoding: Encoding, shard_ids: i
         entries: list[tuple[int, int, int]] = []
         held = 0
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.documents(b["text"].to_pylist()), strict=True):
+            texts = (t.as_py() for t in b["text"])  # one at a time: a batch of texts may be large
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.documents(texts), strict=True):
                 body.append(ids)
                 entries.append((doc_id or 0, len(ids) // width, int(doc_id is None)))
                 held += len(ids) // width
