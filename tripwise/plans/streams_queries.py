@@ -21,14 +21,14 @@ def feedback_stream(t):
 @query("stream_place_dynamics", """SELECT place_id, count(*) FILTER (kind = 'visit') AS visits, count(*) FILTER (kind = 'like') AS likes, count(*) FILTER (kind = 'dislike') AS dislikes FROM f_feedback GROUP BY place_id""")
 def stream_place_dynamics(t):
     out, checkpoint = L.folders(t.spark, "place-dynamics")
-    L.run_updates(L.place_counters(feedback_stream(t)), out, checkpoint)
+    L.run_updates(L.place_counters(feedback_stream(t)), out, checkpoint, ["place_id"])
     return L.latest(t.spark, out, ["place_id"])
 
 
 @query("stream_tick_series", "SELECT CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts)) AS BIGINT) AS tick, kind, count(*) AS n FROM f_feedback GROUP BY ALL")
 def stream_tick_series(t):
     out, checkpoint = L.folders(t.spark, "ticks")
-    L.run_updates(L.tick_counts(feedback_stream(t)), out, checkpoint)
+    L.run_updates(L.tick_counts(feedback_stream(t)), out, checkpoint, ["tick", "kind"])
     return L.latest(t.spark, out, ["tick", "kind"]).withColumn("tick", F.unix_timestamp("tick"))
 
 
@@ -36,15 +36,16 @@ def stream_tick_series(t):
  FROM f_feedback, (SELECT range AS i FROM range(0, 12)) WHERE kind = 'visit' GROUP BY ALL""")
 def stream_visits_sliding(t):
     out, checkpoint = L.folders(t.spark, "sliding")
-    L.run_updates(L.sliding_visits(feedback_stream(t)), out, checkpoint)
-    return L.latest(t.spark, out, ["since", "place_id"]).withColumn("since", F.unix_timestamp("since"))
+    L.run_updates(L.sliding_visits(feedback_stream(t)), out, checkpoint, L.PANE_KEYS, mode="append")
+    both = L.latest(t.spark, out, L.PANE_KEYS).unionByName(L.open_windows(t.spark, checkpoint))
+    return both.withColumn("since", F.unix_timestamp("since"))
 
 
 @query("stream_affinity", f"""SELECT source, user_id, place_id, round({FOLD.format(o='ts, event_id')}, 9) AS aff FROM (SELECT *, {DELTA} AS d FROM f_feedback WHERE kind <> 'visit') GROUP BY ALL""")
 def stream_affinity(t):
     out, checkpoint = L.folders(t.spark, "affinity")
     L.stream_affinity(feedback_stream(t), out, checkpoint)
-    return rounded(L.with_tail(L.rated_events(t.feedback), out, L.PLACE_KEYS, L.affinity_fold), 9)
+    return rounded(L.with_tail(t.spark, checkpoint, L.PLACE_KEYS, L.affinity_fold), 9)
 
 
 @query("stream_keyword_affinity", f"""SELECT source, user_id, keyword, round({FOLD.format(o='ts, event_id')}, 9) AS aff FROM (SELECT f.*, {DELTA} * 0.7e0 AS d, unnest(keywords) AS keyword FROM f_feedback f
@@ -52,11 +53,11 @@ def stream_affinity(t):
 def stream_keyword_affinity(t):
     out, checkpoint = L.folders(t.spark, "keyword-affinity")
     L.stream_keyword_affinity(feedback_stream(t), places(t), out, checkpoint)
-    return rounded(L.with_tail(L.rated_words(t.feedback, places(t)), out, L.WORD_KEYS, L.keyword_fold), 9)
+    return rounded(L.with_tail(t.spark, checkpoint, L.WORD_KEYS, L.keyword_fold), 9)
 
 
 @query("stream_travel_cost", f"WITH RECURSIVE ev AS (SELECT * FROM f_feedback), {sql_cost_state('ev')} SELECT user_id, n, round(ema, 6) AS avg_travel_cost, round(vot, 6) AS vot FROM fin")
 def stream_travel_cost(t):
     out, checkpoint = L.folders(t.spark, "travel-cost")
     L.stream_travel_cost(feedback_stream(t), out, checkpoint)
-    return rounded(L.with_tail(t.feedback, out, ["user_id"], L.travel_cost_fold))
+    return rounded(L.with_tail(t.spark, checkpoint, ["user_id"], L.travel_cost_fold))

@@ -1,21 +1,24 @@
 """Streaming jobs over feedback and trip events (event_id, ts, user_id, ...).
 
 Counters commute, so those jobs are plain streaming aggregates.  Affinities and
-travel costs depend on order: their events are held in short windows until the
-watermark has passed, and each micro-batch of closed windows is folded onto the
-state table of the batch before.  Nothing waits in driver memory, and a batch that
-runs again after a failure rewrites its own folder.
+travel costs depend on order: their events wait in the state store until the
+watermark has passed (``ordered``).  Every job writes the rows that changed to an update
+log; the log is folded into a base table now and then, so that readers and folders stay
+small.  Nothing waits in driver memory, and a batch that runs again after a
+failure rewrites its own folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripwise import params as P
 from tripwise.operators import feedback as B
+from tripwise.streaming import ordered as O
 from tripwise.session import scratch_path
 
 
@@ -46,95 +49,144 @@ def tick_counts(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("tick"), "kind", "n")
 
 
+PANE_KEYS = ["since", "place_id"]
+
+
 def sliding_visits(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour", step: str = "5 minutes") -> DataFrame:
-    """Footfall per place over a sliding window, for trending lists."""
+    """Footfall per place over a sliding window, for trending lists: windows that are closed.
+
+    Visits are counted once, in panes as long as the step; the sliding windows are a second
+    aggregate over finished panes.  So state and shuffle hold a row per pane and place, not
+    one per event and window.  ``width`` is a multiple of ``step``.
+    """
     visits = event_time(events).where(F.col("kind") == "visit").withWatermark("ts", delay)
-    return visits.groupBy(F.window("ts", width, step).alias("w"), "place_id").agg(F.count(F.lit(1)).alias("visits")).select(
-        F.col("w.start").alias("since"), "place_id", "visits")
+    panes = visits.groupBy(F.window("ts", step).alias("pane"), "place_id").agg(F.count(F.lit(1)).alias("n"))
+    windows = panes.groupBy(F.window(F.window_time("pane"), width, step).alias("w"), "place_id").agg(F.sum("n").alias("visits"))
+    return windows.select(F.col("w.start").alias("since"), "place_id", "visits")
+
+
+def open_windows(spark: SparkSession, checkpoint: str, width_minutes: int = 60, step_minutes: int = 5) -> DataFrame:
+    """Counts so far of the sliding windows that are not closed yet, from both aggregates' state."""
+    states = [spark.read.format("statestore").option("path", checkpoint).option("operatorId", i).load() for i in (0, 1)]
+    length = lambda s, name: F.unix_timestamp(s["key"][name]["end"]) - F.unix_timestamp(s["key"][name]["start"])
+    name = {i: next(f.name for f in s.schema["key"].dataType.fields if f.name != "place_id") for i, s in enumerate(states)}
+    rows = [s.select(F.col("key")[name[i]]["start"].alias("start"), length(s, name[i]).alias("seconds"), F.col("key")["place_id"].alias("place_id"),
+                     F.col("value")[s.schema["value"].dataType.names[0]].alias("n")) for i, s in enumerate(states)]
+    both = rows[0].unionByName(rows[1])
+    windows = both.where(F.col("seconds") == width_minutes * 60).select(F.col("start").alias("since"), "place_id", F.col("n").alias("visits"))
+    back = F.explode(F.sequence(F.lit(0), F.lit(width_minutes - step_minutes), F.lit(step_minutes)))
+    panes = both.where(F.col("seconds") == step_minutes * 60).select("start", "place_id", F.col("n").alias("visits"), back.alias("back"))
+    panes = panes.select((F.col("start") - F.make_dt_interval(mins=F.col("back"))).alias("since"), "place_id", "visits")
+    return windows.unionByName(panes).groupBy("since", "place_id").agg(F.sum("visits").alias("visits"))
+
+
+# ------------------------------------------------------------------ the update log
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
 
-# ------------------------------------------------------------------ running a job
-def run_updates(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Write the changed rows of every micro-batch to ``folder/batch=<n>``."""
-    def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+def _fs(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def parts(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Numbers of the finished tables ``folder/<kind>=<n>``, in order."""
+    path = _path(spark, folder)
+    fs = _fs(spark, path)
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = [p for p in found if p.getName().startswith(f"{kind}=") and fs.exists(_path(spark, f"{p}/_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
 
-    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
+def _log(spark: SparkSession, folder: str, until: int | None = None) -> DataFrame | None:
+    """Rows of the newest base table and of the batches after it, with their ``batch``."""
+    bases = [b for b in parts(spark, folder, "base") if until is None or b < until]
+    base = bases[-1] if bases else -1
+    batches = [b for b in parts(spark, folder, "batch") if b > base and (until is None or b <= until)]
+    tables = [spark.read.parquet(f"{folder}/batch={b}").withColumn("batch", F.lit(b).cast("bigint")) for b in batches]
+    if base >= 0:
+        tables.append(spark.read.parquet(f"{folder}/base={base}").withColumn("batch", F.lit(base).cast("bigint")))
+    out = None
+    for t in tables:
+        out = t if out is None else out.unionByName(t)
+    return out
 
-def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Current value per key: the row of the last batch that changed it."""
-    log = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+
+def _newest(log: DataFrame, keys: list[str]) -> DataFrame:
     row = F.struct(*[c for c in log.columns if c not in (*keys, "batch")])
     return log.groupBy(*keys).agg(F.max_by(row, "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def closed_windows(events: DataFrame, keys: list[str], fields: list[str], delay: str, width: str = "1 minute") -> DataFrame:
-    """Events in short windows per key, released once the watermark has passed them."""
-    held = event_time(events).withWatermark("ts", delay)
-    return held.groupBy(F.window("ts", width).alias("w"), *keys).agg(F.collect_list(F.struct("ts", *fields)).alias("e"))
-
+def compact(spark: SparkSession, folder: str, keys: list[str], n: int) -> None:
+    """Fold the log up to batch n into ``base=<n>``.  What the base before that one covers
+    is deleted: batch n may run again and needs its own predecessors only."""
+    log = _log(spark, folder, n)
+    if log is None:
+        return
+    earlier = [b for b in parts(spark, folder, "base") if b < n]
+    _newest(log, keys).write.mode("overwrite").parquet(f"{folder}/base={n}")
+    if earlier:
+        old = [f"base={b}" for b in earlier[:-1]] + [f"batch={b}" for b in parts(spark, folder, "batch") if b <= earlier[-1]]
+        for name in old:
+            path = _path(spark, f"{folder}/{name}")
+            _fs(spark, path).delete(path, True)
 
-Fold = Callable[[DataFrame, "DataFrame | None"], DataFrame]
 
+def run_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], mode: str = "update", compact_every: int = 20) -> None:
+    """Write the changed rows of every micro-batch to ``folder/batch=<n>``, and every
+    ``compact_every`` batches the newest row of each key to ``folder/base=<n>``."""
+    spark = stream.sparkSession
 
-def _path(spark: SparkSession, name: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    def save(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        if n % compact_every == compact_every - 1:
+            compact(spark, folder, keys, n)
 
+    stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the finished state tables, in order."""
-    path = _path(spark, folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in found if fs.exists(_path(spark, f"{p}/_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done if p.getName().startswith("state="))
 
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame | None:
+    """Current value per key: the row of the last batch that changed it; none before the first batch."""
+    log = _log(spark, folder)
+    return None if log is None else _newest(log, keys)
 
-def folded(events: DataFrame, state: DataFrame | None, keys: list[str], fold: Fold) -> DataFrame:
-    """The state after some more events."""
-    new = fold(events, state)
-    return new if state is None else new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
 
+# ------------------------------------------------------------------ order-dependent state
+@contextmanager
+def state_store(spark: SparkSession, provider: str = O.ROCKSDB) -> Iterator[None]:
+    """The store that holds more keys than memory; the session's own setting comes back."""
+    before = spark.conf.get(O.PROVIDER, None)
+    spark.conf.set(O.PROVIDER, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(O.PROVIDER) if before is None else spark.conf.set(O.PROVIDER, before)
 
-def run_fold(windows: DataFrame, keys: list[str], fold: Fold, folder: str, checkpoint: str) -> None:
-    """Fold every micro-batch of closed windows onto the state before it.
 
-    ``fold(events, state)`` returns the new state of the touched keys; untouched
-    keys are carried over.  The state of batch n is a table in ``folder/state=<n>``;
-    the newest smaller one is its predecessor.  A batch that may run again needs only
-    that one, so older tables are deleted.
-    """
-    spark = windows.sparkSession
+def run_ordered(events: DataFrame, keys: list[str], fold: O.OrderedFold, folder: str, checkpoint: str, delay: str, compact_every: int = 20) -> None:
+    """Fold the events of every key in their order and log the states that changed."""
+    with state_store(events.sparkSession):
+        run_updates(O.ordered_state(events, keys, fold, delay), folder, checkpoint, keys, compact_every=compact_every)
 
-    def step(batch: DataFrame, n: int) -> None:
-        before = [v for v in versions(spark, folder) if v < n]
-        state = spark.read.parquet(f"{folder}/state={before[-1]}") if before else None
-        events = batch.select(*keys, F.explode("e").alias("e")).select(*keys, "e.*")
-        folded(events, state, keys, fold).write.mode("overwrite").parquet(f"{folder}/state={n}")
-        for old in before[:-1]:
-            path = _path(spark, f"{folder}/state={old}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    windows.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+Fold = Callable[[DataFrame, "DataFrame | None"], DataFrame]
 
 
-def last_state(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest state table; none before the first window is closed."""
-    done = versions(spark, folder)
-    return spark.read.parquet(f"{folder}/state={done[-1]}") if done else None
+def folded(events: DataFrame, state: DataFrame | None, keys: list[str], fold: Fold) -> DataFrame:
+    """The state after some more events."""
+    new = fold(events, state)
+    return new if state is None else new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
 
 
-def with_tail(events: DataFrame, folder: str, keys: list[str], fold: Fold, delay: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """The newest state with the events on top that still wait for the watermark, for
-    readers that want everything seen so far.  ``events`` are those of the job as a plain
-    table; the stored state stays as it is, so the stream goes on without a gap."""
-    events = event_time(events)
-    closed = events.agg(F.max("ts") - F.expr(f"interval {delay}")).scalar()
-    held = events.where(F.window("ts", width)["end"] > closed)
-    return folded(held, last_state(events.sparkSession, folder), keys, fold)
+def with_tail(spark: SparkSession, checkpoint: str, keys: list[str], fold: Fold) -> DataFrame | None:
+    """The state of every key with the events on top that still wait for the watermark, for
+    readers that want everything seen so far.  Both are read from the state store, which stays
+    as it is, so the stream goes on without a gap.  None before the first batch."""
+    if not _fs(spark, _path(spark, checkpoint)).exists(_path(spark, f"{checkpoint}/state/0/_metadata")):
+        return None
+    return folded(O.state_of(spark, checkpoint, "held"), O.state_of(spark, checkpoint, "value"), keys, fold)
 
 
 PLACE_KEYS = ["source", "user_id", "place_id"]
@@ -170,18 +222,15 @@ def travel_cost_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def stream_affinity(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    windows = closed_windows(rated_events(events), PLACE_KEYS, ["event_id", "delta"], delay)
-    run_fold(windows, PLACE_KEYS, affinity_fold, folder, checkpoint)
+    run_ordered(rated_events(events), PLACE_KEYS, O.PLACE_AFFINITY, folder, checkpoint, delay)
 
 
 def stream_keyword_affinity(events: DataFrame, places: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    windows = closed_windows(rated_words(events, places), WORD_KEYS, ["event_id", "pos", "delta"], delay)
-    run_fold(windows, WORD_KEYS, keyword_fold, folder, checkpoint)
+    run_ordered(rated_words(events, places), WORD_KEYS, O.WORD_AFFINITY, folder, checkpoint, delay)
 
 
 def stream_travel_cost(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    windows = closed_windows(events, ["user_id"], ["event_id", "money", "travel_min", "satisfaction"], delay)
-    run_fold(windows, ["user_id"], travel_cost_fold, folder, checkpoint)
+    run_ordered(events, ["user_id"], O.TRAVEL_COST, folder, checkpoint, delay)
 
 
 def folders(spark: SparkSession, name: str) -> tuple[str, str]:
