@@ -1,5 +1,6 @@
 """Operators against brute force and on edge cases."""
 
+import heapq
 import math
 import random
 
@@ -12,7 +13,9 @@ from tripwise.operators import feedback as B
 from tripwise.operators import gate as G
 from tripwise.operators import metrics as M
 from tripwise.operators import network as D
+from tripwise.operators import ordering
 from tripwise.operators import organic as O
+from tripwise.operators import overlay as V
 from tripwise.operators import population as N
 from tripwise.operators import ranking as R
 from tripwise.operators import trajectory as J
@@ -236,6 +239,30 @@ def graph(spark, pairs):
     return spark.createDataFrame([(u, v, 0, float(w)) for u, v, w in pairs], "u long, v long, k int, length_m double")
 
 
+def test_folds_of_a_very_busy_key_stay_split(spark):
+    """One user with 60,000 busy hours: no row holds more than WIDTH maps, values as by hand."""
+    n = 60_000
+    events = spark.range(n).select(
+        F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3600 * 3).alias("ts"), (F.col("id") % 13).cast("double").alias("money"),
+        (F.col("id") % 61).cast("double").alias("travel_min"), ((F.col("id") * 7919 % 201 - 100) * 0.01).alias("satisfaction"), ((F.col("id") * 31 % 41 - 20) * 0.01).alias("delta"))
+    chunks = events.select("user_id", B.ts_bucket().alias("_b"), F.struct(F.col("delta").alias("s"), F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")).alias("_m"))
+    levels = ordering.up_sweep(chunks, ["user_id"], B._then_clamped)
+    assert [level.agg(F.max(F.size("_c"))).first()[0] <= ordering.WIDTH for level in levels] == [True] * (ordering.LEVELS + 1)
+    x, ema, vot = 0.0, 0.0, P.TRAVEL_COST["default_vot"]
+    t = P.TRAVEL_COST
+    for i in range(n):
+        x = max(-1.0, min(1.0, x + (i * 31 % 41 - 20) * 0.01))
+        minutes, s = i % 61, (i * 7919 % 201 - 100) * 0.01
+        ema = (1 - t["rate"]) * ema + t["rate"] * (i % 13 + minutes / 60 * vot)
+        if minutes > 0 and s < t["dislike"]:
+            vot = min(t["vot_max"], vot * (1 + t["up"] * abs(s)))
+        elif minutes > t["long_min"] and s > t["like"]:
+            vot = max(t["vot_min"], vot * (1 - t["down"] * s))
+    (aff,) = B.clamped_fold(events, ["user_id"], ["ts", "event_id"], B.ts_bucket()).collect()
+    (cost,) = B.travel_cost_state(events).collect()
+    assert abs(aff.aff - x) < 1e-9 and cost.n == n and abs(cost.vot - vot) < 1e-6 and abs(cost.avg_travel_cost - ema) < 1e-6
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(8)
     pairs = [(rng.randrange(40), rng.randrange(40), 1) for _ in range(55)]
@@ -256,6 +283,83 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.node_id for r in D.largest_component(chain, strong=False).collect()) == list(range(31))
 
 
+def test_long_circles_and_chains_need_few_rounds(spark, monkeypatch):
+    """A circle of 5,000 nodes with a tail of 3,000 and a side way: rounds follow the log."""
+    rounds = []
+    monkeypatch.setattr(D, "kept", lambda df, name="kept", keep=D.kept: rounds.append(1) or keep(df, name))
+    pairs = [(i, (i + 1) % 5000, 1) for i in range(5000)] + [(5000 + i, 5001 + i, 1) for i in range(3000)] + [(17, 5000, 1), (4000, 9000, 1), (9000, 1000, 1)]
+    got = D.strong_components(graph(spark, pairs)).groupBy("component").agg(F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in got) == [1] * 3001 + [5001]
+    assert len(rounds) < 260
+
+
+def test_long_routes_are_walked_in_doubling_steps(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(D, "kept", lambda df, name="kept", keep=D.kept: rounds.append(1) or keep(df, name))
+    edges = graph(spark, [(i, i + 1, 1) for i in range(1000)])
+    nodes = spark.createDataFrame([(i, 40.0 + i / 100, -74.0, True) for i in range(1002)], "node_id long, lat double, lon double, is_base boolean")
+    paths = D.shortest_paths(edges, spark.createDataFrame([(0,), (400,)], "src long"))
+    ask = spark.createDataFrame([(0, 1000), (400, 403), (0, 1001), (5, 5)], "origin long, dest long")
+    got = {(r.origin, r.dest): [round((p.lat - 40) * 100) for p in r.path] for r in D.route_geometry(ask, paths, edges, nodes).collect()}
+    assert got == {(0, 1000): list(range(1001)), (400, 403): [400, 401, 402, 403], (0, 1001): [0, 1001], (5, 5): [5]}
+    assert len(rounds) <= 2 * 11 + 2
+
+
+def shortest_by_hand(pairs, src):
+    best, heap = {}, [(0, src)]
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in best:
+            best[n] = d
+            for u, v, w in pairs.get(n, ()):
+                heapq.heappush(heap, (d + w, v))
+    return best
+
+
+def test_paths_through_cells(spark, monkeypatch):
+    """A chain of 2,000 hops through cells, a ladder with targets, a graph that cells don't separate."""
+    rng = random.Random(12)
+    chain = [(i, i + 1, rng.randrange(5)) for i in range(2000)]
+    ladder = [(n, m, rng.randrange(20)) for n in range(800) for m in (n ^ 1, n + 2, n - 2) if 0 <= m < 800 and rng.random() < 0.95]
+    tangle = [(i, (i * 7 + k) % 300, 1 + i % 9) for i in range(300) for k in (1, 3, 5)]
+    monkeypatch.setattr(V, "SOURCES", 2)
+    blocks = [spark.createDataFrame(rows, "node long, cell long") for rows in ([(i, i // 40) for i in range(2001)], [(n, n // 80) for n in range(800)], [(n, n // 30) for n in range(300)])]
+    for pairs, cells, top, sources, targets, levels in (
+            (chain, blocks[0], 200, [0, 1500, 2000, 5000], None, 1), (ladder, blocks[1], 300, [0, 7, 799], {5, 500}, 1), (tangle, blocks[2], 700, [0, 5], None, 0)):
+        monkeypatch.setattr(V, "TOP_EDGES", top)
+        by_node = {}
+        for p in pairs:
+            by_node.setdefault(p[0], []).append(p)
+        overlay = V.build_overlay(graph(spark, pairs), cells=cells)
+        asked = None if targets is None else spark.createDataFrame([(t,) for t in targets], "node_id long")
+        got = V.search(overlay, spark.createDataFrame([(s,) for s in sources], "src long"), asked).collect()
+        want = {(s, n): float(d) for s in sources for n, d in shortest_by_hand(by_node, s).items() if targets is None or n in targets}
+        found = {(r.src, r.node): r.dist_m for r in got}
+        assert len(found) == len(got) and found == want
+        assert overlay.levels == levels
+        least = {}
+        for u, v, w in pairs:
+            least[u, v] = min(w, least.get((u, v), 1e9))
+        for r in got if targets is None else []:
+            assert r.src == r.node if r.pred is None else found[r.src, r.pred] + least[r.pred, r.node] == r.dist_m
+
+
+def test_cells_grow_connected_and_bounded(spark):
+    rng = random.Random(13)
+    pairs = [(n, m, 1) for n in range(100) for m in (n + 1, n + 10) if m < 100 and (m % 10 or m == n + 10) and rng.random() < 0.9]
+    cells: dict = {}
+    for r in V.grow_cells(graph(spark, pairs), 12).collect():
+        cells.setdefault(r.cell, set()).add(r.node)
+    assert sorted(n for c in cells.values() for n in c) == sorted({x for p in pairs for x in p[:2]})
+    assert max(map(len, cells.values())) <= 12 and len(cells) < 40
+    for members in cells.values():
+        seen, new = set(), {min(members)}
+        while new:
+            seen |= new
+            new = {y for u, v, _ in pairs for x, y in ((u, v), (v, u)) if x in new and y in members} - seen
+        assert seen == members
+
+
 def test_routes_add_up(spark):
     rng = random.Random(9)
     pairs = [(i, (i * 3 + s) % 25, rng.randrange(1, 50)) for i in range(25) for s in (1, 2)]

@@ -3,18 +3,20 @@
 Affinity and value-of-time updates are clamped, so their order matters.  Every
 clamped update is a map x -> min(h, max(l, m*x + s)), and such maps compose into
 one map of the same form.  So the events of a key are split into consecutive
-chunks, each chunk is folded into one map on its own, and the few maps of a key
-are applied in order: no task needs all events of a busy key.
+chunks, each chunk is folded into one map on its own, and the maps are composed
+level by level (``ordering.up_sweep``, ``down_sweep``), a fixed number to a row:
+no task and no row needs all events or all chunks of a busy key.  Buckets are
+whole numbers in the order of the events, hours as a rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwise import params as P
 from tripwise.functions import clamp, hash_uniform, sigmoid
-from tripwise.operators.ordering import chunk_rows, previous, running_total
+from tripwise.operators.ordering import chunk_rows, down_sweep, previous, running_total, up_sweep
 
 HOUR = 3600
 
@@ -68,18 +70,26 @@ def _clamped_sum(events: Column) -> Column:
     ))
 
 
+def _then_clamped(a: Column, b: Column) -> Column:
+    """Clamped addition a, then b, as one."""
+    def through(x: Column) -> Column:
+        return F.least(b["hi"], F.greatest(b["lo"], x + b["s"]))
+
+    return F.struct((a["s"] + b["s"]).alias("s"), through(a["lo"]).alias("lo"), through(a["hi"]).alias("hi"))
+
+
 def clamped_fold(events: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "aff",
                  initial: DataFrame | None = None) -> DataFrame:
     """Final value per key of clamped additions of ``delta``, starting from 0 or from
     the value of an earlier state table."""
     chunks = chunk_rows(events, keys, order, bucket, [F.col("delta")]).withColumn("_m", _clamped_sum(F.col("events")))
-    maps = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_maps"))
+    total = up_sweep(chunks, keys, _then_clamped)[-1]
     first = F.lit(0.0)
     if initial is not None:
-        maps = maps.join(initial.select(*keys, F.col(out).alias("_x0")), keys, "left")
+        total = total.join(initial.select(*keys, F.col(out).alias("_x0")), keys, "left")
         first = F.coalesce("_x0", F.lit(0.0))
-    value = F.aggregate("_maps", first, lambda x, c: F.least(c["_m"]["hi"], F.greatest(c["_m"]["lo"], x + c["_m"]["s"])))
-    return maps.select(*keys, value.alias(out))
+    value = F.least(F.col("_m.hi"), F.greatest(F.col("_m.lo"), first + F.col("_m.s")))
+    return total.select(*keys, value.alias(out))
 
 
 def _known(events: DataFrame, places: DataFrame, sources) -> DataFrame:
@@ -177,20 +187,23 @@ def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: l
         f = _vot_factor(e)
         return F.struct((a["m"] * f).alias("m"), _limit(a["lo"], f).alias("lo"), _limit(a["hi"], f).alias("hi"))
 
-    chunks = chunks.withColumn("_map", F.aggregate("events", start, compose))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_m", F.aggregate("events", start, compose))
+
+    def apply(v: Column, m: Column) -> Column:
+        return F.least(m["hi"], F.greatest(m["lo"], v * m["m"]))
 
-    def apply(v: Column, c: Column) -> Column:
-        return F.least(c["hi"], F.greatest(c["lo"], v * c["m"]))
+    def then(a: Column, b: Column) -> Column:
+        return F.struct((a["m"] * b["m"]).alias("m"), apply(a["lo"], b).alias("lo"), apply(a["hi"], b).alias("hi"))
 
+    levels = up_sweep(chunks, keys, then)
     v_first, e_first, n_first = F.lit(t["default_vot"]), F.lit(0.0), F.lit(0).cast("long")
     if initial is not None:
         held = initial.select(*keys, F.struct("n", "avg_travel_cost", "vot").alias("_s0"))
-        chunks = chunks.join(held, keys, "left")
+        levels[-1] = levels[-1].join(held, keys, "left")
         v_first = F.coalesce("_s0.vot", v_first)
         e_first, n_first = F.coalesce("_s0.avg_travel_cost", e_first), F.coalesce("_s0.n", n_first)
-    chunks = chunks.withColumns({"_v0": F.aggregate(F.collect_list("_map").over(earlier), v_first, apply), "_e0": e_first, "_n0": n_first})
-    first = F.struct(F.col("_v0").alias("vot"), F.lit(0.0).alias("ema"), F.lit(1.0).alias("decay"))
+    starts = down_sweep(levels, keys, v_first, apply)
+    first = F.struct(F.col("_v").alias("vot"), F.lit(0.0).alias("ema"), F.lit(1.0).alias("decay"))
 
     def observe(a: Column, e: Column) -> Column:
         realized = e["money"] + e["travel_min"] / 60.0 * a["vot"]
@@ -198,26 +211,29 @@ def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: l
         return F.struct(
             _limit(a["vot"], _vot_factor(e)).alias("vot"), (keep * a["ema"] + t["rate"] * realized).alias("ema"), (a["decay"] * keep).alias("decay"))
 
-    chunks = chunks.select(*keys, "_b", "_e0", "_n0", F.size("events").alias("_n"), F.aggregate("events", first, observe).alias("_e"))
-    done = chunks.groupBy(*keys).agg(
-        (F.sum("_n") + F.first("_n0")).alias("n"), F.first("_e0").alias("_x0"), F.array_sort(F.collect_list(F.struct("_b", "_e"))).alias("_c"))
-    ema = F.aggregate("_c", F.col("_x0"), lambda x, c: x * c["_e"]["decay"] + c["_e"]["ema"])
-    return done.select(*keys, "n", ema.alias("avg_travel_cost"), F.element_at("_c", -1)["_e"]["vot"].alias("vot"))
+    seen = F.aggregate("events", first, observe)
+    costs = chunks.join(starts, keys + ["_b"]).select(*keys, "_b", seen.alias("_e"), F.size("events").cast("long").alias("_n"))
+    costs = costs.select(*keys, "_b", F.struct("_n", F.col("_e.ema").alias("x"), F.col("_e.decay").alias("decay")).alias("_m"))
+    cost = up_sweep(costs, keys, lambda a, b: F.struct(
+        (a["_n"] + b["_n"]).alias("_n"), (a["x"] * b["decay"] + b["x"]).alias("x"), (a["decay"] * b["decay"]).alias("decay")))[-1]
+    last = levels[-1].select(*keys, apply(v_first, F.col("_m")).alias("vot"), e_first.alias("_x0"), n_first.alias("_n0"))
+    return cost.select(*keys, "_m").join(last, keys).select(
+        *keys, (F.col("_n0") + F.col("_m._n")).alias("n"), (F.col("_x0") * F.col("_m.decay") + F.col("_m.x")).alias("avg_travel_cost"), "vot")
 
 
 def reference_points(trips: DataFrame, agents: DataFrame, bucket: Column, alpha: float = P.REFERENCE_ALPHA) -> DataFrame:
     """Per agent, moving averages of trip time and cost in trip order, starting from
-    the agent's own reference values."""
+    the agent's own reference values.  ``bucket``: whole numbers in that order."""
     chunks = chunk_rows(trips, ["agent_id"], ["day", "depart", "trip_key"], bucket, [F.col("travel_min").cast("double").alias("t"), F.col("cost").alias("c")])
     start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("c"), F.lit(1.0).alias("decay"))
     folded = F.aggregate("events", start, lambda a, e: F.struct(
         ((1 - alpha) * a["t"] + alpha * e["t"]).alias("t"), ((1 - alpha) * a["c"] + alpha * e["c"]).alias("c"), (a["decay"] * (1 - alpha)).alias("decay")))
-    parts = chunks.withColumn("_f", folded).groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_f"))).alias("_c"))
-    rows = agents.select("agent_id", "ref_time", "ref_cost").join(parts, "agent_id", "left")
-    empty = F.array().cast(parts.schema["_c"].dataType)
+    total = up_sweep(chunks.withColumn("_m", folded), ["agent_id"], lambda a, b: F.struct(
+        (a["t"] * b["decay"] + b["t"]).alias("t"), (a["c"] * b["decay"] + b["c"]).alias("c"), (a["decay"] * b["decay"]).alias("decay")))[-1]
+    rows = agents.select("agent_id", "ref_time", "ref_cost").join(total.select("agent_id", "_m"), "agent_id", "left")
 
     def final(field: str, first: str) -> Column:
-        return F.aggregate(F.coalesce("_c", empty), F.col(first), lambda x, c: x * c["_f"]["decay"] + c["_f"][field])
+        return F.when(F.col("_m").isNull(), F.col(first)).otherwise(F.col(first) * F.col("_m.decay") + F.col("_m")[field])
 
     return rows.select("agent_id", final("t", "ref_time").alias("ref_time"), final("c", "ref_cost").alias("ref_cost"))
 

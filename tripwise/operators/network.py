@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tripwise.functions import haversine_km, let
 from tripwise.operators.boxtree import best_k, build_tree, plane_bounds
 from tripwise.operators.ordering import previous
-from tripwise.session import cut
+from tripwise.operators.overlay import build_overlay, search
+from tripwise.session import cut, kept
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -45,28 +46,20 @@ def min_parallel_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.min(F.coalesce("length_m", F.lit(1.0))).alias("length_m"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Directed shortest-path length from every source to every node it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Directed shortest-path length from every source (src) to every node it reaches, or to
+    the targets (node_id) only: src, node, dist_m, pred.
 
-    Rounds of relaxation for all sources at once: the rows improved in the last
-    round are joined with the edges, and one aggregate keeps the best row per
-    (src, node).  It ends when nothing improves.  ``sources``: src.
+    Searched through nested cells (``overlay``), whose number of steps doesn't follow the
+    number of hops.  For many searches on one network build the overlay once and call
+    ``overlay.search``.
     """
-    hops = cut(min_parallel_edges(edges).select(F.col("u").alias("_u"), F.col("v").alias("_v"), "length_m"))
-    best = cut(sources.select("src").distinct().select(
-        "src", F.col("src").alias("node"), F.lit(0.0).alias("dist_m"), F.lit(None).cast(hops.schema["_u"].dataType).alias("pred"), F.lit(True).alias("new")))
-    while not best.where("new").isEmpty():
-        reach = best.where("new").join(hops, F.col("node") == F.col("_u")).select(
-            "src", F.col("_v").alias("node"), (F.col("dist_m") + F.col("length_m")).alias("dist_m"), F.col("_u").alias("pred"), F.lit(True).alias("new"))
-        rows = best.withColumn("new", F.lit(False)).unionByName(reach)
-        # on equal length the older row wins, so only real gains count as new
-        row = F.min(F.struct("dist_m", "new", "pred")).alias("_r")
-        best = cut(rows.groupBy("src", "node").agg(row).select("src", "node", "_r.dist_m", "_r.pred", "_r.new"))
-    return best.drop("new")
+    return search(build_overlay(edges), sources, targets)
 
 
 def target_pruned_paths(paths: DataFrame, targets: DataFrame) -> DataFrame:
-    """Only the paths that end at registered targets (node_id)."""
+    """Only the paths that end at registered targets (node_id); a search that is given the
+    targets doesn't look for the others in the first place."""
     return paths.join(targets.select(F.col("node_id").alias("node")).distinct(), "node", "left_semi")
 
 
@@ -87,11 +80,31 @@ def _drop_repeats(path: Column) -> Column:
     return let(path, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
 
 
+def _steps_back(pairs: DataFrame, back: DataFrame) -> DataFrame:
+    """(origin, dest, seq, u, v): all edges of the routes, counted from the destination, over
+    the predecessors ``back`` (origin, at, pred)."""
+    jump = back.select(F.col("origin").alias("_o"), F.col("at").alias("_a"), F.col("pred").alias("_to"))
+    rows = kept(pairs.select("origin", "dest", F.col("dest").alias("at"), F.lit(0).alias("seq")))
+    span = 1
+    while True:
+        on = (F.col("origin") == F.col("_o")) & (F.col("at") == F.col("_a"))
+        more = kept(rows.join(jump, on).select("origin", "dest", F.col("_to").alias("at"), (F.col("seq") + span).alias("seq")))
+        if more.isEmpty():
+            break
+        rows = rows.unionByName(more)
+        ahead = jump.select(F.col("_o").alias("_o2"), F.col("_a").alias("_a2"), F.col("_to").alias("_to2"))
+        jump = kept(jump.join(ahead, (F.col("_o") == F.col("_o2")) & (F.col("_to") == F.col("_a2"))).select("_o", "_a", F.col("_to2").alias("_to")))
+        span *= 2
+    return rows.join(back, ["origin", "at"]).select("origin", "dest", "seq", F.col("pred").alias("u"), F.col("at").alias("v"))
+
+
 def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Polyline of the shortest path of each distinct (origin, dest) pair.
 
-    The path is walked back from the destination over the predecessors, one join
-    per hop for all pairs.  The same node gives one point, no path a straight line.
+    The path is walked back from the destination by pointer doubling: round k knows where
+    2^k steps lead from every node, and appends as many steps as a route already has; so a
+    route of 1,000 hops takes 11 rounds.  The same node gives one point, no path a straight
+    line.
     """
     wanted = pairs.select("origin", "dest").distinct()
     # the smallest node that a shortest path can come from, whatever the search met first
@@ -103,25 +116,15 @@ def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes:
     nearer = tight.groupBy("origin", F.col("v").alias("at")).agg(F.min("u").alias("_near"))
     met = paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), "pred")
     # steps of no length keep the predecessor of the search
-    back = cut(met.join(nearer, ["origin", "at"], "left").select("origin", "at", F.coalesce("_near", "pred").alias("pred")))
-    walk = cut(wanted.where(F.col("origin") != F.col("dest")).withColumn("at", F.col("dest")).withColumn("seq", F.lit(0)))
-    steps: list[DataFrame] = []
-    while not walk.isEmpty():
-        step = cut(walk.join(back, ["origin", "at"]).select("origin", "dest", "seq", F.col("pred").alias("u"), F.col("at").alias("v")))
-        steps.append(step)
-        walk = step.where(F.col("u") != F.col("origin")).select("origin", "dest", F.col("u").alias("at"), (F.col("seq") + 1).alias("seq"))
+    back = kept(met.join(nearer, ["origin", "at"], "left").select("origin", "at", F.coalesce("_near", "pred").alias("pred")))
+    steps = _steps_back(wanted.where(F.col("origin") != F.col("dest")), back)
     spot = nodes.select("node_id", F.struct(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).alias("pt"))
     a, b = spot.withColumnsRenamed({"node_id": "u", "pt": "_a"}), spot.withColumnsRenamed({"node_id": "v", "pt": "_b"})
     short = edges.groupBy("u", "v").agg(F.min_by("geometry" if "geometry" in edges.columns else F.lit(None).cast("array<struct<lat:double,lon:double>>"),
                                                 F.struct(F.coalesce("length_m", F.lit(1.0)), "k")).alias("_g"))
-    parts = None
-    for step in steps:
-        parts = step if parts is None else parts.unionByName(step)
     ends = wanted.join(spot.withColumnsRenamed({"node_id": "origin", "pt": "_o"}), "origin").join(spot.withColumnsRenamed({"node_id": "dest", "pt": "_d"}), "dest")
     straight = F.when(F.col("origin") == F.col("dest"), F.array("_o")).otherwise(F.array("_o", "_d"))
-    if parts is None:
-        return ends.select("origin", "dest", straight.alias("path"))
-    lines = parts.join(short, ["u", "v"]).join(a, "u").join(b, "v")
+    lines = steps.join(short, ["u", "v"]).join(a, "u").join(b, "v")
     rounded = F.transform("_g", lambda p: F.struct(F.round(p["lat"], 6).alias("lat"), F.round(p["lon"], 6).alias("lon")))
     lines = lines.withColumn("_line", F.coalesce(rounded, F.array("_a", "_b")))
     found = lines.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("s"), "_line"))).alias("_p"))
@@ -150,44 +153,89 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return nodes.join(root, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
+def _contract(live: DataFrame, left: DataFrame, splices: list[DataFrame], singles: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Take out what needs no search, in a number of rounds that follows the log of the size.
+
+    A node without edges in or without edges out is a component of its own.  A node v with one
+    edge in and one out, u -> v -> w, gives way to an edge u -> w: it belongs to u's component if
+    that is w's too, else it is alone.  Of neighbouring such nodes a coin of the round picks some,
+    so chains and circles of any length shrink by a share in every round.
+    """
+    rounds = 0
+    while True:
+        rounds += 1
+        into = live.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"), F.min("u").alias("pu"))
+        out = live.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"), F.min("v").alias("nw"))
+        degrees = kept(left.join(into, "node_id", "left").join(out, "node_id", "left"))
+        ends = degrees.where("ins is null or outs is null").select("node_id")
+        coin = F.pmod(F.xxhash64(F.lit(rounds), "node_id"), F.lit(2)) == 1
+        picked = degrees.where((F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("pu") != F.col("node_id")) & coin)
+        spliced = picked.join(picked.select(F.col("node_id").alias("pu")), "pu", "left_anti").select("node_id", F.col("pu").alias("u"), F.col("nw").alias("w"))
+        spliced = kept(spliced)
+        gone = kept(ends.unionByName(spliced.select("node_id")))
+        n = gone.count()
+        if not n:
+            return live, left
+        singles.append(ends)
+        splices.append(spliced)
+        stay = live.join(gone.withColumnRenamed("node_id", "u"), "u", "left_anti").join(gone.withColumnRenamed("node_id", "v"), "v", "left_anti")
+        bridges = spliced.where("u <> w").select("u", F.col("w").alias("v"))
+        live = kept(stay.select("u", "v").unionByName(bridges).distinct())
+        left = kept(left.join(gone, "node_id", "left_anti"))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """Strongly connected component per node.
 
-    Forward colouring: every node takes the largest id that reaches it.  Inside a
-    colour, the nodes that reach the colour's own node form a component.  Done for
-    all colours at once and repeated on the rest.
+    Ends, chains and circles are taken out first (``_contract``).  In the rest, forward
+    colouring: every node takes the largest id that reaches it; inside a colour, the nodes
+    that reach the colour's own node form a component.  Done for all colours at once and
+    repeated on what is left; the nodes of chains follow their neighbours in the end.
+    Rounds of colouring follow the longest path of the contracted graph.
     """
-    live = cut(edges.select("u", "v").where("u <> v").distinct())
-    left = cut(edges.select(F.col("u").alias("node_id")).unionByName(edges.select(F.col("v").alias("node_id"))).distinct())
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        colour = cut(left.select("node_id", F.col("node_id").alias("c"), F.lit(True).alias("new")))
+    live = kept(edges.select("u", "v").where("u <> v").distinct())
+    left = kept(edges.select(F.col("u").alias("node_id")).unionByName(edges.select(F.col("v").alias("node_id"))).where("node_id is not null").distinct())
+    nothing = left.limit(0).select("node_id", F.col("node_id").alias("component"))
+    done: list[DataFrame] = [nothing]
+    splices: list[DataFrame] = []
+    while True:
+        singles: list[DataFrame] = []
+        live, left = _contract(live, left, splices, singles)
+        done += [s.select("node_id", F.col("node_id").alias("component")) for s in singles]
+        if left.isEmpty():
+            break
+        colour = kept(left.select("node_id", F.col("node_id").alias("c"), F.lit(True).alias("new")))
         while not colour.where("new").isEmpty():
             moved = colour.where("new").join(live, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), "c", F.lit(1).alias("n"))
             rows = colour.select("node_id", "c", F.lit(0).alias("n")).unionByName(moved)
             top = F.max(F.struct("c", (-F.col("n")).alias("old"))).alias("t")
-            colour = cut(rows.groupBy("node_id").agg(top).select("node_id", "t.c", (F.col("t.old") < 0).alias("new")))
+            colour = kept(rows.groupBy("node_id").agg(top).select("node_id", "t.c", (F.col("t.old") < 0).alias("new")))
         same = live.join(colour.select(F.col("node_id").alias("u"), F.col("c").alias("cu")), "u").join(
             colour.select(F.col("node_id").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v")
-        same = cut(same)
-        found = cut(colour.where("node_id = c").select("node_id", F.col("c").alias("component")))
+        same = kept(same)
+        found = kept(colour.where("node_id = c").select("node_id", F.col("c").alias("component")))
         step = found
         while not step.isEmpty():
             step = step.join(same, F.col("node_id") == F.col("v")).select(F.col("u").alias("node_id"), "component").distinct()
-            step = cut(step.join(found, "node_id", "left_anti"))
-            found = cut(found.unionByName(step))
+            step = kept(step.join(found, "node_id", "left_anti"))
+            found = kept(found.unionByName(step))
         done.append(found)
-        left = cut(left.join(found, "node_id", "left_anti"))
-        live = cut(live.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi"))
+        left = kept(left.join(found, "node_id", "left_anti"))
+        live = kept(live.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
+    out = kept(out)
+    for spliced in reversed(splices):
+        a, b = out.select(F.col("node_id").alias("u"), F.col("component").alias("cu")), out.select(F.col("node_id").alias("w"), F.col("component").alias("cw"))
+        own = spliced.join(a, "u").join(b, "w").select("node_id", F.when(F.col("cu") == F.col("cw"), F.col("cu")).otherwise(F.col("node_id")).alias("component"))
+        out = kept(out.unionByName(own))
     return out
 
 
 def largest_component(edges: DataFrame, strong: bool = True) -> DataFrame:
     """Nodes of the largest component (the one with the larger id on ties)."""
-    parts = cut(strong_components(edges) if strong else weak_components(edges))
+    parts = kept(strong_components(edges) if strong else weak_components(edges))
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     best = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("component"))
     return parts.join(best, "component", "left_semi").select("node_id")

@@ -10,6 +10,8 @@ they are the same in every evaluation and retry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,43 @@ def chunk_rows(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return df.withColumn("_b", bucket).groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
+#: Maps that one row of a scan holds at most, and levels above the chunks.  Buckets are whole
+#: numbers; WIDTH ** (LEVELS + 1) of them in a row (hours of 1,900 years) keep to that.
+WIDTH, LEVELS = 64, 3
+
+
+def up_sweep(chunks: DataFrame, keys: list[str], compose: Callable[[Column, Column], Column]) -> list[DataFrame]:
+    """Compose the maps ``_m`` of a key's chunks ``_b``, WIDTH consecutive buckets at a time.
+
+    Entry 0 has a row per (key, block of buckets), each next one a row per block of blocks, the
+    last a row per key: (keys, _b, _c: the parts in order with their maps, _m: their composition; no
+    _b in the last).  ``compose(a, b)`` is the map that applies a, then b.
+    """
+    out, below = [], chunks.select(*keys, "_b", "_m")
+    for level in range(LEVELS + 1):
+        by = [*keys, F.floor(F.col("_b") / WIDTH).alias("_p")] if level < LEVELS else keys
+        lists = below.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_c"))
+        rest = F.slice("_c", F.lit(2), F.size("_c"))
+        maps = F.aggregate(rest, F.element_at("_c", 1)["_m"], lambda a, x: compose(a, x["_m"]))
+        below = lists.select(*keys, *([F.col("_p").alias("_b")] if level < LEVELS else []), "_c", maps.alias("_m"))
+        out.append(below)
+    return out
+
+
+def down_sweep(levels: list[DataFrame], keys: list[str], first: Column, apply: Callable[[Column, Column], Column]) -> DataFrame:
+    """(keys, _b, _v): the value every chunk starts from, ``first`` being each key's own (a
+    column of the last level) and ``apply(v, m)`` the value of map m at v."""
+    at = levels[-1].withColumn("_v", first)
+    for level in range(LEVELS, -1, -1):
+        kind = "array<struct<_b:bigint,_v:double>>"
+        start = F.struct(F.col("_v").alias("v"), F.array().cast(kind).alias("out"))
+        walked = F.aggregate("_c", start, lambda a, x: F.struct(
+            apply(a["v"], x["_m"]).alias("v"), F.concat(a["out"], F.array(F.struct(x["_b"].alias("_b"), a["v"].alias("_v")))).alias("out")))
+        parts = at.select(*keys, F.explode(walked["out"]).alias("_x")).select(*keys, "_x.*")
+        at = levels[level - 1].join(parts, keys + ["_b"]) if level else parts
+    return at
+
+
 #: Distinct values per block, about; the number of blocks follows from their count.
 BLOCK_VALUES = 100_000
 

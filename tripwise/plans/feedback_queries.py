@@ -116,7 +116,7 @@ def match_feedback_trip(t):
 @query("reference_points", """SELECT agent_id, round(list_reduce(list_prepend(any_value(ref_time), list(CAST(travel_min AS DOUBLE) ORDER BY day, depart, trip_key) FILTER (trip_key IS NOT NULL)), lambda a, x: 0.8e0 * a + 0.2e0 * x), 9) AS ref_time,
  round(list_reduce(list_prepend(any_value(ref_cost), list(cost ORDER BY day, depart, trip_key) FILTER (trip_key IS NOT NULL)), lambda a, x: 0.8e0 * a + 0.2e0 * x), 9) AS ref_cost FROM f_agents LEFT JOIN f_trips USING (agent_id) GROUP BY agent_id""")
 def reference_points(t):
-    return rounded(B.reference_points(t.trips, t.agents, F.struct("day", F.floor(F.col("depart") / 60).alias("h"))), 9)
+    return rounded(B.reference_points(t.trips, t.agents, F.col("day") * 24 + F.floor(F.col("depart") / 60)), 9)
 
 
 @query("accepted_memory", """SELECT trip_key, CAST(coalesce(sum(CAST(accepted AS INT)) OVER (PARTITION BY treatment, seed, agent_id ORDER BY day, depart, trip_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_accepted FROM f_trips""")

@@ -56,7 +56,7 @@ def targets(t):
 
 @query("target_pruned_paths", f"WITH RECURSIVE {PATHS} SELECT src, node, round(d, 6) AS dist_m FROM sp WHERE node IN (SELECT place_id FROM f_places WHERE category = 'cafe')")
 def target_pruned_paths(t):
-    return rounded(D.target_pruned_paths(D.shortest_paths(t.edges, depots(t)), targets(t)).select("src", "node", "dist_m"))
+    return rounded(D.shortest_paths(t.edges, depots(t), targets(t)).select("src", "node", "dist_m"))
 
 
 def trip_pairs(t):
