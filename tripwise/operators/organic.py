@@ -1,94 +1,140 @@
 """Self-chosen destinations: one place per request, drawn in proportion to
 exp(-distance / scale) over all places of the subtype.
 
-Summing the weights of all places for every request would form all pairs.  Instead
-each request walks down the place tree until its cells are small against the
-scale, proposes a place from the cells' upper bounds, and accepts it with the ratio
-of its true weight to the bound.  Rejection sampling gives exactly the wanted
-distribution; since the bounds are tight, most first proposals are accepted.
+The place of the largest -distance / scale + G, with a standard Gumbel number G per
+request and place, is such a draw.  The numbers aren't drawn place by place: the largest of
+a cell's n numbers is a Gumbel number at ln n, drawn by a key of (request, cell).  Among a
+cell's parts one, chosen by the counts, holds the cell's largest number; the others' largest are
+drawn below it.  So a request walks down a tree of cells, knowing of each cell the number of its
+best place and the range of its distances.  Cells that can't reach what another cell surely
+has are dropped; what is left is a few cells per level however many places there are.
+
+All numbers are functions of keys, so the draw is the same on any cluster, and SQL that
+works out all cells for all requests gives the same places.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tripwise import params as P
-from tripwise.functions import draw_index, hash_uniform, haversine_km, let
-from tripwise.operators.boxtree import BOX, BITS, LEVELS, Tree, build_tree, sphere_bounds
+from tripwise.functions import hash_uniform, haversine_km, let
+from tripwise.functions.draws import hash_word
+from tripwise.operators.boxtree import BOX, SLACK, sphere_bounds
 from tripwise.operators.catalog import pois_by_subtype
-from tripwise.operators.ordering import ordinal
 from tripwise.operators.population import _indexed
-from tripwise.session import cut
+from tripwise.session import kept
+
+#: Hexadecimal digits of a place's key: of its position (two bits of each coordinate a digit,
+#: 19 m in the end) and of its id's md5, which tell places of one spot apart.
+SPOT_DIGITS, ID_DIGITS = 10, 12
+DIGITS = SPOT_DIGITS + ID_DIGITS
+
+
+def place_key(lat: Column, lon: Column, place_id: Column) -> Column:
+    """Digits of the cells that hold a place, from the whole earth down to the place itself."""
+    top = 1 << (2 * SPOT_DIGITS)
+
+    def grid(x: Column, span: float) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(top - 1), F.floor((x + span / 2) / span * top))).cast("bigint")
+
+    y, x = grid(lat, 180.0), grid(lon, 360.0)
+    digits = [F.hex(F.shiftright(y, s).bitwiseAND(F.lit(3)) * 4 + F.shiftright(x, s).bitwiseAND(F.lit(3))) for s in range(2 * SPOT_DIGITS - 2, -2, -2)]
+    return F.concat(*digits, F.upper(F.substring(F.md5(place_id.cast("string")), 1, ID_DIGITS)))
+
+
+def _open_uniform(*parts: Column | str) -> Column:
+    """Uniform number in (0, 1) keyed by the parts."""
+    return (hash_word(*parts).cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def _common(a: Column, b: Column) -> Column:
+    """Length of the common beginning of two keys."""
+    at = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(DIGITS)), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))), True)
+    return F.when(at > 0, at.cast("int") - 1).otherwise(F.lit(DIGITS))
+
+
+def cell_tree(items: DataFrame) -> DataFrame:
+    """(root, node, parts): the parts of every cell that has several.
+
+    ``items``: root, key, lat, lon.  A part is the cell of one more digit; its ``node`` is the
+    smallest cell that holds the same places, so chains of cells with a single part take no
+    step.  One shuffle by cell, combined before it, and one by node, at most 16 parts a row.
+    """
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(DIGITS)), lambda i: F.substr("key", F.lit(1), i))
+    cells = items.select("root", "key", "lat", "lon", F.explode(prefixes).alias("cell")).groupBy("root", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"),
+        F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+    cells = cells.withColumn("node", F.substr("lo", F.lit(1), _common(F.col("lo"), F.col("hi"))))
+    up = F.when(F.col("cell") == "", F.lit(None)).otherwise(F.substr("cell", F.lit(1), F.length("cell") - 1))
+    parts = cells.groupBy("root", up.alias("up")).agg(F.array_sort(F.collect_list(F.struct("cell", "node", "n", *BOX))).alias("parts"))
+    # the earth itself is the only part of nothing: the entry of a root
+    return parts.where("up is null or size(parts) > 1")
+
+
+def _split(parts: Column, n: Column, m: Column, rid: Column, node: Column, salt: str) -> Column:
+    """Parts of a cell with their largest numbers, m being the cell's own."""
+    place = F.floor(_open_uniform(rid, node, salt, "part") * n)
+    before = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit("").alias("won")), lambda a, x: F.struct(
+        (a["sum"] + x["n"]).alias("sum"), F.when((place >= a["sum"]) & (place < a["sum"] + x["n"]), x["cell"]).otherwise(a["won"]).alias("won")))
+    return let(F.struct(parts.alias("parts"), before["won"].alias("won"), m.alias("m")), lambda g: F.transform(g["parts"], lambda x: F.struct(
+        x.alias("part"), F.when(x["cell"] == g["won"], g["m"]).otherwise(
+            -F.log(F.exp(-g["m"]) - F.log(_open_uniform(rid, x["cell"], salt, "largest")) / x["n"])).alias("m"))))
 
-PROPOSALS = 8  # per request and round
 
+def _walk(asks: DataFrame, tree: DataFrame, scale: float | None, salt: str) -> DataFrame:
+    """(rid, root, key, m): the winning place's key for every request whose root has places.
 
-def _frontier(requests: DataFrame, tree: Tree, scale: float) -> DataFrame:
-    """Cells per request with their least distance, split while they are wide."""
-    keep = ["cell", "leaf", "n", *BOX]
+    Each round opens all cells that can still win, one more level of the tree; the number of
+    rounds is the tree's depth.  Without a scale distances don't count."""
+    rid = F.col("rid").cast("string")
 
-    def measured(rows: DataFrame) -> DataFrame:
-        near, far = sphere_bounds(F.col("lat"), F.col("lon"))
-        return rows.withColumns({"near": near, "_wide": ~F.col("leaf") & (far - near > scale / 2.0)})
+    def pruned(rows: DataFrame) -> DataFrame:
+        near, far = sphere_bounds(F.col("lat"), F.col("lon")) if scale is not None else (F.lit(0.0), F.lit(0.0))
+        rows = rows.withColumns({"_most": F.col("m") - near / (scale or 1.0), "_least": F.col("m") - far / (scale or 1.0)})
+        sure = F.max("_least").over(Window.partitionBy("rid"))
+        return rows.withColumn("_sure", sure).where(F.col("_most") >= F.col("_sure") - SLACK).drop("_sure", "_most", "_least")
 
-    rows = measured(requests.join(tree.levels[0].select("root", *keep), "root"))
-    columns = requests.columns
-    for cells in tree.levels[1:]:
-        child = cells.select(F.col("root").alias("_root"), F.col("parent").alias("_up"), F.struct(*keep).alias("_child"))
-        on = F.col("_wide") & (F.col("root") == F.col("_root")) & (F.col("cell") == F.col("_up"))
-        rows = rows.join(child, on, "left").select(*columns, F.coalesce(F.col("_child"), F.struct(*keep)).alias("_c")).select(*columns, "_c.*")
-        rows = measured(rows)
-    return rows.select("rid", "root", "lat", "lon", "cell", "n", "near")
+    entry = tree.where("up is null").select("root", F.col("parts")[0].alias("p"))
+    first = -F.log(-F.log(_open_uniform(rid, "", salt, "first"))) + F.log(F.col("p.n"))
+    rows = kept(pruned(asks.join(entry, "root").select("rid", "root", "lat", "lon", "p.node", "p.n", *[f"p.{b}" for b in BOX], first.alias("m"))))
+    inner = tree.where("up is not null").select(F.col("root").alias("_root"), F.col("up").alias("_up"), "parts")
+    while not rows.where("n > 1").isEmpty():
+        opened = rows.where("n > 1").join(inner, (F.col("root") == F.col("_root")) & (F.col("node") == F.col("_up")))
+        split = _split(F.col("parts"), F.col("n"), F.col("m"), rid, F.col("node"), salt)
+        opened = opened.select("rid", "root", "lat", "lon", F.explode(split).alias("x"))
+        opened = opened.select("rid", "root", "lat", "lon", "x.part.node", "x.part.n", *[f"x.part.{b}" for b in BOX], "x.m")
+        rows = kept(pruned(opened.unionByName(rows.where("n = 1"))))
+    d = F.lit(0.0) if scale is None else haversine_km(F.col("lat"), F.col("lon"), F.col("south"), F.col("west")) / scale
+    return rows.groupBy("rid").agg(F.max_by(F.struct("root", F.col("node").alias("key"), d.alias("far")), F.col("m") - d).alias("w")).select("rid", "w.*")
 
 
 def organic_choice(requests: DataFrame, places: DataFrame, nodes: DataFrame, scale: float = P.ORGANIC_SCALE_KM,
                    salt: str = "organic") -> DataFrame:
     """One destination per request (rid, subtype, lat, lon).  Without any place of the
-    subtype it is a random base node and ``place_id`` is null."""
+    subtype it is a random base node and ``place_id`` is null.  Where even the winner is so far that
+    its weight vanishes, the choice is uniform.  Places without id or position are left out, and a
+    place given twice at one spot counts once.  Jobs run while the result is built."""
     candidates = pois_by_subtype(places)
-    items = candidates.select(
-        F.col("subtype").alias("root"), "place_id", "pos", F.col("lat").alias("south"), F.col("lon").alias("west"),
-        F.col("lat").alias("north"), F.col("lon").alias("east"))
-    tree = build_tree(items)
-    step = 2 * BITS
-    ranked = cut(ordinal(tree.base, ["root"], ["_code", "pos"], F.shiftright("_code", step * (LEVELS - 3)), "rank"))
-    starts = ranked.withColumn("cell", F.explode(F.array(*[F.shiftright("_code", step * (LEVELS - i)) for i in range(1, tree.depth + 1)])))
-    starts = starts.groupBy("root", "cell").agg(F.min("rank").alias("start"))
+    items = candidates.select(F.col("subtype").alias("root"), place_key(F.col("lat"), F.col("lon"), F.col("place_id")).alias("key"), "place_id", "lat", "lon")
+    items = items.where("key is not null").dropDuplicates(["root", "key"])
+    tree = kept(cell_tree(items))
     asks = requests.select("rid", F.col("subtype").alias("root"), "lat", "lon")
-    front = _frontier(asks, tree, scale).join(starts, ["root", "cell"])
-    cells = front.groupBy("rid", "root", "lat", "lon").agg(F.array_sort(F.collect_list(F.struct("cell", "n", "near", "start"))).alias("cells"))
-    least = F.array_min(F.transform("cells", lambda x: x["near"]))
-    # far beyond the scale all weights vanish and the choice is uniform
-    cells = cells.withColumn("_least", least).withColumn("uniform", F.exp(-F.col("_least") / scale) == 0.0)
-    mass = F.transform("cells", lambda x: x["n"] * F.when(F.col("uniform"), 1.0).otherwise(F.exp(-(x["near"] - F.col("_least")) / scale)))
-    open_ = cut(cells.withColumn("mass", mass).drop("_least"))
-    spots = ranked.select(F.col("root").alias("_root"), "rank", "place_id", F.col("south").alias("p_lat"), F.col("west").alias("p_lon"))
-    done: list[DataFrame] = []
-    n_round = 0
-    while not open_.isEmpty():
-        def u(name: str, at: int = n_round) -> Column:
-            return hash_uniform(F.col("rid").cast("string"), F.col("root"), F.lit(f"{salt}-{at}"), F.col("j").cast("string"), F.lit(name))
-
-        tries = open_.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(PROPOSALS - 1))))
-        tries = tries.withColumn("_c", F.col("cells")[draw_index(F.col("mass"), u("cell")) - 1])
-        tries = tries.select("rid", "root", "lat", "lon", "uniform", "j", "_c.near", (F.col("_c.start") + F.floor(u("item") * F.col("_c.n"))).alias("rank"), u("accept").alias("_u"))
-        seen = tries.join(spots, (tries["root"] == spots["_root"]) & (tries["rank"] == spots["rank"])).drop(spots["rank"])
-        d = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-        taken = seen.where(F.col("uniform") | (F.col("_u") < F.exp(-(d - F.col("near")) / scale)))
-        found = cut(taken.groupBy("rid").agg(F.min_by(F.struct("place_id", "p_lat", "p_lon"), "j").alias("_p")).select("rid", "_p.*"))
-        done.append(found)
-        open_ = cut(open_.join(found.select("rid"), "rid", "left_anti"))
-        n_round += 1
+    found = kept(_walk(asks, tree, scale, salt))
+    vanished = F.exp(-F.col("far")) == 0.0
+    far = found.where(vanished).select("rid")
+    if not far.isEmpty():
+        found = found.where(~vanished).unionByName(_walk(asks.join(far, "rid", "left_semi"), tree, None, salt))
+    spots = items.select("root", "key", "place_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    out = found.join(spots, ["root", "key"]).select("rid", "place_id", "p_lat", "p_lon")
     base = _indexed(nodes.where("is_base"), F.col("node_id").cast("string"), "_i", f"{salt}-nodes")
     n = base.agg(F.count(F.lit(1))).scalar()
-    orphan = requests.join(tree.levels[0].select(F.col("root").alias("subtype")).distinct(), "subtype", "left_anti")
+    orphan = requests.join(tree.select(F.col("root").alias("subtype")).distinct(), "subtype", "left_anti")
     lost = orphan.select("rid", F.floor(hash_uniform(F.col("rid").cast("string"), f"{salt}-node") * n).alias("_i")).join(
         base.select("_i", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "_i")
-    out = lost.select("rid", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), "p_lat", "p_lon")
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    return out.unionByName(lost.select("rid", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), "p_lat", "p_lon"))
 
 
 def organic_weight(lat: Column, lon: Column, p_lat: Column, p_lon: Column, scale: float = P.ORGANIC_SCALE_KM) -> Column:

@@ -9,7 +9,7 @@ from tripwise.operators import ranking as R
 from tripwise.operators.catalog import keywords_of, pois_by_subtype
 from tripwise.plans.catalog_queries import BRIDGE
 from tripwise.plans.registry import query, rounded
-from tripwise.plans.scalars_queries import hav
+from tripwise.plans.scalars_queries import hav, sql_u
 
 
 def q(s) -> str:
@@ -171,10 +171,34 @@ def rank_rating_fallback(t):
     return rounded(found.select("rid", "subtype", "place_id", "rank", "score"), 9)
 
 
-@query("organic_choice")
+def open_u(*parts: str) -> str:
+    return f"((CAST('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
+
+
+def grid(x: str, span: float) -> str:
+    return f"CAST(greatest(0, least(1048575, floor(({x} + {span / 2}e0) / {span}e0 * 1048576))) AS BIGINT)"
+
+
+RID, SALT = "CAST(w.rid AS VARCHAR)", "'organic'"
+# every cell of every request, down to the single places
+ORGANIC = f"""WITH RECURSIVE g AS (SELECT subtype AS root, place_id, p.lat, p.lon, {grid('p.lat', 180.0)} AS y, {grid('p.lon', 360.0)} AS x FROM f_places p JOIN {BRIDGE} USING (category)),
+ cand AS MATERIALIZED (SELECT root, place_id, lat, lon, upper({' || '.join(f"printf('%x', ((y >> {s}) & 3) * 4 + ((x >> {s}) & 3))" for s in range(18, -2, -2))} || substr(md5(CAST(place_id AS VARCHAR)), 1, 12)) AS key FROM g),
+ cl AS MATERIALIZED (SELECT root, l, left(key, l) AS cell, count(*) AS n FROM cand, (SELECT CAST(range AS INT) AS l FROM range(0, 23)) GROUP BY ALL),
+ ch AS MATERIALIZED (SELECT *, left(cell, l - 1) AS up, sum(n) OVER (PARTITION BY root, l, left(cell, l - 1) ORDER BY cell) AS cum FROM cl WHERE l > 0),
+ w(rid, root, l, cell, n, m) AS (SELECT w.user_id, root, 0, '', n, -ln(-ln({open_u('CAST(w.user_id AS VARCHAR)', "''", SALT, "'first'")})) + ln(n) FROM f_users w JOIN cl ON root = w.subtype AND l = 0
+  UNION ALL SELECT w.rid, w.root, c.l, c.cell, c.n, CASE WHEN c.n = w.n THEN w.m WHEN floor({open_u(RID, 'w.cell', SALT, "'part'")} * w.n) >= c.cum - c.n AND floor({open_u(RID, 'w.cell', SALT, "'part'")} * w.n) < c.cum THEN w.m
+   ELSE -ln(exp(-w.m) - ln({open_u(RID, 'c.cell', SALT, "'largest'")}) / c.n) END FROM w JOIN ch c ON c.root = w.root AND c.l = w.l + 1 AND c.up = w.cell),
+ best AS (SELECT w.rid, c.place_id, c.lat AS p_lat, c.lon AS p_lon FROM w JOIN cand c ON c.root = w.root AND c.key = w.cell JOIN f_users u ON u.user_id = w.rid
+  QUALIFY row_number() OVER (PARTITION BY w.rid ORDER BY w.m - {hav('u.lat', 'u.lon', 'c.lat', 'c.lon')} / {P.ORGANIC_SCALE_KM} DESC) = 1),
+ spare AS (SELECT lat, lon, row_number() OVER (ORDER BY {sql_u('CAST(node_id AS VARCHAR)', "'organic-nodes'")}, CAST(node_id AS VARCHAR)) - 1 AS i FROM f_nodes WHERE is_base),
+ lost AS (SELECT user_id AS rid, floor({sql_u('CAST(user_id AS VARCHAR)', "'organic-node'")} * (SELECT count(*) FROM spare)) AS i FROM f_users WHERE subtype NOT IN (SELECT root FROM cand))
+ SELECT rid, place_id, round(p_lat, 9) AS p_lat, round(p_lon, 9) AS p_lon FROM best UNION ALL SELECT rid, NULL, round(lat, 9), round(lon, 9) FROM lost JOIN spare USING (i)"""
+
+
+@query("organic_choice", ORGANIC)
 def organic_choice(t):
-    """A draw per user; tests compare its frequencies with the exact probabilities."""
-    return organic_choice_of(t)
+    """A keyed draw per user; tests compare its frequencies with the exact probabilities."""
+    return rounded(organic_choice_of(t), 9)
 
 
 def organic_choice_of(t):
