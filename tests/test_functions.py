@@ -106,3 +106,19 @@ def test_draw_index_matches_cumulative_weights(spark, weights, u):
             want = i + 1
             break
     assert got == want
+
+
+def test_running_sums_of_any_length(spark):
+    """Blocks meet without a gap; a null array stays null; long arrays are quick."""
+    from tripwise.functions.polyline import running_sums
+
+    sizes = [0, 1, 63, 64, 65, 128, 1000, 50_000]
+    df = spark.createDataFrame([(n, [float(i % 7) for i in range(n)]) for n in sizes] + [(-1, None)], "n int, v array<double>").repartition(8)
+    got = {r.n: r.s for r in df.select("n", running_sums(F.col("v")).alias("s")).collect()}
+    assert got.pop(-1) is None
+    for n in sizes:
+        total, want = 0.0, [0.0]
+        for i in range(n):
+            total += i % 7
+            want.append(total)
+        assert got[n] == want

@@ -13,12 +13,35 @@ def _last(a: Column) -> Column:
     return F.element_at(a, -1)
 
 
+_BLOCK = 64
+
+
+def running_sums(values: Column) -> Column:
+    """0 and the running sums of an array of numbers.
+
+    Appending to an array copies it, so sums run inside blocks, then over the blocks' totals:
+    the work grows with the length, not its square, up to some 100,000 values.
+    """
+    def run(v: Column) -> Column:
+        return F.aggregate(v, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(_last(acc) + x)))
+
+    def walk(v: Column) -> Column:
+        n = F.ceil(F.size(v) / _BLOCK).cast("int")
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+        blocks = F.transform(starts, lambda i: run(F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))))
+        sums = let(blocks, lambda b: F.concat(F.array(F.lit(0.0)), F.flatten(
+            F.zip_with(b, F.slice(run(F.transform(b, _last)), F.lit(1), F.size(b)), lambda x, o: F.transform(F.slice(x, F.lit(2), F.lit(_BLOCK)), lambda y: y + o)))))
+        return F.when(v.isNotNull(), sums)
+
+    return let(values, walk)
+
+
 def cumulative_km(path: Column) -> Column:
     """Running great-circle distance along the polyline, starting at 0."""
     def walk(p: Column) -> Column:
         n = F.greatest(F.size(p) - 1, F.lit(0))
         steps = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]))
-        return F.aggregate(steps, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(_last(acc) + d)))
+        return running_sums(steps)
 
     return let(path, walk)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripwise.functions import haversine_km, let
+from tripwise.functions.polyline import running_sums
 from tripwise.operators.boxtree import best_k, build_tree, plane_bounds
 from tripwise.operators.ordering import previous
 from tripwise.operators.overlay import build_overlay, search
@@ -248,10 +249,8 @@ def _segments(path: Column) -> Column:
         n = F.size(p) - 1
         raw = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda a, b: F.struct(
             a.alias("a"), b.alias("b"), F.hypot(b["lat"] - a["lat"], b["lon"] - a["lon"]).alias("len")))
-        start = F.array().cast("array<struct<a:struct<lat:double,lon:double>,b:struct<lat:double,lon:double>,len:double,off:double>>")
-        return F.aggregate(raw, start, lambda acc, s: F.concat(acc, F.array(F.struct(
-            s["a"].alias("a"), s["b"].alias("b"), s["len"].alias("len"),
-            F.coalesce(F.try_element_at(acc, F.lit(-1))["off"] + F.try_element_at(acc, F.lit(-1))["len"], F.lit(0.0)).alias("off")))))
+        return let(raw, lambda r: F.zip_with(r, F.slice(running_sums(F.transform(r, lambda x: x["len"])), F.lit(1), F.size(r)), lambda x, off: F.struct(
+            x["a"].alias("a"), x["b"].alias("b"), x["len"].alias("len"), off.alias("off"))))
 
     return let(path, build)
 
