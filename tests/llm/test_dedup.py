@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from tripwise.llm import digest_index, line_runs, near_dup
+from pyspark.sql import functions as F
+
+from tripwise.llm import digest_index, line_runs, mixing, near_dup, url_filter, winnow
 from tripwise.session import scratch_path
 
 SPACE = "[\x20\x09-\x0d]"
@@ -47,6 +49,29 @@ def test_a_digest_index_goes_on(spark):
     assert got == {b"a": 2, b"b": 3, b"c": 7}
 
 
+def test_a_reopened_index_knows_its_earlier_rows(spark):
+    """The same rows again: nothing is kept a second time, counts go on, new texts are kept."""
+    path = scratch_path(spark, "index")
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id bigint, text string")
+    first = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in digest_index.exact_dedup(docs, path, buckets=4).collect()}
+    assert first == {1: (1, 2, True), 2: (1, 2, False), 3: (3, 1, True)}
+    more = docs.unionByName(spark.createDataFrame([(9, "d"), (0, "a  b")], docs.schema))
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in digest_index.exact_dedup(more, path, buckets=4).collect()}
+    assert again == {1: (1, 5, False), 2: (1, 5, False), 3: (3, 2, False), 9: (9, 1, True), 0: (1, 5, False)}
+
+
+def test_columns_named_like_generated_ones_come_back(spark, odd_docs):
+    """Callers' columns of such names don't disturb an operator and keep their values."""
+    names = ["p", "last", "Whole", "_src", "_hash", "_draw", "_boost", "_n", "_hit", "_ids", "_k1", "_k2", "_doc", "_text_hash", "_gone", "_lines", "_edges", "_url", "_keys"]
+    own = odd_docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    items = spark.createDataFrame([("i1", "one two three"), ("i2", None)], "item_id string, text string")
+    for out in (mixing.pareto_mix(own), winnow.clean_documents(own, items), line_runs.dedup_lines(own), near_dup.distinct_documents(own),
+                url_filter.filter_urls(own.withColumn("url", F.lit("http://a.net/es/x")), [url_filter.Rule("block", "net", "/es/")])):
+        (seen,) = out.select(*names).distinct().collect()
+        assert list(seen) == [f"own {n}" for n in names]
+    assert winnow.decontaminate(own, items).count() == own.count()
+
+
 def brute_lines(rows):
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
     first = {}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def fold_of(c: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(c.cast("string").cast("binary")) % folds
+
+
+def shielded(*names: str) -> Callable:
+    """For operators that work with generated columns: columns of the caller's first table that have
+    one of these names (in any case) step aside meanwhile and come back as they were."""
+    reserved = {n.lower() for n in names}
+
+    def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(f)
+        def run(rows: DataFrame, *args, **kwargs) -> DataFrame:
+            aside = {c: f"_aside{i}_{c}" for i, c in enumerate(rows.columns) if c.lower() in reserved}
+            if not aside:
+                return f(rows, *args, **kwargs)
+            return f(rows.withColumnsRenamed(aside), *args, **kwargs).withColumnsRenamed({new: old for old, new in aside.items()})
+
+        return run
+
+    return wrap

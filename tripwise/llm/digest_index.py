@@ -24,15 +24,17 @@ def squeezed(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed, sorted table of (digest, keep_id, keep_row, n_chars) at a path.
+    """A bucketed, sorted table of (digest, keep_id, keep_row, n_chars, keep_run) at a path.
 
-    Opening an existing path continues it: bucket numbers are part of the file names.
+    Opening an existing path continues it: bucket numbers are part of the file names.  Row
+    numbers are those of one opening; ``run`` names it, so that a row is known by both.
     """
 
-    COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, n_chars INT"
+    COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, n_chars INT, keep_run STRING"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
+        self.run = uuid.uuid4().hex
         self.name = f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet LOCATION '{path}' "
@@ -50,7 +52,7 @@ class DigestIndex:
         known = self.spark.table(self.name).select("digest")
         fresh = fresh.hint("merge").join(known.hint("merge"), "digest", "left_anti")
         (
-            fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.c")).alias("n_chars"))
+            fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.c")).alias("n_chars"), F.lit(self.run).alias("keep_run"))
             .repartition(self.buckets, "digest")
             .write.insertInto(self.name)
         )
@@ -74,6 +76,10 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batches: int = 2
     this exactly one stays.  Null texts equal empty ones.  Other columns are ignored.  Every
     text is read once; all else works on digests.  ``batches`` is how many rounds, longest
     originals first, feed the index.
+
+    With an ``index_path`` the index of earlier calls goes on: a text that it holds keeps the row
+    that stayed then, whatever its length, so a copy in this call has kept = false and the
+    earlier row's keep_id; group_size counts the copies of all calls.
     """
     spark = docs.sparkSession
     digests = scratch_path(spark, "digests")
@@ -93,13 +99,21 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batches: int = 2
     cuts = rows.agg(F.percentile_approx("n_chars", F.array(*map(F.lit, shares)), 1000)).first()[0] if shares else []
     index = DigestIndex(spark, index_path or scratch_path(spark, "digest-index"), buckets)
     high = None
-    for low in [*sorted(set(cuts or []), reverse=True), None]:
-        batch = rows if low is None else rows.where(F.col("n_chars") >= low)
-        index.add(batch if high is None else batch.where(F.col("n_chars") < high))
-        high = low
-    index.close()
+    try:
+        for low in [*sorted(set(cuts or []), reverse=True), None]:
+            batch = rows if low is None else rows.where(F.col("n_chars") >= low)
+            index.add(batch if high is None else batch.where(F.col("n_chars") < high))
+            high = low
+    finally:
+        index.close()
     sizes = rows.groupBy("digest").agg(F.count("*").alias("group_size"))
-    known = index.entries().select("digest", "keep_id", "keep_row").join(sizes, "digest")
+    if index_path is not None:
+        # a running count: every call adds its own
+        sizes.write.mode("append").parquet(f"{index_path}-sizes")
+        every = spark.read.schema("digest BINARY, group_size BIGINT").parquet(f"{index_path}-sizes")
+        sizes = every.join(sizes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.sum("group_size").alias("group_size"))
+    mine = F.when(F.col("keep_run") == index.run, F.col("keep_row")).otherwise(F.lit(-1).cast("bigint"))
+    known = index.entries().select("digest", "keep_id", mine.alias("keep_row")).join(sizes, "digest")
     # written, so that the join below has a plain exchange on both sides, which AQE can split
     told = scratch_path(spark, "kept")
     known.write.parquet(told)

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import NO_ID, SPACES, ascii_lower, delete_path
+from tripwise.llm.common import ascii_lower, delete_path, NO_ID, shielded, SPACES
 from tripwise.session import scratch_path
 
 RUN = "h1 BIGINT, h2 BIGINT, first_doc BIGINT"
@@ -91,6 +91,7 @@ def _parts(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+@shielded("_doc", "_text_hash", "_gone", "_lines", "_edges")
 def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, buckets: int | None = None, fanout: int = 2) -> DataFrame:
     """``docs`` with _kept (text without repeated lines), _n_lines and _n_dropped.
 

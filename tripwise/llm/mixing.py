@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import NO_ID, WORD
+from tripwise.llm.common import NO_ID, shielded, WORD
 from tripwise.session import scratch_path
 
 #: Cells per round of the search for the cut, as a power of two, and the rounds.
@@ -78,12 +78,13 @@ def _rank_key(draw: Column, p: Column, boost: Column) -> Column:
     return F.least(F.floor(q / (1 + q) * F.lit(float(2**_KEY_BITS))), F.lit(2**_KEY_BITS - 1)).cast("bigint")
 
 
+@shielded("whole", "p", "last", "_src", "_hash", "_draw", "_boost")
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 20, boost: Column | None = None) -> DataFrame:
     """Every row of ``docs`` with _size, _source_size, _target and _copies.
 
     Size is the number of words (null: 0).  A source takes its target to within half of the
-    last document's words.  ``boost`` (positive, default 1) multiplies a document's odds of
-    inclusion.  Rows without words take no copy beyond the certain ones of their source.  A
+    last document's words.  ``boost`` (positive, default 1; over columns not named like the
+    generated ones above) multiplies a document's odds of inclusion.  Rows without words take no copy beyond the certain ones of their source.  A
     null source is a source of its own.  The draw depends on seed, doc_id and text only, so
     reruns and lost tasks agree; ties are broken by doc_id, then by text hash, and rows
     equal in all of it are taken together.

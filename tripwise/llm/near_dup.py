@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import NO_ID, WORD, stored, text_key
+from tripwise.llm.common import NO_ID, shielded, stored, text_key, WORD
 from tripwise.llm.hashing import mixed, pieces, shingles, word_hashes
 from tripwise.session import scratch_path
 
@@ -299,6 +299,7 @@ def _cross_pairs(shared: DataFrame, placed: DataFrame, like: Likeness) -> DataFr
     return groups.join(left, ["ga", "ca"]).join(right, ["gb", "cb"]).select("a", "b").distinct()
 
 
+@shielded("_k1", "_k2")
 def distinct_documents(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """The rows of ``docs`` of which one per component stays: that of the smallest doc_id
     (null last; of repeated rows one).  Rows without words stay.  All columns as they are."""

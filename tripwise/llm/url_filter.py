@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import ascii_lower
+from tripwise.llm.common import ascii_lower, shielded
 from tripwise.session import scratch_path
 
 MAX_BITS = 1 << 26
@@ -158,6 +158,7 @@ def rule_keys(host: Column, path: Column, rules: list[Rule]) -> Column:
     )
 
 
+@shielded("_url", "_keys", "_hit")
 def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to every row.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import ascii_lower, stored, text_key
+from tripwise.llm.common import ascii_lower, shielded, stored, text_key
 from tripwise.session import scratch_path
 
 #: Fixed value: ASCII characters that separate words, after lower-casing.
@@ -87,7 +87,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     item_ids; repeated rows and repeated doc_ids are judged by their own text.  Other
     columns are ignored here; ``clean_documents`` keeps them.
     """
-    judged = judge(docs, items, window)
+    judged = judge(docs.select("doc_id", "text"), items, window)
     ids = F.sort_array(F.coalesce("_ids", F.array().cast("array<string>")))
     hit = F.coalesce("_hit", F.lit(0).cast("bigint"))
     return judged.select(
@@ -97,6 +97,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     )
 
 
+@shielded("_n", "_hit", "_ids", "_k1", "_k2")
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns as they are."""
     hit = F.coalesce("_hit", F.lit(0).cast("bigint"))
