@@ -64,13 +64,21 @@ def write_personas(t):
     return S.read_personas(t.spark, path).groupBy("Age").agg(F.count(F.lit(1)).alias("n"), F.sum(c("WalkTolerance").cast("long")).alias("walk"))
 
 
-@query("read_network", "SELECT node_id, lat, lon, n, total FROM f_nodes JOIN (SELECT u, count(*) AS n, round(sum(length_m), 6) AS total FROM f_edges GROUP BY u) ON u = node_id")
+@query("read_network", """SELECT a.node_id, a.lat, a.lon, n, total, n_points, round(south, 6) AS south, round(east, 6) AS east FROM f_nodes a JOIN (SELECT u, count(*) AS n, round(sum(length_m), 6) AS total,
+ sum(CASE WHEN k = 1 THEN 0 ELSE 2 END) AS n_points, min(least(s.lat, d.lat)) FILTER (k <> 1) AS south, max(greatest(s.lon, d.lon)) FILTER (k <> 1) AS east
+ FROM f_edges JOIN f_nodes s ON s.node_id = u JOIN f_nodes d ON d.node_id = v GROUP BY u) ON u = a.node_id""")
 def read_network(t):
+    """A network written and read back: nodes, and per node its edges, their lengths and lines."""
     path = scratch_path(t.spark, "network")
-    S.write_network(t.nodes, t.edges, path)
+    spot = lambda name: t.nodes.select(c("node_id").alias(name), F.struct("lat", "lon").alias(f"_{name}"))
+    lines = t.edges.join(spot("u"), "u").join(spot("v"), "v").withColumn("geometry", F.when(c("k") != 1, F.array("_u", "_v"))).drop("_u", "_v")
+    S.write_network(t.nodes, lines, path)
     nodes, edges = S.read_network(t.spark, path)
-    out = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m"), 6).alias("total"))
-    return nodes.join(out, c("u") == c("node_id")).select("node_id", "lat", "lon", "n", "total")
+    points = F.coalesce(c("geometry"), F.array().cast(edges.schema["geometry"].dataType))
+    out = edges.groupBy("u").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("length_m"), 6).alias("total"), F.sum(F.size(points)).alias("n_points"),
+        F.round(F.min(F.array_min(F.transform(points, lambda p: p["lat"]))), 6).alias("south"), F.round(F.max(F.array_max(F.transform(points, lambda p: p["lon"]))), 6).alias("east"))
+    return nodes.join(out, c("u") == c("node_id")).select("node_id", "lat", "lon", "n", "total", "n_points", "south", "east")
 
 
 @query("write_results", f"WITH {T1} {T1S}")

@@ -22,6 +22,12 @@ def _line(wkt: Column) -> Column:
     return F.when(wkt.isNotNull() & (wkt != ""), points)
 
 
+def _wkt(points: Column) -> Column:
+    """The text that ``_line`` reads; null for no points."""
+    said = F.transform(points, lambda p: F.concat_ws(" ", p["lon"].cast("string"), p["lat"].cast("string")))
+    return F.when(F.size(points) > 0, F.concat(F.lit("LINESTRING ("), F.array_join(said, ", "), F.lit(")")))
+
+
 def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, lat, lon, is_base) and edges (u, v, k, length_m, geometry).
 
@@ -46,8 +52,10 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The same tables as well-formed XML parts (keys, nodes and edges in subfolders)."""
+    """The same tables as well-formed XML parts (keys, nodes and edges in subfolders), points of
+    an edge's line included; an edge without a line, or of a table without geometry, has none."""
     spark = nodes.sparkSession
+    edges = edges if "geometry" in edges.columns else edges.withColumn("geometry", F.lit(None).cast("array<struct<lat:double,lon:double>>"))
 
     def data(**values: str) -> Column:
         return F.array(*[F.struct(F.lit(k).alias("_key"), F.col(c).cast("string").alias("_VALUE")) for k, c in values.items()]).alias("data")
@@ -55,7 +63,8 @@ def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     def save(df: DataFrame, name: str, tag: str) -> None:
         df.write.mode("overwrite").option("rootTag", "graph").option("rowTag", tag).xml(f"{path}/{name}")
 
-    keys = spark.createDataFrame([("d0", "node", "y"), ("d1", "node", "x"), ("d2", "edge", "length")], "_id string, _for string, `_attr.name` string")
+    keys = spark.createDataFrame([("d0", "node", "y"), ("d1", "node", "x"), ("d2", "edge", "length"), ("d3", "edge", "geometry")], "_id string, _for string, `_attr.name` string")
     save(keys, "keys", "key")
     save(nodes.select(F.col("node_id").alias("_id"), data(d0="lat", d1="lon")), "nodes", "node")
-    save(edges.select(F.col("u").alias("_source"), F.col("v").alias("_target"), F.col("k").alias("_id"), data(d2="length_m")), "edges", "edge")
+    lines = edges.withColumn("geometry", _wkt(F.col("geometry")))
+    save(lines.select(F.col("u").alias("_source"), F.col("v").alias("_target"), F.col("k").alias("_id"), data(d2="length_m", d3="geometry")), "edges", "edge")
