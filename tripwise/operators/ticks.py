@@ -71,9 +71,12 @@ def tick_series(trips: DataFrame, road_capacity: float, transit_capacity: float)
 
 
 def tick_mode_counts(trips: DataFrame) -> DataFrame:
-    """Mode counts per non-empty tick, one column per mode."""
-    modes = trips.withColumn("tick", tick_of(F.col("depart"))).groupBy(*DAY, "tick").pivot("mode", list(P.MODES))
-    return modes.count().na.fill(0, list(P.MODES))
+    """Mode counts per non-empty tick, one column per mode; trips of any other mode, or of
+    none, are counted in ``other``."""
+    names = [*P.MODES, "other"]
+    known = F.when(F.col("mode").isin(*P.MODES), F.col("mode")).otherwise("other")
+    modes = trips.withColumns({"tick": tick_of(F.col("depart")), "mode": known}).groupBy(*DAY, "tick").pivot("mode", names)
+    return modes.count().na.fill(0, names)
 
 
 def lagged_congestion(trips: DataFrame, road_capacity: float, transit_capacity: float) -> DataFrame:

@@ -150,12 +150,15 @@ def window_stays(stays_: DataFrame, windows: list[tuple[float, float]], bbox=Non
     return rows.withColumn("color", _colour(P.STATE_COLOR, F.col("state"), (150, 150, 150)))
 
 
-def interval_join(instants: DataFrame, intervals: DataFrame, keys: list[str], width: int = 60) -> DataFrame:
+def interval_join(instants: DataFrame, intervals: DataFrame, keys: list[str], width: int = 60, spread: int = 32) -> DataFrame:
     """Instants (t) inside closed intervals [t0, t1], for tables of instants: both
-    sides meet on a time bucket, the exact test runs after it."""
-    spans = intervals.withColumn("_b", F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.greatest(F.col("t1"), F.col("t0")) / width))))
-    points = instants.withColumn("_b", F.floor(F.col("t") / width))
-    return points.join(spans, keys + ["_b"]).where(F.col("t").between(F.col("t0"), F.col("t1"))).drop("_b")
+    sides meet on a time bucket, the exact test runs after it.  Every bucket is dealt to
+    ``spread`` tasks by its intervals' own hash, and each gets the bucket's instants; so an hour
+    in which all agents travel is no single task's."""
+    own = F.pmod(F.xxhash64("t0", "t1", *[c for c in ("agent_id", "trip_key") if c in intervals.columns]), F.lit(spread))
+    spans = intervals.withColumns({"_b": F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor(F.greatest(F.col("t1"), F.col("t0")) / width))), "_s": own})
+    points = instants.withColumns({"_b": F.floor(F.col("t") / width), "_s": F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint")))})
+    return points.join(spans, keys + ["_b", "_s"]).where(F.col("t").between(F.col("t0"), F.col("t1"))).drop("_b", "_s")
 
 
 def positions_at(moves: DataFrame, stays_: DataFrame, instants: list[float] | DataFrame, bbox=None) -> DataFrame:

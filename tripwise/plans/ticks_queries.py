@@ -28,7 +28,8 @@ def tick_series(t):
 
 
 @query("tick_mode_counts", """SELECT treatment, seed, day, depart // 5 * 5 AS tick, count(*) FILTER (mode = 'walk') AS walk, count(*) FILTER (mode = 'bike') AS bike,
- count(*) FILTER (mode = 'transit') AS transit, count(*) FILTER (mode = 'car') AS car FROM f_trips GROUP BY ALL""")
+ count(*) FILTER (mode = 'transit') AS transit, count(*) FILTER (mode = 'car') AS car,
+ count(*) FILTER (mode IS NULL OR mode NOT IN ('walk', 'bike', 'transit', 'car')) AS other FROM f_trips GROUP BY ALL""")
 def tick_mode_counts(t):
     return T.tick_mode_counts(t.trips)
 
