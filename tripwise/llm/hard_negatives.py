@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripwise.llm.common import delete_path
 from tripwise.session import scratch_path
 
 #: Components stay below this, so that inner products of up to 1,024 coordinates fit 64 bits.
@@ -312,4 +313,5 @@ def mine(vectors: DataFrame, is_anchor: Column, how: Mining = Mining(), block: i
             _mine_block(spark, tree, part, how, f"{path}/block={i}")
     if not blocks:
         spark.createDataFrame([], _FOUND).write.parquet(path)
+    delete_path(spark, at)
     return spark.read.schema(_FOUND).parquet(path).drop("block")
