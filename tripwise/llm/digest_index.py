@@ -24,17 +24,16 @@ def squeezed(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed, sorted table of (digest, keep_id, keep_row, n_chars, keep_run) at a path.
+    """A bucketed, sorted table of (digest, keep_id, keep_row, n_chars) at a path.
 
     Opening an existing path continues it: bucket numbers are part of the file names.  Row
-    numbers are those of one opening; ``run`` names it, so that a row is known by both.
+    numbers have to be new in every batch; ``next_row`` is the first free one.
     """
 
-    COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, n_chars INT, keep_run STRING"
+    COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, n_chars INT"
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.run = uuid.uuid4().hex
         self.name = f"digests_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} ({self.COLUMNS}) USING parquet LOCATION '{path}' "
@@ -52,8 +51,9 @@ class DigestIndex:
         known = self.spark.table(self.name).select("digest")
         fresh = fresh.hint("merge").join(known.hint("merge"), "digest", "left_anti")
         (
-            fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.c")).alias("n_chars"), F.lit(self.run).alias("keep_run"))
-            .repartition(self.buckets, "digest")
+            fresh.select("digest", F.col("b.doc_id").alias("keep_id"), F.col("b.row").alias("keep_row"), (-F.col("b.c")).alias("n_chars"))
+            # dealt by the bucket's number: one file per bucket, whatever the number of tasks
+            .repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
             .write.insertInto(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
@@ -63,6 +63,11 @@ class DigestIndex:
         a digest with many rows can be split."""
         return self.spark.read.schema(self.COLUMNS).parquet(self.path)
 
+    def next_row(self) -> int:
+        """One more than the largest row number that stayed."""
+        last = self.entries().agg(F.max("keep_row")).first()[0]
+        return 0 if last is None else last + 1
+
     def close(self) -> None:
         """Forget the catalog entry; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -82,6 +87,10 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batches: int = 2
     earlier row's keep_id; group_size counts the copies of all calls.
     """
     spark = docs.sparkSession
+    index = DigestIndex(spark, index_path or scratch_path(spark, "digest-index"), buckets)
+    number = F.monotonically_increasing_id()
+    if index_path is not None:
+        number = number + index.next_row()  # apart from the rows of earlier calls
     digests = scratch_path(spark, "digests")
     text = F.coalesce("text", F.lit(""))
     (
@@ -91,13 +100,12 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batches: int = 2
             F.char_length(text).alias("n_chars"),
         )
         # numbered once and written: later reads see the same numbers
-        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("row", number)
         .write.parquet(digests)
     )
     rows = spark.read.schema("doc_id BIGINT, digest BINARY, n_chars INT, row BIGINT").parquet(digests)
     shares = [i / batches for i in range(1, batches)]
     cuts = rows.agg(F.percentile_approx("n_chars", F.array(*map(F.lit, shares)), 1000)).first()[0] if shares else []
-    index = DigestIndex(spark, index_path or scratch_path(spark, "digest-index"), buckets)
     high = None
     try:
         for low in [*sorted(set(cuts or []), reverse=True), None]:
@@ -112,8 +120,7 @@ def exact_dedup(docs: DataFrame, index_path: str | None = None, batches: int = 2
         sizes.write.mode("append").parquet(f"{index_path}-sizes")
         every = spark.read.schema("digest BINARY, group_size BIGINT").parquet(f"{index_path}-sizes")
         sizes = every.join(sizes.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.sum("group_size").alias("group_size"))
-    mine = F.when(F.col("keep_run") == index.run, F.col("keep_row")).otherwise(F.lit(-1).cast("bigint"))
-    known = index.entries().select("digest", "keep_id", mine.alias("keep_row")).join(sizes, "digest")
+    known = index.entries().select("digest", "keep_id", "keep_row").join(sizes, "digest")
     # written, so that the join below has a plain exchange on both sides, which AQE can split
     told = scratch_path(spark, "kept")
     known.write.parquet(told)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripwise.llm.common import delete_path
+from tripwise.llm.common import delete_path, stored
 from tripwise.session import scratch_path
 
 #: Components stay below this, so that inner products of up to 1,024 coordinates fit 64 bits.
@@ -303,7 +303,8 @@ def mine(vectors: DataFrame, is_anchor: Column, how: Mining = Mining(), block: i
     at = scratch_path(spark, "tree")
     build_tree(vectors, at)
     tree = spark.read.schema(_TILES).parquet(at)
-    anchors = vectors.where(is_anchor).distinct()
+    # written once: a block then reads the anchors only, not all rows
+    anchors = stored(vectors.where(is_anchor).distinct(), "anchors")
     path = scratch_path(spark, "negatives")
     blocks = -(-anchors.count() // block)
     numbered = anchors.withColumn("block", F.pmod(F.xxhash64("vec_id", "label", "v"), F.lit(max(1, blocks))))
