@@ -65,7 +65,7 @@ class DigestIndex:
 
     def next_row(self) -> int:
         """One more than the largest row number that stayed."""
-        last = self.entries().agg(F.max("keep_row")).first()[0]
+        last = self.spark.table(self.name).agg(F.max("keep_row")).first()[0]
         return 0 if last is None else last + 1
 
     def close(self) -> None:
