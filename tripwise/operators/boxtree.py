@@ -9,8 +9,13 @@ few surviving leaf cells are scored.  The bounds are exact, so the result is the
 same as scoring every pair.
 
 Dense spots just make the tree deeper there.  A request never meets more than
-the children of its surviving cells, and exact copies beyond k are removed
-beforehand, so a place copied a million times costs no more than k copies.
+the children of its surviving cells, and of the items at one spot only those that
+k others there don't beat are kept, so a spot with a million places costs no more
+than k of them.
+
+Estimated sizes of tables read back are far below their size in memory.  So levels
+are counted: they are broadcast while all together have at most ``SENT_ROWS`` rows,
+and joined by sorting beyond.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions.geo import EARTH_KM
-from tripwise.session import cut
+from tripwise.session import kept
 
-LEVELS = 20
-BITS = 1  # bits per dimension and level
+DEPTH = {True: (20, 1), False: (10, 2)}  # with static score or not: levels, bits per dimension and level
 LEAF_ITEMS = 24
 SLACK = 1e-9  # bounds and exact scores round differently
+SENT_ROWS = 200_000  # cells and items that a search sends to all executors
+BUILD_ROWS = 50_000  # cells of a level that its items' split sends
 
 BOX = ("south", "west", "north", "east")
 
@@ -70,9 +76,14 @@ def plane_bounds(lat: Column, lon: Column) -> tuple[Column, Column]:
 @dataclass
 class Tree:
     levels: list[DataFrame]  # cells per level: root, cell, parent, leaf, n, box, s_lo, s_hi
-    items: DataFrame  # items, one row per level with its cell
-    base: DataFrame  # items once, with their full code
-    depth: int
+    sizes: list[int]  # number of cells per level
+    items: DataFrame  # items with their leaf cell
+    n_items: int
+
+
+def _joined_by_size(side: DataFrame, rows: int, sent: int) -> DataFrame:
+    """``side`` of a join, broadcast if it and the ``sent`` rows before fit."""
+    return F.broadcast(side) if sent + rows <= SENT_ROWS else side.hint("merge")
 
 
 def _code(items: DataFrame, use_static: bool) -> Column:
@@ -80,18 +91,19 @@ def _code(items: DataFrame, use_static: bool) -> Column:
     y, x = (F.col("south") + F.col("north")) / 2.0, (F.col("west") + F.col("east")) / 2.0
     dims = [y, x] + ([F.col("s")] if use_static else [])
     edges = items.agg(*[f(d).alias(f"{f.__name__}{i}") for i, d in enumerate(dims) for f in (F.min, F.max)]).first()
-    top = (1 << (BITS * LEVELS)) - 1
+    n_levels, bits = DEPTH[use_static]
+    top = (1 << (bits * n_levels)) - 1
     grids = []
     for i, name in enumerate(["(south + north) / 2", "(west + east) / 2", "s"][: len(dims)]):
         lo, hi = edges[f"min{i}"] or 0.0, edges[f"max{i}"] or 0.0
         width = (hi - lo) or 1.0
         grids.append(f"CAST(least({top}, greatest(0, floor(({name} - ({lo!r}D)) / {width!r}D * {float(top + 1)!r}D))) AS BIGINT)")
     # one text expression: digit by digit, most significant level first
-    width = BITS * len(dims)
-    parts = [f"{1 << (width * LEVELS)}L"]
-    for level in range(LEVELS):
+    width = bits * len(dims)
+    parts = [f"{1 << (width * n_levels)}L"]
+    for level in range(n_levels):
         for i, g in enumerate(grids):
-            parts.append(f"shiftleft(shiftright({g}, {BITS * level}) & {(1 << BITS) - 1}L, {width * level + BITS * (len(dims) - 1 - i)})")
+            parts.append(f"shiftleft(shiftright({g}, {bits * level}) & {(1 << bits) - 1}L, {width * level + bits * (len(dims) - 1 - i)})")
     return F.expr(" | ".join(parts))
 
 
@@ -101,38 +113,61 @@ def build_tree(items: DataFrame, use_static: bool = False, leaf_items: int = LEA
     A cell is split while it holds more than ``leaf_items`` items; each level
     reads only the items of cells that were split above it.
     """
-    step = BITS * (3 if use_static else 2)
+    n_levels, bits = DEPTH[use_static]
+    step = bits * (3 if use_static else 2)
     if "s" not in items.columns:
         items = items.withColumn("s", F.lit(0.0))
-    items = cut(items.withColumn("_code", _code(items, use_static)))
+    items = kept(items)
+    items = kept(items.withColumn("_code", _code(items, use_static)))
 
     def cell(level: int) -> Column:
-        return F.shiftright(F.col("_code"), step * (LEVELS - level))
+        return F.shiftright(F.col("_code"), step * (n_levels - level))
 
     levels: list[DataFrame] = []
+    sizes: list[int] = []
+    placed: list[DataFrame] = []
     live = items
-    for level in range(1, LEVELS + 1):
+    for level in range(1, n_levels + 1):
         cells = live.groupBy("root", cell(level).alias("cell")).agg(
             F.count(F.lit(1)).alias("n"), F.min("south").alias("south"), F.min("west").alias("west"),
             F.max("north").alias("north"), F.max("east").alias("east"), F.min("s").alias("s_lo"), F.max("s").alias("s_hi"),
         )
-        leaf = F.lit(True) if level == LEVELS else F.col("n") <= leaf_items
-        cells = cut(cells.withColumn("parent", F.shiftright("cell", step)).withColumn("leaf", leaf))
+        leaf = F.lit(True) if level == n_levels else F.col("n") <= leaf_items
+        cells = kept(cells.withColumn("parent", F.shiftright("cell", step)).withColumn("leaf", leaf))
         levels.append(cells)
-        split = cells.where(~F.col("leaf")).select("root", "cell")
-        if split.isEmpty():
+        n, n_split = cells.agg(F.count(F.lit(1)), F.count_if(~F.col("leaf"))).first()
+        sizes.append(n)
+        state = _joined_by_size(cells.select("root", "cell", "leaf"), n, SENT_ROWS - BUILD_ROWS)
+        tagged = kept(live.withColumn("cell", cell(level)).join(state, ["root", "cell"]))
+        placed.append(tagged.where("leaf").drop("leaf", "_code"))
+        if not n_split:
             break
-        live = live.withColumn("cell", cell(level)).join(split, ["root", "cell"], "left_semi").drop("cell")
-    depth = len(levels)
-    coded = items.withColumn("cell", F.explode(F.array(*[cell(i) for i in range(1, depth + 1)])))
-    return Tree(levels, coded, items, depth)
+        live = tagged.where(~F.col("leaf")).drop("cell", "leaf")
+    coded = placed[0]
+    for part in placed[1:]:
+        coded = coded.unionByName(part)
+    return Tree(levels, sizes, coded, items.count())
 
 
-def drop_copies(items: DataFrame, keep: int, order: str = "pos") -> DataFrame:
-    """Keep the first ``keep`` of items that are equal in root, box and static
-    score; later copies can never enter a list of that length."""
-    same = Window.partitionBy("root", *BOX, "s").orderBy(order)
-    return items.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= keep).drop("_rn")
+def drop_copies(items: DataFrame, keep: int, order: str = "pos", flat: bool = False) -> DataFrame:
+    """Drop what can never enter a list of length ``keep``: items of a spot (equal in root
+    and box) that ``keep`` others there beat by static score, or by ``order`` if that is equal.
+
+    ``flat`` says that a score may not depend on the static score at all: then the first
+    ``keep`` of a spot by ``order`` stay too.  Crowded spots are thinned in parts first.
+    """
+    def thinned(df: DataFrame, spot: list[str]) -> DataFrame:
+        keys = ", ".join(spot)
+        above = F.expr(f"count(s) OVER (PARTITION BY {keys} ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {SLACK!r}D PRECEDING)")
+        able = F.col("_above") < keep
+        if flat:
+            df = df.withColumn("_first", F.row_number().over(Window.partitionBy(*spot).orderBy(order)))
+            able = able | (F.col("_first") <= keep)
+        df = df.withColumn("_above", above).withColumn("_rn", F.row_number().over(Window.partitionBy(*spot, "s").orderBy(order)))
+        return df.where(able & (F.col("_rn") <= keep)).drop("_above", "_rn", "_first")
+
+    parts = items.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(16)))
+    return thinned(thinned(parts, ["root", *BOX, "_part"]).drop("_part"), ["root", *BOX])
 
 
 def best_k(asks: DataFrame, tree: Tree, score: Callable[[Column, Column], Column], exact: Column,
@@ -145,6 +180,8 @@ def best_k(asks: DataFrame, tree: Tree, score: Callable[[Column, Column], Column
     ask columns and item columns (prefixed ``i_``).  Ties go to the smaller ``order``.
     """
     ask_columns = asks.columns
+    # small requests make much work: as many tasks as a shuffle has
+    asks = asks.repartition(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
     keep = ["cell", "leaf", "n", *BOX, "s_lo", "s_hi"]
 
     def prune(cands: DataFrame) -> DataFrame:
@@ -158,15 +195,17 @@ def best_k(asks: DataFrame, tree: Tree, score: Callable[[Column, Column], Column
             .select(*ask_columns, *keep)
         )
 
-    cands = prune(asks.join(tree.levels[0].select("root", *keep), "root"))
-    for cells in tree.levels[1:]:
+    sent = tree.sizes[0]
+    cands = prune(asks.join(_joined_by_size(tree.levels[0].select("root", *keep), sent, 0), "root"))
+    for cells, rows in zip(tree.levels[1:], tree.sizes[1:], strict=True):
         child = cells.select(F.col("root").alias("_root"), F.col("parent").alias("_up"), F.struct(*keep).alias("_child"))
         own = F.struct(*keep)
+        child, sent = _joined_by_size(child, rows, sent), sent + rows
         joined = cands.join(child, (F.col("root") == F.col("_root")) & (F.col("cell") == F.col("_up")), "left")
         # leaf cells have no children below and stay as they are
         stepped = joined.select(*ask_columns, F.coalesce(F.col("_child"), own).alias("_c")).select(*ask_columns, "_c.*")
         cands = prune(stepped)
     items = tree.items.select("root", "cell", *[F.col(c).alias(f"i_{c}") for c in tree.items.columns if c not in ("root", "cell", "_code")])
-    scored = cands.select(*ask_columns, "cell").join(items, ["root", "cell"]).withColumn("score", exact)
+    scored = cands.select(*ask_columns, "cell").join(_joined_by_size(items, tree.n_items, sent), ["root", "cell"]).withColumn("score", exact)
     best = Window.partitionBy("rid").orderBy(F.desc("score"), f"i_{order}")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k")).drop("cell")

@@ -16,7 +16,7 @@ from tripwise.functions import clamp, haversine_km, jaccard, minmax_by_group, no
 from tripwise.functions.text import lookup
 from tripwise.operators.boxtree import best_k, build_tree, drop_copies, sphere_bounds
 from tripwise.operators.catalog import pois_by_subtype
-from tripwise.session import cut
+from tripwise.session import kept
 
 
 def prominence(by_subtype: DataFrame) -> DataFrame:
@@ -134,7 +134,8 @@ def _asks(requests: DataFrame, candidates: DataFrame, personal: _Personal, k: in
 
 def _own_pairs(asks: DataFrame, candidates: DataFrame, personal: _Personal, columns: list[str]) -> DataFrame:
     """The (request, place) pairs a user has an affinity for."""
-    mine = personal.places.join(candidates.select("root", *columns), "place_id")
+    # read back, the candidates look smaller than they are
+    mine = personal.places.join(candidates.select("root", *columns).hint("merge"), "place_id")
     return asks.join(mine, USER + ["root"])
 
 
@@ -161,7 +162,7 @@ def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_af
     pw = _personal_weight(weights["personal"])
     requests = _tagged(requests, source)
     personal = _Personal(requests, place_aff, keyword_aff, source)
-    candidates = cut(_classes(prominence(pois_by_subtype(places))))
+    candidates = kept(_classes(prominence(pois_by_subtype(places))))
     asks = _asks(requests, candidates, personal, k)
     most = personal.most(k)
     items = drop_copies(candidates.select(
@@ -172,11 +173,19 @@ def rank_prominence(requests: DataFrame, places: DataFrame, k: int = 5, place_af
         base = wp * s + wr * F.col("relevance") + wd * proximity(d, weights["scale_km"])
         return (1.0 - pw) * base + pw * personalization(F.lit(0.0) if place is None else place, F.col("kw_aff"))
 
+    # within a root only static score and place decide: one search per root and spot serves all its requests
+    asks = kept(asks)
+    spots = asks.groupBy("root", "lat", "lon").agg(F.max("k").alias("k")).withColumn("rid", F.struct("root", "lat", "lon"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("i_south"), F.col("i_west"))
-    base = best_k(asks, build_tree(items, use_static=True), score, score(F.col("i_s"), d)).select(
-        "rid", *USER, "subtype", F.col("i_place_id").alias("place_id"), F.col("i_pos").alias("pos"), "score",
-        F.col("i_s").alias("prominence"), "relevance", proximity(d, weights["scale_km"]).alias("proximity"),
-        personalization(F.lit(0.0), F.col("kw_aff")).alias("personalization"), d.alias("distance_km"))
+    found = best_k(spots, build_tree(items, use_static=True), lambda s, dist: wp * s + wd * proximity(dist, weights["scale_km"]),
+                   wp * F.col("i_s") + wd * proximity(d, weights["scale_km"]))
+    row = F.struct("rank", F.col("i_place_id").alias("place_id"), F.col("i_pos").alias("pos"), F.col("i_s").alias("prominence"), d.alias("distance_km"))
+    lists = kept(found.groupBy("root", "lat", "lon").agg(F.array_sort(F.collect_list(row)).alias("_found")))
+    met = asks.join(lists.hint("merge"), ["root", "lat", "lon"]).withColumn("_x", F.explode(F.slice("_found", F.lit(1), F.col("k").cast("int"))))
+    met = met.select(*asks.columns, "_x.place_id", "_x.pos", "_x.prominence", "_x.distance_km")
+    base = met.withColumns({
+        "score": score(F.col("prominence"), F.col("distance_km")), "proximity": proximity(F.col("distance_km"), weights["scale_km"]),
+        "personalization": personalization(F.lit(0.0), F.col("kw_aff"))})
     own = _own_pairs(asks, candidates.withColumns({"p_lat": F.col("lat"), "p_lon": F.col("lon")}), personal,
                      ["place_id", "pos", "prominence", "p_lat", "p_lon"])
     d_own = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
@@ -204,7 +213,7 @@ def rank_popularity(requests: DataFrame, places: DataFrame, k: int = 5, place_af
     requests = _tagged(requests, source)
     personal = _Personal(requests, place_aff, keyword_aff, source)
     scored = minmax_by_group(popularity_score(pois_by_subtype(places)), ["subtype"], "popularity_score", "norm")
-    candidates = cut(_classes(scored))
+    candidates = kept(_classes(scored))
     asks = _asks(requests, candidates, personal, k)
     most = personal.most(k)
     head = top_per_root(candidates.select("root", "place_id", "pos", "norm", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "norm", most)

@@ -38,7 +38,7 @@ def place_affinity(t):
 
 
 def keyword_affinity(t):
-    f = t.feedback.where(F.col("kind") != "visit").join(places(t).select("place_id", "keywords"), "place_id")
+    f = t.feedback.where(F.col("kind") != "visit").join(places(t).select("place_id", "keywords").hint("merge"), "place_id")
     return f.select("user_id", "satisfaction", F.explode("keywords").alias("keyword")).groupBy("user_id", "keyword").agg(
         F.avg("satisfaction").alias("aff"))
 
