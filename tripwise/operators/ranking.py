@@ -278,13 +278,14 @@ def rank_oracle(requests: DataFrame, places: DataFrame, preferences: DataFrame,
     """
     w = P.ORACLE_RANK
     candidates = pois_by_subtype(places).withColumn("root", F.col("subtype"))
-    items = drop_copies(candidates.select(
-        "root", "place_id", "pos", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"),
-        F.col("lon").alias("east"), F.col("rating").alias("s")), max(1, k))
-    asks = requests.join(preferences, ["user_id", "subtype"]).select(
+    # a user's preferences of all subtypes are more rows than Spark expects of them
+    asks = kept(requests.join(preferences.hint("merge"), ["user_id", "subtype"]).select(
         "rid", "user_id", "subtype", F.col("subtype").alias("root"), "lat", "lon", F.lit(max(1, k)).alias("k"), "pref", "bonus",
         (F.col("intrinsic") * w["intrinsic_weight"]).alias("own"),
-        (F.col("pref_time") * F.col("vot") / max(1.0, w["speed_kmh"]) + F.col("pref_cost") * w["cost_per_km"]).alias("per_km"))
+        (F.col("pref_time") * F.col("vot") / max(1.0, w["speed_kmh"]) + F.col("pref_cost") * w["cost_per_km"]).alias("per_km")))
+    items = drop_copies(candidates.select(
+        "root", "place_id", "pos", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"),
+        F.col("lon").alias("east"), F.col("rating").alias("s")), max(1, k), flat=not asks.where("abs(pref) < 1e-6").isEmpty())
 
     def value(s: Column) -> Column:
         return s / 5.0 * F.col("pref") + F.col("bonus") + F.col("own")
@@ -293,7 +294,8 @@ def rank_oracle(requests: DataFrame, places: DataFrame, preferences: DataFrame,
         return value(s) - F.col("per_km") * d
 
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("i_south"), F.col("i_west"))
-    found = best_k(asks, build_tree(items, use_static=True), score, score(F.col("i_s"), d), sphere_bounds)
+    # a spot holds k items at most and distance counts for more than rating: cells of places alone
+    found = best_k(asks, build_tree(items), score, score(F.col("i_s"), d), sphere_bounds)
     return found.select(
         "rid", "user_id", "subtype", F.col("i_place_id").alias("place_id"), F.col("i_pos").alias("pos"), "score", "rank",
         value(F.col("i_s")).alias("v_act"), (F.col("per_km") * d).alias("c_travel"), F.lit("oracle").alias("source"))
