@@ -30,7 +30,7 @@ def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
         F.lit(0).alias("root"), "pos", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"), F.col("lon").alias("east"))
     d = haversine_km(F.col("lat"), F.col("lon"), F.col("i_south"), F.col("i_west"))
     # written out, so the constant root stays a join key
-    found = best_k(cut(asks), build_tree(items), lambda s, dist: -dist, -d)
+    found = best_k(kept(asks), build_tree(items), lambda s, dist: -dist, -d)
     hits = found.select("_la", "_lo", F.col("i_pos").alias("node_id"), (-F.col("score")).alias("snap_km"))
     return keyed.join(hits, ["_la", "_lo"]).drop("_la", "_lo")
 
@@ -268,16 +268,30 @@ def project_on(path: Column, lat: Column, lon: Column) -> Column:
     return F.array_min(F.transform(_segments(path), onto))
 
 
+def _pieces(edges: DataFrame) -> DataFrame:
+    """Boxes of the streets' pieces.  A segment longer than the mean of all is cut into
+    pieces of that extent, so a long slanting street has no box that spans everything; there
+    are at most twice as many pieces as segments."""
+    wide = lambda s: F.greatest(F.abs(s["b"]["lat"] - s["a"]["lat"]), F.abs(s["b"]["lon"] - s["a"]["lon"]))
+    segments = kept(edges.withColumn("_s", F.explode(_segments(F.col("geometry")))))
+    step = segments.agg(F.avg(wide(F.col("_s")))).first()[0] or 1.0
+    n = F.greatest(F.lit(1), F.ceil(wide(F.col("_s")) / step)).cast("int")
+    at = lambda c, i: F.col(f"_s.a.{c}") + (F.col(f"_s.b.{c}") - F.col(f"_s.a.{c}")) * i / F.col("_n")
+    cut_up = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    box = {"south": F.least(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "west": F.least(at("lon", F.col("_i") - 1), at("lon", F.col("_i"))),
+           "north": F.greatest(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "east": F.greatest(at("lon", F.col("_i") - 1), at("lon", F.col("_i")))}
+    return cut_up.select(*edges.columns, *[x.alias(c) for c, x in box.items()])
+
+
 def nearest_edge(pois: DataFrame, edges: DataFrame) -> DataFrame:
     """Nearest street (planar degrees) of every place (place_id, pos, lat, lon); equal
-    distances go to the smaller (u, v, k)."""
-    lats, lons = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lon"])
-    items = edges.select(
-        F.lit(0).alias("root"), F.struct("u", "v", "k").alias("pos"), "geometry", F.array_min(lats).alias("south"), F.array_min(lons).alias("west"),
-        F.array_max(lats).alias("north"), F.array_max(lons).alias("east"))
+    distances (to 13 digits) go to the smaller (u, v, k)."""
+    # of streets of one shape the smallest can be the nearest
+    shapes = edges.groupBy("geometry").agg(F.min(F.struct("u", "v", "k")).alias("pos"))
+    items = _pieces(shapes).withColumn("root", F.lit(0))
     asks = pois.select(F.col("place_id").alias("rid"), "pos", "lat", "lon", F.lit(0).alias("root"), F.lit(1).alias("k"))
-    exact = -project_on(F.col("i_geometry"), F.col("lat"), F.col("lon"))["dist"]
-    found = best_k(cut(asks), build_tree(items), lambda s, d: -d, exact, plane_bounds)
+    exact = -F.round(project_on(F.col("i_geometry"), F.col("lat"), F.col("lon"))["dist"], 13)
+    found = best_k(kept(asks), build_tree(items, leaf_items=8), lambda s, d: -d, exact, plane_bounds)
     return found.select(F.col("rid").alias("place_id"), "pos", "lat", "lon", "i_pos.u", "i_pos.v", "i_pos.k", (-F.col("score")).alias("dist"))
 
 
@@ -304,18 +318,18 @@ def split_edges(pois: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     it (the start before and the far end after places at the same offset); piece
     lengths are proportional, at least 0.1.  A new node's id is -(pos + 1).
     """
-    hits = nearest_edge(pois, edges)
+    hits = kept(nearest_edge(pois, edges))
     street = [F.least("u", "v").alias("s0"), F.greatest("u", "v").alias("s1")]
     first = hits.groupBy(*street).agg(F.min_by(F.struct("u", "v", "k"), "pos").alias("rep"))
     mine = hits.select(*street, "place_id", "pos", "lat", "lon").join(first, ["s0", "s1"]).select("place_id", "pos", "lat", "lon", "rep.*")
     lines = edges.select("u", "v", "k", "length_m", "geometry")
     spots = mine.join(lines, ["u", "v", "k"]).withColumn("_q", project_on(F.col("geometry"), F.col("lat"), F.col("lon"))).select(
         (-(F.col("pos") + 1)).alias("node_id"), "place_id", "pos", "u", "v", "k", F.col("_q.lat").alias("lat"), F.col("_q.lon").alias("lon"))
-    spots = cut(spots)
+    spots = kept(spots)
     reps = spots.select("u", "v", "k").distinct()
     reverse = edges.select("u", "v", "k").join(reps.select(F.col("v").alias("u"), F.col("u").alias("v")).distinct(), ["u", "v"], "left_semi")
     split = reps.unionByName(reverse.select("u", "v", "k")).distinct()
-    target = cut(split.join(lines, ["u", "v", "k"]))
+    target = kept(split.join(lines, ["u", "v", "k"]))
     total = F.aggregate(_segments(F.col("geometry")), F.lit(0.0), lambda acc, s: acc + s["len"])
     target = target.withColumn("total", let(total, lambda x: F.when(x == 0, F.lit(1e-12)).otherwise(x)))
     ends = F.explode(F.array(
@@ -335,9 +349,9 @@ def split_edges(pois: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     new = cut_up.select(
         F.col("a").alias("u"), F.col("b").alias("v"), "k", F.greatest(F.lit(0.1), length * (F.col("pb") - F.col("pa")) / F.col("total")).alias("length_m"),
         _cut_line(F.col("geometry"), F.col("pa"), F.col("pb")).alias("geometry"))
-    kept = lines.join(split, ["u", "v", "k"], "left_anti")
+    whole_lines = lines.join(split, ["u", "v", "k"], "left_anti")
     nodes = spots.select("node_id", "place_id", "lat", "lon", F.lit(False).alias("is_base"))
-    return nodes, kept.select("u", "v", "k", "length_m", "geometry").unionByName(new)
+    return nodes, whole_lines.select("u", "v", "k", "length_m", "geometry").unionByName(new)
 
 
 def network_bounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
