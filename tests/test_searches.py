@@ -83,3 +83,22 @@ def test_long_streets_are_cut_into_pieces(spark):
 
     for i, _, lat, lon in spots:
         assert got[i] == min((away(lat, lon, g), u, v, k) for u, v, k, g in lines)[1:]
+
+
+def test_requests_are_not_sent_to_the_driver(spark):
+    """Read back, many requests look smaller than a few roots: the roots are what is sent."""
+    from tripwise.operators import ranking as R
+    from tripwise.session import kept
+
+    requests = kept(spark.createDataFrame([(i, i, "cafe_friend", 40.7, -74.0) for i in range(3)], "rid long, user_id long, subtype string, lat double, lon double")
+                    .selectExpr("*", "array('a') AS query_keywords", "array('b') AS interest_keywords", "'s' AS source"))
+    places = spark.range(60).selectExpr("id AS place_id", "id AS pos", "'cafe_friend' AS subtype", "40.7D + id / 1000 AS lat", "-74.0D AS lon", "array('w' || id, 'coffee') AS keywords", "0.5D AS norm")
+    candidates, personal = R._classes(places), R._Personal(requests, None, None, "s")
+    asks = R._asks(requests, candidates, personal, 2)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan(asks).splitlines() if "BroadcastHashJoin [subtype" in line]
+    assert joins and all("BuildRight" in line for line in joins)
+    rated = spark.createDataFrame([(0, 1, 0.5)], "user_id long, place_id long, aff double")
+    own = R._own_pairs(kept(asks), candidates, R._Personal(requests, rated, None, "s"), ["place_id"])
+    assert "BuildLeft" not in plan(own)
+    assert asks.count() == 180

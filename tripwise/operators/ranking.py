@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tripwise import params as P
 from tripwise.functions import clamp, haversine_km, jaccard, minmax_by_group, normalize_tokens
 from tripwise.functions.text import lookup
-from tripwise.operators.boxtree import best_k, build_tree, drop_copies, sphere_bounds
+from tripwise.operators.boxtree import best_k, build_tree, drop_copies, _joined_by_size, sphere_bounds
 from tripwise.operators.catalog import pois_by_subtype
 from tripwise.session import kept
 
@@ -118,7 +118,9 @@ def _asks(requests: DataFrame, candidates: DataFrame, personal: _Personal, k: in
     """One row per request and root with relevance and key-word affinity.  A
     request asks for as many extra items as its user has rated places: however
     those move, k items without a rating are then among the answers."""
-    roots = candidates.groupBy("subtype", "root").agg(F.first("tokens").alias("tokens"), F.first("keywords").alias("keywords"))
+    roots = kept(candidates.groupBy("subtype", "root").agg(F.first("tokens").alias("tokens"), F.first("keywords").alias("keywords")))
+    # the requests may look smaller than the roots, but are not
+    roots = _joined_by_size(roots, roots.count(), 0)
     query = F.when(F.size("query_keywords") > 0, F.col("query_keywords")).otherwise(default_query(F.col("subtype")))
     return (
         requests.withColumns({"_q": normalize_tokens(query), "_i": normalize_tokens(F.col("interest_keywords"))})
@@ -134,9 +136,9 @@ def _asks(requests: DataFrame, candidates: DataFrame, personal: _Personal, k: in
 
 def _own_pairs(asks: DataFrame, candidates: DataFrame, personal: _Personal, columns: list[str]) -> DataFrame:
     """The (request, place) pairs a user has an affinity for."""
-    # read back, the candidates look smaller than they are
+    # read back, the candidates and the requests look smaller than they are
     mine = personal.places.join(candidates.select("root", *columns).hint("merge"), "place_id")
-    return asks.join(mine, USER + ["root"])
+    return asks.hint("merge").join(mine, USER + ["root"])
 
 
 def _final(scored: DataFrame, k: int) -> DataFrame:
