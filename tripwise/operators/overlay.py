@@ -13,17 +13,19 @@ targets, or borders of such cells, are entered.
 
 Lengths are whole numbers of 2^-36 m, so sums are exact and ties mean the same at every
 level; of equally long paths the one of fewer hops counts, so predecessors never form a circle.
-A graph that cells don't separate (its borders are most of it) has short paths: its
-top graph is searched by rounds of relaxation instead.
+A graph that cells don't separate (its neighbourhoods are crowded, or its borders are most of
+it) has short paths: its top graph is searched by rounds of relaxation instead.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,10 @@ UNIT = 2.0**36
 CELL, TOP_EDGES, SOURCES = 1024, 400_000, 64
 #: A cut is of use if the borders are at most this share of the nodes.
 WORTH = 0.5
+#: Nodes of a shard in rounds of relaxation, about; length of what is not reached.
+SHARD, FAR = 1 << 15, np.int64((1 << 63) - 1)
+#: Where the neighbourhoods of most probed nodes hold so many nodes within so many hops, cells aren't tried.
+PROBES, CROWD, HOPS = 5, 16 * CELL, 12
 
 
 # ------------------------------------------------------------------- one cell
@@ -110,6 +116,21 @@ def grow_cells(edges: DataFrame, limit: int) -> DataFrame:
     return labels
 
 
+def crowded(edges: DataFrame) -> bool:
+    """Are most neighbourhoods so large that no cut leaves few borders?  Looks around a few nodes
+    of small hash, both ways along the edges; it only chooses between two exact searches."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    seen = kept(edges.groupBy("u").agg(F.min(F.xxhash64("u")).alias("h")).orderBy("h", "u").limit(PROBES).select(F.col("u").alias("root"), F.col("u").alias("node"), F.lit(0).alias("hop")))
+    for hop in range(1, HOPS + 1):
+        sizes = sorted(r["n"] for r in seen.groupBy("root").agg(F.count(F.lit(1)).alias("n")).collect())
+        if sizes and sizes[len(sizes) // 2] >= CROWD:
+            return True
+        rim = seen.where(F.col("hop") == hop - 1).select("root", F.col("node").alias("u"))
+        met = both.join(F.broadcast(rim), "u").select("root", F.col("v").alias("node"), F.lit(hop).alias("hop"))
+        seen = kept(seen.unionByName(met).groupBy("root", "node").agg(F.min("hop").alias("hop")))
+    return False
+
+
 @dataclass(frozen=True)
 class Overlay:
     """Stored levels: ``folder/cells=<l>`` (node, cell, border) and ``folder/inner=<l>`` (cell, u, v,
@@ -144,7 +165,10 @@ def build_overlay(edges: DataFrame, folder: str | None = None, cells: DataFrame
     kind = graph.schema["u"].dataType.simpleString()
     level = 0
     while (n_edges := graph.count()) > TOP_EDGES:
-        labels = cells if level == 0 and cells is not None else grow_cells(graph, CELL)
+        given = level == 0 and cells is not None
+        if not given and crowded(graph):
+            break
+        labels = cells if given else grow_cells(graph, CELL)
         known = labels.select("node", F.col("cell").alias("c"))
         ends = graph.join(known.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(known.withColumnsRenamed({"node": "v", "c": "cv"}), "v")
         ends = kept(ends)
@@ -207,19 +231,214 @@ def _inside(labels: DataFrame, edges: DataFrame, kind: str, wanted: DataFrame |
     return dealt.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInPandas(run, f"src {kind}, node {kind}, d bigint, hops bigint, pred {kind}")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A column of numbers, byte by byte of all of them: equal high and low bytes lie together."""
+    flat = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+    return len(flat).to_bytes(8, "little") + (pa.compress(flat, codec="zstd", asbytes=True) if flat else b"")
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+_SHARD = "block bigint, shard bigint, rank int, n bigint, m bigint, d binary, h binary, open binary, eu binary, es binary, ev binary, ew binary, eh binary, s binary, v binary, low bigint"
+_SHARD_NAMES = [c.split()[0] for c in _SHARD.split(", ")]
+
+
+def _rows(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"block": pa.int64(), "shard": pa.int64(), "rank": pa.int32(), "n": pa.int64(), "m": pa.int64(), "low": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.binary())) for c in _SHARD_NAMES], names=_SHARD_NAMES)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one (block, shard) after another; the input is sorted by it."""
+    held: list[dict] = []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and (row["block"], row["shard"]) != (held[0]["block"], held[0]["shard"]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _take(state: dict, told: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, hops and open marks (sources x nodes, flat) after the told rows."""
+    n, m = state["n"], state["m"]
+    if state["d"] is None:
+        d, h, open_ = np.full(n * m, FAR), np.zeros(n * m, np.int32), np.zeros(n * m, bool)
+    else:
+        d, h, open_ = (_unpacked(state[c], k).copy() for c, k in (("d", np.int64), ("h", np.int32), ("open", bool)))
+    for r in told:
+        at = _unpacked(r["s"], np.int32).astype(np.int64) * n + _unpacked(r["v"], np.int32)
+        nd, nh = _unpacked(r["d"], np.int64), _unpacked(r["h"], np.int32)
+        gain = (nd < d[at]) | ((nd == d[at]) & (nh < h[at]))
+        # a row names a node once per source
+        at = at[gain]
+        d[at], h[at], open_[at] = nd[gain], nh[gain], True
+    return d, h, open_
+
+
+def _shards(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Nodes numbered within shards, sources within blocks, the edges of every shard as one
+    row, the labels by number."""
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).unionByName(labels.select("node")).distinct()
+    ends = kept(ends)
+    shards = 1 + ends.count() // SHARD
+    shard = F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard")
+    nodes = kept(ends.select("node", shard).withColumn("i", F.row_number().over(Window.partitionBy("shard").orderBy("node")) - 1))
+    firsts = labels.select("src").distinct()
+    blocks = 1 + firsts.count() // SOURCES
+    sources = kept(firsts.withColumn("block", F.pmod(F.xxhash64("src"), F.lit(blocks))).withColumn("s", F.row_number().over(Window.partitionBy("block").orderBy("src")) - 1))
+    at = lambda c, i, s: nodes.select(F.col("node").alias(c), F.col("i").alias(i), F.col("shard").alias(s)).hint("merge")
+    numbered = edges.join(at("u", "ui", "us"), "u").join(at("v", "vi", "vs"), "v").select(
+        F.col("us").alias("shard"), F.col("ui").alias("i"), F.col("vs").alias("to"), F.col("vi").alias("j"), "w", F.col("hops").cast("int").alias("hops"), "last")
+    told = labels.join(sources, "src").join(at("node", "v", "shard"), "node").select("block", "shard", "s", "v", "d", F.col("hops").cast("int").alias("h"), "pred")
+    return nodes, sources, kept(numbered), kept(told), int(shards * blocks)
+
+
 def _relaxed(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rounds of relaxation from the labels, for graphs with few hops: the rows improved in a
-    round are joined with the edges, one aggregate keeps the best per (src, node)."""
-    hops = edges.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "w", F.col("hops").alias("_h"), "last")
-    row = F.min(F.struct("d", "hops", "new", "pred")).alias("_r")
-    best = kept(labels.withColumn("new", F.lit(True)).groupBy("src", "node").agg(row).select("src", "node", "_r.*"))
-    while not best.where("new").isEmpty():
-        reach = best.where("new").join(hops, F.col("node") == F.col("_u")).select(
-            "src", F.col("_v").alias("node"), (F.col("d") + F.col("w")).alias("d"), (F.col("hops") + F.col("_h")).alias("hops"), F.lit(True).alias("new"), F.col("last").alias("pred"))
-        rows = best.withColumn("new", F.lit(False)).unionByName(reach)
-        # on equal length and hops the older row wins, so only real gains count as new
-        best = kept(rows.groupBy("src", "node").agg(row).select("src", "node", "_r.*"))
-    return best.drop("new")
+    """Rounds of relaxation from the labels, for graphs with few hops.
+
+    Nodes are cut into shards by hash; a shard's edges and the lengths of its nodes from a
+    block of sources are packed columns of one row.  A round shuffles these rows and what
+    the last one told: entries that are open and nearer than the round's limit tell their
+    neighbours, one row per pair of shards.  The limit lies a mean edge above the nearest open
+    entry, so few entries tell twice.  In the end each edge tells once more, for predecessors.
+    """
+    kind = edges.schema["u"].dataType.simpleString()
+    nodes, sources, numbered, told, parts = _shards(labels, edges)
+
+    def pack_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["to", "j"], kind="stable")
+        cols = [_packed(pdf[c].to_numpy(k)) for c, k in (("i", np.int32), ("to", np.int32), ("j", np.int32), ("w", np.int64), ("hops", np.int32))]
+        return pd.DataFrame([(int(pdf["shard"].iloc[0]), *cols)], columns=["shard", "eu", "es", "ev", "ew", "eh"])
+
+    def pack_labels(pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pdf.sort_values(["d", "h"], kind="stable").drop_duplicates(["s", "v"])
+        cols = [_packed(best[c].to_numpy(k)) for c, k in (("d", np.int64), ("h", np.int32), ("s", np.int32), ("v", np.int32))]
+        return pd.DataFrame([(int(pdf["block"].iloc[0]), int(pdf["shard"].iloc[0]), *cols, int(best["d"].min()))], columns=["block", "shard", "d", "h", "s", "v", "low"])
+
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _SHARD.split(", "))}
+    full = lambda df: df.select(*[df[c].cast(dict(x.split() for x in _SHARD.split(", "))[c]).alias(c) if c in df.columns else none[c] for c in _SHARD_NAMES])
+    packed = numbered.drop("last").groupBy("shard").applyInPandas(pack_edges, "shard bigint, eu binary, es binary, ev binary, ew binary, eh binary")
+    sizes = nodes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).join(packed, "shard", "left")
+    state = sizes.crossJoin(sources.groupBy("block").agg(F.count(F.lit(1)).alias("m"))).withColumn("rank", F.lit(0))
+    first = told.drop("pred").groupBy("block", "shard").applyInPandas(pack_labels, "block bigint, shard bigint, d binary, h binary, s binary, v binary, low bigint").withColumn("rank", F.lit(1))
+    state = kept(full(state).unionByName(full(first)))
+    step = int(edges.agg(F.avg("w")).first()[0] or 0) + 1
+
+    def round_(limit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for state, *rows in _groups(batches):
+                d, h, open_ = _take(state, rows)
+                n = state["n"]
+                now = np.flatnonzero(open_ & (d < limit))
+                if len(now) and state["eu"] is not None:
+                    yield from tell(state, d, h, now, n)
+                open_[now] = False
+                low = d[open_].min() if open_.any() else None
+                yield _rows([state | {"d": _packed(d), "h": _packed(h), "open": _packed(open_), "low": None if low is None else int(low)}])
+
+        def tell(state: dict, d: np.ndarray, h: np.ndarray, now: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+            eu, es, ev = (_unpacked(state[c], np.int32) for c in ("eu", "es", "ev"))
+            ew, eh = _unpacked(state["ew"], np.int64), _unpacked(state["eh"], np.int32)
+            by_node = np.argsort(eu, kind="stable")
+            bounds = np.searchsorted(eu[by_node], np.arange(n + 1))
+            counts = np.diff(bounds)[now % n]
+            entry = np.repeat(now, counts)
+            if not len(entry):
+                return
+            offset = np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts)
+            edge = by_node[bounds[entry % n] + offset]
+            src, nd, nh = (entry // n).astype(np.int32), d[entry] + ew[edge], h[entry] + eh[edge]
+            order = np.lexsort((nh, nd, ev[edge], src, es[edge]))
+            src, nd, nh, to, v = src[order], nd[order], nh[order], es[edge][order], ev[edge][order]
+            lead = np.ones(len(src), bool)
+            lead[1:] = (src[1:] != src[:-1]) | (to[1:] != to[:-1]) | (v[1:] != v[:-1])
+            src, nd, nh, to, v = src[lead], nd[lead], nh[lead], to[lead], v[lead]
+            cuts = np.flatnonzero(np.diff(to, prepend=-1))
+            for a, z in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+                yield _rows([{"block": state["block"], "shard": int(to[a]), "rank": 1, "d": _packed(nd[a:z]), "h": _packed(nh[a:z]), "s": _packed(src[a:z]), "v": _packed(v[a:z]), "low": int(nd[a:z].min())}])
+
+        return run
+
+    while (low := state.agg(F.min("low")).first()[0]) is not None:
+        state = kept(state.repartition(parts, "block", "shard").sortWithinPartitions("block", "shard", "rank").mapInArrow(round_(low + step), _SHARD))
+    return _predecessors(state, nodes, sources, numbered, told, kind, parts)
+
+
+def _predecessors(state: DataFrame, nodes: DataFrame, sources: DataFrame, numbered: DataFrame, told: DataFrame, kind: str, parts: int) -> DataFrame:
+    """(src, node, d, hops, pred) of finished shards: the smallest ``last`` of the edges that close a gap."""
+    names = nodes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("i", "node")))["node"].alias("nodes"))
+    firsts = sources.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("s", "src")))["src"].alias("srcs"))
+    # the edges again, with their last nodes, in the order they are told
+    lasts = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("to", "j", "i", "w", "hops", "last"))).alias("e")).select(
+        "shard", *[F.col(f"e.{c}").alias(c) for c in ("to", "j", "i", "w", "hops", "last")])
+    schema = f"block bigint, shard bigint, rank int, n bigint, d binary, h binary, s binary, v binary, last array<{kind}>, nodes array<{kind}>, srcs array<{kind}>"
+    columns = [c.split()[0] for c in schema.split(", ")]
+    fields = {"block": pa.int64(), "shard": pa.int64(), "rank": pa.int32(), "n": pa.int64()}
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            like = b.schema.field("last").type
+            for r in range(b.num_rows):
+                row = {c: b[c][r].as_py() for c in ("block", "n", "d", "h")}
+                d, h = (_unpacked(row[c], k).reshape(-1, row["n"]) for c, k in (("d", np.int64), ("h", np.int32)))
+                to, j, i, w, hops = (np.asarray(b[c][r].values) for c in ("to", "j", "i", "w", "hops"))
+                kinds = fields | {"last": like, "nodes": like, "srcs": like}
+                cuts = np.flatnonzero(np.diff(to, prepend=-1))
+                for a, z in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+                    near = d[:, i[a:z]]
+                    near = np.where(near == FAR, FAR, near + w[a:z])
+                    out = {"block": row["block"], "shard": int(to[a]), "rank": 2, "d": _packed(near.reshape(-1)), "v": _packed(j[a:z].astype(np.int32)),
+                           "h": _packed((h[:, i[a:z]] + hops[a:z]).astype(np.int32).reshape(-1)), "last": b["last"][r].values[a:z].to_pylist()}
+                    yield pa.RecordBatch.from_arrays([pa.array([out.get(c)], kinds.get(c, pa.binary())) for c in columns], names=columns)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for state, *rows in _groups(batches):
+            n, d, h = state["n"], _unpacked(state["d"], np.int64), _unpacked(state["h"], np.int32)
+            known, back = np.unique(np.array([x for r in rows for x in r["last"] if x is not None] or state["nodes"][:1]), return_inverse=True)
+            pred, done = np.full(len(d), len(known)), 0
+            given = np.full(len(d), -2)
+            for r in rows:
+                v, nd, nh = _unpacked(r["v"], np.int32).astype(np.int64), _unpacked(r["d"], np.int64), _unpacked(r["h"], np.int32)
+                real = np.array([x is not None for x in r["last"]], bool)
+                codes = np.full(len(real), -1)
+                codes[real] = back[done:done + real.sum()]
+                done += int(real.sum())
+                if r["rank"] == 1:
+                    at = _unpacked(r["s"], np.int32).astype(np.int64) * n + v
+                    met = (d[at] == nd) & (h[at] == nh)
+                    given[at[met]] = codes[met]
+                    continue
+                for s in range(len(d) // n):
+                    own = slice(s * len(v), (s + 1) * len(v))
+                    met = (d[s * n + v] == nd[own]) & (h[s * n + v] == nh[own]) & (nd[own] != FAR)
+                    np.minimum.at(pred, s * n + v[met], codes[met])
+            pred = np.where(given > -2, given, pred)
+            found, names, srcs = np.flatnonzero(d != FAR), np.array(state["nodes"]), np.array(state["srcs"])
+            for a in range(0, len(found), 1 << 16):
+                at = found[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(srcs[at // n]), pa.array(names[at % n]), pa.array(d[at]), pa.array(h[at].astype(np.int64)),
+                    pa.array(known[np.maximum(pred[at], 0)], mask=pred[at] < 0, type=pa.array(names[:1]).type)], names=["src", "node", "d", "hops", "pred"])
+
+    none = lambda c: F.lit(None).cast(dict(x.split(" ", 1) for x in schema.split(", "))[c]).alias(c)
+    plain = state.select("block", "shard", "n", "d", "h")
+    told_again = plain.join(lasts.hint("merge"), "shard").mapInArrow(tell, schema)
+    given = told.groupBy("block", "shard").applyInPandas(lambda pdf: pd.DataFrame([(
+        int(pdf["block"].iloc[0]), int(pdf["shard"].iloc[0]), *[_packed(pdf[c].to_numpy(k)) for c, k in (("d", np.int64), ("h", np.int32), ("s", np.int32), ("v", np.int32))],
+        [None if pd.isna(x) else x for x in pdf["pred"]])], columns=["block", "shard", "d", "h", "s", "v", "last"]), f"block bigint, shard bigint, d binary, h binary, s binary, v binary, last array<{kind}>")
+    given = given.select("block", "shard", F.lit(1).alias("rank"), none("n"), "d", "h", "s", "v", "last", none("nodes"), none("srcs"))
+    whole = plain.join(names, "shard").join(firsts, "block").select("block", "shard", F.lit(0).alias("rank"), "n", "d", "h", none("s"), none("v"), none("last"), "nodes", "srcs")
+    rows = whole.unionByName(given).unionByName(told_again)
+    return rows.repartition(parts, "block", "shard").sortWithinPartitions("block", "shard", "rank").mapInArrow(close, f"src {kind}, node {kind}, d bigint, hops bigint, pred {kind}")
 
 
 def search(overlay: Overlay, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -258,8 +477,10 @@ def search(overlay: Overlay, sources: DataFrame, targets: DataFrame | None = Non
         if needed is not None:
             entered = entered.join(needed[level], "cell", "left_semi")
         found = _inside(entered, overlay.inner(level), kind)
-    found = found.select("src", "node", (F.col("d") / UNIT).alias("dist_m"), "pred")
-    alone = first.select("src", "node", F.lit(0.0).alias("dist_m"), "pred").join(found.select("src", "node"), ["src", "node"], "left_anti")
-    out = kept(found).unionByName(alone) if targets is None else found.unionByName(alone).join(
-        targets.select(F.col("node_id").cast(kind).alias("node")).distinct(), "node", "left_semi").select("src", "node", "dist_m", "pred")
-    return kept(out)
+    found = kept(found.select("src", "node", (F.col("d") / UNIT).alias("dist_m"), "pred"))
+    own = found.where("src = node").select("src")
+    alone = first.select("src", "node", F.lit(0.0).alias("dist_m"), "pred").join(own, "src", "left_anti")
+    if targets is None:
+        return found.unionByName(alone)
+    return kept(found.unionByName(alone).join(
+        targets.select(F.col("node_id").cast(kind).alias("node")).distinct(), "node", "left_semi").select("src", "node", "dist_m", "pred"))
