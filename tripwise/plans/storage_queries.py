@@ -70,7 +70,8 @@ def write_personas(t):
 def read_network(t):
     """A network written and read back: nodes, and per node its edges, their lengths and lines."""
     path = scratch_path(t.spark, "network")
-    spot = lambda name: t.nodes.select(c("node_id").alias(name), F.struct("lat", "lon").alias(f"_{name}"))
+    # all nodes in memory are far more than their columns in a file: not to be sent
+    spot = lambda name: t.nodes.select(c("node_id").alias(name), F.struct("lat", "lon").alias(f"_{name}")).hint("merge")
     lines = t.edges.join(spot("u"), "u").join(spot("v"), "v").withColumn("geometry", F.when(c("k") != 1, F.array("_u", "_v"))).drop("_u", "_v")
     S.write_network(t.nodes, lines, path)
     nodes, edges = S.read_network(t.spark, path)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DATA = "data array<struct<_key string, _VALUE string>>"
+#: Rows of a written part: a part is read by one task.
+PART_ROWS = 100_000
 
 
 def _attribute(key: str | None) -> Column:
@@ -32,7 +34,7 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node_id, lat, lon, is_base) and edges (u, v, k, length_m, geometry).
 
     ``path`` is a GraphML file or a folder of XML parts.  A single file is parsed by
-    one task, so convert a large network to parquet once.  Attribute ids differ between files; the few key declarations of the header are
+    one task, so convert a large network to parquet once; ``write_network`` keeps its parts small.  Attribute ids differ between files; the few key declarations of the header are
     looked up first.
     """
     def tagged(tag: str):
@@ -61,7 +63,7 @@ def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         return F.array(*[F.struct(F.lit(k).alias("_key"), F.col(c).cast("string").alias("_VALUE")) for k, c in values.items()]).alias("data")
 
     def save(df: DataFrame, name: str, tag: str) -> None:
-        df.write.mode("overwrite").option("rootTag", "graph").option("rowTag", tag).xml(f"{path}/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", PART_ROWS).option("rootTag", "graph").option("rowTag", tag).xml(f"{path}/{name}")
 
     keys = spark.createDataFrame([("d0", "node", "y"), ("d1", "node", "x"), ("d2", "edge", "length"), ("d3", "edge", "geometry")], "_id string, _for string, `_attr.name` string")
     save(keys, "keys", "key")
