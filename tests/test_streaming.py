@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tripwise.operators import feedback as B
 from tripwise.streaming import jobs as L
+from tripwise.streaming import ordered as O
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -98,3 +99,21 @@ def test_sliding_windows_come_from_panes(spark, tmp_path):
 def test_a_job_without_events(spark, tmp_path):
     assert L.latest(spark, str(tmp_path / "none"), ["user_id"]) is None
     assert L.with_tail(spark, str(tmp_path / "none"), ["user_id"], L.travel_cost_fold) is None
+
+
+def test_events_wait_without_python_and_null_is_a_key(spark, tmp_path):
+    """Copies of an event count each; the state of a null user goes on in the next batch."""
+    schema = "event_id bigint, ts string, user_id bigint, place_id bigint, source string, kind string, strength double"
+    parts = [[(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:00:00"), (2, "2024-01-01 11:00:00")], [(3, "2024-01-01 12:00:00")], [(4, "2024-01-01 13:00:00")]]
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for i, part in enumerate(parts):
+        full = [(e, ts, None, 7, "google_maps", "like", 1.0) for e, ts in part]
+        spark.createDataFrame(full, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{source}/{i}")
+        stream = L.read_events(spark, f"{source}/*")
+        L.stream_affinity(stream, out, cp)
+    (row,) = L.latest(spark, out, L.PLACE_KEYS).collect()
+    assert row.user_id is None and abs(row.aff - 0.48) < 1e-12
+    (row,) = L.with_tail(spark, cp, L.PLACE_KEYS, L.affinity_fold).collect()
+    assert row.user_id is None and abs(row.aff - 0.60) < 1e-12
+    plan = O.in_time(L.rated_events(stream), L.PLACE_KEYS, O.PLACE_EVENT, "10 minutes")._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan and "Pandas" not in plan

@@ -78,6 +78,12 @@ def _then_clamped(a: Column, b: Column) -> Column:
     return F.struct((a["s"] + b["s"]).alias("s"), through(a["lo"]).alias("lo"), through(a["hi"]).alias("hi"))
 
 
+def _onto(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the earlier state of their key, if there is one; null is a key like any other."""
+    state = state.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    return rows.join(state, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], "left").drop(*[f"_{k}_" for k in keys])
+
+
 def clamped_fold(events: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "aff",
                  initial: DataFrame | None = None) -> DataFrame:
     """Final value per key of clamped additions of ``delta``, starting from 0 or from
@@ -86,7 +92,7 @@ def clamped_fold(events: DataFrame, keys: list[str], order: list[str], bucket: C
     total = up_sweep(chunks, keys, _then_clamped)[-1]
     first = F.lit(0.0)
     if initial is not None:
-        total = total.join(initial.select(*keys, F.col(out).alias("_x0")), keys, "left")
+        total = _onto(total, initial.select(*keys, F.col(out).alias("_x0")), keys)
         first = F.coalesce("_x0", F.lit(0.0))
     value = F.least(F.col("_m.hi"), F.greatest(F.col("_m.lo"), first + F.col("_m.s")))
     return total.select(*keys, value.alias(out))
@@ -199,7 +205,7 @@ def travel_cost_state(events: DataFrame, keys: list[str] | None = None, order: l
     v_first, e_first, n_first = F.lit(t["default_vot"]), F.lit(0.0), F.lit(0).cast("long")
     if initial is not None:
         held = initial.select(*keys, F.struct("n", "avg_travel_cost", "vot").alias("_s0"))
-        levels[-1] = levels[-1].join(held, keys, "left")
+        levels[-1] = _onto(levels[-1], held, keys)
         v_first = F.coalesce("_s0.vot", v_first)
         e_first, n_first = F.coalesce("_s0.avg_travel_cost", e_first), F.coalesce("_s0.n", n_first)
     starts = down_sweep(levels, keys, v_first, apply)

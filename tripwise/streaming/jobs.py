@@ -2,7 +2,8 @@
 
 Counters commute, so those jobs are plain streaming aggregates.  Affinities and
 travel costs depend on order: their events wait in the state store until the
-watermark has passed (``ordered``).  Every job writes the rows that changed to an update
+watermark has passed (``ordered``), and every micro-batch folds those that are due onto the
+logged states of their keys.  Every job writes the rows that changed to an update
 log; the log is folded into a base table now and then, so that readers and folders stay
 small.  Nothing waits in driver memory, and a batch that runs again after a
 failure rewrites its own folder.
@@ -134,13 +135,16 @@ def compact(spark: SparkSession, folder: str, keys: list[str], n: int) -> None:
             _fs(spark, path).delete(path, True)
 
 
-def run_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], mode: str = "update", compact_every: int = 20) -> None:
+def run_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str], mode: str = "update", compact_every: int = 20,
+                change: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
     """Write the changed rows of every micro-batch to ``folder/batch=<n>``, and every
-    ``compact_every`` batches the newest row of each key to ``folder/base=<n>``."""
+    ``compact_every`` batches the newest row of each key to ``folder/base=<n>``.
+    ``change(batch, n)`` makes the rows to be written of those of the stream."""
     spark = stream.sparkSession
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        rows = batch if change is None else change(batch, n)
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={n}")
         if n % compact_every == compact_every - 1:
             compact(spark, folder, keys, n)
 
@@ -165,28 +169,61 @@ def state_store(spark: SparkSession, provider: str = O.ROCKSDB) -> Iterator[None
         spark.conf.unset(O.PROVIDER) if before is None else spark.conf.set(O.PROVIDER, before)
 
 
-def run_ordered(events: DataFrame, keys: list[str], fold: O.OrderedFold, folder: str, checkpoint: str, delay: str, compact_every: int = 20) -> None:
-    """Fold the events of every key in their order and log the states that changed."""
-    with state_store(events.sparkSession):
-        run_updates(O.ordered_state(events, keys, fold, delay), folder, checkpoint, keys, compact_every=compact_every)
+Fold = Callable[[DataFrame, "DataFrame | None"], DataFrame]
 
 
-Fold = Callable[[DataFrame, "DataFrame | None"], DataFrame]
+def same_key(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``a`` joined with ``b`` on equal keys; null is a key like any other."""
+    other = b.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys]
+    return a.join(other, on, how)
+
+
+def run_ordered(events: DataFrame, keys: list[str], event: str, fold: Fold, folder: str, checkpoint: str, delay: str, compact_every: int = 20) -> None:
+    """Fold the events of every key in their order and log the states that changed.
+
+    A batch reads the log before it, so running it again gives the same rows.  The place of the
+    log is written beside the checkpoint, for readers of both.
+    """
+    spark = events.sparkSession
+
+    def change(batch: DataFrame, n: int) -> DataFrame:
+        # written once: a fold reads its events several times, the state store must be asked once
+        path = f"{folder}/due=0"
+        batch.write.mode("overwrite").parquet(path)
+        due = O.copies(spark.read.schema(batch.schema).parquet(path))
+        log = _log(spark, folder, n - 1)
+        state = None if log is None else _newest(same_key(log, due.select(*keys).distinct(), keys, "left_semi"), keys)
+        return fold(due, state)
+
+    spark.createDataFrame([(folder,)], "value string").coalesce(1).write.mode("overwrite").text(f"{checkpoint}/log")
+    with state_store(spark):
+        run_updates(O.in_time(events, keys, event, delay), folder, checkpoint, keys, mode="append", compact_every=compact_every, change=change)
 
 
 def folded(events: DataFrame, state: DataFrame | None, keys: list[str], fold: Fold) -> DataFrame:
     """The state after some more events."""
     new = fold(events, state)
-    return new if state is None else new.unionByName(state.join(new.select(*keys), keys, "left_anti"))
+    return new if state is None else new.unionByName(same_key(state, new.select(*keys), keys, "left_anti"))
+
+
+def _committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """The last finished batch of a job."""
+    path = _path(spark, f"{checkpoint}/commits")
+    fs = _fs(spark, path)
+    done = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return max((int(n) for n in done if n.isdigit()), default=None)
 
 
 def with_tail(spark: SparkSession, checkpoint: str, keys: list[str], fold: Fold) -> DataFrame | None:
     """The state of every key with the events on top that still wait for the watermark, for
-    readers that want everything seen so far.  Both are read from the state store, which stays
-    as it is, so the stream goes on without a gap.  None before the first batch."""
-    if not _fs(spark, _path(spark, checkpoint)).exists(_path(spark, f"{checkpoint}/state/0/_metadata")):
+    readers that want everything seen so far.  The log and the state store stay as they are, so
+    the stream goes on without a gap.  None before the first batch."""
+    last = _committed(spark, checkpoint)
+    if last is None or not _fs(spark, _path(spark, checkpoint)).exists(_path(spark, f"{checkpoint}/log")):
         return None
-    return folded(O.state_of(spark, checkpoint, "held"), O.state_of(spark, checkpoint, "value"), keys, fold)
+    log = _log(spark, spark.read.text(f"{checkpoint}/log").first()[0], last)
+    return folded(O.held_events(spark, checkpoint), None if log is None else _newest(log, keys), keys, fold)
 
 
 PLACE_KEYS = ["source", "user_id", "place_id"]
@@ -222,15 +259,15 @@ def travel_cost_fold(events: DataFrame, state: DataFrame | None) -> DataFrame:
 
 
 def stream_affinity(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    run_ordered(rated_events(events), PLACE_KEYS, O.PLACE_AFFINITY, folder, checkpoint, delay)
+    run_ordered(rated_events(events), PLACE_KEYS, O.PLACE_EVENT, affinity_fold, folder, checkpoint, delay)
 
 
 def stream_keyword_affinity(events: DataFrame, places: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    run_ordered(rated_words(events, places), WORD_KEYS, O.WORD_AFFINITY, folder, checkpoint, delay)
+    run_ordered(rated_words(events, places), WORD_KEYS, O.WORD_EVENT, keyword_fold, folder, checkpoint, delay)
 
 
 def stream_travel_cost(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> None:
-    run_ordered(events, ["user_id"], O.TRAVEL_COST, folder, checkpoint, delay)
+    run_ordered(events, ["user_id"], O.COST_EVENT, travel_cost_fold, folder, checkpoint, delay)
 
 
 def folders(spark: SparkSession, name: str) -> tuple[str, str]:
