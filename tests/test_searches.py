@@ -102,3 +102,17 @@ def test_requests_are_not_sent_to_the_driver(spark):
     own = R._own_pairs(kept(asks), candidates, R._Personal(requests, rated, None, "s"), ["place_id"])
     assert "BuildLeft" not in plan(own)
     assert asks.count() == 180
+
+
+def test_nearest_edge_scores_segments_without_lambdas(spark):
+    """Bent streets: a segment's distance is that of the projection on the whole line's nearest part."""
+    from tripwise.operators import network as N
+
+    lines = [(1, 2, 0, [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0)]), (2, 3, 0, [(1.0, 1.0), (1.0, 1.0), (2.0, 0.0)]), (3, 4, 0, [(3.0, 0.0), (3.0, 3.0)])]
+    edges = spark.createDataFrame(lines, "u long, v long, k int, geometry array<struct<lat:double,lon:double>>")
+    spots = spark.createDataFrame([(i, i, (i * 7 % 11) * 0.3, (i * 5 % 13) * 0.25) for i in range(40)], "place_id long, pos long, lat double, lon double")
+    got = {r.place_id: (r.u, r.dist) for r in N.nearest_edge(spots, edges).collect()}
+    all_ = spots.crossJoin(edges).withColumn("d", F.round(N.project_on(F.col("geometry"), F.col("lat"), F.col("lon"))["dist"], 13))
+    want = {r.place_id: (r.b.u, r.b.d) for r in all_.groupBy("place_id").agg(F.min(F.struct("d", "u")).alias("b")).collect()}
+    assert got == want
+    assert "geometry" not in N._pieces(edges.select(F.struct("u", "v", "k").alias("pos"), "geometry")).columns

@@ -255,13 +255,25 @@ def _segments(path: Column) -> Column:
     return let(path, build)
 
 
+def _share(s: Column, lat: Column, lon: Column) -> Column:
+    """Share of a segment before its point nearest to (lat, lon)."""
+    dy, dx = s["b"]["lat"] - s["a"]["lat"], s["b"]["lon"] - s["a"]["lon"]
+    dot = (lat - s["a"]["lat"]) * dy + (lon - s["a"]["lon"]) * dx
+    return F.when(s["len"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (s["len"] * s["len"]))))
+
+
+def _distance_to(s: Column, lat: Column, lon: Column) -> Column:
+    """Planar distance of a point from one segment, without lambda functions."""
+    t = _share(s, lat, lon)
+    dy, dx = s["b"]["lat"] - s["a"]["lat"], s["b"]["lon"] - s["a"]["lon"]
+    return F.hypot(lat - (s["a"]["lat"] + dy * t), lon - (s["a"]["lon"] + dx * t))
+
+
 def project_on(path: Column, lat: Column, lon: Column) -> Column:
     """Nearest point of a polyline: planar distance, offset along it, coordinates."""
     def onto(s: Column) -> Column:
         dy, dx = s["b"]["lat"] - s["a"]["lat"], s["b"]["lon"] - s["a"]["lon"]
-        dot = (lat - s["a"]["lat"]) * dy + (lon - s["a"]["lon"]) * dx
-        t = F.when(s["len"] == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / (s["len"] * s["len"]))))
-        return let(t, lambda t: let(
+        return let(_share(s, lat, lon), lambda t: let(
             F.struct((s["a"]["lat"] + dy * t).alias("lat"), (s["a"]["lon"] + dx * t).alias("lon")),
             lambda q: F.struct(F.hypot(lat - q["lat"], lon - q["lon"]).alias("dist"), (s["off"] + s["len"] * t).alias("along"), q["lat"].alias("lat"), q["lon"].alias("lon"))))
 
@@ -269,18 +281,18 @@ def project_on(path: Column, lat: Column, lon: Column) -> Column:
 
 
 def _pieces(edges: DataFrame) -> DataFrame:
-    """Boxes of the streets' pieces.  A segment longer than the mean of all is cut into
+    """Boxes of the streets' pieces, with their segment.  A segment longer than the mean of all is cut into
     pieces of that extent, so a long slanting street has no box that spans everything; there
     are at most twice as many pieces as segments."""
     wide = lambda s: F.greatest(F.abs(s["b"]["lat"] - s["a"]["lat"]), F.abs(s["b"]["lon"] - s["a"]["lon"]))
-    segments = kept(edges.withColumn("_s", F.explode(_segments(F.col("geometry")))))
+    segments = kept(edges.select("pos", F.explode(_segments(F.col("geometry"))).alias("_s")))
     step = segments.agg(F.avg(wide(F.col("_s")))).first()[0] or 1.0
     n = F.greatest(F.lit(1), F.ceil(wide(F.col("_s")) / step)).cast("int")
     at = lambda c, i: F.col(f"_s.a.{c}") + (F.col(f"_s.b.{c}") - F.col(f"_s.a.{c}")) * i / F.col("_n")
     cut_up = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     box = {"south": F.least(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "west": F.least(at("lon", F.col("_i") - 1), at("lon", F.col("_i"))),
            "north": F.greatest(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "east": F.greatest(at("lon", F.col("_i") - 1), at("lon", F.col("_i")))}
-    return cut_up.select(*edges.columns, *[x.alias(c) for c, x in box.items()])
+    return cut_up.select("pos", F.col("_s").alias("segment"), *[x.alias(c) for c, x in box.items()])
 
 
 def nearest_edge(pois: DataFrame, edges: DataFrame) -> DataFrame:
@@ -290,7 +302,8 @@ def nearest_edge(pois: DataFrame, edges: DataFrame) -> DataFrame:
     shapes = edges.groupBy("geometry").agg(F.min(F.struct("u", "v", "k")).alias("pos"))
     items = _pieces(shapes).withColumn("root", F.lit(0))
     asks = pois.select(F.col("place_id").alias("rid"), "pos", "lat", "lon", F.lit(0).alias("root"), F.lit(1).alias("k"))
-    exact = -F.round(project_on(F.col("i_geometry"), F.col("lat"), F.col("lon"))["dist"], 13)
+    # a street's distance is that of its nearest segment, one of whose pieces no bound can drop
+    exact = -F.round(_distance_to(F.col("i_segment"), F.col("lat"), F.col("lon")), 13)
     found = best_k(kept(asks), build_tree(items, leaf_items=8), lambda s, d: -d, exact, plane_bounds)
     return found.select(F.col("rid").alias("place_id"), "pos", "lat", "lon", "i_pos.u", "i_pos.v", "i_pos.k", (-F.col("score")).alias("dist"))
 
