@@ -40,6 +40,16 @@ def test_key_word_affinity_does_not_broadcast_places(spark):
     assert "SortMergeJoin" in joined
 
 
+def test_streamed_key_words_do_not_broadcast_places(spark):
+    from tripwise.plans.ranking_queries import places
+    from tripwise.plans.tables import Tables
+    from tripwise.streaming.jobs import rated_words
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    joined = plan(rated_words(t.feedback, places(t)).select("keyword"))
+    assert "SortMergeJoin" in joined and "BroadcastHashJoin" not in joined
+
+
 def test_oracle_ranking_of_crowded_spots(spark):
     """All pairs give the same lists; one user does not care for ratings at all."""
     rng = random.Random(4)
