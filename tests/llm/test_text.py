@@ -67,6 +67,20 @@ def test_benchmark_words(spark):
     assert clean.columns == d.columns and clean.count() == sum(n for r, n in brute(docs, items).items() if not r[-1])
 
 
+def test_documents_are_winnowed_for_large_benchmarks_only(spark, monkeypatch):
+    """Windows are chosen from (a sliding minimum per word) where the benchmark can't be sent."""
+    docs, items = fixture()
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    chosen = []
+    choose = winnow.fingerprints
+    monkeypatch.setattr(winnow, "fingerprints", lambda df, t, at: chosen.append(at) or choose(df, t, at))
+    winnow.judge(d, b)
+    assert set(chosen) == {"j"}
+    monkeypatch.setattr(winnow, "SENT_WORDS", 0)
+    got = winnow.decontaminate(d, b).drop("item_ids")
+    assert set(chosen) == {"i", "j"} and Counter(map(tuple, got.collect())) == brute(docs, items)
+
+
 def test_benchmark_words_of_nothing(spark, no_docs):
     docs, items = fixture()
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")

@@ -5,7 +5,9 @@ equal ones).  A shared span of t = w + k - 1 words has the same w k-grams on bot
 so the same smallest one at the same offset: joining the fingerprints finds every shared
 span of at least t words, and tells its diagonal (document position - item position).  Each
 diagonal is then extended: all windows of the item are compared word by word with the
-document's words on that diagonal, so hash collisions never count.
+document's words on that diagonal, so hash collisions never count.  Fingerprints of a small
+benchmark are sent to all tasks and looked up for every k-gram of a document: that finds the
+documents' own fingerprints among others, and costs less than choosing them.
 
 Items shorter than the window are a window of their own; their lengths t < 13 are
 winnowed with their own k and w.
@@ -21,6 +23,8 @@ from tripwise.session import scratch_path
 
 #: Fixed value: ASCII characters that separate words, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a benchmark up to which its fingerprints are sent to all tasks.
+SENT_WORDS = 200_000
 
 
 def words_of(lowered: Column) -> Column:
@@ -45,13 +49,26 @@ def gram_sizes(t: int) -> tuple[int, int]:
     return k, t - k + 1
 
 
+def with_grams(df: DataFrame, t: int) -> DataFrame:
+    """Adds ``_grams``, the hashes of all k-grams of ``_words``; rows of fewer than t words go."""
+    k, _ = gram_sizes(t)
+    n = F.size("_words")
+    return df.where(n >= t).withColumn("_grams", F.transform(
+        F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.lit(t), *[F.get("_words", i + j) for j in range(k)])))
+
+
+def every_gram(df: DataFrame, t: int, at: str) -> DataFrame:
+    """Rows (all other columns, ``at``, hash): all k-grams of ``_words``.
+
+    No array is empty.  With ``posexplode`` the optimizer would ask for that in a filter below, which
+    splits the text anew for every word of every k-gram."""
+    return with_grams(df, t).select(*[c for c in df.columns if c != "_words"], F.posexplode_outer("_grams").alias(at, "hash"))
+
+
 def fingerprints(df: DataFrame, t: int, at: str) -> DataFrame:
     """Rows (all other columns, hash, ``at``): the winnowed k-grams of ``_words``."""
     k, w = gram_sizes(t)
-    n = F.size("_words")
-    grams = df.where(n >= t).withColumn(
-        "_grams", F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.lit(t), F.slice("_words", i, k)))
-    )
+    grams = with_grams(df, t)
 
     def leftmost(j: Column) -> Column:
         part = F.slice("_grams", j, w)
@@ -115,15 +132,16 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     path = scratch_path(spark, "items")
     item_words.write.parquet(path)
     item_words = spark.read.parquet(path)
-    sizes = [r[0] for r in item_words.select(F.least(F.size("_words"), F.lit(window)).alias("t")).distinct().collect()]
+    told = item_words.groupBy(F.least(F.size("_words"), F.lit(window)).alias("t")).agg(F.sum(F.size("_words"))).collect()
+    sizes, small = [r[0] for r in told], sum(r[1] for r in told) <= SENT_WORDS
     keyed = docs.select("text").select("text", *text_key(F.coalesce("text", F.lit(""))))
     spoken = with_words(keyed).drop("text")
     diagonals = None
     for t in sorted(sizes):
-        left = fingerprints(spoken, t, "i")
+        left = every_gram(spoken, t, "i") if small else fingerprints(spoken, t, "i")
         own = item_words.where(F.size("_words") == t) if t < window else item_words.where(F.size("_words") >= t)
         right = fingerprints(own.withColumn("m", F.size("_words")).select("item", "m", "_words"), t, "j")
-        found = left.join(right, "hash").select("k1", "k2", "item", (F.col("i") - F.col("j")).alias("d"), "m")
+        found = left.join(F.broadcast(right) if small else right, "hash").select("k1", "k2", "item", (F.col("i") - F.col("j")).alias("d"), "m")
         diagonals = found if diagonals is None else diagonals.unionByName(found)
     if diagonals is None:
         return docs.withColumns({
