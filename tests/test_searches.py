@@ -126,3 +126,14 @@ def test_nearest_edge_scores_segments_without_lambdas(spark):
     want = {r.place_id: (r.b.u, r.b.d) for r in all_.groupBy("place_id").agg(F.min(F.struct("d", "u")).alias("b")).collect()}
     assert got == want
     assert "geometry" not in N._pieces(edges.select(F.struct("u", "v", "k").alias("pos"), "geometry")).columns
+
+
+def test_large_sets_of_nodes_are_joined_by_sorting(spark, monkeypatch):
+    """Two circles with a bridge, some ends: the same components whichever way sides are joined."""
+    rows = [(i, (i + 1) % 9) for i in range(9)] + [(20 + i, 20 + (i + 1) % 5) for i in range(5)] + [(0, 20), (3, 40), (41, 3), (1, 5), (5, 1)]
+    edges = spark.createDataFrame(rows, "u long, v long")
+    want = sorted(map(tuple, network.strong_components(edges).collect()))
+    monkeypatch.setattr(network, "SENT_ROWS", 0)
+    assert "SortMergeJoin" in plan(edges.join(network._by_rows(edges.select("u"), 1), "u"))
+    assert sorted(map(tuple, network.strong_components(edges).collect())) == want
+    assert sorted(sum(x == c for _, x in want) for c in {c for _, c in want}) == [1, 1, 5, 9]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tripwise.functions import haversine_km, let
 from tripwise.functions.polyline import running_sums
-from tripwise.operators.boxtree import best_k, build_tree, plane_bounds
+from tripwise.operators.boxtree import SENT_ROWS, best_k, build_tree, plane_bounds
 from tripwise.operators.ordering import previous
 from tripwise.operators.overlay import build_overlay, search
 from tripwise.session import cut, kept
@@ -154,6 +154,12 @@ def weak_components(edges: DataFrame) -> DataFrame:
     return nodes.join(root, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
 
 
+def _by_rows(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join: small ones as Spark likes, others joined by sorting, as their files are far
+    smaller than what the driver would hold of them."""
+    return side if rows <= SENT_ROWS else side.hint("merge")
+
+
 def _contract(live: DataFrame, left: DataFrame, splices: list[DataFrame], singles: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Take out what needs no search, in a number of rounds that follows the log of the size.
 
@@ -165,13 +171,15 @@ def _contract(live: DataFrame, left: DataFrame, splices: list[DataFrame], single
     rounds = 0
     while True:
         rounds += 1
+        size = left.count()
         into = live.groupBy(F.col("v").alias("node_id")).agg(F.count(F.lit(1)).alias("ins"), F.min("u").alias("pu"))
         out = live.groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).alias("outs"), F.min("v").alias("nw"))
-        degrees = kept(left.join(into, "node_id", "left").join(out, "node_id", "left"))
+        degrees = kept(left.join(_by_rows(into, size), "node_id", "left").join(_by_rows(out, size), "node_id", "left"))
         ends = degrees.where("ins is null or outs is null").select("node_id")
         coin = F.pmod(F.xxhash64(F.lit(rounds), "node_id"), F.lit(2)) == 1
         picked = degrees.where((F.col("ins") == 1) & (F.col("outs") == 1) & (F.col("pu") != F.col("node_id")) & coin)
-        spliced = picked.join(picked.select(F.col("node_id").alias("pu")), "pu", "left_anti").select("node_id", F.col("pu").alias("u"), F.col("nw").alias("w"))
+        before = _by_rows(picked.select(F.col("node_id").alias("pu")), size)
+        spliced = picked.join(before, "pu", "left_anti").select("node_id", F.col("pu").alias("u"), F.col("nw").alias("w"))
         spliced = kept(spliced)
         gone = kept(ends.unionByName(spliced.select("node_id")))
         n = gone.count()
@@ -179,10 +187,11 @@ def _contract(live: DataFrame, left: DataFrame, splices: list[DataFrame], single
             return live, left
         singles.append(ends)
         splices.append(spliced)
-        stay = live.join(gone.withColumnRenamed("node_id", "u"), "u", "left_anti").join(gone.withColumnRenamed("node_id", "v"), "v", "left_anti")
+        stay = live.join(_by_rows(gone.withColumnRenamed("node_id", "u"), n), "u", "left_anti").join(
+            _by_rows(gone.withColumnRenamed("node_id", "v"), n), "v", "left_anti")
         bridges = spliced.where("u <> w").select("u", F.col("w").alias("v"))
         live = kept(stay.select("u", "v").unionByName(bridges).distinct())
-        left = kept(left.join(gone, "node_id", "left_anti"))
+        left = kept(left.join(_by_rows(gone, n), "node_id", "left_anti"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -203,33 +212,36 @@ def strong_components(edges: DataFrame) -> DataFrame:
         singles: list[DataFrame] = []
         live, left = _contract(live, left, splices, singles)
         done += [s.select("node_id", F.col("node_id").alias("component")) for s in singles]
-        if left.isEmpty():
+        size = left.count()
+        if not size:
             break
         colour = kept(left.select("node_id", F.col("node_id").alias("c"), F.lit(True).alias("new")))
-        while not colour.where("new").isEmpty():
-            moved = colour.where("new").join(live, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), "c", F.lit(1).alias("n"))
+        while n := colour.where("new").count():
+            moved = _by_rows(colour.where("new"), n).join(live, F.col("node_id") == F.col("u")).select(F.col("v").alias("node_id"), "c", F.lit(1).alias("n"))
             rows = colour.select("node_id", "c", F.lit(0).alias("n")).unionByName(moved)
             top = F.max(F.struct("c", (-F.col("n")).alias("old"))).alias("t")
             colour = kept(rows.groupBy("node_id").agg(top).select("node_id", "t.c", (F.col("t.old") < 0).alias("new")))
-        same = live.join(colour.select(F.col("node_id").alias("u"), F.col("c").alias("cu")), "u").join(
-            colour.select(F.col("node_id").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v")
+        same = live.join(_by_rows(colour.select(F.col("node_id").alias("u"), F.col("c").alias("cu")), size), "u").join(
+            _by_rows(colour.select(F.col("node_id").alias("v"), F.col("c").alias("cv")), size), "v").where("cu = cv").select("u", "v")
         same = kept(same)
         found = kept(colour.where("node_id = c").select("node_id", F.col("c").alias("component")))
         step = found
-        while not step.isEmpty():
-            step = step.join(same, F.col("node_id") == F.col("v")).select(F.col("u").alias("node_id"), "component").distinct()
-            step = kept(step.join(found, "node_id", "left_anti"))
+        while n := step.count():
+            step = _by_rows(step, n).join(same, F.col("node_id") == F.col("v")).select(F.col("u").alias("node_id"), "component").distinct()
+            step = kept(step.join(_by_rows(found, size), "node_id", "left_anti"))
             found = kept(found.unionByName(step))
         done.append(found)
-        left = kept(left.join(found, "node_id", "left_anti"))
-        live = kept(live.join(left.withColumnRenamed("node_id", "u"), "u", "left_semi").join(left.withColumnRenamed("node_id", "v"), "v", "left_semi"))
+        left = kept(left.join(_by_rows(found, size), "node_id", "left_anti"))
+        live = kept(live.join(_by_rows(left.withColumnRenamed("node_id", "u"), size), "u", "left_semi").join(
+            _by_rows(left.withColumnRenamed("node_id", "v"), size), "v", "left_semi"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     out = kept(out)
     for spliced in reversed(splices):
         a, b = out.select(F.col("node_id").alias("u"), F.col("component").alias("cu")), out.select(F.col("node_id").alias("w"), F.col("component").alias("cw"))
-        own = spliced.join(a, "u").join(b, "w").select("node_id", F.when(F.col("cu") == F.col("cw"), F.col("cu")).otherwise(F.col("node_id")).alias("component"))
+        n = out.count()
+        own = spliced.join(_by_rows(a, n), "u").join(_by_rows(b, n), "w").select("node_id", F.when(F.col("cu") == F.col("cw"), F.col("cu")).otherwise(F.col("node_id")).alias("component"))
         out = kept(out.unionByName(own))
     return out
 
