@@ -7,7 +7,7 @@ checkpoints in the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripwise.functions import haversine_km, let
@@ -17,6 +17,9 @@ from tripwise.operators.ordering import previous
 from tripwise.operators.overlay import build_overlay, search
 from tripwise.session import cut, kept
 
+#: Single steps of routes before doubling begins, at most.
+SINGLE = 24
+
 
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nearest node of every point by great-circle distance; equal distances go to
@@ -47,15 +50,17 @@ def min_parallel_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.min(F.coalesce("length_m", F.lit(1.0))).alias("length_m"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, near: bool = False) -> DataFrame:
     """Directed shortest-path length from every source (src) to every node it reaches, or to
-    the targets (node_id) only: src, node, dist_m, pred.
+    the targets (node_id) only: src, node, dist_m, pred; if asked also near, the smallest node
+    that a shortest path can come from.
 
     Searched through nested cells (``overlay``), whose number of steps doesn't follow the
     number of hops.  For many searches on one network build the overlay once and call
     ``overlay.search``.
     """
-    return search(build_overlay(edges), sources, targets)
+    found = search(build_overlay(edges), sources, targets, near)
+    return found if not near or "near" in found.columns else _with_near(found, edges)
 
 
 def target_pruned_paths(paths: DataFrame, targets: DataFrame) -> DataFrame:
@@ -81,56 +86,102 @@ def _drop_repeats(path: Column) -> Column:
     return let(path, lambda p: F.filter(p, lambda x, i: (i == 0) | (x != F.get(p, i - 1))))
 
 
+def _with_near(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths with ``near``, the smallest node that a shortest path can come from, whatever the
+    search met first; null at a source and after steps of no length only."""
+    hop = edges.groupBy("u", "v").agg(F.min(F.coalesce("length_m", F.lit(1.0))).alias("_w"))
+    start = paths.select("src", F.col("node").alias("u"), F.col("dist_m").alias("_du"))
+    end = paths.where(F.col("node") != F.col("src")).select("src", F.col("node").alias("v"), F.col("dist_m").alias("_dv"))
+    tight = end.join(hop, "v").join(start, ["src", "u"]).where(
+        (F.col("_du") < F.col("_dv")) & (F.abs(F.col("_du") + F.col("_w") - F.col("_dv")) < 1e-6))
+    return paths.join(tight.groupBy("src", F.col("v").alias("node")).agg(F.min("u").alias("near")), ["src", "node"], "left")
+
+
 def _steps_back(pairs: DataFrame, back: DataFrame) -> DataFrame:
-    """(origin, dest, seq, u, v): all edges of the routes, counted from the destination, over
-    the predecessors ``back`` (origin, at, pred)."""
-    jump = back.select(F.col("origin").alias("_o"), F.col("at").alias("_a"), F.col("pred").alias("_to"))
-    rows = kept(pairs.select("origin", "dest", F.col("dest").alias("at"), F.lit(0).alias("seq")))
+    """(origin, dest, seq, at): all nodes of the routes, counted from the destination, over the
+    predecessors ``back`` (origin, at, pred, dist_m).  A destination without one is a step from its origin.
+
+    Steps are single until a route is as near to its origin as the nearest rows, about as many as
+    routes; there pointer doubling goes on, over those rows alone.  Where the way there is
+    long, doubling begins with all predecessors.
+    """
+    parts = int(back.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = back.select(F.col("origin").alias("_o"), F.col("at").alias("_a"), F.col("pred").alias("_to"), "dist_m").repartition(
+        parts, "_o", "_a").sortWithinPartitions("_o", "_a").persist()
+    on = (F.col("origin") == F.col("_o")) & (F.col("at") == F.col("_a"))
+    wanted = pairs.select("origin", "dest", F.col("dest").alias("at"))
+    ends = kept(wanted.join(dealt, on, "left").select("origin", "dest", "at", F.lit(0).alias("seq"), "_to", "dist_m"))
+    lost = ends.where((F.col("origin") != F.col("dest")) & F.col("_to").isNull())
+    done = [ends.select("origin", "dest", "at", "seq"), lost.select("origin", "dest", F.col("origin").alias("at"), F.lit(1).alias("seq"))]
+    live, near, steps = ends.where(F.col("_to").isNotNull()), [], 0
+    routes, size = live.count(), dealt.count()
+    share = max(routes, SENT_ROWS) / max(size, 1)
+    limit = dealt.agg(F.percentile_approx("dist_m", share)).first()[0] if share < 1 else float("inf")
+    far = F.col("dist_m") > F.lit(limit)
+    while share < 1 and steps < SINGLE and (routes := live.where(far).count()):
+        steps += 1
+        near.append(live.where(~far))
+        moved = live.where(far).select("origin", "dest", F.col("_to").alias("at"), (F.col("seq") + 1).alias("seq"))
+        step = kept(_by_rows(moved, routes).join(dealt, on, "left").select("origin", "dest", "at", "seq", "_to", "dist_m"))
+        done.append(step.select("origin", "dest", "at", "seq"))
+        live = step.where(F.col("_to").isNotNull())
+    jump = dealt.select("_o", "_a", "_to") if routes else kept(dealt.where(~far).select("_o", "_a", "_to"))
+    rows = live.select("origin", "dest", "at", "seq")
+    for part in near:
+        rows = rows.unionByName(part.select("origin", "dest", "at", "seq"))
     span = 1
     while True:
-        on = (F.col("origin") == F.col("_o")) & (F.col("at") == F.col("_a"))
         more = kept(rows.join(jump, on).select("origin", "dest", F.col("_to").alias("at"), (F.col("seq") + span).alias("seq")))
         if more.isEmpty():
             break
+        done.append(more)
         rows = rows.unionByName(more)
         ahead = jump.select(F.col("_o").alias("_o2"), F.col("_a").alias("_a2"), F.col("_to").alias("_to2"))
         jump = kept(jump.join(ahead, (F.col("_o") == F.col("_o2")) & (F.col("_to") == F.col("_a2"))).select("_o", "_a", F.col("_to2").alias("_to")))
         span *= 2
-    return rows.join(back, ["origin", "at"]).select("origin", "dest", "seq", F.col("pred").alias("u"), F.col("at").alias("v"))
+    dealt.unpersist()
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Polyline of the shortest path of each distinct (origin, dest) pair.
+    """Polyline of the shortest path of each distinct (origin, dest) pair of nodes.
 
-    The path is walked back from the destination by pointer doubling: round k knows where
-    2^k steps lead from every node, and appends as many steps as a route already has; so a
-    route of 1,000 hops takes 11 rounds.  The same node gives one point, no path a straight
-    line.
+    The path is walked back from the destination, in the end by pointer doubling: round k knows
+    where 2^k steps lead from every node, and appends as many steps as a route already has; so
+    a route of 1,000 hops takes about 11 rounds.  The same node gives one point, no path a
+    straight line.  Of equally long paths the smallest predecessor (``near``) counts; it is
+    worked out here unless ``paths`` has it.
     """
-    wanted = pairs.select("origin", "dest").distinct()
-    # the smallest node that a shortest path can come from, whatever the search met first
-    hop = edges.groupBy("u", "v").agg(F.min(F.coalesce("length_m", F.lit(1.0))).alias("_w"))
-    start = paths.select(F.col("src").alias("origin"), F.col("node").alias("u"), F.col("dist_m").alias("_du"))
-    end = paths.where(F.col("node") != F.col("src")).select(F.col("src").alias("origin"), F.col("node").alias("v"), F.col("dist_m").alias("_dv"))
-    tight = end.join(hop, "v").join(start, ["origin", "u"]).where(
-        (F.col("_du") < F.col("_dv")) & (F.abs(F.col("_du") + F.col("_w") - F.col("_dv")) < 1e-6))
-    nearer = tight.groupBy("origin", F.col("v").alias("at")).agg(F.min("u").alias("_near"))
-    met = paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), "pred")
-    # steps of no length keep the predecessor of the search
-    back = kept(met.join(nearer, ["origin", "at"], "left").select("origin", "at", F.coalesce("_near", "pred").alias("pred")))
-    steps = _steps_back(wanted.where(F.col("origin") != F.col("dest")), back)
     spot = nodes.select("node_id", F.struct(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).alias("pt"))
+    known = lambda c: nodes.select(F.col("node_id").alias(c))
+    wanted = pairs.select("origin", "dest").distinct().join(known("dest"), "dest", "left_semi").join(known("origin"), "origin", "left_semi").select("origin", "dest")
+    if "near" not in paths.columns:
+        paths = _with_near(paths, edges)
+    # steps of no length keep the predecessor of the search
+    back = paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), F.coalesce("near", "pred").alias("pred"), "dist_m")
+    stops = _steps_back(wanted, back)
+    if "geometry" in edges.columns:
+        lines = _street_lines(stops, edges, spot)
+    else:
+        lines = stops.join(spot.withColumnRenamed("node_id", "at"), "at").select("origin", "dest", "seq", F.array("pt").alias("line"))
+    # dealt by route before they are gathered, as rows of a route hardly ever meet before
+    lines = lines.select("origin", "dest", F.struct((-F.col("seq")).alias("s"), "line").alias("x")).repartition("origin", "dest")
+    found = lines.groupBy("origin", "dest").agg(F.sort_array(F.collect_list("x")).alias("_p"))
+    return found.select("origin", "dest", _drop_repeats(F.flatten(F.col("_p.line"))).alias("path"))
+
+
+def _street_lines(stops: DataFrame, edges: DataFrame, spot: DataFrame) -> DataFrame:
+    """Lines of the streets between the stops (origin, dest, seq, at) of routes; straight where there is none."""
+    short = edges.groupBy("u", "v").agg(F.min_by("geometry", F.struct(F.coalesce("length_m", F.lit(1.0)), "k")).alias("_g"))
+    before = F.lead("at").over(Window.partitionBy("origin", "dest").orderBy("seq"))
+    hops = stops.select("origin", "dest", "seq", F.col("at").alias("v"), before.alias("u")).where("u is not null or seq = 0")
     a, b = spot.withColumnsRenamed({"node_id": "u", "pt": "_a"}), spot.withColumnsRenamed({"node_id": "v", "pt": "_b"})
-    short = edges.groupBy("u", "v").agg(F.min_by("geometry" if "geometry" in edges.columns else F.lit(None).cast("array<struct<lat:double,lon:double>>"),
-                                                F.struct(F.coalesce("length_m", F.lit(1.0)), "k")).alias("_g"))
-    ends = wanted.join(spot.withColumnsRenamed({"node_id": "origin", "pt": "_o"}), "origin").join(spot.withColumnsRenamed({"node_id": "dest", "pt": "_d"}), "dest")
-    straight = F.when(F.col("origin") == F.col("dest"), F.array("_o")).otherwise(F.array("_o", "_d"))
-    lines = steps.join(short, ["u", "v"]).join(a, "u").join(b, "v")
     rounded = F.transform("_g", lambda p: F.struct(F.round(p["lat"], 6).alias("lat"), F.round(p["lon"], 6).alias("lon")))
-    lines = lines.withColumn("_line", F.coalesce(rounded, F.array("_a", "_b")))
-    found = lines.groupBy("origin", "dest").agg(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("s"), "_line"))).alias("_p"))
-    found = found.select("origin", "dest", _drop_repeats(F.flatten(F.transform("_p", lambda x: x["_line"]))).alias("_path"))
-    return ends.join(found, ["origin", "dest"], "left").select("origin", "dest", F.coalesce("_path", straight).alias("path"))
+    straight = F.when(F.col("_a").isNull(), F.array("_b")).otherwise(F.array("_a", "_b"))
+    return hops.join(short, ["u", "v"], "left").join(a, "u", "left").join(b, "v").select("origin", "dest", "seq", F.coalesce(rounded, straight).alias("line"))
 
 
 # ------------------------------------------------------------------- components

@@ -38,6 +38,8 @@ CELL, TOP_EDGES, SOURCES = 1024, 400_000, 64
 WORTH = 0.5
 #: Nodes of a shard in rounds of relaxation, about; length of what is not reached.
 SHARD, FAR = 1 << 15, np.int64((1 << 63) - 1)
+#: Mean edges that a round's limit lies above the nearest open entry; how far sums may be off to count as equal.
+AHEAD, OFF = 3, 1e-6 * UNIT
 #: Where the neighbourhoods of most probed nodes hold so many nodes within so many hops, cells aren't tried.
 PROBES, CROWD, HOPS = 5, 16 * CELL, 12
 
@@ -308,8 +310,9 @@ def _relaxed(labels: DataFrame, edges: DataFrame) -> DataFrame:
     Nodes are cut into shards by hash; a shard's edges and the lengths of its nodes from a
     block of sources are packed columns of one row.  A round shuffles these rows and what
     the last one told: entries that are open and nearer than the round's limit tell their
-    neighbours, one row per pair of shards.  The limit lies a mean edge above the nearest open
-    entry, so few entries tell twice.  In the end each edge tells once more, for predecessors.
+    neighbours, one row per pair of shards.  The limit lies some mean edges above the nearest open
+    entry, so few entries tell twice and rounds are hardly more than hops.  In the end each edge
+    tells once more, for predecessors.
     """
     kind = edges.schema["u"].dataType.simpleString()
     nodes, sources, numbered, told, parts = _shards(labels, edges)
@@ -331,7 +334,7 @@ def _relaxed(labels: DataFrame, edges: DataFrame) -> DataFrame:
     state = sizes.crossJoin(sources.groupBy("block").agg(F.count(F.lit(1)).alias("m"))).withColumn("rank", F.lit(0))
     first = told.drop("pred").groupBy("block", "shard").applyInPandas(pack_labels, "block bigint, shard bigint, d binary, h binary, s binary, v binary, low bigint").withColumn("rank", F.lit(1))
     state = kept(full(state).unionByName(full(first)))
-    step = int(edges.agg(F.avg("w")).first()[0] or 0) + 1
+    step = int(AHEAD * (edges.agg(F.avg("w")).first()[0] or 0)) + 1
 
     def round_(limit: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,13 +377,14 @@ def _relaxed(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _predecessors(state: DataFrame, nodes: DataFrame, sources: DataFrame, numbered: DataFrame, told: DataFrame, kind: str, parts: int) -> DataFrame:
-    """(src, node, d, hops, pred) of finished shards: the smallest ``last`` of the edges that close a gap."""
+    """(src, node, d, hops, pred, near) of finished shards: the smallest ``last`` of the edges that close a
+    gap with the fewest hops, and of those that close it from a nearer node."""
     names = nodes.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("i", "node")))["node"].alias("nodes"))
     firsts = sources.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("s", "src")))["src"].alias("srcs"))
     # the edges again, with their last nodes, in the order they are told
     lasts = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("to", "j", "i", "w", "hops", "last"))).alias("e")).select(
         "shard", *[F.col(f"e.{c}").alias(c) for c in ("to", "j", "i", "w", "hops", "last")])
-    schema = f"block bigint, shard bigint, rank int, n bigint, d binary, h binary, s binary, v binary, last array<{kind}>, nodes array<{kind}>, srcs array<{kind}>"
+    schema = f"block bigint, shard bigint, rank int, n bigint, d binary, h binary, s binary, v binary, w binary, last array<{kind}>, nodes array<{kind}>, srcs array<{kind}>"
     columns = [c.split()[0] for c in schema.split(", ")]
     fields = {"block": pa.int64(), "shard": pa.int64(), "rank": pa.int32(), "n": pa.int64()}
 
@@ -397,14 +401,14 @@ def _predecessors(state: DataFrame, nodes: DataFrame, sources: DataFrame, number
                     near = d[:, i[a:z]]
                     near = np.where(near == FAR, FAR, near + w[a:z])
                     out = {"block": row["block"], "shard": int(to[a]), "rank": 2, "d": _packed(near.reshape(-1)), "v": _packed(j[a:z].astype(np.int32)),
-                           "h": _packed((h[:, i[a:z]] + hops[a:z]).astype(np.int32).reshape(-1)), "last": b["last"][r].values[a:z].to_pylist()}
+                           "w": _packed(w[a:z].astype(np.int64)), "h": _packed((h[:, i[a:z]] + hops[a:z]).astype(np.int32).reshape(-1)), "last": b["last"][r].values[a:z].to_pylist()}
                     yield pa.RecordBatch.from_arrays([pa.array([out.get(c)], kinds.get(c, pa.binary())) for c in columns], names=columns)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for state, *rows in _groups(batches):
             n, d, h = state["n"], _unpacked(state["d"], np.int64), _unpacked(state["h"], np.int32)
             known, back = np.unique(np.array([x for r in rows for x in r["last"] if x is not None] or state["nodes"][:1]), return_inverse=True)
-            pred, done = np.full(len(d), len(known)), 0
+            pred, near, done = np.full(len(d), len(known)), np.full(len(d), len(known)), 0
             given = np.full(len(d), -2)
             for r in rows:
                 v, nd, nh = _unpacked(r["v"], np.int32).astype(np.int64), _unpacked(r["d"], np.int64), _unpacked(r["h"], np.int32)
@@ -417,17 +421,23 @@ def _predecessors(state: DataFrame, nodes: DataFrame, sources: DataFrame, number
                     met = (d[at] == nd) & (h[at] == nh)
                     given[at[met]] = codes[met]
                     continue
+                w = _unpacked(r["w"], np.int64)
                 for s in range(len(d) // n):
                     own = slice(s * len(v), (s + 1) * len(v))
-                    met = (d[s * n + v] == nd[own]) & (h[s * n + v] == nh[own]) & (nd[own] != FAR)
-                    np.minimum.at(pred, s * n + v[met], codes[met])
+                    dv, dn = d[s * n + v], nd[own]
+                    met = np.flatnonzero((np.abs(dn - dv) < OFF) & (dn != FAR))
+                    at, exact, nearer = s * n + v[met], (dn[met] == dv[met]) & (nh[own][met] == h[s * n + v[met]]), dn[met] - w[met] < dv[met]
+                    np.minimum.at(pred, at[exact], codes[met[exact]])
+                    np.minimum.at(near, at[nearer], codes[met[nearer]])
             pred = np.where(given > -2, given, pred)
             found, names, srcs = np.flatnonzero(d != FAR), np.array(state["nodes"]), np.array(state["srcs"])
+            kind_of = pa.array(names[:1]).type
             for a in range(0, len(found), 1 << 16):
                 at = found[a:a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(srcs[at // n]), pa.array(names[at % n]), pa.array(d[at]), pa.array(h[at].astype(np.int64)),
-                    pa.array(known[np.maximum(pred[at], 0)], mask=pred[at] < 0, type=pa.array(names[:1]).type)], names=["src", "node", "d", "hops", "pred"])
+                    pa.array(known[np.maximum(pred[at], 0)], mask=pred[at] < 0, type=kind_of), pa.array(known[near[at] % len(known)], mask=near[at] == len(known), type=kind_of)],
+                    names=["src", "node", "d", "hops", "pred", "near"])
 
     none = lambda c: F.lit(None).cast(dict(x.split(" ", 1) for x in schema.split(", "))[c]).alias(c)
     plain = state.select("block", "shard", "n", "d", "h")
@@ -435,15 +445,17 @@ def _predecessors(state: DataFrame, nodes: DataFrame, sources: DataFrame, number
     given = told.groupBy("block", "shard").applyInPandas(lambda pdf: pd.DataFrame([(
         int(pdf["block"].iloc[0]), int(pdf["shard"].iloc[0]), *[_packed(pdf[c].to_numpy(k)) for c, k in (("d", np.int64), ("h", np.int32), ("s", np.int32), ("v", np.int32))],
         [None if pd.isna(x) else x for x in pdf["pred"]])], columns=["block", "shard", "d", "h", "s", "v", "last"]), f"block bigint, shard bigint, d binary, h binary, s binary, v binary, last array<{kind}>")
-    given = given.select("block", "shard", F.lit(1).alias("rank"), none("n"), "d", "h", "s", "v", "last", none("nodes"), none("srcs"))
-    whole = plain.join(names, "shard").join(firsts, "block").select("block", "shard", F.lit(0).alias("rank"), "n", "d", "h", none("s"), none("v"), none("last"), "nodes", "srcs")
+    given = given.select("block", "shard", F.lit(1).alias("rank"), none("n"), "d", "h", "s", "v", none("w"), "last", none("nodes"), none("srcs"))
+    whole = plain.join(names, "shard").join(firsts, "block").select("block", "shard", F.lit(0).alias("rank"), "n", "d", "h", none("s"), none("v"), none("w"), none("last"), "nodes", "srcs")
     rows = whole.unionByName(given).unionByName(told_again)
-    return rows.repartition(parts, "block", "shard").sortWithinPartitions("block", "shard", "rank").mapInArrow(close, f"src {kind}, node {kind}, d bigint, hops bigint, pred {kind}")
+    return rows.repartition(parts, "block", "shard").sortWithinPartitions("block", "shard", "rank").mapInArrow(close, f"src {kind}, node {kind}, d bigint, hops bigint, pred {kind}, near {kind}")
 
 
-def search(overlay: Overlay, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+def search(overlay: Overlay, sources: DataFrame, targets: DataFrame | None = None, near: bool = False) -> DataFrame:
     """Shortest directed paths: src, node, dist_m and pred, the node before it (null at the
     source itself), for every node that a source (src) reaches, or for the targets (node_id) only.
+    With ``near`` also the smallest node that a shortest path can come from (to 1e-6 m; null
+    where no nearer one leads), in a graph that is searched by rounds only.
 
     A source without edges reaches itself.  Jobs run while the result is built.
     """
@@ -473,14 +485,15 @@ def search(overlay: Overlay, sources: DataFrame, targets: DataFrame | None = Non
             nodes = cells.where("border").join(needed[-1], "cell").select("node")
     for level in reversed(range(overlay.levels)):
         cells = overlay.cells(level).select("node", "cell")
-        entered = kept(found).unionByName(climbed[level]).join(cells, "node")
+        entered = kept(found.drop("near")).unionByName(climbed[level]).join(cells, "node")
         if needed is not None:
             entered = entered.join(needed[level], "cell", "left_semi")
         found = _inside(entered, overlay.inner(level), kind)
-    found = kept(found.select("src", "node", (F.col("d") / UNIT).alias("dist_m"), "pred"))
+    extra = ["near"] if near and "near" in found.columns else []
+    found = kept(found.select("src", "node", (F.col("d") / UNIT).alias("dist_m"), "pred", *extra))
     own = found.where("src = node").select("src")
-    alone = first.select("src", "node", F.lit(0.0).alias("dist_m"), "pred").join(own, "src", "left_anti")
+    alone = first.select("src", "node", F.lit(0.0).alias("dist_m"), "pred", *[blank.alias(c) for c in extra]).join(own, "src", "left_anti")
     if targets is None:
         return found.unionByName(alone)
     return kept(found.unionByName(alone).join(
-        targets.select(F.col("node_id").cast(kind).alias("node")).distinct(), "node", "left_semi").select("src", "node", "dist_m", "pred"))
+        targets.select(F.col("node_id").cast(kind).alias("node")).distinct(), "node", "left_semi").select("src", "node", "dist_m", "pred", *extra))

@@ -84,7 +84,7 @@ ROUTES = f"""{PATHS}, tp AS (SELECT DISTINCT CAST((c_nationkey * 397) % (SELECT
  FROM pts JOIN f_nodes n ON n.node_id = pts.here""")
 def route_geometry(t):
     """All points of the shortest route of every pair."""
-    found = D.route_geometry(trip_pairs(t), D.shortest_paths(t.edges, depots(t)), t.edges, t.nodes)
+    found = D.route_geometry(trip_pairs(t), D.shortest_paths(t.edges, depots(t), near=True), t.edges, t.nodes)
     points = found.select("origin", "dest", F.posexplode("path").alias("i", "pt"))
     return points.select("origin", "dest", c("i").cast("long").alias("i"), c("pt.lat").alias("lat"), c("pt.lon").alias("lon"))
 
