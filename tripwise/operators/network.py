@@ -344,18 +344,19 @@ def project_on(path: Column, lat: Column, lon: Column) -> Column:
 
 
 def _pieces(edges: DataFrame) -> DataFrame:
-    """Boxes of the streets' pieces, with their segment.  A segment longer than the mean of all is cut into
+    """Boxes of the streets' pieces, with their segment and, if given, the streets' pos.  A segment longer than the mean of all is cut into
     pieces of that extent, so a long slanting street has no box that spans everything; there
     are at most twice as many pieces as segments."""
     wide = lambda s: F.greatest(F.abs(s["b"]["lat"] - s["a"]["lat"]), F.abs(s["b"]["lon"] - s["a"]["lon"]))
-    segments = kept(edges.select("pos", F.explode(_segments(F.col("geometry"))).alias("_s")))
+    pos = [c for c in ("pos",) if c in edges.columns]
+    segments = kept(edges.select(*pos, F.explode(_segments(F.col("geometry"))).alias("_s")))
     step = segments.agg(F.avg(wide(F.col("_s")))).first()[0] or 1.0
     n = F.greatest(F.lit(1), F.ceil(wide(F.col("_s")) / step)).cast("int")
     at = lambda c, i: F.col(f"_s.a.{c}") + (F.col(f"_s.b.{c}") - F.col(f"_s.a.{c}")) * i / F.col("_n")
     cut_up = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     box = {"south": F.least(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "west": F.least(at("lon", F.col("_i") - 1), at("lon", F.col("_i"))),
            "north": F.greatest(at("lat", F.col("_i") - 1), at("lat", F.col("_i"))), "east": F.greatest(at("lon", F.col("_i") - 1), at("lon", F.col("_i")))}
-    return cut_up.select("pos", F.col("_s").alias("segment"), *[x.alias(c) for c, x in box.items()])
+    return cut_up.select(*pos, F.col("_s").alias("segment"), *[x.alias(c) for c, x in box.items()])
 
 
 def nearest_edge(pois: DataFrame, edges: DataFrame) -> DataFrame:
