@@ -131,13 +131,13 @@ def _steps_back(pairs: DataFrame, back: DataFrame) -> DataFrame:
         rows = rows.unionByName(part.select("origin", "dest", "at", "seq"))
     span = 1
     while True:
-        more = kept(rows.join(jump, on).select("origin", "dest", F.col("_to").alias("at"), (F.col("seq") + span).alias("seq")))
+        more = kept(rows.join(_by_rows(jump, size), on).select("origin", "dest", F.col("_to").alias("at"), (F.col("seq") + span).alias("seq")))
         if more.isEmpty():
             break
         done.append(more)
         rows = rows.unionByName(more)
         ahead = jump.select(F.col("_o").alias("_o2"), F.col("_a").alias("_a2"), F.col("_to").alias("_to2"))
-        jump = kept(jump.join(ahead, (F.col("_o") == F.col("_o2")) & (F.col("_to") == F.col("_a2"))).select("_o", "_a", F.col("_to2").alias("_to")))
+        jump = kept(jump.join(_by_rows(ahead, size), (F.col("_o") == F.col("_o2")) & (F.col("_to") == F.col("_a2"))).select("_o", "_a", F.col("_to2").alias("_to")))
         span *= 2
     dealt.unpersist()
     out = done[0]
@@ -155,22 +155,22 @@ def route_geometry(pairs: DataFrame, paths: DataFrame, edges: DataFrame, nodes:
     straight line.  Of equally long paths the smallest predecessor (``near``) counts; it is
     worked out here unless ``paths`` has it.
     """
-    spot = nodes.select("node_id", F.struct(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).alias("pt"))
-    known = lambda c: nodes.select(F.col("node_id").alias(c))
+    spot = _by_rows(nodes.select("node_id", F.struct(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")).alias("pt")), nodes.count())
+    known = lambda c: spot.select(F.col("node_id").alias(c))
     wanted = pairs.select("origin", "dest").distinct().join(known("dest"), "dest", "left_semi").join(known("origin"), "origin", "left_semi").select("origin", "dest")
     if "near" not in paths.columns:
         paths = _with_near(paths, edges)
     # steps of no length keep the predecessor of the search
     back = paths.where(F.col("pred").isNotNull()).select(F.col("src").alias("origin"), F.col("node").alias("at"), F.coalesce("near", "pred").alias("pred"), "dist_m")
     stops = _steps_back(wanted, back)
-    if "geometry" in edges.columns:
+    if streets := "geometry" in edges.columns:
         lines = _street_lines(stops, edges, spot)
     else:
-        lines = stops.join(spot.withColumnRenamed("node_id", "at"), "at").select("origin", "dest", "seq", F.array("pt").alias("line"))
+        lines = stops.join(spot.withColumnsRenamed({"node_id": "at", "pt": "line"}), "at")
     # dealt by route before they are gathered, as rows of a route hardly ever meet before
     lines = lines.select("origin", "dest", F.struct((-F.col("seq")).alias("s"), "line").alias("x")).repartition("origin", "dest")
     found = lines.groupBy("origin", "dest").agg(F.sort_array(F.collect_list("x")).alias("_p"))
-    return found.select("origin", "dest", _drop_repeats(F.flatten(F.col("_p.line"))).alias("path"))
+    return found.select("origin", "dest", _drop_repeats(F.flatten("_p.line") if streets else F.col("_p.line")).alias("path"))
 
 
 def _street_lines(stops: DataFrame, edges: DataFrame, spot: DataFrame) -> DataFrame:
